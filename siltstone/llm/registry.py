@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, dsir, toxicity, unigram
+from siltstone.llm import bpe, dsir, kdtree, licenses, rans, toxicity, unigram
 from siltstone.llm.common import table
 
 
@@ -29,12 +30,42 @@ def op4_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.with_severity(docs, model).select("doc_id", "severity.*")
 
 
+def op5_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, tables = rans.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return rans.decode(files, tables)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = kdtree.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    return kdtree.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_importance_resampling, op4_toxicity_severity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_importance_resampling, op4_toxicity_severity, op5_rans_tokens, op6_license_scan, op7_exact_top_k, op10_byte_bpe)}
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLE_SQL: dict[str, str] = {}
+
+#: Scores of quantized vectors for each query against every other row, ranked.
+ORACLE_SQL["op7_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 20
+"""
