@@ -32,6 +32,7 @@ class Params:
     leaf_rows: int = 128
     block_rows: int = 512
     group_leaves: int = 16
+    task_blocks: int = 16
 
 
 class Tree:
@@ -123,7 +124,7 @@ def top_k(vectors: DataFrame, is_query, params: Params = Params()) -> DataFrame:
     k, leaf_rows, step = params.k, params.leaf_rows, params.group_leaves
     salt = F.xxhash64("vec_id", "v")  # equal ids or equal vectors alone don't meet in one shard
     placed = base.select("vec_id", "v", F.pmod(salt, F.lit(shards)).cast("int").alias("shard"))
-    asked = base.where("q").select("vec_id", "v", F.pmod(F.xxhash64(F.lit(7), salt), F.lit(blocks)).cast("int").alias("block"))
+    asked = base.where("q").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), F.pmod(F.xxhash64(F.lit(7), salt), F.lit(blocks)).cast("int").alias("block"))
 
     def arrays(batch: pa.Table, at: int) -> tuple[np.ndarray, np.ndarray]:
         flat = batch.column(at + 1).combine_chunks()
@@ -147,17 +148,22 @@ def top_k(vectors: DataFrame, is_query, params: Params = Params()) -> DataFrame:
 
     kind = "query_id long, vec_id long, score long, block int"
 
-    def searched(pairs: DataFrame) -> DataFrame:
-        ask = pairs.select("vec_id", "v", "kth", "block", "shard")
-        return placed.groupBy("shard").cogroup(ask.groupBy("shard")).applyInArrow(run, kind)
-
-    first = F.pmod(F.col("block"), F.lit(shards))
-    home = written(searched(asked.withColumn("kth", F.lit(None).cast("long")).withColumn("shard", first)), "home")
+    def searched(queries: DataFrame, pair) -> DataFrame:
+        """Searches the shards for which ``pair(shard, part)`` holds; a task has one shard and ``task_blocks`` query blocks."""
+        part = F.col("block").cast("int") / params.task_blocks
+        left = placed.withColumn("part", F.explode(F.filter(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: pair(F.col("shard"), p))))
+        ask = queries.withColumn("at_part", F.floor(part).cast("int")).withColumn(
+            "at", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: pair(s, F.floor(part).cast("int"))))
+        )
+        ask = ask.select("q_id", "q_v", "kth", "block", "at", "at_part")
+        return left.groupBy("shard", "part").cogroup(ask.groupBy("at", "at_part")).applyInArrow(run, kind)
+
+    parts = -(-blocks // params.task_blocks)
+    home = written(searched(asked.withColumn("kth", F.lit(None).cast("long")), lambda s, p: s == F.pmod(p, F.lit(shards))), "home")
     if shards > 1:
         known = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-        rest = asked.join(known, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "kth", "block")
-        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != first)
-        found = home.unionByName(searched(rest.withColumn("shard", F.explode(others))))
+        rest = asked.join(known, F.col("q_id") == F.col("query_id"), "left").select("q_id", "q_v", "kth", "block")
+        found = home.unionByName(searched(rest, lambda s, p: s != F.pmod(p, F.lit(shards))))
     else:
         found = home
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
