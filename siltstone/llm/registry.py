@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, dsir, kdtree, licenses, rans, toxicity, unigram
+from siltstone.llm import bpe, decontaminate, dsir, kdtree, licenses, rans, toxicity, unigram
 from siltstone.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dsir.resample(table(spark, sf_dir, "documents"), target)
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -50,7 +54,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_importance_resampling, op4_toxicity_severity, op5_rans_tokens, op6_license_scan, op7_exact_top_k, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_importance_resampling, op3_benchmark_leaks, op4_toxicity_severity, op5_rans_tokens, op6_license_scan, op7_exact_top_k, op10_byte_bpe)}
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
