@@ -1,27 +1,65 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written and read again as the next one's input.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept. All but the last return the columns
+of ``documents``, extra ones included.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import bpe, decontaminate, jaccard, suffix, toxicity
+from siltstone.llm.common import bounded_batches, table, written
 
-from siltstone.llm import toxicity
-from siltstone.llm.common import table, written
+#: Near duplicates: shingles of five words, similarity of 0.8 or more.
+NEAR = jaccard.Params(size=5, num=80, den=100)
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of any toxic grade reaches the decision threshold go."""
+    """Documents whose probability of any toxic grade reaches the decision threshold go; null texts stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_severity(docs, model, "__severity").where("not __severity.toxic").drop("__severity")
 
 
-STAGES = [("toxicity", toxic_documents_go)]
+def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the one of smallest id stays, once if rows repeat it; rows without an id stay."""
+    ids = jaccard.join(docs, NEAR).where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def repeated_strings_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings that also start elsewhere are cut out of the texts; n_chars follows."""
+    return suffix.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def leaking_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the text as decoded from them."""
+    rows = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rows.select("doc_id", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
+
+
+STAGES = [
+    ("toxicity", toxic_documents_go),
+    ("near_duplicates", one_of_each_group_stays),
+    ("repeated_strings", repeated_strings_go),
+    ("benchmark_leaks", leaking_documents_go),
+    ("byte_bpe", encoded),
+]
 
-#: SQL can't express the stages.
+#: SQL can't express the stages; tests/llm holds them against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(bounded_batches(spark), sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

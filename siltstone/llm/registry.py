@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontaminate, dsir, jaccard, kdtree, licenses, rans, toxicity, unigram
+from siltstone.llm import bpe, decontaminate, dsir, jaccard, kdtree, licenses, rans, suffix, toxicity, unigram
 from siltstone.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_importance_resampling, op3_benchmark_leaks, op4_toxicity_severity, op5_rans_tokens, op6_license_scan, op7_exact_top_k, op9_jaccard_join, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_importance_resampling,
+        op3_benchmark_leaks,
+        op4_toxicity_severity,
+        op5_rans_tokens,
+        op6_license_scan,
+        op7_exact_top_k,
+        op8_repeated_strings,
+        op9_jaccard_join,
+        op10_byte_bpe,
+    )
+}
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
