@@ -42,8 +42,8 @@ class Params:
     size: int = 3  # words of a shingle
     num: int = 90  # linked when den * intersection >= num * union
     den: int = 100
-    group_rows: int = 64
-    group_tokens: int = 32_768
+    group_rows: int = 256
+    group_tokens: int = 65_536
     bloom_bits: int = 1 << 23
 
 
@@ -107,7 +107,7 @@ class Keys:
             at = np.append(np.searchsorted(s, cuts), len(s))
             used = at[1:] > at[:-1]
             content = sums[at[1:]] - sums[at[:-1]]
-            name = mix(np.arange(len(cuts), dtype=np.uint64) * ODD[2] + np.uint64(j) * ODD[1])
+            name = mix(np.arange(len(cuts), dtype=np.uint64) * ODD[2] + np.array([j], np.uint64) * ODD[1])
             if int(used.sum()) <= self.differences(len(s)):
                 used[:] = True
             out.append(mix(content ^ name)[used])
@@ -117,9 +117,11 @@ class Keys:
 def open_group(sigs: list[int], sets: list[np.ndarray], p: Params) -> list[tuple[int, int]]:
     """Links within a group, to a spanning forest: (smallest node of the part, other node)."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    matrix = np.zeros((len(sets), int(column.max()) + 1), np.float32)
-    matrix[np.repeat(np.arange(len(sets)), sizes), column] = 1
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # tokens of one set alone add to no intersection
+    row, used = np.repeat(np.arange(len(sets)), sizes), shared[column]
+    matrix = np.zeros((len(sets), int(shared.sum())), np.float32)
+    matrix[row[used], (np.cumsum(shared) - 1)[column[used]]] = 1
     common = np.rint(matrix @ matrix.T).astype(np.int64)
     linked = p.den * common >= p.num * (sizes[:, None] + sizes[None, :] - common)
     return forest(sigs, *np.nonzero(np.triu(linked, 1)))
@@ -154,9 +156,9 @@ def open_pair(a: tuple, b: tuple, p: Params) -> list[tuple[int, int]]:
         if p.den * len(at) < p.num * len(s):  # no set of the group can reach the threshold
             continue
         if matrix is None:
-            matrix = np.zeros((len(sizes), len(union)), np.float32)
+            matrix = np.zeros((len(sizes), len(union)), np.uint8)
             matrix[np.repeat(np.arange(len(sizes)), sizes), column] = 1
-        common = np.rint(matrix[:, at].sum(1)).astype(np.int64)
+        common = matrix[:, at].sum(1, dtype=np.int64)
         for k in np.flatnonzero(p.den * common >= p.num * (len(s) + sizes - common)).tolist():
             if b[1][k] != comp:
                 out.append((sig, b[0][k]))
