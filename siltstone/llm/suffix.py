@@ -10,8 +10,9 @@ are sorted in bounded pieces and no match is lost:
 3. Batches of whole hash groups get a suffix array by two-stage sorting: only suffixes smaller than their successors are
    sorted directly, the others are induced by one scan over the buckets of first bytes. Adjacent suffixes with a common
    prefix of ``length`` bytes are one class; a class with two windows is a repeat.
-4. A hash group beyond ``group_bytes`` of distinct contexts is not held in memory: its windows are counted by a 128-bit hash
-   of their bytes, which is exact for any size of group and gives the same spans.
+4. A hash group beyond ``group_bytes`` of distinct contexts is not held in memory: its contexts are cut and dealt anew by
+   the owners of a longer ``second_gram``, whose groups share nearly all of a window. What is still too large then has few
+   windows in a context; they are counted by a 128-bit hash of their bytes, which works for any size of group.
 
 Equal texts are handled once: all windows of a text that occurs in several rows are repeats.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ from siltstone.llm.common import bounded_batches, drop_written, map_rows, writte
 class Params:
     length: int = 400
     gram: int = 64
+    second_gram: int = 392
     batch_bytes: int = 1 << 18
     group_bytes: int = 1 << 19
     bloom_bits: int = 1 << 23
@@ -345,27 +347,51 @@ class Group:
         self.starts[-1].append(start)
 
 
-def spans_by_context(contexts: DataFrame, p: Params) -> DataFrame:
-    """(sig, first, last, h1, h2): repeated spans [first, last), or with hashes the windows of hot groups."""
-    kind = "sig long, first long, last long, h1 long, h2 long"
+def second_contexts(hot: DataFrame, p: Params) -> DataFrame:
+    """Rows as those of ``context_rows``: contexts of hot groups, cut by the owners of the longer gram."""
+    p = replace(p, gram=p.second_gram)
 
-    def table(sig, first, last, h1=None, h2=None) -> pa.RecordBatch:
+    def make():
+        def work(batch: pa.RecordBatch):
+            for sig, start, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = raw.as_buffer()
+                view = memoryview(data)
+                for h, first, last in owners(np.frombuffer(data, np.uint8), p):
+                    cut_ = [bytes(view[a : b + p.length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                    name = pa.array(np.array([xxhash.xxh64_intdigest(c) for c in cut_], np.uint64).view(np.int64))
+                    yield pa.record_batch([pa.array(h), pa.array(np.full(len(h), sig, np.int64)), pa.array(first.astype(np.int64) + start), name, pa.array(cut_, pa.binary())], ["owner", "sig", "start", "name", "context"])
+
+        return work
+
+    return map_rows(hot.select("sig", "first", "context"), packed(make, 4000), "owner long, sig long, start long, name long, context binary")
+
+
+def spans_by_context(contexts: DataFrame, p: Params, last: bool) -> DataFrame:
+    """(sig, first, last, h1, h2, context): repeated spans [first, last); of hot groups the contexts, at last their windows
+    with hashes."""
+    kind = "sig long, first long, last long, h1 long, h2 long, context binary"
+
+    def table(sig, first, last, h1=None, h2=None, context=None) -> pa.RecordBatch:
         none = [None] * len(sig)
-        return pa.record_batch([pa.array(x, pa.int64()) for x in (sig, first, last, h1 or none, h2 or none)], ["sig", "first", "last", "h1", "h2"])
+        cols = [pa.array(x, pa.int64()) for x in (sig, first, last, h1 or none, h2 or none)]
+        return pa.record_batch([*cols, pa.array(context or none, pa.binary())], ["sig", "first", "last", "h1", "h2", "context"])
 
     def solve(groups: list[Group]) -> pa.RecordBatch:
         every = [(c, s, a) for g in groups for c, s, a in zip(g.contexts, g.sigs, g.starts, strict=True)]
         found = repeated_windows([c for c, _, _ in every], [len(s) for _, s, _ in every], p.length)
-        sig, first, last = array("q"), array("q"), array("q")
+        sig, first, upto = array("q"), array("q"), array("q")
         for (_, sigs, starts), places in zip(every, found, strict=True):
             for a, b in spans_of(places, p.length):
                 sig.extend(sigs)
                 first.extend(s + a for s in starts)
-                last.extend(s + b for s in starts)
-        return table(sig, first, last)
+                upto.extend(s + b for s in starts)
+        return table(sig, first, upto)
 
     def windows(group: Group):
         for context, sigs, starts in zip(group.contexts, group.sigs, group.starts, strict=True):
+            if not last:
+                yield table(sigs, starts, [s + len(context) for s in starts], context=[context] * len(sigs))
+                continue
             n = len(context) - p.length + 1
             digest = [xxhash.xxh3_128_intdigest(context[i : i + p.length]) for i in range(n)]
             h1, h2 = ([int(np.int64(np.uint64(d >> s & 0xFFFFFFFFFFFFFFFF))) for d in digest] for s in (0, 64))
@@ -426,8 +452,10 @@ def repeated_spans(docs: DataFrame, p: Params = Params(), text: str = "text") ->
     listed = places.groupBy("sig").agg(F.collect_list("place").alias("places"))
     texts = src.where(F.length("data") >= p.length).where(maybe(spark, places, p.bloom_bits)).groupBy("sig").agg(F.first("data").alias("data"))
     bounded_batches(spark, 500)
-    spans = written(spans_by_context(context_rows(texts.join(listed, "sig"), p), p), "spans")
+    broad = written(spans_by_context(context_rows(texts.join(listed, "sig"), p), p, False), "spans")
+    narrow = written(spans_by_context(second_contexts(broad.where("context is not null"), p), p, True), "spans")
     bounded_batches(spark)
+    spans = broad.where("context is null").unionByName(narrow).drop("context")
     hot = spans.where("h1 is not null")
     twice = hot.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n >= 2").select("h1", "h2")
     again = hot.join(twice, ["h1", "h2"]).select("sig", "first", "last")
@@ -436,7 +464,7 @@ def repeated_spans(docs: DataFrame, p: Params = Params(), text: str = "text") ->
     every = every.unionByName(copies.select("sig", F.lit(0).cast("long").alias("first"), F.col("size").cast("long").alias("last")))
     # windows of hot groups come one by one; joined within runs before they are collected
     out = written(every.groupBy("sig", "first").agg(F.max("last").alias("last")).groupBy("sig").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")), "repeats")
-    drop_written(spark, places, spans)
+    drop_written(spark, places, broad, narrow)
     return out
 
 
