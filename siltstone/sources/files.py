@@ -31,8 +31,11 @@ def read(spark: SparkSession, path: str, glob: str | None = None, cap: int | Non
 
 
 def decoded(content: Column) -> Column:
-    """UTF-8 where valid, else Windows-1252."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "windows-1252"))
+    """UTF-8 where valid, else Windows-1252: Latin-1 with other letters for the bytes from 0x80 to 0x9F."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    known = [(a, b) for a, b in pairs if b]
+    latin = F.translate(F.decode(content, "iso-8859-1"), "".join(a for a, _ in known), "".join(b for _, b in known))
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), latin)
 
 
 def stem(path: Column) -> Column:
