@@ -14,7 +14,7 @@ mark, or else its last sentence, or else its second half.
 The items are indexed in shards of at most about ``shard_items``, which bounds what is broadcast; every text meets every
 shard.
 
-Defined cases: null or empty texts and items match nothing; items of fewer words than a shingle count as one; repeated rows
+Defined cases: null or empty texts and items match nothing; items of fewer words than a shingle are one shingle of their own length; repeated rows
 and items are reported each; ties don't matter, since all above the threshold are kept; an empty benchmark finds no leaks;
 extra columns are ignored by ``leaks`` and kept by ``clean``.
 """
@@ -62,10 +62,20 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[: (len(words) + 1) // 2]), " ".join(words[(len(words) + 1) // 2 :])
 
 
-def shingles(words: list[bytes], size: int) -> set[bytes]:
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+def shingles(words: list[bytes], size: int) -> list[bytes]:
+    return [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
+
+
+def item_parts(text: str, size: int) -> tuple[int, set[bytes], set[bytes], set[bytes]]:
+    """(shingle size, the item's shingles, those that begin in its question, those that end in its answer).
+
+    Shingles go over the border, so that an answer of a word or two is judged with the words before it; an item of fewer
+    words than a shingle is one shingle of its own length.
+    """
+    words, head = words_of(text), len(words_of(question_and_answer(text)[0]))
+    size = min(size, len(words))
+    every = shingles(words, size)
+    return size, set(every), set(every[: max(1, head - size + 1)]), set(every[max(0, min(len(every) - 1, head - size + 1)) :])
 
 
 class Index:
@@ -73,10 +83,7 @@ class Index:
         self.p = params
         kept_items = [(i, t, w) for i, t in items if (w := words_of(t))]
         self.ids = [i for i, _, _ in kept_items]
-        self.parts = []
-        for _, t, w in kept_items:
-            q, a = question_and_answer(t)
-            self.parts.append(tuple(shingles(x, params.shingle) for x in (w, words_of(q), words_of(a))))
+        self.parts = [item_parts(t, params.shingle) for _, t, _ in kept_items]
         lens = [len(w) for _, _, w in kept_items]
         self.stride, n = max(lens, default=1), len(lens)
         mean = sum(lens) / max(1, n)
@@ -131,17 +138,19 @@ class Index:
             hits = self.retrieve(distinct)
             if not hits:
                 continue
-            size = self.p.shingle
-            at: dict[bytes, list[int]] = {}
-            for i in range(a, max(a + 1, b - size + 1)):
-                at.setdefault(b" ".join(words[i : min(b, i + size)]), []).append(i)
+            places: dict[int, dict[bytes, list[int]]] = {}
             for item, score in hits:
-                whole, question, answer = self.parts[item]
-                share = lambda part: len(part & at.keys()) / len(part) if part else 1.0
+                size, whole, question, answer = self.parts[item]
+                if size not in places:
+                    at = places[size] = {}
+                    for i, x in enumerate(shingles(words[a:b], size), a):
+                        at.setdefault(x, []).append(i)
+                at = places[size]
+                share = lambda part: len(part & at.keys()) / len(part)
                 q, r = share(question), share(answer)
                 if share(whole) >= self.p.overlap and min(q, r) >= self.p.part_overlap:
-                    places = [i for s in whole & at.keys() for i in at[s]]
-                    one = {"item_id": self.ids[item], "score": score, "question_overlap": q, "answer_overlap": r, "first_word": min(places), "last_word": max(places) + min(size, len(words)) - 1}
+                    seen = [i for x in whole & at.keys() for i in at[x]]
+                    one = {"item_id": self.ids[item], "score": score, "question_overlap": q, "answer_overlap": r, "first_word": min(seen), "last_word": max(seen) + size - 1}
                     if item not in found or (score, -one["first_word"]) > (found[item]["score"], -found[item]["first_word"]):
                         found[item] = one
         return [found[i] for i in sorted(found)]

@@ -33,8 +33,9 @@ def brute(items, docs, p=dec.Params()):
             for a in range(0, len(words), index.stride):
                 passage = words[a : a + 2 * index.stride]
                 score = sum(float(s) for k in {index.vocab[w] for w in passage if w in index.vocab} for i, s in zip(index.items[k], index.impacts[k], strict=True) if i == item)
-                there = dec.shingles(passage, p.shingle)
-                share = [len(x & there) / len(x) for x in index.parts[item]]
+                size, *parts = index.parts[item]
+                there = {b" ".join(passage[k : k + size]) for k in range(len(passage))}
+                share = [len(x & there) / len(x) for x in parts]
                 if score >= p.threshold - 1e-9 and share[0] >= p.overlap and min(share[1:]) >= p.part_overlap:
                     found.append((d, index.ids[item]))
     return sorted(set(found))
@@ -61,3 +62,15 @@ def test_edge_cases(spark, edge_docs, no_docs):
     assert dec.leaks(edge_docs, items).count() >= 0
     rest = dec.clean(edge_docs, items.limit(2))
     assert rest.columns == edge_docs.columns and rest.count() == edge_docs.count()
+
+
+def test_every_copied_item_is_found(spark):
+    """Items with answers of a word, without sentences, of fewer words than a shingle, with a question mark."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word() for _ in range(n)) for n in (1, 2, 4, 5, 6, 30)]
+    texts += [f"{t}. {word()}." for t in texts] + [f"{t}? {word()} {word()}" for t in texts] + [f"{word()}.\n{t}" for t in texts] + ["?", f"{word()}?"]
+    items = list(enumerate(texts))
+    docs = [(i, " ".join(word() for _ in range(70)) + "\n" + t + "\n" + " ".join(word() for _ in range(70))) for i, t in items] + [(1000, " ".join(word() for _ in range(300)))]
+    got = dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(i, i) for i, t in items if words_of(t)} <= {(r.doc_id, r.item_id) for r in got} and 1000 not in {r.doc_id for r in got}
