@@ -11,8 +11,8 @@ are sorted in bounded pieces and no match is lost:
    sorted directly, the others are induced by one scan over the buckets of first bytes. Adjacent suffixes with a common
    prefix of ``length`` bytes are one class; a class with two windows is a repeat.
 4. A hash group beyond ``group_bytes`` of distinct contexts is not held in memory: its contexts are cut and dealt anew by
-   the owners of a longer ``second_gram``, whose groups share nearly all of a window. What is still too large then has few
-   windows in a context; they are counted by a 128-bit hash of their bytes, which works for any size of group.
+   the owners of ever longer ``more_grams``, whose groups share ever more of a window. What is still too large at the end
+   has few windows in a context; they are counted by a 128-bit hash of their bytes, which works for any size of group.
 
 Equal texts are handled once: all windows of a text that occurs in several rows are repeats.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from siltstone.llm.common import bounded_batches, drop_written, map_rows, writte
 class Params:
     length: int = 400
     gram: int = 64
-    second_gram: int = 392
+    more_grams: tuple[int, ...] = (328, 392)
     batch_bytes: int = 1 << 18
     group_bytes: int = 1 << 19
     bloom_bits: int = 1 << 23
@@ -347,9 +348,9 @@ class Group:
         self.starts[-1].append(start)
 
 
-def second_contexts(hot: DataFrame, p: Params) -> DataFrame:
-    """Rows as those of ``context_rows``: contexts of hot groups, cut by the owners of the longer gram."""
-    p = replace(p, gram=p.second_gram)
+def narrower_contexts(hot: DataFrame, p: Params, gram: int) -> DataFrame:
+    """Rows as those of ``context_rows``: contexts of hot groups, cut by the owners of a longer gram."""
+    p = replace(p, gram=gram)
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -452,10 +453,14 @@ def repeated_spans(docs: DataFrame, p: Params = Params(), text: str = "text") ->
     listed = places.groupBy("sig").agg(F.collect_list("place").alias("places"))
     texts = src.where(F.length("data") >= p.length).where(maybe(spark, places, p.bloom_bits)).groupBy("sig").agg(F.first("data").alias("data"))
     bounded_batches(spark, 500)
-    broad = written(spans_by_context(context_rows(texts.join(listed, "sig"), p), p, False), "spans")
-    narrow = written(spans_by_context(second_contexts(broad.where("context is not null"), p), p, True), "spans")
+    levels = [written(spans_by_context(context_rows(texts.join(listed, "sig"), p), p, not p.more_grams), "spans")]
+    for gram in p.more_grams:
+        rest = levels[-1].where("context is not null")
+        if not rest.head(1):
+            break
+        levels.append(written(spans_by_context(narrower_contexts(rest, p, gram), p, gram == p.more_grams[-1]), "spans"))
     bounded_batches(spark)
-    spans = broad.where("context is null").unionByName(narrow).drop("context")
+    spans = reduce(DataFrame.unionByName, [x.where("context is null").drop("context") for x in levels])
     hot = spans.where("h1 is not null")
     twice = hot.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n >= 2").select("h1", "h2")
     again = hot.join(twice, ["h1", "h2"]).select("sig", "first", "last")
@@ -464,7 +469,7 @@ def repeated_spans(docs: DataFrame, p: Params = Params(), text: str = "text") ->
     every = every.unionByName(copies.select("sig", F.lit(0).cast("long").alias("first"), F.col("size").cast("long").alias("last")))
     # windows of hot groups come one by one; joined within runs before they are collected
     out = written(every.groupBy("sig", "first").agg(F.max("last").alias("last")).groupBy("sig").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")), "repeats")
-    drop_written(spark, places, broad, narrow)
+    drop_written(spark, places, *levels)
     return out
 
 

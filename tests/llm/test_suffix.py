@@ -44,7 +44,7 @@ def made(seed, length):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("seed", "p"), [(1, suffix.Params(length=40, gram=12, second_gram=36)), (2, suffix.Params(length=40, gram=12, second_gram=36, group_bytes=300, batch_bytes=200)), (3, suffix.Params(length=25, gram=24, second_gram=25))])
+@pytest.mark.parametrize(("seed", "p"), [(1, suffix.Params(length=40, gram=12, more_grams=(36,))), (2, suffix.Params(length=40, gram=12, more_grams=(30, 36), group_bytes=300, batch_bytes=200)), (3, suffix.Params(length=25, gram=24, more_grams=(25,)))])
 def test_removed_bytes_are_brute_force(spark, seed, p):
     rows = made(seed, p.length)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -65,7 +65,7 @@ def test_suffix_order_is_sorted():
 
 def test_edge_cases(spark, edge_docs, edge_rows, no_docs):
     key = lambda r: tuple((x is not None, x) for x in r)
-    p = suffix.Params(length=60, gram=16, second_gram=52)
+    p = suffix.Params(length=60, gram=16, more_grams=(52,))
     rows = [(r[0], r[1]) for r in edge_rows]
     assert sorted(map(tuple, suffix.removed(edge_docs, p).collect()), key=key) == sorted(brute(rows, 60), key=key)
     assert suffix.removed(no_docs).count() == 0
