@@ -63,24 +63,24 @@ SPLIT_SQL = r"""string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9"''(\[])',
 
 
 @query(
-    rf"""WITH RECURSIVE s AS (
-  SELECT doc_id, list_filter(list_transform({SPLIT_SQL}, lambda x: length(x)), lambda x: x > 0) AS lens FROM documents
-  WHERE length(text) > 3200 AND NOT regexp_matches(text, '\n\s*\n') AND list_max(list_transform({SPLIT_SQL}, lambda x: length(x))) <= 3200
+    rf"""WITH RECURSIVE p AS (
+  SELECT doc_id, unnest(list_filter(string_split_regex(text, '\n\s*\n'), lambda x: trim(x) <> '')) AS text, length(text) <= 3200 AS fits FROM documents WHERE text IS NOT NULL AND length(text) > 0
+), s AS (
+  SELECT doc_id, row_number() OVER () AS id, length(text) <= 3200 OR fits AS whole, flatten(list_transform({SPLIT_SQL}, lambda x: CASE WHEN length(x) <= 3200 THEN [{{'n': length(x), 'fresh': false}}]
+    ELSE list_transform(string_split(x, ' '), lambda w, i: {{'n': length(w), 'fresh': i = 1}}) END)) AS parts FROM p
 ), walk AS (
-  SELECT doc_id, 1 AS i, lens[1]::BIGINT AS held, 1 AS pieces FROM s
+  SELECT id, 1 AS i, parts[1].n::BIGINT AS held, 1 AS pieces FROM s WHERE NOT whole
   UNION ALL
-  SELECT w.doc_id, w.i + 1, CASE WHEN w.held + s.lens[w.i + 1] + 1 <= 3200 THEN w.held + s.lens[w.i + 1] + 1 ELSE s.lens[w.i + 1] END,
-    CASE WHEN w.held + s.lens[w.i + 1] + 1 <= 3200 THEN w.pieces ELSE w.pieces + 1 END
-  FROM walk w JOIN s USING (doc_id) WHERE w.i < len(s.lens)
-), packed AS (SELECT doc_id, max(pieces)::BIGINT AS n_chunks FROM walk GROUP BY doc_id)
-SELECT d.doc_id, coalesce(p.n_chunks, 1)::BIGINT AS n_chunks FROM documents d LEFT JOIN packed p USING (doc_id)
-WHERE d.text IS NOT NULL AND length(d.text) > 0 AND (length(d.text) <= 3200 OR p.n_chunks IS NOT NULL)"""
+  SELECT w.id, w.i + 1, CASE WHEN NOT n.fresh AND w.held + n.n + 1 <= 3200 THEN w.held + n.n + (w.held > 0)::INTEGER ELSE n.n END,
+    CASE WHEN NOT n.fresh AND w.held + n.n + 1 <= 3200 THEN w.pieces ELSE w.pieces + 1 END
+  FROM (SELECT walk.*, s.parts[walk.i + 1] AS n FROM walk JOIN s USING (id) WHERE walk.i < len(s.parts)) w
+), packed AS (SELECT id, max(pieces) AS n FROM walk GROUP BY id)
+SELECT doc_id, sum(CASE WHEN whole THEN 1 ELSE n END)::BIGINT AS n_chunks FROM s LEFT JOIN packed USING (id) GROUP BY doc_id"""
 )
 def chunk_pack(spark, sf_dir):
-    """How many pieces whole documents are packed to; those with a sentence beyond the window are left to tests."""
+    """How many pieces each document is packed to."""
     docs = t(spark, sf_dir, "documents").where("text is not null and length(text) > 0")
-    fits = (F.length("text") <= 3200) | (F.array_max(F.transform(T.sentences(F.col("text")), F.length)) <= 3200)
-    return docs.where(fits).select("doc_id", F.size(chunking.split_long(F.col("text"))).cast("long").alias("n_chunks"))
+    return docs.select("doc_id", F.size(chunking.split_long(F.col("text"))).cast("long").alias("n_chunks"))
 
 
 @query()
@@ -131,7 +131,7 @@ def exact_dups(spark, sf_dir):
 @query(
     """WITH f AS (SELECT doc_id AS seq, 'f' || doc_id || CASE WHEN doc_id % 17 = 0 THEN '.exe' ELSE '.txt' END AS name, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM documents),
 e AS (SELECT *, CASE WHEN name LIKE '%.exe' THEN 'extension' WHEN size = 0 THEN 'empty' WHEN size > 20000 THEN 'size' END AS early FROM f),
-k AS (SELECT DISTINCT sha256 FROM f WHERE seq % 50 = 1)
+k AS (SELECT DISTINCT sha256 FROM f JOIN labels ON doc_id = seq WHERE quality = 0)
 SELECT seq, coalesce(early, CASE WHEN k.sha256 IS NOT NULL THEN 'known' END,
   CASE WHEN row_number() OVER (PARTITION BY e.sha256, early IS NULL ORDER BY seq) > 1 THEN 'repeated' END) AS reason FROM e LEFT JOIN k USING (sha256)"""
 )
@@ -139,7 +139,8 @@ def batch_dedup(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 17 == 0, ".exe").otherwise(".txt"))
     files = d.select(F.col("doc_id").alias("seq"), name.alias("name"), F.octet_length("text").alias("size"), F.col("text").cast("binary").alias("head"), F.sha2("text", 256).alias("sha256"))
-    return explore.staged(files, files.where("seq % 50 = 1"), 20_000).select("seq", "reason")
+    known = files.join(t(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("seq")), "seq")
+    return explore.staged(files, known, 20_000).select("seq", "reason")
 
 
 @query(
@@ -256,25 +257,29 @@ def answer_loop(spark, sf_dir):
 # ---- extraction and graph -------------------------------------------------------------------------------------------
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in C.CAPITALISED_STOPWORDS) + "]"
-ASCII_SQL = r"regexp_full_match(text, '[\x00-\x7F]*')"
-NAMES_SQL = rf"list_filter(list_distinct(list_concat(regexp_extract_all(text, '\b[A-Z][A-Za-z0-9_-]{{2,}}\b'), regexp_extract_all(text, '\b[A-Z]{{2,6}}\b'))), lambda x: NOT list_contains({STOP_SQL}, x))"
+#: Word borders are those of Unicode words in the engine and of ASCII ones in the SQL: there, runs of letters, digits, _ and -
+#: are taken first, and only runs of ASCII can hold a name.
+RUNS_SQL = r"list_filter(regexp_extract_all(text, '[\pL\pN\pM_-]+'), lambda r: NOT regexp_matches(r, '[^\x00-\x7F]'))"
 
 
-def ascii_docs(spark, sf_dir) -> DataFrame:
-    """Documents whose word borders both engines see alike."""
-    return t(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+def found_sql(pattern: str) -> str:
+    return f"flatten(list_transform({RUNS_SQL}, lambda r: regexp_extract_all(r, '{pattern}')))"
+
+
+FOUND_SQL = rf"list_concat({found_sql(T.CAPITALISED)}, {found_sql(T.ACRONYM)})"
+NAMES_SQL = f"list_filter(list_distinct({FOUND_SQL}), lambda x: NOT list_contains({STOP_SQL}, x))"
 
 
 @query(
-    rf"""WITH d AS (SELECT doc_id, len({NAMES_SQL}) AS names, len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS words FROM documents WHERE {ASCII_SQL} AND trim(text) <> '')
+    rf"""WITH d AS (SELECT doc_id, len({NAMES_SQL}) AS names, len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS words FROM documents WHERE trim(text) <> '')
 SELECT doc_id, round(CASE WHEN words < 20 THEN 0.0 ELSE names / greatest(1.0, words / 100.0) END, 6)::DOUBLE AS density, words >= 20 AND names / greatest(1.0, words / 100.0) >= 4 AS eligible FROM d"""
 )
 def entity_density(spark, sf_dir):
-    docs = ascii_docs(spark, sf_dir).where("trim(text) <> ''")
+    docs = t(spark, sf_dir, "documents").where("trim(text) <> ''")
     return docs.select("doc_id", F.round(T.entity_density(F.col("text")), 6).alias("density"), T.worth_extracting(F.col("text")).alias("eligible"))
 
 
-ENTITIES_SQL = rf"""found AS (SELECT doc_id, list_filter(list_concat(regexp_extract_all(text, '\b[A-Z][A-Za-z0-9_-]{{2,}}\b'), regexp_extract_all(text, '\b[A-Z]{{2,6}}\b')), lambda x: NOT list_contains({STOP_SQL}, x)) AS w FROM documents WHERE {ASCII_SQL}),
+ENTITIES_SQL = rf"""found AS (SELECT doc_id, list_filter({FOUND_SQL}, lambda x: NOT list_contains({STOP_SQL}, x)) AS w FROM documents),
 named AS (SELECT doc_id, unnest(w) AS name, generate_subscripts(w, 1) AS place FROM found),
 norm AS (SELECT doc_id, name, place, regexp_replace(regexp_replace(regexp_replace(lower(name), '^the ', ''), '^a ', ''), '^an ', '') AS norm_name FROM named),
 firsts AS (SELECT doc_id, norm_name, arg_min(name, place) AS name, min(place) AS place FROM norm WHERE norm_name <> '' GROUP BY 1, 2),
@@ -283,7 +288,7 @@ pairs AS (SELECT * FROM (SELECT doc_id, seq, norm_name AS source, lead(norm_name
 
 
 def entity_rows(spark, sf_dir) -> DataFrame:
-    return graph.extracted(ascii_docs(spark, sf_dir), "doc_id", "text")
+    return graph.extracted(t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(f"WITH {ENTITIES_SQL} SELECT doc_id, seq::INTEGER AS seq, name, norm_name FROM ents")
@@ -301,10 +306,12 @@ def relation_upsert(spark, sf_dir):
     return graph.upsert_relations(graph.co_mentions(entity_rows(spark, sf_dir)))
 
 
-@query(f"WITH {ENTITIES_SQL} SELECT norm_name FROM ents GROUP BY 1 HAVING bool_and(doc_id % 2 = 1)")
+@query(f"WITH {ENTITIES_SQL} SELECT norm_name FROM ents JOIN documents USING (doc_id) GROUP BY 1 HAVING bool_and(source = 'src0')")
 def orphan_entities(spark, sf_dir):
+    """Entities that nothing mentions once the documents of one source are deleted."""
     rows = entity_rows(spark, sf_dir)
-    return graph.orphans(rows.select("norm_name").distinct(), rows.where("doc_id % 2 = 0"))
+    rest = t(spark, sf_dir, "documents").where("source <> 'src0'").select("doc_id")
+    return graph.orphans(rows.select("norm_name").distinct(), rows.join(rest, "doc_id", "left_semi"))
 
 
 @query(f"WITH {EDGES_SQL} SELECT greatest(10.0, quantile_cont(mentions, 0.99))::DOUBLE AS cutoff FROM parts")
@@ -371,9 +378,11 @@ def one_hop_neighbours(spark, sf_dir):
     return graph.neighbours(edges(spark, sf_dir), parts(spark, sf_dir).where("node <= 3"))
 
 
-@query(f"WITH {EDGES_SQL} SELECT source, predicate, target, weight FROM edges WHERE source % 3 = 0 AND target % 3 = 0 ORDER BY weight DESC, source, target LIMIT 600")
+@query(f"WITH {EDGES_SQL}, top AS (SELECT node FROM parts ORDER BY mentions DESC, node LIMIT 150) SELECT source, predicate, target, weight FROM edges WHERE source IN (SELECT node FROM top) AND target IN (SELECT node FROM top) ORDER BY weight DESC, source, target LIMIT 600")
 def induced_subgraph(spark, sf_dir):
-    return graph.induced(edges(spark, sf_dir), parts(spark, sf_dir).where("node % 3 = 0")).select("source", "predicate", "target", "weight")
+    """The explorer's view: edges between the 150 most mentioned parts, 600 at most."""
+    top = parts(spark, sf_dir).orderBy(F.desc("mentions"), "node").limit(150)
+    return graph.induced(edges(spark, sf_dir), top).select("source", "predicate", "target", "weight")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND p_brand = 'Brand#11' ORDER BY p_name, p_partkey LIMIT 50")
@@ -453,11 +462,11 @@ def route_heuristic(spark, sf_dir):
 
 
 @query(
-    rf"""SELECT conv_id, turn, turn > 0 AND (length(trim(text)) < 12 OR regexp_matches(trim(text), '(?i)\b(?:{"|".join(C.REFERENCE_WORDS)})\b')
-  OR {" OR ".join(f"contains(lower(text), '{p}')" for p in C.REFERENCE_PHRASES)}) AS rewrite FROM conversations WHERE role = 'user' AND {ASCII_SQL}"""
+    rf"""SELECT conv_id, turn, turn > 0 AND (length(trim(text)) < 12 OR len(list_filter(regexp_extract_all(lower(text), '[\pL\pN\pM_]+'), lambda w: w IN ({", ".join(f"'{w}'" for w in C.REFERENCE_WORDS)}))) > 0
+  OR {" OR ".join(f"contains(lower(text), '{p}')" for p in C.REFERENCE_PHRASES)}) AS rewrite FROM conversations WHERE role = 'user'"""
 )
 def needs_rewrite(spark, sf_dir):
-    rows = t(spark, sf_dir, "conversations").where("role = 'user'").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    rows = t(spark, sf_dir, "conversations").where("role = 'user'")
     return rows.select("conv_id", "turn", A.needs_rewrite(F.col("text"), F.col("turn") > 0).alias("rewrite"))
 
 
