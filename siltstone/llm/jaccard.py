@@ -5,8 +5,8 @@ A document's set holds 64-bit hashes of its distinct word shingles. Equal sets a
 1. Pigeonhole keys. Sets in reach of each other (by size) differ in at most d elements. The hash space is cut into more than
    d segments, so some segment that isn't empty in the one set is equal in both; its content's hash is a key. Sets with too
    few segments in use emit keys of empty segments too, so no pair is lost.
-2. Groups. Nodes that share a key get the smallest node there as label; sorted by label they are cut into groups of bounded
-   size. A group's matrix has a row for each set and a column for each token of the group's union.
+2. Groups. Nodes that share a key get the smallest node there as label. Labels of more nodes than a group holds are salted
+   by the node's hash; sorted by label and salt, nodes are cut into groups of bounded size. A group's matrix has a row for each set and a column for each token of the group's union.
 3. Each group is opened on itself: the matrix times its transpose has all intersections. Links go to a spanning forest.
    Heads of the components that arise are grouped and opened once more, which merges families larger than a group.
 4. Keys that still hold several components name pairs of groups. For such a pair the overlap of each query set with the
@@ -306,10 +306,19 @@ def grouped(sets: DataFrame, p: Params) -> DataFrame:
         if sigs:
             yield done()
 
-    dealt = sets.select("sig", "tokens", "label").repartitionByRange("label", "sig").sortWithinPartitions("label", "sig").select("sig", "tokens")
+    dealt = salted(sets, p).repartition("label", "salt").sortWithinPartitions("label", "salt", "sig").select("sig", "tokens")
     return written(dealt.mapInArrow(run, "grp long, sigs array<long>, lens binary, tokens binary"), "groups")
 
 
+def salted(sets: DataFrame, p: Params) -> DataFrame:
+    """(sig, tokens, label, salt): a label with more nodes than a group's rows is dealt over as many salts as groups."""
+    large = sets.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > p.group_rows)
+    if large.limit(10_001).count() <= 10_000:  # rows of two longs
+        large = F.broadcast(large)
+    salts = F.ceil(F.coalesce("n", F.lit(1)) / p.group_rows)
+    return sets.join(large, "label", "left").select("sig", "tokens", "label", F.pmod(F.xxhash64("sig"), salts).alias("salt"))
+
+
 def unpack(lens: bytes, tokens: bytes) -> list[np.ndarray]:
     n = np.frombuffer(lens, "<i8")
     return np.split(np.frombuffer(tokens, np.uint64), np.cumsum(n)[:-1])
