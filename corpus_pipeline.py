@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontaminate, jaccard, suffix, toxicity
+from siltstone.llm import bpe, decontaminate, jaccard, passages, suffix, toxicity
 from siltstone.llm.common import bounded_batches, table, written
 
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
@@ -31,8 +31,9 @@ def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def repeated_strings_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings that also start elsewhere are cut out of the texts; n_chars follows."""
-    return suffix.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Strings of 400 bytes that also start elsewhere and passages of over 50 words that stand in other texts too are cut out
+    of the texts; n_chars follows."""
+    return suffix.without_repeats(docs, more=passages.shared_spans(docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def leaking_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

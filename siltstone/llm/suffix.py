@@ -64,8 +64,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _POWERS: list[np.ndarray] = [*powers(1 << 12)]
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A mixed 64-bit hash of the ``gram`` bytes from each place."""
+def weighted_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the weighted bytes before each place, what takes a place's weight away again)."""
     n = len(data)
     if len(_POWERS[0]) < n + 1:
         _POWERS[:] = powers(1 << (n + 1).bit_length())
@@ -73,11 +73,26 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
+    return sums, down
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A mixed 64-bit hash of the ``gram`` bytes from each place."""
+    sums, down = weighted_sums(data)
+    return mixed((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A mixed 64-bit hash of the bytes of each [start, end)."""
+    sums, down = weighted_sums(data)
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive values, by prefix and suffix minima of blocks."""
     n = len(x)
@@ -94,16 +109,20 @@ def owners(data: np.ndarray, p: Params) -> list[tuple[np.ndarray, np.ndarray, np
     out = []
     for base in range(0, max(0, len(data) - p.length + 1), PIECE):
         part = data[base : base + PIECE + p.length - 1]
-        h = gram_hashes(part, p.gram)
-        mask = np.uint64((1 << PLACE_BITS) - 1)
-        key = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
-        own = (sliding_min(key, p.length - p.gram + 1) & mask).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        last = np.append(first[1:] - 1, len(own) - 1)
-        out.append((h[own[first]].view(np.int64), first + base, last + base))
+        out.append(owned(gram_hashes(part, p.gram), p.length - p.gram + 1, base))
     return out
 
 
+def owned(h: np.ndarray, width: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner hashes, first window, last window) of windows of ``width`` grams, the first of them at ``base``."""
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    key = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
+    own = (sliding_min(key, width) & mask).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    last = np.append(first[1:] - 1, len(own) - 1)
+    return h[own[first]].view(np.int64), first + base, last + base
+
+
 def suffix_order(text: bytes, ends: np.ndarray, limit: int) -> np.ndarray:
     """Places of ``text`` in the order of their suffixes; a suffix stops at its part's end (``ends`` of parts) or at ``limit``.
 
@@ -207,8 +226,8 @@ def sources(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.xxhash64(data).alias("sig"), data.alias("data"))
 
 
-def owner_rows(src: DataFrame, p: Params) -> DataFrame:
-    """(owner, sig, place) of each distinct text of a batch; place is the owner's first window."""
+def owner_rows(src: DataFrame, p: Params, find=owners) -> DataFrame:
+    """(owner, sig, place) of each distinct text of a batch; place is the owner's first window as ``find`` counts them."""
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -217,7 +236,7 @@ def owner_rows(src: DataFrame, p: Params) -> DataFrame:
                 if sig in seen:
                     continue
                 seen.add(sig)
-                for h, first, _ in owners(np.frombuffer(raw.as_buffer(), np.uint8), p):
+                for h, first, _ in find(np.frombuffer(raw.as_buffer(), np.uint8), p):
                     yield pa.record_batch([pa.array(h), pa.array(np.full(len(h), sig, np.int64)), pa.array(first.astype(np.int64))], ["owner", "sig", "place"])
 
         return work
@@ -513,10 +532,17 @@ def removed(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text:
     return whole.unionByName(some)
 
 
-def without_repeats(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
-    """The documents, all columns kept, with repeats cut out of the text; characters cut in two go as a whole."""
+def without_repeats(docs: DataFrame, p: Params = Params(), text: str = "text", more: DataFrame | None = None) -> DataFrame:
+    """The documents, all columns kept, with repeats cut out of the text; characters cut in two go as a whole.
+
+    ``more`` has further spans to cut, as ``repeated_spans`` gives them.
+    """
     spark = docs.sparkSession
-    spans = repeated_spans(docs, p, text).select(F.col("sig").alias("__sig"), F.col("firsts").alias("__firsts"), F.col("lasts").alias("__lasts"))
+    spans = repeated_spans(docs, p, text)
+    if more is not None:
+        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("firsts", "lasts")]
+        spans = written(spans.unionByName(more).groupBy("sig").agg(*lists), "spans-to-cut")
+    spans = spans.select(F.col("sig").alias("__sig"), F.col("firsts").alias("__firsts"), F.col("lasts").alias("__lasts"))
     data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
 
     @F.arrow_udf("string")

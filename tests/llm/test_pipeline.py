@@ -95,3 +95,36 @@ def test_components(spark):
     want = {(x, find(x)) for a, b in links if a != b for x in (a, b)}
     assert {(r.node, r.root) for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_short_passages_of_over_50_words_go(spark):
+    """Passages of 51 to 62 words and under 400 bytes, those of 50 words, and lines that repeat in unlike places."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    gone = [text(n) for n in (51, 55, 58, 62)] + [" ".join(rng.choice("abcdefghijklm") for _ in range(51))]
+    assert all(len(p) < 400 for p in gone) and len(gone[-1]) == 101
+    short, lines, twice = text(50), [text(30) for _ in range(4)], text(55)
+    rows, want = [], []
+
+    def add(t, rest=None):
+        rows.append((len(rows), t, len(t), "x"))
+        want.append(t if rest is None else rest)
+
+    for passage in gone:
+        for k in range(3):
+            before, after = f"start {k} " + text(30), f"{k} end, " + text(30)
+            add(f"{before} ({passage}). {after}", f"{before} (). {after}")
+    for k in range(3):
+        add(f"{text(20)} {k}, {short}; {k} {text(20)}")
+    for a, b in ((0, 1), (1, 2), (2, 3), (3, 0)):  # 60 words of repeated lines, but no 51 of them in the same order elsewhere
+        add(f"{a} {lines[a]} {b} {lines[b]} {a}")
+    add(f"{text(20)} 1 {twice} 2 {twice} 3")  # under 400 bytes and in one text alone
+    add("", "")
+    rows.append((None, None, None, "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, sig string").repartition(3)
+    out = corpus_pipeline.repeated_strings_go(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[i].text for i in range(len(want))] == want and len(got) == len(rows)
+    assert all(got[i].n_chars == len(t) and got[i].sig == "x" for i, t in enumerate(want))

@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from siltstone.llm import suffix
+from siltstone.llm import passages, suffix
 
 
 def brute(rows, length):
@@ -72,3 +73,28 @@ def test_edge_cases(spark, edge_docs, edge_rows, no_docs):
     rest = suffix.without_repeats(edge_docs.withColumnRenamed("word", "sig"), p)
     assert rest.columns == edge_docs.withColumnRenamed("word", "sig").columns and rest.count() == edge_docs.count()
     assert rest.where("sig is null").count() == 0
+
+
+@pytest.mark.parametrize(("seed", "p"), [(1, passages.Params(words=7, gram=3)), (2, passages.Params(words=5, gram=5)), (3, passages.Params(words=4, gram=1))])
+def test_shared_passages_are_brute_force(spark, seed, p):
+    rng = random.Random(seed)
+    part = lambda n: "".join(rng.choice(["a", "bé", "c-d", "E", "42", "üx"]) + rng.choice([" ", ", ", "\n", " - "]) for _ in range(n))
+    known = [part(rng.randint(2, 12)) for _ in range(8)]
+    texts = ["".join(rng.choice([rng.choice(known), part(rng.randint(0, 9))]) for _ in range(rng.randint(0, 5))) for _ in range(60)]
+    texts += [None, "", "x " * 40, texts[0], "y y y " * 20, "y y y " * 15, part(30) * 2, "only once in two rows of seven words", "only once in two rows of seven words"]
+    windows = {}
+    for t in {t or "" for t in texts}:
+        d = t.encode()
+        at = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", d)]
+        windows[d] = [(at[i][0], at[i + p.words - 1][1]) for i in range(len(at) - p.words + 1)]
+    count = Counter(x for d, spans in windows.items() for x in {d[a:b] for a, b in spans})
+    rows = Counter((t or "").encode() for t in texts)
+    want = {}
+    for d, spans in windows.items():
+        found = {i for a, b in spans if count[d[a:b]] > 1 for i in range(a, b)} | (set(range(len(d))) if rows[d] > 1 and spans else set())
+        if found:
+            want[d] = found
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    spans = passages.shared_spans(docs, p).join(suffix.sources(docs, "text").distinct(), "sig").collect()
+    got = {bytes(r.data): {i for a, b in zip(r.firsts, r.lasts, strict=True) for i in range(a, b)} for r in spans}
+    assert got == want and len(want) > 10
