@@ -6,11 +6,12 @@ library's bounded-error matching then verifies a window, counts the edits and re
 are never looked at.
 
 Words are runs of 0-9, a-z (A-Z lower-cased) and everything beyond ASCII. ``base`` notices count only where their words
-stand consecutively without an edit; other finds give the labels alone. The score of a text is the best of 1 - edits /
+stand consecutively without an edit; other finds give the labels alone. What is left of a window before and after a find is
+searched on until nothing matches, so that notices which stand close together are all found. The score of a text is the best of 1 - edits /
 length over its finds, 0 without any.
 
 Defined cases: null or empty text has 0 words and no labels; overlapping places of one base notice all count; finds of one
-label in one window are reported once; repeated rows are scanned each; extra columns are ignored.
+notice with edits overlap neither each other nor its exact places; repeated rows are scanned each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,10 +70,8 @@ class Scanner:
     def __init__(self, notices: tuple[Notice, ...]):
         import regex
 
-        self.notices = [
-            (n, [(p.encode(), at) for p, at in seeds(n.phrase, n.errors)], regex.compile(rb"(?b)(?<![^ ])(?:" + regex.escape(n.phrase.encode(), literal_spaces=True) + rb"){e<=" + str(n.errors).encode() + rb"}(?![^ ])"))
-            for n in notices
-        ]
+        pattern = lambda n: rb"(?<![^ ])(?:" + regex.escape(n.phrase.encode(), literal_spaces=True) + rb"){e<=" + str(n.errors).encode() + rb"}(?![^ ])"
+        self.notices = [(n, [(p.encode(), at) for p, at in seeds(n.phrase, n.errors)], regex.compile(pattern(n)), regex.compile(rb"(?b)" + pattern(n))) for n in notices]
 
     @staticmethod
     def flatten(text: str | None) -> tuple[list[bytes], bytes]:
@@ -96,22 +95,45 @@ class Scanner:
                 merged.append((a, b))
         return merged
 
+    @staticmethod
+    def edited(flat: bytes, a: int, b: int, reach: int, first, best) -> list:
+        """Matches with errors in [a, b), none of which overlaps a better one; a match has at most ``reach`` bytes.
+
+        From the leftmost match the best one is sought near by, so that a window's search takes time in proportion to it.
+        """
+        out, parts = [], [(a, b)]
+        while parts:
+            a, b = parts.pop()
+            m = first.search(flat, a, b) if a < b else None
+            if not m:
+                continue
+            start, found = m.start(), None
+            while m and (found is None or sum(m.fuzzy_counts) < sum(found.fuzzy_counts)):
+                upto = flat.find(b" ", min(b, m.end() + reach), b)
+                found, m = m, best.search(flat, start, b if upto < 0 else upto)
+            out.append(found)
+            parts += [(found.end() + 1, b), (start, found.start() - 1)]
+        return out
+
     def scan(self, flat: bytes) -> list[Find]:
         out = []
-        for notice, pieces, pattern in self.notices:
+        for notice, pieces, first, best in self.notices:
             phrase = notice.phrase.encode()
             for a, b in self.windows(flat, pieces, len(phrase), notice.errors):
                 # exact places first: they count even where they overlap; the rest of the window is matched with errors
-                exact, i = [], flat.find(phrase, a, b)
+                rest, i = [], flat.find(phrase, a, b)
                 while i >= 0:
                     end = i + len(phrase)
                     if (i == 0 or flat[i - 1] == 32) and (end == len(flat) or flat[end] == 32):
-                        exact.append(Find(notice.label, i, end, 0, True, 1.0))
+                        out.append(Find(notice.label, i, end, 0, True, 1.0))
+                        rest.append((a, i - 1))
+                        a = end + 1
                     i = flat.find(phrase, i + 1, b)
-                out += exact
-                if not exact and (m := pattern.search(flat, a, b)):
-                    edits = sum(m.fuzzy_counts)
-                    out.append(Find(notice.label, m.start(), m.end(), edits, False, max(0.0, 1 - edits / len(phrase))))
+                for lo, hi in [*rest, (a, b)]:
+                    if any(flat.find(p, max(lo, 0), hi) >= 0 for p, _ in pieces if lo < hi):
+                        for m in self.edited(flat, lo, hi, len(phrase) + notice.errors, first, best):
+                            edits = sum(m.fuzzy_counts)
+                            out.append(Find(notice.label, m.start(), m.end(), edits, False, max(0.0, 1 - edits / len(phrase))))
         return out
 
 

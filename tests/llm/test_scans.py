@@ -113,3 +113,22 @@ def test_toxicity_on_held_out_rows(spark, edge_docs, no_docs):
     assert out.count() == edge_docs.count() and out.where("severity.toxic").count() == 0
     assert toxicity.train(docs, labels.limit(0)).weights == {}
     assert toxicity.with_severity(no_docs, model).count() == 0
+
+
+def test_license_lists_give_every_span(spark):
+    docs = spark.createDataFrame(
+        [
+            (1, "mit licence mit licens mit license"),
+            (2, "mit license, mit licens; mit license, mit licence"),
+            (3, "generel public license x general publik licence general public license general pubic license"),
+            (4, "bsd licence " * 3000),
+            (5, None),
+        ],
+        "doc_id long, text string",
+    )
+    got = {r.doc_id: [(f.label, f.word, f.words, f.edits, f.base) for f in r.finds] for r in licenses.scan(docs).collect()}
+    assert got[1] == [("mit", 0, 2, 1, False), ("mit", 2, 2, 1, False), ("mit", 4, 2, 0, True)]
+    assert got[2] == [("mit", 0, 2, 0, True), ("mit", 2, 2, 1, False), ("mit", 4, 2, 0, True), ("mit", 6, 2, 1, False)]
+    assert got[3] == [("gpl", 0, 3, 1, False), ("gpl", 4, 3, 2, False), ("gpl", 7, 3, 0, True), ("gpl", 10, 3, 1, False)]
+    assert got[4] == [("bsd", 2 * i, 2, 1, False) for i in range(3000)]
+    assert got[5] == []
