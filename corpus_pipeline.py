@@ -24,10 +24,20 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the one of smallest id stays, once if rows repeat it; rows without an id stay."""
-    ids = jaccard.join(docs, NEAR).where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """Of near duplicates the one of smallest id stays, once if rows repeat it; unlike texts under one id are documents of
+    their own; rows without an id stay."""
+    rows = written(jaccard.placed(docs, NEAR).where("doc_id is not null"), "components")
+    again = written(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated-ids")
+    first = rows.where("component_id = doc_id").select(F.col("doc_id").alias("__id"), "sig", "root")
+    same = F.col("doc_id") == F.col("__id")
+    once = docs.join(first.select("__id").join(again, "__id", "left_anti"), same, "left_semi")
+    # an id of several rows tells neither its texts nor their components apart, their sets do
+    kept = first.where("sig is not null").groupBy("__id", "root").agg(F.min("sig").alias("__kept")).join(again, "__id", "left_semi")
+    text = F.col("text").cast("string")
+    several = docs.join(again, same, "left_semi").withColumn("__sig", jaccard.signatures(NEAR)(text))
+    alike = several.join(kept, same & (F.col("__sig") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__sig"])
+    wordless = several.where("__sig is null").withColumn("__text", F.coalesce(text, F.lit(""))).dropDuplicates(["doc_id", "__text"])
+    return once.unionByName(alike.drop("__sig")).unionByName(wordless.drop("__sig", "__text")).unionByName(docs.where("doc_id is null"))
 
 
 def repeated_strings_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

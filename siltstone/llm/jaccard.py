@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Cache, bounded_batches, drop_written, kept, map_rows, written
+from siltstone.llm.common import Cache, bounded_batches, drop_written, kept, map_column, map_rows, written
 from siltstone.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -169,6 +169,21 @@ def texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def signatures(p: Params):
+    """A column function: the sig of each text as ``node_rows`` has it."""
+
+    def make():
+        memo = word_memo()
+
+        def work(texts: list) -> pa.Array:
+            sets = [shingle_set(t, p.size, memo) for t in texts]
+            return pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
+
+        return work
+
+    return map_column(make, "long")
+
+
 def node_rows(src: DataFrame, p: Params) -> DataFrame:
     """(doc_id, n, sig) of each row."""
 
@@ -371,6 +386,12 @@ def links_between(groups: DataFrame, keys: DataFrame, roots: DataFrame, p: Param
 
 def join(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    return placed(docs, params, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def placed(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``join`` with sig (the row's set, null without shingles) and root (its component, also where rows of other
+    components have the same ids)."""
     p, spark = params, bounded_batches(docs.sparkSession)
     src = texts(docs, doc_id, text)
     nodes = written(node_rows(src, p), "nodes")
@@ -390,7 +411,7 @@ def join(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", tex
     bounded_batches(spark)
     least = nodes.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     placed = least.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
-    out = nodes.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "root", "component_id")
+    out = nodes.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "sig", "root")
     drop_written(spark, keys, groups, sets)
     return out

@@ -128,3 +128,22 @@ def test_short_passages_of_over_50_words_go(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert [got[i].text for i in range(len(want))] == want and len(got) == len(rows)
     assert all(got[i].n_chars == len(t) and got[i].sig == "x" for i, t in enumerate(want))
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e = (text(150) for _ in range(5))
+    near = lambda t, k: " ".join([*t.split()[:k], "other", *t.split()[k + 1 :]])
+    gone = [(9, near(a, 70)), (7, near(b, 70)), (5, a), (5, near(b, 30)), (5, "..."), (3, near(d, 20)), (12, d), (8, e)]
+    stay = [(5, c), (6, near(c, 5)[:300]), (3, d), (4, e), (5, ""), (10, "one two"), (10, "three four"), (11, None), (11, "?"), (None, e), (None, e)]
+    docs = spark.createDataFrame([*gone[:2], *stay, *gone[3:4], (5, a), *gone[5:], (5, a), (5, b), (5, "..."), (5, ""), (8, near(e, 40)), (11, None)], "doc_id long, text string").repartition(3)
+    for frame in (docs, docs.withColumn("doc_id", docs.doc_id.cast("int"))):
+        out = corpus_pipeline.one_of_each_group_stays(spark, frame, "")
+        assert out.columns == frame.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        one = lambda some: len([x for x in got if x in some])
+        assert one([(5, a)]) == 1 and one([(5, b), (5, near(b, 30))]) == 1 and one([(5, "...")]) == 1
+        assert one([(3, d), (3, near(d, 20))]) == 1 and one([(11, None)]) + one([(11, "")]) == 1
+        rest = [x for x in stay if x not in [(3, d), (11, None)]]
+        assert all(x in got for x in rest) and len(got) == len(rest) + 5
