@@ -1,16 +1,21 @@
 """N-gram Jaccard join by a token-group matrix (operator 9).
 
-A document's set holds 64-bit hashes of its distinct word shingles. Equal sets are one node. The join:
-
-1. Pigeonhole keys. Sets in reach of each other (by size) differ in at most d elements. The hash space is cut into more than
-   d segments, so some segment that isn't empty in the one set is equal in both; its content's hash is a key. Sets with too
-   few segments in use emit keys of empty segments too, so no pair is lost.
-2. Groups. Nodes that share a key get the smallest node there as label. Labels of more nodes than a group holds are salted
-   by the node's hash; sorted by label and salt, nodes are cut into groups of bounded size. A group's matrix has a row for each set and a column for each token of the group's union.
-3. Each group is opened on itself: the matrix times its transpose has all intersections. Links go to a spanning forest.
+A document's set holds 64-bit hashes of its distinct word shingles; equal sets (by a 128-bit hash) are one node. One pass over
+the texts writes the sets; everything after it works on that table.
+
+1. Token order. All sets are counted in windows of ``window_tokens`` tokens; what stands in several sets of a window is
+   frequent. Tokens are ordered by that count, then by hash: any order that all sets share serves, a rare-first one names the
+   fewest candidates. The table of frequent tokens has at most ``order_tokens`` rows, the most frequent ones.
+2. Prefixes. Linked sets have at least ``ceil(n * num / den)`` tokens in common, so they share one of the first
+   ``n - ceil(n * num / den) + 1`` tokens of each in that order. Tokens that are such keys of two or more sets are shared keys.
+3. Groups. Sets that share a key get one label. Labels of more sets than a group holds are salted; sorted by label and salt,
+   sets are cut into groups of bounded size. A group is stored as its token union and, for each set, the columns it has there.
+4. Each group is opened on itself: the matrix times its transpose has all intersections. Links go to a spanning forest.
    Heads of the components that arise are grouped and opened once more, which merges families larger than a group.
-4. Keys that still hold several components name pairs of groups. For such a pair the overlap of each query set with the
-   other group's token union bounds every intersection; only queries whose bound reaches the threshold open the group.
+5. Keys that still hold several components name queries for other groups. A query is only sent to a group where it isn't
+   ruled out by sizes and parity sketches: bits that each token of a set flips, so that sets differ in at least as many tokens
+   as their sketches in bits. In the group, the overlap of the query with the token union bounds every intersection; only
+   groups whose bound reaches the threshold are opened.
 
 The result needs components, not all links, so pairs within a component are not looked at again: no link between different
 components is lost, and large families of copies cost their size, not its square.
@@ -23,6 +28,7 @@ other, but never names a component; an empty table gives no rows; extra columns
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +50,21 @@ class Params:
     den: int = 100
     group_rows: int = 256
     group_tokens: int = 65_536
-    bloom_bits: int = 1 << 23
+    window_tokens: int = 1 << 20
+    order_tokens: int = 1 << 20
+    block_rows: int = 2048  # sets of one key that are compared by sketches at once
+    group_queries: int = 1024  # queries that one opening of a group serves
+    broadcast_rows: int = 1 << 19
+
+    def prefix(self, n):
+        return n + 1 - -(-n * self.num // self.den)
+
+    def apart(self, sizes):
+        """Whether so many differing tokens are allowed: differences * apart(...)[0] <= apart(...)[1]."""
+        return self.den + self.num, sizes * (self.den - self.num)
+
+    def sketch_bits(self, n: int) -> int:
+        return max(256, 1 << (8 * n * (self.den - self.num) // (self.den + self.num)).bit_length())
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -57,112 +77,34 @@ def word_memo() -> Cache:
     return kept(("jaccard",), lambda: Cache(xxhash.xxh64_intdigest))
 
 
-def shingle_set(text: str | None, size: int, memo: Cache) -> np.ndarray:
-    """Sorted distinct hashes of the text's word shingles; words are parted by ASCII white space, A-Z lower-cased."""
-    words = text.encode().translate(LOWER).split() if text else []
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - size + 1) if len(h) else 0
-    out = np.zeros(n, np.uint64)
-    for i in range(min(size, len(h))):
-        out = mix(out * ODD[0] + h[i : i + n] + ODD[1])
-    return np.unique(out)
-
-
-def signature(s: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), seed=len(s)))))
-
-
-class Keys:
-    """Pigeonhole keys of a set. Size classes are a factor den/num wide; class j's keys serve the classes j - 1 and j."""
-
-    def __init__(self, p: Params):
-        self.p, self.tops, self.cuts = p, [1], {}
-
-    def differences(self, n: int) -> int:
-        """The most elements in which a set of n elements can differ from a linked one of at most its reach."""
-        return n * (self.p.den - self.p.num) // self.p.num
-
-    def class_of(self, n: int) -> int:
-        while self.tops[-1] < n:
-            self.tops.append((self.tops[-1] + 1) * self.p.den // self.p.num)
-        return int(np.searchsorted(self.tops, n))
-
-    def segments(self, j: int) -> np.ndarray:
-        """First hashes of class j's segments, a quarter more than its largest number of differences."""
-        if j not in self.cuts:
-            while len(self.tops) <= j:
-                self.tops.append((self.tops[-1] + 1) * self.p.den // self.p.num)
-            most = 2 * self.tops[j] * (self.p.den - self.p.num) // (self.p.den + self.p.num)
-            m = 1 + most if most < 2 else 1 + most + most // 4
-            self.cuts[j] = np.array([(k << 64) // m for k in range(m)], dtype=np.uint64)
-        return self.cuts[j]
-
-    def of(self, s: np.ndarray) -> np.ndarray:
-        if not len(s):
-            return np.zeros(0, np.int64)
-        c, sums = self.class_of(len(s)), np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))])
-        out = []
-        for j in (c, c + 1):
-            cuts = self.segments(j)
-            at = np.append(np.searchsorted(s, cuts), len(s))
-            used = at[1:] > at[:-1]
-            content = sums[at[1:]] - sums[at[:-1]]
-            name = mix(np.arange(len(cuts), dtype=np.uint64) * ODD[2] + np.array([j], np.uint64) * ODD[1])
-            if int(used.sum()) <= self.differences(len(s)):
-                used[:] = True
-            out.append(mix(content ^ name)[used])
-        return np.concatenate(out).view(np.int64)
-
-
-def open_group(sigs: list[int], sets: list[np.ndarray], p: Params) -> list[tuple[int, int]]:
-    """Links within a group, to a spanning forest: (smallest node of the part, other node)."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times > 1  # tokens of one set alone add to no intersection
-    row, used = np.repeat(np.arange(len(sets)), sizes), shared[column]
-    matrix = np.zeros((len(sets), int(shared.sum())), np.float32)
-    matrix[row[used], (np.cumsum(shared) - 1)[column[used]]] = 1
-    common = np.rint(matrix @ matrix.T).astype(np.int64)
-    linked = p.den * common >= p.num * (sizes[:, None] + sizes[None, :] - common)
-    return forest(sigs, *np.nonzero(np.triu(linked, 1)))
-
-
-def forest(sigs: list[int], left, right) -> list[tuple[int, int]]:
-    root = list(range(len(sigs)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [(sigs[find(i)], sigs[i]) for i in range(len(sigs)) if find(i) != i]
-
-
-def open_pair(a: tuple, b: tuple, p: Params) -> list[tuple[int, int]]:
-    """Links between two groups of (sigs, comps, sets); the union bound chooses the queries that open the other group."""
-    union = np.unique(np.concatenate(b[2]))
-    out = []
-    column = np.concatenate([np.searchsorted(union, s) for s in b[2]])
-    sizes = np.array([len(s) for s in b[2]], np.int64)
-    matrix = None
-    for sig, comp, s in zip(*a, strict=True):
-        at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-        at = at[union[at] == s]
-        if p.den * len(at) < p.num * len(s):  # no set of the group can reach the threshold
-            continue
-        if matrix is None:
-            matrix = np.zeros((len(sizes), len(union)), np.uint8)
-            matrix[np.repeat(np.arange(len(sizes)), sizes), column] = 1
-        common = matrix[:, at].sum(1, dtype=np.int64)
-        for k in np.flatnonzero(p.den * common >= p.num * (len(s) + sizes - common)).tolist():
-            if b[1][k] != comp:
-                out.append((sig, b[0][k]))
-    return out
+def shingle_sets(texts: list[str | None], size: int, memo: Cache) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its word shingles; words are parted by ASCII white space, A-Z lower-cased."""
+    words = [t.encode().translate(LOWER).split() if t else [] for t in texts]
+    ends = np.cumsum([len(w) for w in words]).tolist()
+    h = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.uint64, ends[-1] if ends else 0)
+    out = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for i in range(size):
+        out = mix(out * ODD[0] + h[i : i + len(out)] + ODD[1])
+    sets, at = [], 0
+    for end in ends:
+        if end - at >= size:
+            s = np.sort(out[at : end - size + 1])
+            keep = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            sets.append(s[keep])
+        elif end > at:
+            s = np.zeros(1, np.uint64)
+            for i in range(at, end):
+                s = mix(s * ODD[0] + h[i] + ODD[1])
+            sets.append(s)
+        else:
+            sets.append(out[:0])
+        at = end
+    return sets
+
+
+def signature(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes(), seed=len(s))
 
 
 def texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -170,148 +112,155 @@ def texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def signatures(p: Params):
-    """A column function: the sig of each text as ``node_rows`` has it."""
+    """A column function: the sig of each text as ``set_rows`` has it."""
 
     def make():
         memo = word_memo()
 
         def work(texts: list) -> pa.Array:
-            sets = [shingle_set(t, p.size, memo) for t in texts]
-            return pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
+            return pa.array([signature(s) if len(s) else None for s in shingle_sets(texts, p.size, memo)], pa.binary())
 
         return work
 
-    return map_column(make, "long")
+    return map_column(make, "binary")
 
 
-def node_rows(src: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, n, sig) of each row."""
+SETS = "doc_id long, n long, sig binary, tokens binary, heavy binary"
 
-    def make():
-        memo = word_memo()
 
-        def work(batch: pa.RecordBatch):
-            sets = [shingle_set(t, p.size, memo) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "sig"])
+def set_rows(src: DataFrame, p: Params) -> DataFrame:
+    """A row (doc_id, n, sig, tokens) for each text, tokens null where the task has given that set before; and rows without n,
+    whose ``heavy`` has the tokens and counts of those that stand in three or more sets of a window."""
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    names = ["doc_id", "n", "sig", "tokens", "heavy"]
 
-        return work
+    def heavy(window: list[np.ndarray]) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(window), return_counts=True)
+        often = count >= 3
+        blob = token[often].tobytes() + count[often].astype("<u8").tobytes()
+        return pa.record_batch([pa.array([x], k) for x, k in zip((None, None, None, None, blob), kinds, strict=True)], names)
 
-    return map_rows(src, make, "doc_id long, n long, sig long")
+    def run(batches):
+        memo, seen, window, held = word_memo(), set(), [], 0
+        for batch in batches:
+            for part in range(0, batch.num_rows, 128):
+                some = batch.slice(part, 128)
+                rows = []
+                for s in shingle_sets(some.column(1).to_pylist(), p.size, memo):
+                    sig = tokens = None
+                    if len(s):
+                        sig = signature(s)
+                        if sig not in seen:
+                            if len(seen) >= 100_000:
+                                seen.clear()
+                            seen.add(sig)
+                            tokens = s.tobytes()
+                            window.append(s)
+                            held += len(s)
+                    rows.append((len(s), sig, tokens, None))
+                    if held >= p.window_tokens:
+                        yield heavy(window)
+                        window, held = [], 0
+                cols = zip(*rows, strict=True)
+                yield pa.record_batch([some.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], names)
+        if window:
+            yield heavy(window)
+
+    return src.mapInArrow(run, SETS)
+
+
+def token_order(sets: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted frequent tokens, their counts): at most ``order_tokens``, the most frequent."""
+
+    def unpack_(batches):
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                both = np.frombuffer(blob, np.int64).reshape(2, -1)
+                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["token", "times"])
+
+    rows = sets.where("heavy is not null").select("heavy").mapInArrow(unpack_, "token long, times long")
+    counted = written(rows.groupBy("token").agg(F.sum("times").alias("times")), "frequent")
+    by_size = counted.groupBy(F.floor(F.log2("times") * 4).cast("int").alias("size")).count().collect()  # a few hundred rows
+    least, total = 0, 0
+    for size, n in sorted(map(tuple, by_size), reverse=True):
+        total += n
+        if total > p.order_tokens:
+            least = size + 1
+            break
+    got = counted.where(F.floor(F.log2("times") * 4) >= least).toArrow()
+    drop_written(sets.sparkSession, counted)
+    token, times = (got.column(i).to_numpy().astype(np.uint64) for i in (0, 1))
+    by = np.argsort(token)
+    return token[by], times[by]
+
+
+def prefixes(sets: list[np.ndarray], order: tuple[np.ndarray, np.ndarray], p: Params) -> list[np.ndarray]:
+    """The keys of each set: its first tokens by (count, hash)."""
+    token, times = order
+    every = np.concatenate(sets)
+    weight = np.zeros(len(every), np.uint64)
+    if len(token):
+        at = np.minimum(np.searchsorted(token, every), len(token) - 1)
+        weight = np.where(token[at] == every, times[at], weight)
+    out, start = [], 0
+    for s in sets:
+        w = weight[start : start + len(s)]
+        k = p.prefix(len(s))
+        out.append(s[np.sort(np.argsort(w, kind="stable")[:k])] if w.any() else s[:k])
+        start += len(s)
+    return out
 
 
-def key_rows(src: DataFrame, p: Params) -> DataFrame:
-    """(key, sig) for each distinct set of a task's batch and each of its keys."""
+def key_rows(sets: DataFrame, order, p: Params) -> DataFrame:
+    """(key, node, sig) for each set and each of its keys; node is the first half of sig."""
 
     def make():
-        memo, keys = word_memo(), Keys(p)
-
         def work(batch: pa.RecordBatch):
-            seen: dict[int, np.ndarray] = {}
-            for t in batch.column(1).to_pylist():
-                s = shingle_set(t, p.size, memo)
-                if len(s) and (sig := signature(s)) not in seen:
-                    seen[sig] = keys.of(s)
-            for part in range(0, len(seen), 64):
-                some = list(seen)[part : part + 64]
-                lens = [len(seen[x]) for x in some]
-                yield pa.record_batch([pa.array(np.concatenate([seen[x] for x in some])), pa.array(np.repeat(np.array(some, np.int64), lens))], ["key", "sig"])
+            for part in range(0, batch.num_rows, 64):
+                some = batch.slice(part, 64)
+                sigs = some.column(0).to_pylist()
+                keys = prefixes([np.frombuffer(b, np.uint64) for b in some.column(1).to_pylist()], order.value, p)
+                lens = [len(k) for k in keys]
+                node = np.repeat(np.array([int.from_bytes(s[:8], "big", signed=True) for s in sigs], np.int64), lens)
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), some.column(0).take(pa.array(np.repeat(np.arange(len(sigs)), lens)))], ["key", "node", "sig"])
 
         return work
 
-    return map_rows(src, make, "key long, sig long")
+    return map_rows(sets.where("tokens is not null").select("sig", "tokens"), make, "key long, node long, sig binary")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """(key, sig, label) for keys with at least two nodes; the label is the key's smallest. Streams over sorted runs."""
+    """(key, sig, label) for keys of two or more sets; the label is the key's least node. Counted before the shuffle, so that a
+    key of many sets is as cheap as others; the join back splits it."""
+    counted = rows.groupBy("key").agg(F.min("node").alias("label"), F.max("node").alias("most")).where("label < most")
+    return rows.select("key", "sig").join(counted.select("key", "label"), "key").distinct()
 
-    def run(batches):
-        key = sig = label = None
-        held = False
-        for batch in batches:
-            out = []
-            k, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            # rows whose neighbours have another key need no look, but for the batch's first and last
-            same = k[1:] == k[:-1]
-            busy = np.zeros(len(k), bool)
-            busy[:1] = busy[-1:] = True
-            busy[1:] |= same
-            busy[:-1] |= same
-            for i in np.flatnonzero(busy).tolist():
-                ki, si = int(k[i]), int(s[i])
-                if ki != key:
-                    key, sig, label, held = ki, si, si, True
-                elif si != sig:
-                    if held:
-                        out.append((key, label, label))
-                        held = False
-                    out.append((key, si, label))
-                    sig = si
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["key", "sig", "label"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(run, "key long, sig long, label long")
-
-
-def node_sets(src: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """(sig, n, tokens binary, label) of the wanted (sig, label), from one more pass over the texts."""
-    shared = src.sparkSession.sparkContext.broadcast(bloom(wanted, p.bloom_bits))
-    return written(sets_of(src, p, shared).dropDuplicates(["sig"]).join(wanted, "sig"), "sets")
-
-
-def bloom(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each node's remainder; its size is fixed, more nodes only let more others through."""
-    at = F.pmod(F.col("sig"), F.lit(bits))
-    words = (
-        nodes.select(F.floor(at / 32).cast("int").alias("w"), F.lit(1).cast("long").alias("one"), (at % 32).cast("int").alias("bit"))
-        .groupBy("w")
-        .agg(F.expr("bit_or(shiftleft(one, bit))").alias("b"))
-        .collect()
-    )
-    out = np.zeros(bits // 32, np.int64)
-    for w, b in words:
-        out[w] = b
-    return out
 
-
-def sets_of(src: DataFrame, p: Params, shared) -> DataFrame:
-    bits = p.bloom_bits
-
-    def make():
-        memo, words = word_memo(), shared.value
-
-        def work(batch: pa.RecordBatch):
-            found: dict[int, np.ndarray] = {}
-            for t in batch.column(1).to_pylist():
-                s = shingle_set(t, p.size, memo)
-                if len(s):
-                    sig = signature(s)
-                    at = sig % bits
-                    if int(words[at // 32]) >> (at % 32) & 1:
-                        found[sig] = s
-            for part in range(0, len(found), 64):
-                some = list(found)[part : part + 64]
-                yield pa.record_batch([pa.array(some, pa.int64()), pa.array([found[x].tobytes() for x in some], pa.binary())], ["sig", "tokens"])
-
-        return work
-
-    return map_rows(src, make, "sig long, tokens binary")
+def few(df: DataFrame, p: Params) -> DataFrame:
+    """Marked for broadcast where its rows are counted to be few; otherwise the engine joins by sorting."""
+    return F.broadcast(df) if df.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows else df
 
 
 def grouped(sets: DataFrame, p: Params) -> DataFrame:
-    """Rows (grp, sigs, lens, tokens): nodes sorted by label, cut into groups of bounded rows and tokens."""
+    """Rows (grp, sigs, lens, columns, tokens): sets sorted by label, cut into groups of bounded rows and tokens; tokens is the
+    group's union, columns the places of each set's tokens there."""
     from pyspark import TaskContext
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
-        sigs, blobs, size = [], [], 0
+        sigs, blobs, size, last = [], [], 0, None
 
         def done() -> pa.RecordBatch:
             lens = np.array([len(b) // 8 for b in blobs], "<i8")
-            cols = [pa.array([(part << 32) + made], pa.int64()), pa.array([sigs], pa.list_(pa.int64()))]
-            return pa.record_batch(cols + [pa.array([lens.tobytes()], pa.binary()), pa.array([b"".join(blobs)], pa.binary())], ["grp", "sigs", "lens", "tokens"])
+            union, column = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
+            cols = [pa.array([(part << 32) + made], pa.int64()), pa.array([sigs], pa.list_(pa.binary()))]
+            return pa.record_batch(cols + [pa.array([x], pa.binary()) for x in (lens.tobytes(), column.astype("<i4").tobytes(), union.tobytes())], ["grp", "sigs", "lens", "columns", "tokens"])
 
         for batch in batches:
             for sig, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if sig == last:  # the same set from another task
+                    continue
+                last = sig
                 if sigs and (len(sigs) >= p.group_rows or size + len(blob) // 8 > p.group_tokens):
                     yield done()
                     sigs, blobs, size, made = [], [], 0, made + 1
@@ -322,66 +271,187 @@ def grouped(sets: DataFrame, p: Params) -> DataFrame:
             yield done()
 
     dealt = salted(sets, p).repartition("label", "salt").sortWithinPartitions("label", "salt", "sig").select("sig", "tokens")
-    return written(dealt.mapInArrow(run, "grp long, sigs array<long>, lens binary, tokens binary"), "groups")
+    return written(dealt.mapInArrow(run, "grp long, sigs array<binary>, lens binary, columns binary, tokens binary"), "groups")
 
 
 def salted(sets: DataFrame, p: Params) -> DataFrame:
-    """(sig, tokens, label, salt): a label with more nodes than a group's rows is dealt over as many salts as groups."""
+    """(sig, tokens, label, salt): a label with more sets than a group's rows is dealt over as many salts as groups."""
     large = sets.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > p.group_rows)
-    if large.limit(10_001).count() <= 10_000:  # rows of two longs
-        large = F.broadcast(large)
     salts = F.ceil(F.coalesce("n", F.lit(1)) / p.group_rows)
-    return sets.join(large, "label", "left").select("sig", "tokens", "label", F.pmod(F.xxhash64("sig"), salts).alias("salt"))
+    return sets.join(few(large, p), "label", "left").select("sig", "tokens", "label", F.pmod(F.xxhash64("sig"), salts).alias("salt"))
 
 
-def unpack(lens: bytes, tokens: bytes) -> list[np.ndarray]:
+def unpack(lens: bytes, columns: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sizes of the sets, the columns of each)."""
     n = np.frombuffer(lens, "<i8")
-    return np.split(np.frombuffer(tokens, np.uint64), np.cumsum(n)[:-1])
+    return n, np.split(np.frombuffer(columns, "<i4"), np.cumsum(n)[:-1])
+
+
+def open_group(sigs: list[bytes], sizes: np.ndarray, columns: np.ndarray, p: Params) -> list[tuple[bytes, bytes]]:
+    """Links within a group, to a spanning forest: (least node of the part, other node)."""
+    shared = np.bincount(columns) > 1  # tokens of one set alone add to no intersection
+    row, used = np.repeat(np.arange(len(sigs)), sizes), shared[columns]
+    matrix = np.zeros((len(sigs), int(shared.sum())), np.float32)
+    matrix[row[used], (np.cumsum(shared) - 1)[columns[used]]] = 1
+    common = np.rint(matrix @ matrix.T).astype(np.int64)
+    linked = p.den * common >= p.num * (sizes[:, None] + sizes[None, :] - common)
+    return forest(sigs, *np.nonzero(np.triu(linked, 1)))
+
+
+def forest(sigs: list[bytes], left, right) -> list[tuple[bytes, bytes]]:
+    root = list(range(len(sigs)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return [(sigs[find(i)], sigs[i]) for i in range(len(sigs)) if find(i) != i]
+
+
+def link_batch(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
 
 
 def links_within(groups: DataFrame, p: Params) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch):
-            links: list[tuple[int, int]] = []
-            for sigs, lens, tokens in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            links: list[tuple[bytes, bytes]] = []
+            for sigs, lens, columns in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if len(sigs) > 1:
-                    links += open_group(sigs, unpack(lens, tokens), p)
-            yield pa.record_batch([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+                    links += open_group(sigs, np.frombuffer(lens, "<i8"), np.frombuffer(columns, "<i4"), p)
+            yield link_batch(links)
 
         return work
 
-    return map_rows(groups.select("sigs", "lens", "tokens"), make, "a long, b long")
-
-
-def links_between(groups: DataFrame, keys: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
-    """Links between different components, over pairs of groups that share a key with several components."""
-    member = groups.select("grp", F.explode("sigs").alias("sig")).join(roots, F.col("sig") == F.col("node"), "left").select("sig", "grp", F.coalesce("root", "sig").alias("comp"))
-    placed = keys.select("key", "sig").join(member, "sig")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    at = written(placed.join(mixed, "key").groupBy("key", "grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "mixed")
-    pairs = (
-        at.alias("x")
-        .join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.grp") < F.col("y.grp")))
-        .where("not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)")
-        .select(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb"))
-        .distinct()
-    )
-    # each group's rows with their components, in the group's order
-    comp = member.groupBy("grp").agg(F.map_from_entries(F.collect_set(F.struct("sig", "comp"))).alias("comp"))
-    full = groups.join(comp, "grp").select("grp", "sigs", F.transform("sigs", lambda s: F.element_at("comp", s)).alias("comps"), "lens", "tokens")
-    side = lambda x: full.select(F.col("grp").alias(f"g{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("sigs", "comps", "lens", "tokens")])
-    both = pairs.join(side("a"), "ga").join(side("b"), "gb").drop("ga", "gb")
+    return map_rows(groups.select("sigs", "lens", "columns"), make, "a binary, b binary")
+
+
+def sketch(s: np.ndarray, bits: int) -> bytes:
+    """A bit for each token's remainder, flipped by every token that has it."""
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def members(groups: DataFrame, p: Params) -> DataFrame:
+    """(sig, grp, n, sketch) of each set of each group."""
 
     def make():
         def work(batch: pa.RecordBatch):
-            links: list[tuple[int, int]] = []
-            for sa, ca, la, ta, sb, cb, lb, tb in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                links += open_pair((sa, ca, unpack(la, ta)), (sb, cb, unpack(lb, tb)), p)
-            yield pa.record_batch([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+            for grp, sigs, lens, columns, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                union, (sizes, cols) = np.frombuffer(tokens, np.uint64), unpack(lens, columns)
+                sketches = [sketch(union[c], p.sketch_bits(len(c))) for c in cols]
+                yield pa.record_batch([pa.array(sigs, pa.binary()), pa.array([grp] * len(sigs), pa.int64()), pa.array(sizes), pa.array(sketches, pa.binary())], ["sig", "grp", "n", "sketch"])
 
         return work
 
-    return map_rows(both, make, "a long, b long")
+    return map_rows(groups, make, "sig binary, grp long, n long, sketch binary")
+
+
+def near_rows(n: np.ndarray, comp: np.ndarray, sketches: list[np.ndarray], p: Params):
+    """Yields pairs (i, j) of unlike components whose sizes and sketches allow a link."""
+    width = np.array([len(s) for s in sketches])
+    for w in np.unique(width).tolist():
+        own, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        a = np.stack([sketches[i] for i in own])
+        folded = [sketches[i][:w] ^ sketches[i][w:] for i in wide]
+        b = np.concatenate([a, np.stack(folded)]) if folded else a
+        at = np.concatenate([own, wide])
+        for k, i in enumerate(own.tolist()):
+            j = at[k + 1 :]
+            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            may = np.flatnonzero((comp[j] != comp[i]) & (p.den * lo >= p.num * hi))
+            if not len(may):
+                continue
+            apart = np.bitwise_count(b[k + 1 + may] ^ a[k]).sum(1, dtype=np.int64)
+            much, allowed = p.apart(n[i] + n[j[may]])
+            for x in j[may[apart * much <= allowed]].tolist():
+                yield i, x
+
+
+def candidates(placed: DataFrame, p: Params) -> DataFrame:
+    """(sig, comp, grp): queries and the groups they are sent to, from keys that hold several components. Keys of many sets are
+    dealt by pairs of blocks, so that no task holds more than two blocks of a key."""
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / p.block_rows).alias("blocks")).where("lo <> hi").select("key", "blocks")
+    own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = placed.join(mixed, "key").withColumn("own", own).withColumn("other", other)
+    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+
+    def pairs(key_rows_: list[tuple]):
+        sig, grp, comp, n, sketches, own, x, y = zip(*key_rows_, strict=True)
+        names: dict[bytes, int] = {}
+        comp_ = np.array([names.setdefault(c, len(names)) for c in comp])
+        for i, j in near_rows(np.array(n, np.int64), comp_, [np.frombuffer(s, np.uint64) for s in sketches], p):
+            if grp[i] == grp[j] or own[i] == own[j] and x[i] != y[i]:  # looked at in their group; to be looked at in their block
+                continue
+            a, b = (i, j) if (grp[i], sig[i]) < (grp[j], sig[j]) else (j, i)
+            yield sig[a], comp[a], grp[b]
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            out: set[tuple] = set()
+            for k, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, x, y) != now:
+                    out.update(pairs(held) if len(held) > 1 else ())
+                    now, held = (k, x, y), []
+                held.append((*row, x, y))
+            yield pairs_batch(out)
+        yield pairs_batch(pairs(held) if len(held) > 1 else ())
+
+    def pairs_batch(found) -> pa.RecordBatch:
+        cols = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.record_batch([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], ["sig", "comp", "grp"])
+
+    cols = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "sig", "grp", "comp", "n", "sketch", "own")
+    return cols.mapInArrow(run, "sig binary, comp binary, grp long").distinct()
+
+
+def links_between(groups: DataFrame, sets: DataFrame, keys: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
+    """Links between different components: queries meet the groups they are sent to."""
+    member = written(members(groups, p).join(roots, F.col("sig") == F.col("node"), "left").select("sig", "grp", "n", "sketch", F.coalesce("root", "sig").alias("comp")), "members")
+    wanted = written(candidates(keys.select("key", "sig").join(member, "sig"), p), "candidates")
+    # large groups of queries are dealt over salts, the group goes to each of them
+    salts = wanted.groupBy("grp").agg(F.ceil(F.count("*") / p.group_queries).alias("salts"))
+    queries = wanted.join(salts, "grp").withColumn("salt", F.pmod(F.xxhash64("sig"), "salts")).select("grp", "salt", "sig", "comp")
+    queries = queries.join(sets.select("sig", "tokens"), "sig").groupBy("grp", "salt")
+    comps = member.groupBy("grp").agg(F.collect_list(F.struct("sig", "comp")).alias("comps"))  # as many as a group has rows
+    opened = groups.join(salts, "grp").join(comps, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+
+    def run(asked: pa.Table, group: pa.Table) -> pa.Table:
+        links: list[tuple[bytes, bytes]] = []
+        if asked.num_rows and group.num_rows:
+            row = group.slice(0, 1).to_pylist()[0]
+            comp = {x["sig"]: x["comp"] for x in row["comps"]}
+            query = zip(*(asked.column(c).to_pylist() for c in ("sig", "comp", "tokens")), strict=True)
+            links = open_for(query, row["sigs"], [comp[s] for s in row["sigs"]], np.frombuffer(row["lens"], "<i8"), np.frombuffer(row["columns"], "<i4"), np.frombuffer(row["tokens"], np.uint64), p)
+        return pa.Table.from_batches([link_batch(links)])
+
+    return queries.cogroup(opened.groupBy("grp", "salt")).applyInArrow(run, "a binary, b binary")
+
+
+def open_for(queries, sigs: list[bytes], comps: list[bytes], sizes: np.ndarray, columns: np.ndarray, union: np.ndarray, p: Params) -> list[tuple[bytes, bytes]]:
+    """Links of queries (sig, comp, tokens) with a group's sets of other components; the bound by the union chooses the queries
+    that open the group."""
+    matrix, out, comp_ = None, [], np.array(comps, object)
+    for sig, comp, blob in queries:
+        s = np.frombuffer(blob, np.uint64)
+        at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+        at = at[union[at] == s]
+        if p.den * len(at) < p.num * len(s):  # no set of the group can reach the threshold
+            continue
+        if matrix is None:
+            matrix = np.zeros((len(sigs), len(union)), np.uint8)
+            matrix[np.repeat(np.arange(len(sigs)), sizes), columns] = 1
+        common = matrix[:, at].sum(1, dtype=np.int64)
+        for k in np.flatnonzero((p.den * common >= p.num * (len(s) + sizes - common)) & (comp_ != comp)).tolist():
+            out.append((sig, sigs[k]))
+    return out
 
 
 def join(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -393,11 +463,13 @@ def placed(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", t
     """The rows of ``join`` with sig (the row's set, null without shingles) and root (its component, also where rows of other
     components have the same ids)."""
     p, spark = params, bounded_batches(docs.sparkSession)
-    src = texts(docs, doc_id, text)
-    nodes = written(node_rows(src, p), "nodes")
-    keys = written(shared_keys(key_rows(src, p)), "keys")
+    every = written(set_rows(texts(docs, doc_id, text), p), "sets")
+    nodes = written(every.where("n is not null").select("doc_id", "n", "sig"), "nodes")
+    order = spark.sparkContext.broadcast(token_order(every, p))
+    keys = written(shared_keys(key_rows(every, order, p)), "keys")
     wanted = written(keys.groupBy("sig").agg(F.min("label").alias("label")), "wanted")
-    sets = node_sets(src, wanted, p)
+    sets = written(every.where("tokens is not null").select("sig", "tokens").join(few(wanted, p), "sig").dropDuplicates(["sig"]), "wanted-sets")
+    drop_written(spark, every)
     groups = grouped(sets, p)
     bounded_batches(spark, 64)  # a row is a group
     first = written(links_within(groups, p), "within")
@@ -405,13 +477,11 @@ def placed(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", t
     heads = sets.join(roots, F.col("sig") == F.col("node"), "left").where("root is null or root = sig").select("sig", "tokens", "label")
     second = written(links_within(grouped(heads, p), p), "heads")
     roots = components(first.unionByName(second))
-    bounded_batches(spark, 8)  # a row is a pair of groups
-    third = written(links_between(groups, keys, roots, p), "between")
+    third = written(links_between(groups, sets, keys, roots, p), "between")
     roots = components(first.unionByName(second).unionByName(third))
     bounded_batches(spark)
+    drop_written(spark, keys, wanted, sets, groups, first, second, third)
     least = nodes.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    placed = least.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "root", "component_id")
-    out = nodes.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "sig", "root")
-    drop_written(spark, keys, groups, sets)
-    return out
+    named = least.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "root", "component_id")
+    return nodes.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "sig", "root")

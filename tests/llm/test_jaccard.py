@@ -59,18 +59,34 @@ def test_components_are_brute_force(spark, seed, params):
 
 
 @pytest.mark.parametrize("p", [jaccard.Params(), jaccard.Params(size=1, num=80), jaccard.Params(size=1, num=50)])
-def test_linked_sets_always_share_a_key(p):
+def test_linked_sets_share_a_key_and_pass_the_sketches(p):
     import numpy as np
 
-    rng, keys = np.random.default_rng(7), jaccard.Keys(p)
+    rng, linked = np.random.default_rng(7), 0
+    order = (np.sort(rng.integers(0, 400, 40).astype(np.uint64)), rng.integers(3, 9, 40).astype(np.uint64))
     for _ in range(1500):
-        n = int(rng.integers(1, 120))
-        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        a = np.unique(rng.integers(0, 400, int(rng.integers(1, 150))).astype(np.uint64))
         b = a[rng.random(len(a)) < 0.95]
-        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, 3))).astype(np.uint64)]))
+        b = np.unique(np.concatenate([b, rng.integers(0, 400, int(rng.integers(0, 3))).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
         if len(b) and p.den * both >= p.num * (len(a) + len(b) - both):
-            assert set(keys.of(a).tolist()) & set(keys.of(b).tolist()), (len(a), len(b), both)
+            linked += 1
+            x, y = jaccard.prefixes([a, b], order, p)
+            assert set(x.tolist()) & set(y.tolist()), (len(a), len(b), both)
+            flipped = [np.frombuffer(jaccard.sketch(s, p.sketch_bits(len(s))), np.uint64) for s in (a, b)]
+            assert list(jaccard.near_rows(np.array([len(a), len(b)]), np.array([0, 1]), flipped, p))
+    assert linked > 300
+
+
+def test_blocks_of_a_common_line(spark):
+    """Many unlike texts with one long common line, families among them; keys are dealt by pairs of blocks."""
+    rng, line = random.Random(4), [f"c{i}" for i in range(30)]
+    rows = []
+    for i in range(150):
+        own = [f"x{i % 60}y{k}" for k in range(rng.choice([4, 6, 8]))]
+        rows.append((i, " ".join(line + own if i % 2 else own + line)))
+    p = jaccard.Params(size=2, num=80, group_rows=8, block_rows=16, group_queries=4, order_tokens=20)
+    assert sorted(map(tuple, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), p).collect())) == sorted(brute(rows, p))
 
 
 def test_edge_cases(spark, edge_docs, edge_rows, no_docs):
