@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +34,12 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, in the folder that ``spark.checkpoint.dir`` names.
 
-    Where the setting is absent (tests), the session gets a temporary one of its own.
+    Where the setting is absent in a session of one process (tests), it gets a temporary one; a cluster must name its own.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -58,6 +62,42 @@ def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def few(df: DataFrame, rows: int = 1 << 19) -> DataFrame:
+    """Marked for broadcast where its rows (of a few longs each) are counted to be few; else the engine joins by sorting."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+class Bits:
+    """A bit for each remainder of a column of longs, shared with the tasks: ``there`` is false only where no row has the value.
+
+    Eight to sixteen bits a row, up to ``most``. Beyond that more values pass: it spares a shuffle, what is exact follows it.
+    """
+
+    def __init__(self, nodes: DataFrame, column: str, most: int = 1 << 27):
+        self.bits = min(most, max(1 << 16, 1 << (8 * nodes.count()).bit_length()))
+        at = nodes.select(F.pmod(F.col(column), F.lit(self.bits)).alias("at"))
+        words = at.select(F.floor(F.col("at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+        got = words.groupBy("w").agg(F.expr("bit_or(bit)").alias("b")).toArrow()
+        table_ = np.zeros(self.bits // 64, np.uint64)
+        table_[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+        self.shared = nodes.sparkSession.sparkContext.broadcast(table_)
+
+    def there(self, values: np.ndarray) -> np.ndarray:
+        at = values.view(np.uint64) & np.uint64(self.bits - 1)
+        return (self.shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def maybe(nodes: DataFrame, column: str):
+    """``Bits.there`` as a function of a column."""
+    bits = Bits(nodes, column)
+
+    @F.arrow_udf("boolean")
+    def there(values: pa.Array) -> pa.Array:
+        return pa.array(bits.there(values.to_numpy(zero_copy_only=False)))
+
+    return there
+
+
 def map_column(make: Callable[[], Callable[[list], pa.Array]], kind: str):
     """An Arrow column function: ``make()`` runs once for a worker's task and returns batch -> array."""
 

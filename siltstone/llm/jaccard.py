@@ -8,14 +8,16 @@ the texts writes the sets; everything after it works on that table.
    fewest candidates. The table of frequent tokens has at most ``order_tokens`` rows, the most frequent ones.
 2. Prefixes. Linked sets have at least ``ceil(n * num / den)`` tokens in common, so they share one of the first
    ``n - ceil(n * num / den) + 1`` tokens of each in that order. Tokens that are such keys of two or more sets are shared keys.
-3. Groups. Sets that share a key get one label. Labels of more sets than a group holds are salted; sorted by label and salt,
+3. Sketches. Instead of its tokens a set sends a parity sketch to its shared keys: bits that each of its tokens flips, so that
+   two sets differ in at least as many tokens as their sketches in bits. Only sets that sizes and sketches leave a partner go
+   on; nearly all sets that share no more than common lines end here.
+4. Groups. Sets near to one another get one label. Labels of more sets than a group holds are salted; sorted by label and salt,
    sets are cut into groups of bounded size. A group is stored as its token union and, for each set, the columns it has there.
-4. Each group is opened on itself: the matrix times its transpose has all intersections. Links go to a spanning forest.
+5. Each group is opened on itself: the matrix times its transpose has all intersections. Links go to a spanning forest.
    Heads of the components that arise are grouped and opened once more, which merges families larger than a group.
-5. Keys that still hold several components name queries for other groups. A query is only sent to a group where it isn't
-   ruled out by sizes and parity sketches: bits that each token of a set flips, so that sets differ in at least as many tokens
-   as their sketches in bits. In the group, the overlap of the query with the token union bounds every intersection; only
-   groups whose bound reaches the threshold are opened.
+6. Keys that still hold several components name queries for other groups, again by sizes and sketches. In the group, the
+   overlap of the query with the token union bounds every intersection; only groups whose bound reaches the threshold are
+   opened.
 
 The result needs components, not all links, so pairs within a component are not looked at again: no link between different
 components is lost, and large families of copies cost their size, not its square.
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Cache, bounded_batches, drop_written, kept, map_column, map_rows, written
+from siltstone.llm.common import Bits, Cache, bounded_batches, drop_written, few, kept, map_column, map_rows, written
 from siltstone.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -54,15 +56,10 @@ class Params:
     order_tokens: int = 1 << 20
     block_rows: int = 2048  # sets of one key that are compared by sketches at once
     group_queries: int = 1024  # queries that one opening of a group serves
-    broadcast_rows: int = 1 << 19
 
     def prefix(self, n):
         return n + 1 - -(-n * self.num // self.den)
 
-    def apart(self, sizes):
-        """Whether so many differing tokens are allowed: differences * apart(...)[0] <= apart(...)[1]."""
-        return self.den + self.num, sizes * (self.den - self.num)
-
     def sketch_bits(self, n: int) -> int:
         return max(256, 1 << (8 * n * (self.den - self.num) // (self.den + self.num)).bit_length())
 
@@ -212,33 +209,147 @@ def prefixes(sets: list[np.ndarray], order: tuple[np.ndarray, np.ndarray], p: Pa
 
 
 def key_rows(sets: DataFrame, order, p: Params) -> DataFrame:
-    """(key, node, sig) for each set and each of its keys; node is the first half of sig."""
+    """(key, node) for each set and each of its keys; node is the first half of sig."""
 
     def make():
         def work(batch: pa.RecordBatch):
-            for part in range(0, batch.num_rows, 64):
-                some = batch.slice(part, 64)
-                sigs = some.column(0).to_pylist()
-                keys = prefixes([np.frombuffer(b, np.uint64) for b in some.column(1).to_pylist()], order.value, p)
-                lens = [len(k) for k in keys]
-                node = np.repeat(np.array([int.from_bytes(s[:8], "big", signed=True) for s in sigs], np.int64), lens)
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), some.column(0).take(pa.array(np.repeat(np.arange(len(sigs)), lens)))], ["key", "node", "sig"])
+            for sigs, keys, _ in keyed(batch, order.value, p):
+                node = np.array([int.from_bytes(s[:8], "big", signed=True) for s in sigs], np.int64)
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node, [len(k) for k in keys]))], ["key", "node"])
 
         return work
 
-    return map_rows(sets.where("tokens is not null").select("sig", "tokens"), make, "key long, node long, sig binary")
+    return map_rows(sets.where("tokens is not null").select("sig", "tokens"), make, "key long, node long")
+
+
+def keyed(batch: pa.RecordBatch, order, p: Params):
+    """Parts of a batch as (sigs, keys, sets)."""
+    for part in range(0, batch.num_rows, 64):
+        some = batch.slice(part, 64)
+        sets = [np.frombuffer(b, np.uint64) for b in some.column(1).to_pylist()]
+        yield some.column(0).to_pylist(), prefixes(sets, order, p), sets
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """(key, sig, label) for keys of two or more sets; the label is the key's least node. Counted before the shuffle, so that a
-    key of many sets is as cheap as others; the join back splits it."""
-    counted = rows.groupBy("key").agg(F.min("node").alias("label"), F.max("node").alias("most")).where("label < most")
-    return rows.select("key", "sig").join(counted.select("key", "label"), "key").distinct()
+    """(key, times) of keys of two or more sets; counted before the shuffle, so that a key of many sets is as cheap as others."""
+    return rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("times")).where("a < b").select("key", "times")
 
 
-def few(df: DataFrame, p: Params) -> DataFrame:
-    """Marked for broadcast where its rows are counted to be few; otherwise the engine joins by sorting."""
-    return F.broadcast(df) if df.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows else df
+def sketch(s: np.ndarray, bits: int) -> bytes:
+    """A bit for each token's remainder, flipped by every token that has it."""
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_rows(sets: DataFrame, shared: DataFrame, order, p: Params) -> DataFrame:
+    """(key, sig, n, sketch) of the sets at their shared keys; a filter may let through keys of a single set."""
+    bits = Bits(shared, "key")
+
+    def make():
+        may = bits.there
+
+        def work(batch: pa.RecordBatch):
+            for sigs, keys, sets_ in keyed(batch, order.value, p):
+                lens = [len(k) for k in keys]
+                every = np.concatenate(keys)
+                hit = np.flatnonzero(may(every))
+                row = np.repeat(np.arange(len(sigs)), lens)[hit]
+                some = set(row.tolist())
+                sketches = [sketch(s, p.sketch_bits(len(s))) if i in some else b"" for i, s in enumerate(sets_)]
+                at = pa.array(row)
+                cols = [pa.array(every[hit].view(np.int64)), pa.array(sigs, pa.binary()).take(at), pa.array([len(s) for s in sets_], pa.int64()).take(at), pa.array(sketches, pa.binary()).take(at)]
+                yield pa.record_batch(cols, ["key", "sig", "n", "sketch"])
+
+        return work
+
+    return map_rows(sets.where("tokens is not null").select("sig", "tokens"), make, "key long, sig binary, n long, sketch binary")
+
+
+class Sketch:
+    """A set's size and sketch as a number."""
+
+    __slots__ = ("bits", "n", "value")
+
+    def __init__(self, n: int, blob: bytes):
+        self.n, self.bits, self.value = n, 8 * len(blob), int.from_bytes(blob, "little")
+
+    def near(self, other: Sketch, p: Params) -> bool:
+        """Whether sizes and sketches allow a link. Linked sets differ in at most (n + m)(den - num) / (den + num) tokens."""
+        if p.den * min(self.n, other.n) < p.num * max(self.n, other.n):
+            return False
+        a, b = (self, other) if self.bits <= other.bits else (other, self)
+        value, bits = b.value, b.bits
+        while bits > a.bits:
+            bits //= 2
+            value = (value >> bits) ^ (value & ((1 << bits) - 1))
+        return (a.value ^ value).bit_count() * (p.den + p.num) <= (self.n + other.n) * (p.den - p.num)
+
+
+def by_block(rows: DataFrame, large: DataFrame, p: Params) -> DataFrame:
+    """The rows with x and y: a key of many sets is dealt by pairs of blocks of its sets, so that no task holds more than two
+    blocks of it and any two sets of it meet."""
+    blocks = large.select("key", F.ceil(F.col("times") / p.block_rows).alias("blocks")).where("blocks > 1")
+    own = F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1)))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))
+    dealt = rows.join(few(blocks), "key", "left").withColumn("own", own).withColumn("other", other)
+    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("own", "other", "blocks")
+    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def by_key(look, names: list[str], kinds: tuple):
+    """A function over sorted batches (key, x, y, ...): ``look`` turns the rows of a key into tuples of the named columns."""
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            out: set[tuple] = set()
+            for k, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, x, y) != now:
+                    if len(held) > 1:
+                        out.update(look(held))
+                    now, held = (k, x, y), []
+                held.append(row)
+            yield made(out)
+        yield made(look(held) if len(held) > 1 else ())
+
+    def made(found) -> pa.RecordBatch:
+        cols = list(zip(*found, strict=True)) or [()] * len(names)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    return run
+
+
+def near_rows(keys: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
+    """(sig, label) of each set that has a partner at one of its keys; label is one of the sets it is near to."""
+
+    def look(held: list[list]):
+        return partners({sig: Sketch(n, blob) for sig, n, blob in held}, p)
+
+    rows = by_block(keys, shared, p).select("key", "x", "y", "sig", "n", "sketch")
+    return rows.mapInArrow(by_key(look, ["sig", "label"], (pa.binary(), pa.binary())), "sig binary, label binary").groupBy("sig").agg(F.min("label").alias("label"))
+
+
+def partners(sets: dict[bytes, Sketch], p: Params):
+    """(sig, label) for every set that is near to another; families cost their size: their sets are compared with the leaders,
+    and with all others only if no leader is near."""
+    leaders, others, alone = [], [], []
+    for sig, s in sorted(sets.items()):
+        met = next((x for x in leaders if s.near(sets[x], p)), None)
+        for x in [x for x in alone if s.near(sets[x], p)]:
+            yield x, x
+            yield sig, x
+            alone.remove(x)
+            leaders.append(x)
+            met = x
+        if met is None:
+            met = next((x for x in others if s.near(sets[x], p)), None)
+            if met is None:
+                alone.append(sig)
+                continue
+            leaders.append(sig)
+            yield sig, sig
+        else:
+            others.append(sig)
+        yield sig, met
 
 
 def grouped(sets: DataFrame, p: Params) -> DataFrame:
@@ -278,13 +389,7 @@ def salted(sets: DataFrame, p: Params) -> DataFrame:
     """(sig, tokens, label, salt): a label with more sets than a group's rows is dealt over as many salts as groups."""
     large = sets.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > p.group_rows)
     salts = F.ceil(F.coalesce("n", F.lit(1)) / p.group_rows)
-    return sets.join(few(large, p), "label", "left").select("sig", "tokens", "label", F.pmod(F.xxhash64("sig"), salts).alias("salt"))
-
-
-def unpack(lens: bytes, columns: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(sizes of the sets, the columns of each)."""
-    n = np.frombuffer(lens, "<i8")
-    return n, np.split(np.frombuffer(columns, "<i4"), np.cumsum(n)[:-1])
+    return sets.join(few(large), "label", "left").select("sig", "tokens", "label", F.pmod(F.xxhash64("sig"), salts).alias("salt"))
 
 
 def open_group(sigs: list[bytes], sizes: np.ndarray, columns: np.ndarray, p: Params) -> list[tuple[bytes, bytes]]:
@@ -332,90 +437,31 @@ def links_within(groups: DataFrame, p: Params) -> DataFrame:
     return map_rows(groups.select("sigs", "lens", "columns"), make, "a binary, b binary")
 
 
-def sketch(s: np.ndarray, bits: int) -> bytes:
-    """A bit for each token's remainder, flipped by every token that has it."""
-    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def members(groups: DataFrame, p: Params) -> DataFrame:
-    """(sig, grp, n, sketch) of each set of each group."""
+def members(groups: DataFrame) -> DataFrame:
+    """(sig, grp) of each set of each group."""
+    return groups.select(F.explode("sigs").alias("sig"), "grp")
 
-    def make():
-        def work(batch: pa.RecordBatch):
-            for grp, sigs, lens, columns, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                union, (sizes, cols) = np.frombuffer(tokens, np.uint64), unpack(lens, columns)
-                sketches = [sketch(union[c], p.sketch_bits(len(c))) for c in cols]
-                yield pa.record_batch([pa.array(sigs, pa.binary()), pa.array([grp] * len(sigs), pa.int64()), pa.array(sizes), pa.array(sketches, pa.binary())], ["sig", "grp", "n", "sketch"])
-
-        return work
-
-    return map_rows(groups, make, "sig binary, grp long, n long, sketch binary")
-
-
-def near_rows(n: np.ndarray, comp: np.ndarray, sketches: list[np.ndarray], p: Params):
-    """Yields pairs (i, j) of unlike components whose sizes and sketches allow a link."""
-    width = np.array([len(s) for s in sketches])
-    for w in np.unique(width).tolist():
-        own, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
-        a = np.stack([sketches[i] for i in own])
-        folded = [sketches[i][:w] ^ sketches[i][w:] for i in wide]
-        b = np.concatenate([a, np.stack(folded)]) if folded else a
-        at = np.concatenate([own, wide])
-        for k, i in enumerate(own.tolist()):
-            j = at[k + 1 :]
-            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            may = np.flatnonzero((comp[j] != comp[i]) & (p.den * lo >= p.num * hi))
-            if not len(may):
-                continue
-            apart = np.bitwise_count(b[k + 1 + may] ^ a[k]).sum(1, dtype=np.int64)
-            much, allowed = p.apart(n[i] + n[j[may]])
-            for x in j[may[apart * much <= allowed]].tolist():
-                yield i, x
-
-
-def candidates(placed: DataFrame, p: Params) -> DataFrame:
-    """(sig, comp, grp): queries and the groups they are sent to, from keys that hold several components. Keys of many sets are
-    dealt by pairs of blocks, so that no task holds more than two blocks of a key."""
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / p.block_rows).alias("blocks")).where("lo <> hi").select("key", "blocks")
-    own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = placed.join(mixed, "key").withColumn("own", own).withColumn("other", other)
-    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-
-    def pairs(key_rows_: list[tuple]):
-        sig, grp, comp, n, sketches, own, x, y = zip(*key_rows_, strict=True)
-        names: dict[bytes, int] = {}
-        comp_ = np.array([names.setdefault(c, len(names)) for c in comp])
-        for i, j in near_rows(np.array(n, np.int64), comp_, [np.frombuffer(s, np.uint64) for s in sketches], p):
-            if grp[i] == grp[j] or own[i] == own[j] and x[i] != y[i]:  # looked at in their group; to be looked at in their block
-                continue
-            a, b = (i, j) if (grp[i], sig[i]) < (grp[j], sig[j]) else (j, i)
-            yield sig[a], comp[a], grp[b]
 
-    def run(batches):
-        now, held = None, []
-        for batch in batches:
-            out: set[tuple] = set()
-            for k, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (k, x, y) != now:
-                    out.update(pairs(held) if len(held) > 1 else ())
-                    now, held = (k, x, y), []
-                held.append((*row, x, y))
-            yield pairs_batch(out)
-        yield pairs_batch(pairs(held) if len(held) > 1 else ())
+def candidates(placed: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
+    """(sig, comp, grp): queries and the groups they are sent to, from keys that hold several components."""
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
 
-    def pairs_batch(found) -> pa.RecordBatch:
-        cols = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.record_batch([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], ["sig", "comp", "grp"])
+    def look(held: list[list]):
+        rows = [(sig, grp, comp, Sketch(n, blob)) for sig, grp, comp, n, blob in held]
+        for i, a in enumerate(rows):
+            for b in rows[:i]:
+                if a[1] != b[1] and a[2] != b[2] and a[3].near(b[3], p):
+                    one, two = (a, b) if a[1] < b[1] else (b, a)
+                    yield one[0], one[2], two[1]
 
-    cols = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "sig", "grp", "comp", "n", "sketch", "own")
-    return cols.mapInArrow(run, "sig binary, comp binary, grp long").distinct()
+    rows = by_block(placed.join(mixed, "key"), shared, p).select("key", "x", "y", "sig", "grp", "comp", "n", "sketch")
+    return rows.mapInArrow(by_key(look, ["sig", "comp", "grp"], (pa.binary(), pa.binary(), pa.int64())), "sig binary, comp binary, grp long").distinct()
 
 
-def links_between(groups: DataFrame, sets: DataFrame, keys: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
+def links_between(groups: DataFrame, sets: DataFrame, keys: DataFrame, shared: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
     """Links between different components: queries meet the groups they are sent to."""
-    member = written(members(groups, p).join(roots, F.col("sig") == F.col("node"), "left").select("sig", "grp", "n", "sketch", F.coalesce("root", "sig").alias("comp")), "members")
-    wanted = written(candidates(keys.select("key", "sig").join(member, "sig"), p), "candidates")
+    member = written(members(groups).join(roots, F.col("sig") == F.col("node"), "left").select("sig", "grp", F.coalesce("root", "sig").alias("comp")), "members")
+    wanted = written(candidates(keys.join(few(member), "sig"), shared, p), "candidates")
     # large groups of queries are dealt over salts, the group goes to each of them
     salts = wanted.groupBy("grp").agg(F.ceil(F.count("*") / p.group_queries).alias("salts"))
     queries = wanted.join(salts, "grp").withColumn("salt", F.pmod(F.xxhash64("sig"), "salts")).select("grp", "salt", "sig", "comp")
@@ -466,9 +512,10 @@ def placed(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", t
     every = written(set_rows(texts(docs, doc_id, text), p), "sets")
     nodes = written(every.where("n is not null").select("doc_id", "n", "sig"), "nodes")
     order = spark.sparkContext.broadcast(token_order(every, p))
-    keys = written(shared_keys(key_rows(every, order, p)), "keys")
-    wanted = written(keys.groupBy("sig").agg(F.min("label").alias("label")), "wanted")
-    sets = written(every.where("tokens is not null").select("sig", "tokens").join(few(wanted, p), "sig").dropDuplicates(["sig"]), "wanted-sets")
+    shared = written(shared_keys(key_rows(every, order, p)), "shared-keys")
+    keys = written(sketch_rows(every, shared, order, p), "keys")
+    wanted = written(near_rows(keys, shared, p), "wanted")
+    sets = written(every.where("tokens is not null").select("sig", "tokens").join(few(wanted), "sig").dropDuplicates(["sig"]), "wanted-sets")
     drop_written(spark, every)
     groups = grouped(sets, p)
     bounded_batches(spark, 64)  # a row is a group
@@ -477,10 +524,10 @@ def placed(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", t
     heads = sets.join(roots, F.col("sig") == F.col("node"), "left").where("root is null or root = sig").select("sig", "tokens", "label")
     second = written(links_within(grouped(heads, p), p), "heads")
     roots = components(first.unionByName(second))
-    third = written(links_between(groups, sets, keys, roots, p), "between")
+    third = written(links_between(groups, sets, keys, shared, roots, p), "between")
     roots = components(first.unionByName(second).unionByName(third))
     bounded_batches(spark)
-    drop_written(spark, keys, wanted, sets, groups, first, second, third)
+    drop_written(spark, shared, keys, wanted, sets, groups, first, second, third)
     least = nodes.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "root", "component_id")

@@ -22,14 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import WORD_BYTES, bounded_batches, drop_written, map_rows, written
-from siltstone.llm.suffix import PIECE, maybe, owned, owner_rows, packed, repeated_owners, sources, span_hashes
+from siltstone.llm.suffix import PIECE, copies, owned, owner_rows, packed, repeated_owners, sources, span_hashes, texts_with
 
 
 @dataclass(frozen=True)
 class Params:
     words: int = 51
     gram: int = 16  # words
-    bloom_bits: int = 1 << 23
 
     @property
     def length(self) -> int:
@@ -62,7 +61,7 @@ def word_owners(data: np.ndarray, p: Params) -> list[tuple[np.ndarray, np.ndarra
 
 
 def window_rows(texts: DataFrame, p: Params) -> DataFrame:
-    """(h1, h2, sig, first, last): hash, text and bytes of each window of the repeated owners of (sig, data, places)."""
+    """(h1, h2, sig, first, last): hash, text and bytes of each window of the repeated owners of ``texts_with``."""
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -78,30 +77,27 @@ def window_rows(texts: DataFrame, p: Params) -> DataFrame:
                     a, b = starts[k], ends[k + p.words - 1]
                     digest = b"".join(xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True))
                     h = np.frombuffer(digest, np.int64).reshape(-1, 2)
-                    cols = (h[:, 0].copy(), h[:, 1].copy(), np.full(len(k), sig, np.int64), a.astype(np.int64), b.astype(np.int64))
-                    yield pa.record_batch([pa.array(c) for c in cols], ["h1", "h2", "sig", "first", "last"])
+                    cols = [pa.array(c) for c in (h[:, 0].copy(), h[:, 1].copy())] + [pa.array([sig] * len(k), pa.binary())]
+                    yield pa.record_batch(cols + [pa.array(c.astype(np.int64)) for c in (a, b)], ["h1", "h2", "sig", "first", "last"])
 
         return work
 
-    return map_rows(texts.select("sig", "data", "places"), packed(make), "h1 long, h2 long, sig long, first long, last long")
+    return map_rows(texts.select("item", "data", "places"), packed(make), "h1 long, h2 long, sig binary, first long, last long")
 
 
 def shared_spans(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """(sig, firsts, lasts): for each text with shared passages their windows as arrays, as ``suffix.repeated_spans`` has them."""
-    spark = bounded_batches(docs.sparkSession)
+    spark = bounded_batches(docs.sparkSession, 500)
     src = sources(docs, text)
     places = written(repeated_owners(owner_rows(src, p, word_owners)), "word-owners")
-    listed = places.groupBy("sig").agg(F.collect_list("place").alias("places"))
-    texts = src.where(F.length("data") >= p.length).where(maybe(spark, places, p.bloom_bits)).groupBy("sig").agg(F.first("data").alias("data"))
-    bounded_batches(spark, 500)
-    windows = written(window_rows(texts.join(listed, "sig"), p), "word-windows")
+    windows = written(window_rows(texts_with(src, places, p.length), p), "word-windows")
     bounded_batches(spark)
-    shared = windows.groupBy("h1", "h2").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a < b").select("h1", "h2")
+    in_text = F.xxhash64("sig")
+    shared = windows.groupBy("h1", "h2").agg(F.min(in_text).alias("a"), F.max(in_text).alias("b")).where("a < b").select("h1", "h2")
     again = windows.join(shared, ["h1", "h2"]).select("sig", "first", "last")
-    size = F.length("data")
-    rows = src.where(size >= p.length).select("sig", size.cast("long").alias("size"), F.regexp_count(F.col("data").cast("string"), F.lit(WORD)).alias("words"))
-    copies = rows.groupBy("sig").agg(F.count("*").alias("n"), F.max("size").alias("last"), F.max("words").alias("words")).where(f"n >= 2 and words >= {p.words}")
-    every = again.unionByName(copies.select("sig", F.lit(0).cast("long").alias("first"), "last"))
+    words = F.regexp_count(F.col("data").cast("string"), F.lit(WORD))
+    whole = copies(src.where(words >= p.words), p.length).select("sig", F.lit(0).cast("long").alias("first"), "last")
+    every = again.unionByName(whole)
     out = written(every.groupBy("sig").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")), "passages")
     drop_written(spark, places, windows)
     return out

@@ -5,14 +5,14 @@ are sorted in bounded pieces and no match is lost:
 
 1. Each window of ``length`` bytes is owned by its smallest hashed ``gram`` (ties to the left), so equal windows have equal
    owners at equal offsets. Owners whose hash occurs once own no repeated window.
-2. The bytes of all windows of a repeated owner are its context. Contexts are dealt by the owner's hash; those of one hash
-   meet in one task, in order, each distinct one once.
-3. Batches of whole hash groups get a suffix array by two-stage sorting: only suffixes smaller than their successors are
-   sorted directly, the others are induced by one scan over the buckets of first bytes. Adjacent suffixes with a common
-   prefix of ``length`` bytes are one class; a class with two windows is a repeat.
-4. A hash group beyond ``group_bytes`` of distinct contexts is not held in memory: its contexts are cut and dealt anew by
-   the owners of ever longer ``more_grams``, whose groups share ever more of a window. What is still too large at the end
-   has few windows in a context; they are counted by a 128-bit hash of their bytes, which works for any size of group.
+2. The bytes of all windows of a repeated owner at one place are a context. Equal contexts are counted before any shuffle and
+   travel once for each task; the places where they stand don't travel with them, but are joined to what is found.
+3. Batches of whole owners' distinct contexts get a suffix array by two-stage sorting: only suffixes smaller than their
+   successors are sorted directly, the others are induced by one scan over the buckets of first bytes. Adjacent suffixes with
+   a common prefix of ``length`` bytes are one class; a class with two windows is a repeat.
+4. Owners beyond ``group_bytes`` of distinct contexts are known from the counts. They are not dealt as they are: their contexts
+   are cut by the owners of ever longer ``more_grams`` and counted and sorted like the first ones. The longest gram is a
+   whole window, whose owner has one context only, so groups of any size end in suffix arrays of bounded size.
 
 Equal texts are handled once: all windows of a text that occurs in several rows are repeats.
 
@@ -34,17 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded_batches, drop_written, map_rows, written
+from siltstone.llm.common import bounded_batches, drop_written, few, map_rows, maybe, written
 
 
 @dataclass(frozen=True)
 class Params:
     length: int = 400
     gram: int = 64
-    more_grams: tuple[int, ...] = (328, 392)
+    more_grams: tuple[int, ...] = (328, 400)
     batch_bytes: int = 1 << 18
     group_bytes: int = 1 << 19
-    bloom_bits: int = 1 << 23
 
 
 #: Texts are hashed in pieces of this many windows, since a window's place must fit in the low bits of its key.
@@ -221,28 +220,33 @@ def spans_of(places: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def sources(docs: DataFrame, text: str) -> DataFrame:
-    """(sig, data): the hash and bytes of each text, null as empty."""
+    """(sig, h, data): 128- and 64-bit hashes and bytes of each text, null as empty. Texts are told apart by sig; h only serves
+    to find candidates."""
     data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.xxhash64(data).alias("sig"), data.alias("data"))
+    return docs.select(sig_of(data).alias("sig"), data.alias("data")).select("sig", F.xxhash64("sig").alias("h"), "data")
+
+
+def sig_of(data):
+    return F.unhex(F.md5(data))
 
 
 def owner_rows(src: DataFrame, p: Params, find=owners) -> DataFrame:
-    """(owner, sig, place) of each distinct text of a batch; place is the owner's first window as ``find`` counts them."""
+    """(owner, h, place) of each distinct text of a batch; place is the owner's first window as ``find`` counts them."""
 
     def make():
         def work(batch: pa.RecordBatch):
             seen: set[int] = set()
-            for sig, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if sig in seen:
+            for text, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if text in seen:
                     continue
-                seen.add(sig)
+                seen.add(text)
                 for h, first, _ in find(np.frombuffer(raw.as_buffer(), np.uint8), p):
-                    yield pa.record_batch([pa.array(h), pa.array(np.full(len(h), sig, np.int64)), pa.array(first.astype(np.int64))], ["owner", "sig", "place"])
+                    yield pa.record_batch([pa.array(h), pa.array(np.full(len(h), text, np.int64)), pa.array(first.astype(np.int64))], ["owner", "h", "place"])
 
         return work
 
-    long = src.where(F.length("data") >= p.length)
-    return map_rows(long, packed(make), "owner long, sig long, place long")
+    long = src.where(F.length("data") >= p.length).select("h", "data")
+    return map_rows(long, packed(make), "owner long, h long, place long")
 
 
 def packed(make, rows: int = 20_000):
@@ -268,185 +272,104 @@ def packed(make, rows: int = 20_000):
 
 
 def repeated_owners(rows: DataFrame) -> DataFrame:
-    """(sig, place) of owners whose hash occurs at two distinct (sig, place); streams over sorted runs."""
-
-    def run(batches):
-        prior, held = None, None
-        for batch in batches:
-            sig, place = [], []
-            o, s, at = (batch.column(i).to_numpy() for i in range(3))
-            same = o[1:] == o[:-1]
-            busy = np.zeros(len(o), bool)
-            busy[:1] = busy[-1:] = True
-            busy[1:] |= same
-            busy[:-1] |= same
-            for i in np.flatnonzero(busy).tolist():
-                row = (int(o[i]), int(s[i]), int(at[i]))
-                if prior is not None and row[0] == prior[0]:
-                    if row == prior:
-                        continue
-                    if held is not None:
-                        sig.append(held[1])
-                        place.append(held[2])
-                        held = None
-                    sig.append(row[1])
-                    place.append(row[2])
-                else:
-                    held = row
-                prior = row
-            yield pa.record_batch([pa.array(sig, pa.int64()), pa.array(place, pa.int64())], ["sig", "place"])
-
-    return rows.repartition("owner").sortWithinPartitions("owner", "sig", "place").mapInArrow(run, "sig long, place long")
-
-
-def bloom(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each sig's remainder; its size is fixed, more texts only let more others through."""
-    at = F.pmod(F.col("sig"), F.lit(bits))
-    words = (
-        nodes.select(F.floor(at / 32).cast("int").alias("w"), F.lit(1).cast("long").alias("one"), (at % 32).cast("int").alias("bit"))
-        .groupBy("w")
-        .agg(F.expr("bit_or(shiftleft(one, bit))").alias("b"))
-        .collect()
-    )
-    out = np.zeros(bits // 32, np.int64)
-    for w, b in words:
-        out[w] = b
-    return out
-
+    """(h, place) of owners whose hash occurs at two distinct (h, place). Counted before the shuffle; the join back splits
+    owners of many places."""
+    at = F.xxhash64("h", "place")
+    twice = rows.groupBy("owner").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a < b").select("owner")
+    return rows.join(twice, "owner").select("h", "place").distinct()
 
-def maybe(spark, nodes: DataFrame, bits: int):
-    """A condition on column sig: false only where no row of ``nodes`` has it."""
-    shared = spark.sparkContext.broadcast(bloom(nodes, bits))
 
-    @F.arrow_udf("boolean")
-    def there(sig: pa.Array) -> pa.Array:
-        at = np.mod(sig.to_numpy(zero_copy_only=False).astype(np.int64), bits)
-        return pa.array((shared.value[at // 32] >> (at % 32)) & 1 == 1)
-
-    return there(F.col("sig"))
+CONTEXTS = "owner long, name binary, item binary, start long, times long, context binary"
 
 
 def context_rows(texts: DataFrame, p: Params) -> DataFrame:
-    """(owner, sig, start, name, context) for each repeated owner of (sig, data, places)."""
+    """Rows of CONTEXTS for (item, times, data, places): contexts of the owners at the places, of all owners where places is
+    null. name is a 128-bit hash of the context; its bytes stand with the first row of a task that has that name."""
 
     def make():
+        seen: set[bytes] = set()
+
         def work(batch: pa.RecordBatch):
-            for sig, raw, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data = raw.as_buffer()
-                wanted = np.unique(places.values.to_numpy())
-                view = memoryview(data)
-                for h, first, last in owners(np.frombuffer(data, np.uint8), p):
-                    at = np.flatnonzero(np.isin(first, wanted))
+            for item, times, raw, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                view = memoryview(raw.as_buffer())
+                wanted = np.unique(places.values.to_numpy()) if places.is_valid else None
+                for h, first, last in owners(np.frombuffer(view, np.uint8), p):
+                    at = np.flatnonzero(np.isin(first, wanted)) if wanted is not None else np.arange(len(h))
                     if not len(at):
                         continue
-                    cut = [bytes(view[a : b + p.length]) for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)]
-                    name = pa.array(np.array([xxhash.xxh64_intdigest(c) for c in cut], np.uint64).view(np.int64))
-                    yield pa.record_batch([pa.array(h[at]), pa.array(np.full(len(at), sig, np.int64)), pa.array(first[at].astype(np.int64)), name, pa.array(cut, pa.binary())], ["owner", "sig", "start", "name", "context"])
+                    names, some = [], []
+                    for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True):
+                        context = view[a : b + p.length]
+                        name = xxhash.xxh3_128_digest(context)
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        some.append(None if name in seen else bytes(context))
+                        seen.add(name)
+                        names.append(name)
+                    n = len(at)
+                    cols = [pa.array(h[at]), pa.array(names, pa.binary()), pa.array([item] * n, pa.binary()), pa.array(first[at].astype(np.int64)), pa.array(np.full(n, times, np.int64)), pa.array(some, pa.binary())]
+                    yield pa.record_batch(cols, ["owner", "name", "item", "start", "times", "context"])
 
         return work
 
-    return map_rows(texts.select("sig", "data", "places"), packed(make, 4000), "owner long, sig long, start long, name long, context binary")
-
-
-class Group:
-    """The distinct contexts of one owner hash with the places where each stands."""
+    return map_rows(texts.select("item", "times", "data", "places"), packed(make, 4000), CONTEXTS)
 
-    def __init__(self):
-        self.contexts: list[bytes] = []
-        self.sigs: list[array] = []
-        self.starts: list[array] = []
-        self.size, self.hot = 0, False
 
-    def add(self, context: bytes, sig: int, start: int) -> None:
-        if not self.contexts or self.contexts[-1] != context:
-            self.contexts.append(context)
-            self.sigs.append(array("q"))
-            self.starts.append(array("q"))
-            self.size += len(context)
-        self.sigs[-1].append(sig)
-        self.starts[-1].append(start)
+def solved(cold: DataFrame, p: Params) -> DataFrame:
+    """(name, first, last): repeated spans within each distinct context, from rows (owner, name, times, context) where the
+    times of a name stand in a row of their own before its bytes."""
 
-
-def narrower_contexts(hot: DataFrame, p: Params, gram: int) -> DataFrame:
-    """Rows as those of ``context_rows``: contexts of hot groups, cut by the owners of a longer gram."""
-    p = replace(p, gram=gram)
-
-    def make():
-        def work(batch: pa.RecordBatch):
-            for sig, start, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = raw.as_buffer()
-                view = memoryview(data)
-                for h, first, last in owners(np.frombuffer(data, np.uint8), p):
-                    cut_ = [bytes(view[a : b + p.length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                    name = pa.array(np.array([xxhash.xxh64_intdigest(c) for c in cut_], np.uint64).view(np.int64))
-                    yield pa.record_batch([pa.array(h), pa.array(np.full(len(h), sig, np.int64)), pa.array(first.astype(np.int64) + start), name, pa.array(cut_, pa.binary())], ["owner", "sig", "start", "name", "context"])
-
-        return work
-
-    return map_rows(hot.select("sig", "first", "context"), packed(make, 4000), "owner long, sig long, start long, name long, context binary")
-
-
-def spans_by_context(contexts: DataFrame, p: Params, last: bool) -> DataFrame:
-    """(sig, first, last, h1, h2, context): repeated spans [first, last); of hot groups the contexts, at last their windows
-    with hashes."""
-    kind = "sig long, first long, last long, h1 long, h2 long, context binary"
-
-    def table(sig, first, last, h1=None, h2=None, context=None) -> pa.RecordBatch:
-        none = [None] * len(sig)
-        cols = [pa.array(x, pa.int64()) for x in (sig, first, last, h1 or none, h2 or none)]
-        return pa.record_batch([*cols, pa.array(context or none, pa.binary())], ["sig", "first", "last", "h1", "h2", "context"])
-
-    def solve(groups: list[Group]) -> pa.RecordBatch:
-        every = [(c, s, a) for g in groups for c, s, a in zip(g.contexts, g.sigs, g.starts, strict=True)]
-        found = repeated_windows([c for c, _, _ in every], [len(s) for _, s, _ in every], p.length)
-        sig, first, upto = array("q"), array("q"), array("q")
-        for (_, sigs, starts), places in zip(every, found, strict=True):
+    def solve(found: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
+        names, first, upto = [], array("q"), array("q")
+        windows = repeated_windows([c for _, _, c in found], [min(t, 2) for _, t, _ in found], p.length)
+        for (name, _, _), places in zip(found, windows, strict=True):
             for a, b in spans_of(places, p.length):
-                sig.extend(sigs)
-                first.extend(s + a for s in starts)
-                upto.extend(s + b for s in starts)
-        return table(sig, first, upto)
-
-    def windows(group: Group):
-        for context, sigs, starts in zip(group.contexts, group.sigs, group.starts, strict=True):
-            if not last:
-                yield table(sigs, starts, [s + len(context) for s in starts], context=[context] * len(sigs))
-                continue
-            n = len(context) - p.length + 1
-            digest = [xxhash.xxh3_128_intdigest(context[i : i + p.length]) for i in range(n)]
-            h1, h2 = ([int(np.int64(np.uint64(d >> s & 0xFFFFFFFFFFFFFFFF))) for d in digest] for s in (0, 64))
-            for sig, start in zip(sigs, starts, strict=True):
-                yield table([sig] * n, range(start, start + n), range(start + p.length, start + n + p.length), h1, h2)
+                names.append(name)
+                first.append(a)
+                upto.append(b)
+        return pa.record_batch([pa.array(names, pa.binary()), pa.array(first, pa.int64()), pa.array(upto, pa.int64())], ["name", "first", "last"])
 
     def run(batches):
-        done: list[Group] = []
-        owner, group, size = None, Group(), 0
+        held, size, owner, name, times = [], 0, None, None, 0
         for batch in batches:
-            for o, sig, start, context in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if o != owner:
-                    if not group.hot and group.contexts:
-                        done.append(group)
-                        size += group.size
-                        if size >= p.batch_bytes:
-                            yield solve(done)
-                            done, size = [], 0
-                    elif group.hot:
-                        yield from windows(group)
-                    owner, group = o, Group()
-                group.add(context, sig, start)
-                if group.size > p.group_bytes:
-                    yield from windows(group)
-                    group = Group()
-                    group.hot = True
-        if group.hot:
-            yield from windows(group)
-        elif group.contexts:
-            done.append(group)
-        if done:
-            yield solve(done)
-
-    dealt = contexts.repartition("owner").sortWithinPartitions("owner", "name", "context", "sig", "start")
-    return dealt.select("owner", "sig", "start", "context").mapInArrow(packed_stream(run), kind)
+            for o, n, t, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if context is None:
+                    if o != owner and size >= p.batch_bytes:
+                        yield solve(held)
+                        held, size = [], 0
+                    owner, name, times = o, n, t
+                elif n == name:
+                    held.append((n, times, context))
+                    size += len(context)
+                    name = None  # once, whatever the number of tasks that sent it
+        if held:
+            yield solve(held)
+
+    dealt = cold.repartition("owner").sortWithinPartitions("owner", "name", F.col("context").isNotNull())
+    return dealt.select("owner", "name", "times", "context").mapInArrow(packed_stream(run), "name binary, first long, last long")
+
+
+def spans_by_context(rows: DataFrame, p: Params, grams: tuple[int, ...]) -> DataFrame:
+    """(item, first, last): the repeated spans of each item, from rows of CONTEXTS."""
+    spark = rows.sparkSession
+    counted = written(rows.groupBy("owner", "name").agg(F.sum("times").alias("times"), F.max(F.length("context")).alias("size")), "counted")
+    large = counted.groupBy("owner").agg(F.sum("size").alias("size")).where(F.col("size") > p.group_bytes).select("owner") if grams else None
+    bytes_ = rows.where("context is not null").select("owner", "name", F.lit(None).cast("long").alias("times"), "context")
+    cold = counted.select("owner", "name", "times", F.lit(None).cast("binary").alias("context")).unionByName(bytes_)
+    found = []
+    if large is not None and (large := written(large, "large-owners")).head(1):
+        kept_ = few(large)
+        hot = bytes_.drop("times").join(kept_, "owner", "left_semi").dropDuplicates(["name"]).join(counted.select("name", "times"), "name")
+        longer = replace(p, gram=grams[0])
+        parts = hot.select(F.col("name").alias("item"), "times", F.col("context").alias("data"), F.lit(None).cast("array<long>").alias("places"))
+        sub = written(context_rows(parts, longer), "contexts")
+        found.append(spans_by_context(sub, longer, grams[1:]).withColumnRenamed("item", "name"))
+        cold = cold.join(kept_, "owner", "left_anti")
+    found.append(solved(cold, p))
+    within = written(reduce(DataFrame.unionByName, found), "found")
+    out = written(rows.select("name", "item", "start").join(within, "name").select("item", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")), "spans")
+    drop_written(spark, rows, counted, within)
+    return out
 
 
 def packed_stream(run, rows: int = 20_000):
@@ -464,34 +387,33 @@ def packed_stream(run, rows: int = 20_000):
     return joined
 
 
+def texts_with(src: DataFrame, places: DataFrame, least: int) -> DataFrame:
+    """(item, times, data, places) of the distinct texts that have places; the filter leaves most texts out before the join."""
+    listed = places.groupBy("h").agg(F.collect_list("place").alias("places"))  # at most as many as the text has words
+    some = src.where(F.length("data") >= least).where(maybe(places, "h")(F.col("h")))
+    distinct = some.groupBy("sig").agg(F.first("h").alias("h"), F.first("data").alias("data"))
+    return distinct.join(listed, "h").select(F.col("sig").alias("item"), F.lit(1).cast("long").alias("times"), "data", "places")
+
+
 def repeated_spans(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """(sig, firsts, lasts): for each text with repeats its spans as arrays, unmerged."""
-    spark = bounded_batches(docs.sparkSession)
+    spark = bounded_batches(docs.sparkSession, 500)
     src = sources(docs, text)
     places = written(repeated_owners(owner_rows(src, p)), "owners")
-    listed = places.groupBy("sig").agg(F.collect_list("place").alias("places"))
-    texts = src.where(F.length("data") >= p.length).where(maybe(spark, places, p.bloom_bits)).groupBy("sig").agg(F.first("data").alias("data"))
-    bounded_batches(spark, 500)
-    levels = [written(spans_by_context(context_rows(texts.join(listed, "sig"), p), p, not p.more_grams), "spans")]
-    for gram in p.more_grams:
-        rest = levels[-1].where("context is not null")
-        if not rest.head(1):
-            break
-        levels.append(written(spans_by_context(narrower_contexts(rest, p, gram), p, gram == p.more_grams[-1]), "spans"))
+    contexts = written(context_rows(texts_with(src, places, p.length), p), "contexts")
+    spans = spans_by_context(contexts, p, p.more_grams).withColumnRenamed("item", "sig")
     bounded_batches(spark)
-    spans = reduce(DataFrame.unionByName, [x.where("context is null").drop("context") for x in levels])
-    hot = spans.where("h1 is not null")
-    twice = hot.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n >= 2").select("h1", "h2")
-    again = hot.join(twice, ["h1", "h2"]).select("sig", "first", "last")
-    copies = src.where(F.length("data") >= p.length).groupBy("sig").agg(F.count("*").alias("n"), F.max(F.length("data")).alias("size")).where("n >= 2")
-    every = spans.where("h1 is null").select("sig", "first", "last").unionByName(again)
-    every = every.unionByName(copies.select("sig", F.lit(0).cast("long").alias("first"), F.col("size").cast("long").alias("last")))
-    # windows of hot groups come one by one; joined within runs before they are collected
+    every = spans.unionByName(copies(src, p.length).select("sig", F.lit(0).cast("long").alias("first"), "last"))
     out = written(every.groupBy("sig", "first").agg(F.max("last").alias("last")).groupBy("sig").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")), "repeats")
-    drop_written(spark, places, *levels)
+    drop_written(spark, places, spans)
     return out
 
 
+def copies(src: DataFrame, least: int) -> DataFrame:
+    """(sig, last) of texts that stand in several rows, with their length."""
+    return src.where(F.length("data") >= least).groupBy("sig").agg(F.count("*").alias("n"), F.max(F.length("data")).cast("long").alias("last")).where("n >= 2").select("sig", "last")
+
+
 def cut(data: bytes, firsts: np.ndarray, lasts: np.ndarray) -> tuple[bytes, int, int]:
     """(bytes kept, bytes removed, maximal removed runs)."""
     order = np.argsort(firsts, kind="stable")
@@ -509,10 +431,10 @@ def cut(data: bytes, firsts: np.ndarray, lasts: np.ndarray) -> tuple[bytes, int,
 
 def removed(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spark = docs.sparkSession
     spans = repeated_spans(docs, p, text)
     data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(data).alias("sig"), data.alias("data")).withColumn("hit", maybe(spark, spans, p.bloom_bits))
+    hit = maybe(spans.select(F.xxhash64("sig").alias("h")), "h")(F.xxhash64("sig"))
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), sig_of(data).alias("sig"), data.alias("data")).withColumn("hit", hit)
     zero = F.lit(0).cast("long")
     whole = src.where("not hit").select("doc_id", F.length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"))
 
@@ -537,7 +459,6 @@ def without_repeats(docs: DataFrame, p: Params = Params(), text: str = "text", m
 
     ``more`` has further spans to cut, as ``repeated_spans`` gives them.
     """
-    spark = docs.sparkSession
     spans = repeated_spans(docs, p, text)
     if more is not None:
         lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("firsts", "lasts")]
@@ -549,9 +470,9 @@ def without_repeats(docs: DataFrame, p: Params = Params(), text: str = "text", m
     def rest(raw: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
         return pa.array([cut(d.as_py(), a.values.to_numpy(), b.values.to_numpy())[0].decode("utf-8", "ignore") for d, a, b in zip(raw, firsts, lasts, strict=True)], pa.string())
 
-    named = docs.withColumn("sig", F.xxhash64(data)) if "sig" not in docs.columns else docs.withColumnRenamed("sig", "__own_sig").withColumn("sig", F.xxhash64(data))
-    marked = named.withColumn("__hit", maybe(spark, spans.select(F.col("__sig").alias("sig")), p.bloom_bits))
-    tidy = lambda df: (df.drop("sig").withColumnRenamed("__own_sig", "sig")).select(*docs.columns)
-    joined = marked.where("__hit").join(spans, F.col("sig") == F.col("__sig"), "left")
+    named = docs.withColumn("__own", sig_of(data))
+    marked = named.withColumn("__hit", maybe(spans.select(F.xxhash64("__sig").alias("h")), "h")(F.xxhash64("__own")))
+    tidy = lambda df: df.select(*docs.columns)
+    joined = marked.where("__hit").join(spans, F.col("__own") == F.col("__sig"), "left")
     cut_ = joined.where("__sig is not null").withColumn(text, rest(data, F.col("__firsts"), F.col("__lasts")))
     return tidy(marked.where("not __hit")).unionByName(tidy(joined.where("__sig is null"))).unionByName(tidy(cut_))

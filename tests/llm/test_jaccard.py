@@ -73,11 +73,24 @@ def test_linked_sets_share_a_key_and_pass_the_sketches(p):
             linked += 1
             x, y = jaccard.prefixes([a, b], order, p)
             assert set(x.tolist()) & set(y.tolist()), (len(a), len(b), both)
-            flipped = [np.frombuffer(jaccard.sketch(s, p.sketch_bits(len(s))), np.uint64) for s in (a, b)]
-            assert list(jaccard.near_rows(np.array([len(a), len(b)]), np.array([0, 1]), flipped, p))
+            one, two = (jaccard.Sketch(len(s), jaccard.sketch(s, p.sketch_bits(len(s)))) for s in (a, b))
+            assert one.near(two, p) and two.near(one, p)
     assert linked > 300
 
 
+def test_every_set_with_a_partner_is_found():
+    rng, p = random.Random(6), jaccard.Params(num=80)
+    for _ in range(300):
+        sets, base = {}, [rng.getrandbits(256) for _ in range(3)]
+        for i in range(rng.randint(2, 14)):
+            value = rng.choice(base)
+            for _ in range(rng.randint(0, 9)):
+                value ^= 1 << rng.randrange(256)
+            sets[bytes([i])] = jaccard.Sketch(rng.randint(40, 60), value.to_bytes(32, "little"))
+        want = {a for a in sets for b in sets if a != b and sets[a].near(sets[b], p)}
+        assert {a for a, _ in jaccard.partners(sets, p)} == want
+
+
 def test_blocks_of_a_common_line(spark):
     """Many unlike texts with one long common line, families among them; keys are dealt by pairs of blocks."""
     rng, line = random.Random(4), [f"c{i}" for i in range(30)]
