@@ -1,7 +1,12 @@
-"""Text functions as Column expressions: all run in the JVM, none is a UDF."""
+"""Text functions as Column expressions. All but the encoder run in the JVM."""
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -235,3 +240,57 @@ def fulltext_query(question: Column) -> Column:
     """The terms as an OR query, terms of more than four characters with one edit allowed."""
     terms = F.transform(question_terms(question), lucene_escaped)
     return F.array_join(F.transform(terms, lambda t: F.when(F.length(t) > 4, F.concat(t, F.lit("~1"))).otherwise(t)), " OR ")
+
+
+def hashed_vector(dim: int = 64):
+    """The default encoder: a function of a text column to a vector of unit length, counts of word hashes. Texts and questions
+    are encoded alike; a text without words is all zeros."""
+
+    @F.arrow_udf("array<float>")
+    def encode(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), dim), np.float32)
+        for i, text in enumerate(texts.to_pylist()):
+            at = [zlib.crc32(w) % dim for w in re.findall(rb"[a-z0-9]+", (text or "").lower().encode())]
+            np.add.at(out[i], at, 1)
+        size = np.sqrt((out * out).sum(1, keepdims=True))
+        out /= np.where(size > 0, size, 1)
+        return pa.array(list(out), pa.list_(pa.float32()))
+
+    return encode
+
+
+STANDALONE_CAPTION = r"(?i)^\s*(?:figure|fig\.?|table|chart|diagram|plate|exhibit)\s*[0-9]+"
+
+
+def standalone_caption(text: Column) -> Column:
+    """A caption that can stand as a block of its own: it names its figure or table and has six words or more."""
+    return F.coalesce(text.rlike(STANDALONE_CAPTION) & (word_count(text) >= 6), F.lit(False))
+
+
+def meaningful_image(width: Column, height: Column, spread: Column) -> Column:
+    """No icon (under 64 pixels), no rule (sides apart by more than 20 times) and no plain area (grey deviation under 6)."""
+    return F.coalesce((F.least(width, height) >= 64) & (F.greatest(width, height) <= 20 * F.least(width, height)) & (spread >= 6), F.lit(False))
+
+
+def merged_rows(rows: Column) -> Column:
+    """Of header rows (array of arrays) one: each column's parts that aren't blank, joined."""
+    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    cell = lambda r, i: F.trim(F.coalesce(F.try_element_at(r, i), F.lit("")))
+    return F.transform(F.sequence(F.lit(1), width), lambda i: F.array_join(F.filter(F.transform(rows, lambda r: cell(r, i)), lambda c: c != ""), " "))
+
+
+def header_rows(rows: Column) -> Column:
+    """How many leading rows make a table's header: those before the first row, among the first five, whose first cell is a
+    number; else sparse rows (a third of the cells empty, one at least) and the first dense one; else one."""
+    head = F.slice(rows, 1, 5)
+    numbered = F.filter(F.transform(head, lambda r, i: F.when(F.trim(F.coalesce(r[0], F.lit(""))).rlike(r"^\(?[0-9]+[.)]?$"), i)), lambda i: i.isNotNull())
+    first = F.array_min(numbered)
+    dense = lambda r: F.size(F.filter(r, lambda c: F.trim(F.coalesce(c, F.lit(""))) == "")) < F.greatest(F.lit(1), F.floor(F.size(r) / 3))
+    full = F.array_min(F.filter(F.transform(head, lambda r, i: F.when(dense(r), i)), lambda i: i.isNotNull()))
+    return F.when(first > 0, first).when(full > 0, full + 1).otherwise(F.lit(1))
+
+
+def split_header(rows: Column) -> Column:
+    """struct(header, body) of a table's rows."""
+    n = header_rows(rows)
+    return F.struct(merged_rows(F.slice(rows, F.lit(1), n)).alias("header"), F.slice(rows, n + 1, F.greatest(F.size(rows) - n, F.lit(0))).alias("body"))

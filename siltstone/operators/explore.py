@@ -120,12 +120,13 @@ def repeated_lines(pages: DataFrame, doc: str, page_no: str, text: str, share: f
 
 
 def profile_line(documents: DataFrame, key: str, name: str, at: str, show: int = 6) -> DataFrame:
-    """(key, profile): the first names and how many more there are."""
+    """(key, profile): the first names and how many more there are. Only each partition's first ones are shuffled."""
     order = Window.partitionBy(key).orderBy(at, name)
-    rows = documents.withColumn("n", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(name).alias("name")))), lambda r: r["name"])
-    more = F.when(F.max("total") > show, F.concat(F.lit(" and "), (F.max("total") - show).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
-    return rows.where(F.col("n") <= show).groupBy(key).agg(F.concat(F.array_join(listed, ", "), more).alias("profile"))
+    first = documents.select(key, name, at).withColumn("n", F.row_number().over(order)).where(F.col("n") <= show)
+    listed = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(name).alias("name")))), lambda r: r["name"]), ", ").alias("names"))
+    total = documents.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    more = F.when(F.col("total") > show, F.concat(F.lit(" and "), (F.col("total") - show).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return listed.join(total, key).select(key, F.concat("names", more).alias("profile"))
 
 
 def orphaned(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -147,3 +148,13 @@ def nearest_above(items: DataFrame, titles: DataFrame, reach: float = 90.0, alig
     gap = F.col("y0") - F.col("ty")
     near = items.join(t, (F.col("page") == F.col("tp")) & (gap > 0) & (gap <= reach) & (F.abs(F.col("x0") - F.col("tx")) <= align))
     return near.groupBy("item").agg(F.min_by("title", F.struct(gap, F.col("title"))).alias("title"))
+
+
+def nearest_caption(images: DataFrame, texts: DataFrame, reach: float = 120.0) -> DataFrame:
+    """(image, caption): text by each image on its page; one that names its figure beats others, then the nearest counts.
+    Images (image, page, y0, y1), texts (page, y0, y1, text)."""
+    t = texts.select(F.col("page").alias("tp"), F.col("y0").alias("ty0"), F.col("y1").alias("ty1"), "text")
+    gap = F.greatest(F.col("ty0") - F.col("y1"), F.col("y0") - F.col("ty1"), F.lit(0.0))
+    near = images.join(t, (F.col("page") == F.col("tp")) & (gap <= reach))
+    plain = F.when(F.col("text").rlike(T.STANDALONE_CAPTION), 0).otherwise(1)
+    return near.groupBy("image").agg(F.min_by("text", F.struct(plain, gap, F.col("text"))).alias("caption"))

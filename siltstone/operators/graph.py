@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from siltstone import config as C
 from siltstone.functions import text as T
+from siltstone.plans.lineage import cut
 
 D = C.DEFAULTS
 
 
-def extracted(docs: DataFrame, doc_id: str, text: str, names: int = 10, pairs: int = 8) -> DataFrame:
-    """(doc_id, seq, name, norm_name, relations): names in order of sight, first of each normal form, capitalised before
-    acronyms; neighbours are co-mentions."""
+def extracted(docs: DataFrame, doc_id: str, text: str, names: int = 10) -> DataFrame:
+    """(doc_id, seq, name, norm_name): the first ``names`` names in order of sight, one of each normal form, capitalised before
+    acronyms. The limit is a parameter; names beyond it are left out."""
     stop = F.array(*[F.lit(w) for w in C.CAPITALISED_STOPWORDS])
     found = F.filter(F.concat(T.all_found(F.col(text), T.CAPITALISED), T.all_found(F.col(text), T.ACRONYM)), lambda w: ~F.array_contains(stop, w))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.array_distinct(found)).alias("at", "name")).withColumn("norm_name", T.normal_name(F.col("name")))
@@ -112,13 +113,13 @@ def seeds(candidates: DataFrame, question: str) -> DataFrame:
 def frontiers(edges: DataFrame, start: DataFrame, hops: int, passable: DataFrame | None = None) -> DataFrame:
     """(node, depth): smallest depth of each node within ``hops``. Beyond depth 0 only ``passable`` nodes go on."""
     ways = both_ways(edges).select("node", "other").distinct()
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
+    seen = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, hops + 1):
         front = seen.where(F.col("depth") == depth - 1).select("node")
         if passable is not None and depth > 1:
             front = front.join(passable, "node", "left_semi")
         found = ways.join(front, "node", "left_semi").select(F.col("other").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        seen = seen.unionByName(found.withColumn("depth", F.lit(depth)))
+        seen = cut(seen.unionByName(found.withColumn("depth", F.lit(depth))))
     return seen
 
 

@@ -6,6 +6,8 @@ Queries come as tables, so a batch of questions is one job. Query sides are broa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +53,25 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id:
 
 def dense(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score): inner products of the stated queries (query_id, query_vector) with all other rows."""
-    # a stated, size-checked query set against all rows
-    pairs = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v")).join(small(queries.select("query_id", "query_vector"), 2_000), F.col("vec_id") != F.col("query_id"))
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"))
+    pairs = in_blocks(rows, queries.select("query_id", "query_vector")).where("vec_id <> query_id")
     return pairs.select("query_id", "vec_id", F.round(T.dot(F.col("v"), F.col("query_vector")), 6).alias("score"))
 
 
+def dense_all(vectors: DataFrame, queries: DataFrame, item: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, item, score): inner products of the stated queries with all rows."""
+    rows = vectors.select(F.col(item).alias(item), F.col(vector).alias("v"))
+    return in_blocks(rows, queries.select("query_id", "query_vector")).select("query_id", item, F.round(T.dot(F.col("v"), F.col("query_vector")), 6).alias("score"))
+
+
+def in_blocks(rows: DataFrame, queries: DataFrame, most: int = 2_000) -> DataFrame:
+    """Every row with every stated query. Queries go to all tasks in blocks of about ``most``, so that no task holds more than
+    one block; each block is a join of its own over the rows."""
+    blocks = max(1, -(-queries.count() // most))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(queries.where(block == i)), F.lit(True)) for i in range(blocks)])
+
+
 def top_k(hits: DataFrame, item: str, k: int = DEFAULTS.top_k, score: str = "score", query: str = "query_id") -> DataFrame:
     """The k best of each query with rank from 1; ties to the smaller item."""
     order = Window.partitionBy(query).orderBy(F.desc(score), item)

@@ -6,12 +6,15 @@ deterministic defaults: lexical logits, term coverage, and an extractive answer
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.config import DEFAULTS as D
 from siltstone.functions import text as T
 from siltstone.operators import answers as A
+from siltstone.operators import evidence as E
 from siltstone.operators import retrieval as R
 from siltstone.plans.lineage import cut
 
@@ -25,50 +28,110 @@ class Models:
     def sufficiency(self, question: Column, evidence: Column) -> Column:
         return A.coverage(question, evidence)
 
+    def in_scope(self, question: Column, evidence: Column) -> Column:
+        """Whether the corpus is about the question; null where the model can't tell."""
+        return F.lit(None).cast("boolean")
+
     def probe(self, question: Column, missing: Column) -> Column:
         """A further query for what is missing."""
         return F.array_join(missing, " ")
 
+    def hypothesis(self, question: Column) -> Column:
+        """A made-up answer, used as a further query where it has more than 40 characters."""
+        return F.lit(None).cast("string")
+
+    def parts(self, question: Column) -> Column:
+        return E.split_question(question)
+
+    def rewritten(self, question: Column, history: Column) -> Column:
+        """The question as it stands without its history; null where the model fails."""
+        return F.lit(None).cast("string")
+
+
+def condensed(questions: DataFrame, history: DataFrame | None, models: Models) -> DataFrame:
+    """Questions that lean on earlier turns (query_id, history) in the model's words: 5 to 500 characters on one line, else as
+    they are."""
+    if history is None:
+        return questions
+    rows = questions.join(history, "query_id", "left")
+    new = F.trim(models.rewritten(F.col("question"), F.col("history")))
+    leans = A.needs_rewrite(F.col("question"), F.coalesce("history", F.lit("")) != "")
+    fits = F.length(new).between(5, 500) & ~F.contains(new, F.lit("\n"))
+    return rows.withColumn("question", F.when(leans & fits, new).otherwise(F.col("question"))).drop("history")
 
-def retrieve(chunks: DataFrame, questions: DataFrame, k: int = D.top_k) -> DataFrame:
-    """(query_id, chunk_id, score, seq) by BM25."""
-    found = R.bm25(chunks, questions, "chunk_id", "text", "query_id", "question")
-    found = found.withColumnRenamed("doc_id", "chunk_id")
-    return R.top_k(found.withColumn("score", F.round("score", 6)), "chunk_id", k).withColumnRenamed("rank", "seq")
+
+def scanned(chunks: DataFrame) -> E.Corpus:
+    """A corpus without a stored index and graph: searches go over the texts."""
+
+    def search(asked: DataFrame, k: int) -> DataFrame:
+        found = R.bm25(chunks, asked, "chunk_id", "text", "query_id", "question").withColumnRenamed("doc_id", "chunk_id")
+        return R.top_k(found.withColumn("score", F.round("score", 6)), "chunk_id", k)
+
+    return E.Corpus(search, chunks)
 
 
 def judge(pool: DataFrame, questions: DataFrame, chunks: DataFrame, models: Models) -> tuple[DataFrame, DataFrame]:
-    """(reranked pool, verdicts)."""
-    full = pool.join(questions, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    """(reranked pool, verdicts with the window's chunks)."""
+    full = pool.join(questions.select("query_id", "question"), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
     ranked = R.blended(full.withColumn("logit", models.logit(F.col("question"), F.col("text"))))
-    window = ranked.where(F.col("rank") <= D.verify_window).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]), "\n").alias("evidence"), F.count(F.lit(1)).alias("n"))
-    v = questions.join(window, "query_id", "left").withColumn("v", A.verdict(models.sufficiency(F.col("question"), F.coalesce("evidence", F.lit(""))), F.lit(None).cast("boolean"), F.coalesce("n", F.lit(0))))
+    rows = F.array_sort(F.collect_list(F.struct("rank", "text", "chunk_id")))
+    window = ranked.where(F.col("rank") <= D.verify_window).groupBy("query_id").agg(rows.alias("w"))
+    window = window.select("query_id", F.array_join(F.transform("w", lambda r: r["text"]), "\n").alias("evidence"), F.transform("w", lambda r: r["chunk_id"]).alias("window"))
+    v = questions.select("query_id", "question").join(window, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
+    scope = models.in_scope(F.col("question"), F.col("evidence"))
+    v = v.withColumn("scope", scope).withColumn("v", A.verdict(models.sufficiency(F.col("question"), F.col("evidence")), F.col("scope"), F.coalesce(F.size("window"), F.lit(0))))
     asked = F.transform(T.question_terms(F.col("question")), F.lower)
-    return ranked, v.select("query_id", "question", "v.score", "v.sufficient", F.filter(asked, lambda t: ~F.contains(F.lower(F.coalesce("evidence", F.lit(""))), t)).alias("missing"))
-
-
-def answer(chunks: DataFrame, questions: DataFrame, models: Models | None = None, passes: int = D.max_passes) -> DataFrame:
-    """(query_id, route, score, sufficient, passes, answer): chunks (chunk_id, text), questions (query_id, question)."""
-    models = models or Models()
-    routed = questions.withColumn("route", A.route(F.col("question"), graph_on=False))
-    asking = routed.where("route <> 'DIRECT'").select("query_id", "question")
-    pool = cut(retrieve(chunks, asking))
+    missing = F.filter(asked, lambda t: ~F.contains(F.lower(F.col("evidence")), t))
+    return ranked, v.select("query_id", "question", "v.score", "v.sufficient", "v.out_of_scope", "scope", "window", missing.alias("missing"))
+
+
+def answer(chunks: DataFrame, questions: DataFrame, models: Models | None = None, passes: int = D.max_passes, corpus: E.Corpus | None = None, history: DataFrame | None = None, profile: str = "") -> DataFrame:
+    """(query_id, route, score, sufficient, passes, note, answer): chunks (chunk_id, text), questions (query_id, question).
+
+    Retrieves by route, reranks, judges; questions without enough evidence go on while each pass gains enough, at most
+    ``passes`` times. What a further pass doesn't find ends with a note; where the last verdict is worse than an earlier one,
+    that one's window comes back in front. ``profile`` describes the corpus; without it nothing counts as out of scope.
+    """
+    models, corpus = models or Models(), corpus or scanned(chunks)
+    routed = condensed(questions, history, models).withColumn("route", A.route(F.col("question"), graph_on=corpus.entities is not None))
+    routed = cut(routed.select("query_id", "question", "route"))
+    asking = routed.where("route <> 'DIRECT'")
+    pool = cut(E.retrieved(corpus, asking, parts=models.parts(F.col("question"))))
     ranked, verdicts = judge(pool, asking, chunks, models)
-    verdicts = cut(verdicts.withColumn("passes", F.lit(1)))
+    rankings, judged = [cut(ranked.select("query_id", "chunk_id", "rank", "text", F.lit(1).alias("pass")))], cut(verdicts.withColumn("pass", F.lit(1)).withColumn("previous", F.lit(None).cast("double")).withColumn("dry", F.lit(False)))
     for n in range(2, passes + 1):
-        open_ = verdicts.where(~F.col("sufficient") & (F.size("missing") > 0))
-        probes = open_.select("query_id", models.probe(F.col("question"), F.col("missing")).alias("question"))
-        more = R.excluding(retrieve(chunks, probes, 5).select("query_id", "chunk_id", "score", (F.col("seq") + 1000 * n).alias("seq")), pool, "chunk_id")
-        pool = cut(R.merged(pool.select("query_id", "chunk_id", "score", "seq").unionByName(more), "chunk_id", keys=("query_id",)))
-        ranked, again = judge(pool, asking, chunks, models)
-        # a query keeps its earlier verdict where the further pass gained nothing
-        prior = verdicts.select("query_id", F.col("score").alias("before"), F.col("passes").alias("had"), F.col("sufficient").alias("was"))
-        verdicts = again.join(prior, "query_id").withColumn("passes", F.when(F.col("was"), F.col("had")).otherwise(F.lit(n))).withColumn("score", F.greatest("score", "before")).drop("before", "had", "was")
-        verdicts = cut(verdicts)
-    best = ranked.where(F.col("rank") <= 3).withColumn("piece", F.concat(T.snippet(F.col("text")), F.lit(" ["), F.col("rank").cast("string"), F.lit("]")))
-    text = best.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda r: r["piece"]), "\n").alias("answer"))
-    out = routed.join(verdicts.select("query_id", "score", "sufficient", "passes"), "query_id", "left").join(text, "query_id", "left")
-    return out.select("query_id", "route", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("sufficient", F.lit(False)).alias("sufficient"), F.coalesce("passes", F.lit(0)).alias("passes"), F.coalesce("answer", F.lit("")).alias("answer"))
+        stop = A.stop_reason(F.col("score"), F.col("previous"), F.col("scope"), F.lit(profile), F.col("out_of_scope"))
+        open_ = cut(judged.where((F.col("pass") == n - 1) & ~F.col("sufficient") & ~F.col("dry") & stop.isNull() & (F.size("missing") > 0)))
+        if not open_.head(1):
+            break
+        made = models.hypothesis(F.col("question"))
+        probes = open_.select("query_id", F.explode(F.array(models.probe(F.col("question"), F.col("missing")), F.when(F.length(made) > 40, made))).alias("question")).where("question is not null")
+        probes = probes.select(F.struct("query_id", F.xxhash64("question").alias("probe")).alias("query_id"), "question")
+        more = corpus.search(probes, 5).select("query_id.query_id", "chunk_id", "score", (F.col("rank") + 1000 * n).cast("long").alias("seq"), F.lit("expansion").alias("origin"))
+        if corpus.entities is not None:
+            near = E.widened(corpus.edges, corpus.mentions, cut(E.starts(open_.select("query_id", "question"), corpus.entities)))
+            more = more.unionByName(near.select("query_id", "chunk_id", F.lit(D.graph_score).alias("score"), (F.col("seq") + 2000 * n).cast("long").alias("seq"), F.lit("graph").alias("origin")))
+        new = cut(R.merged(more.join(pool.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"), "chunk_id", keys=("query_id",)))
+        # a pass that finds nothing new ends the question with what it has
+        found = new.select("query_id").distinct()
+        dry = open_.join(found, "query_id", "left_anti").withColumn("pass", F.lit(n)).withColumn("previous", F.col("score")).withColumn("dry", F.lit(True)).withColumn("sufficient", F.lit(True))
+        pool = cut(pool.unionByName(new.select(*pool.columns)))
+        again = open_.join(found, "query_id", "left_semi")
+        ranked, verdicts = judge(pool.join(again.select("query_id"), "query_id", "left_semi"), again, chunks, models)
+        rankings.append(cut(ranked.select("query_id", "chunk_id", "rank", "text", F.lit(n).alias("pass"))))
+        verdicts = verdicts.join(again.select("query_id", F.col("score").alias("previous")), "query_id").withColumn("pass", F.lit(n)).withColumn("dry", F.lit(False))
+        judged = cut(judged.unionByName(verdicts.select(*judged.columns)).unionByName(dry.select(*judged.columns)))
+    last, best = F.max_by(F.struct("score", "sufficient", "out_of_scope", "dry", "window", "pass"), "pass"), F.max_by(F.struct("score", "window"), F.struct("score", "pass"))
+    settled = judged.groupBy("query_id").agg(last.alias("last"), best.alias("best"), F.max(F.when(~F.col("dry"), F.col("pass"))).alias("shown"))
+    worse = F.col("last.score") < F.col("best.score")
+    note = F.when(F.col("last.dry"), "nothing further was found").when(F.col("last.out_of_scope"), "outside the corpus").when(~F.col("last.sufficient"), "thin evidence").otherwise("")
+    settled = cut(settled.select("query_id", F.greatest("last.score", "best.score").alias("score"), "last.sufficient", F.col("last.pass").alias("passes"), note.alias("note"), "shown", F.when(worse, F.col("best.window")).otherwise(F.array().cast("array<long>")).alias("front")))
+    every = reduce(DataFrame.unionByName, rankings).join(settled.select("query_id", F.col("shown").alias("pass"), "front"), ["query_id", "pass"])
+    final = A.restored(every.withColumnRenamed("rank", "seq"), "chunk_id", "seq", F.col("front"))
+    cited = final.where(F.col("rank") <= 3).withColumn("piece", F.concat(T.snippet(F.col("text")), F.lit(" ["), F.col("rank").cast("string"), F.lit("]")))
+    text = cited.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda r: r["piece"]), "\n").alias("answer"))
+    out = routed.join(settled, "query_id", "left").join(text, "query_id", "left")
+    return out.select("query_id", "route", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("sufficient", F.lit(False)).alias("sufficient"), F.coalesce("passes", F.lit(0)).alias("passes"), F.coalesce("note", F.lit("")).alias("note"), F.coalesce("answer", F.lit("")).alias("answer"))
 
 
 def trace(steps: DataFrame) -> DataFrame:

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where unset in a session of one process (tests), a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
+        spark.conf.set("spark.checkpoint.dir", top)
+    return top.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; where unset (tests), in one of its own."""
+    """A reliable checkpoint in ``folder``."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+        spark.sparkContext.setCheckpointDir(folder(spark))
     return df.checkpoint()

@@ -13,6 +13,7 @@ from siltstone.operators import answers as A
 from siltstone.operators import chat, chunking, explore, graph
 from siltstone.operators import retrieval as R
 from siltstone.plans import answering
+from siltstone.plans.lineage import cut
 from siltstone.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,7 +169,8 @@ lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM lex WHERE rank <= 12")
-def bm25_batch(spark, sf_dir):
+def bm25_scan_batch(spark, sf_dir):
+    """The batch of questions over the texts, without a stored index."""
     found = R.bm25(t(spark, sf_dir, "documents"), questions(spark, sf_dir), "doc_id", "text", "query_id", "question")
     return R.top_k(found.withColumn("score", F.round("score", 6)), "doc_id").select("query_id", "doc_id", "score", "rank")
 
@@ -177,8 +179,8 @@ def bm25_batch(spark, sf_dir):
     f"""WITH {BM25_SQL} SELECT l.doc_id, l.rank::INTEGER AS rank, CASE WHEN length(f) <= 320 THEN f ELSE rtrim(substr(f, 1, 320)) || '...' END AS snippet
 FROM lex l JOIN (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents) d ON d.doc_id = l.doc_id WHERE query_id = 0 AND rank <= 12"""
 )
-def bm25_topk(spark, sf_dir):
-    """One question: its twelve best documents with snippets."""
+def bm25_scan_topk(spark, sf_dir):
+    """One question over the texts: its twelve best documents with snippets."""
     docs = t(spark, sf_dir, "documents")
     found = R.bm25(docs, questions(spark, sf_dir).where("query_id = 0"), "doc_id", "text", "query_id", "question")
     best = R.top_k(found.withColumn("score", F.round("score", 6)), "doc_id").select("doc_id", "rank")
@@ -219,7 +221,7 @@ def second_hits(spark, sf_dir) -> DataFrame:
 f AS (SELECT query_id, vec_id, round(sum(p), 9) AS score FROM u GROUP BY 1, 2)
 SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM f) WHERE rank <= 12"""
 )
-def rrf_hybrid(spark, sf_dir):
+def rrf_two_rankings(spark, sf_dir):
     return R.hybrid(dense_hits(spark, sf_dir), second_hits(spark, sf_dir), "vec_id")
 
 
@@ -354,13 +356,13 @@ hop AS (SELECT source, target, weight FROM edges WHERE (source IN (SELECT node F
 @query(f"{KHOP_SQL} SELECT * FROM hop")
 def khop_edges(spark, sf_dir):
     start = parts(spark, sf_dir).where("node <= 5").select("node")
-    return graph.khop_edges(edges(spark, sf_dir), parts(spark, sf_dir), start, 2, None).select("source", "target", "weight")
+    return graph.khop_edges(cut(edges(spark, sf_dir)), cut(parts(spark, sf_dir)), start, 2, None).select("source", "target", "weight")
 
 
 @query(f"{KHOP_SQL} SELECT source, target, weight FROM hop ORDER BY weight DESC, source, target LIMIT 80")
 def khop_top_edges(spark, sf_dir):
     start = parts(spark, sf_dir).where("node <= 5").select("node")
-    return graph.khop_edges(edges(spark, sf_dir), parts(spark, sf_dir), start).select("source", "target", "weight")
+    return graph.khop_edges(cut(edges(spark, sf_dir)), cut(parts(spark, sf_dir)), start).select("source", "target", "weight")
 
 
 @query(
@@ -370,7 +372,7 @@ d2 AS (SELECT DISTINCT b AS node FROM ways WHERE a IN (SELECT node FROM d1) AND
 SELECT node, 0 AS depth FROM d0 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2"""
 )
 def bfs_depths(spark, sf_dir):
-    return graph.frontiers(edges(spark, sf_dir), spark.sql("select 1L as node"), 2)
+    return graph.frontiers(cut(edges(spark, sf_dir)), spark.sql("select 1L as node"), 2)
 
 
 @query(f"WITH {EDGES_SQL}, ways AS (SELECT source AS a, target AS b, weight FROM edges UNION ALL SELECT target, source, weight FROM edges) SELECT b AS node, sum(weight)::BIGINT AS strength FROM ways WHERE a <= 3 AND b > 3 GROUP BY 1")
@@ -586,3 +588,6 @@ def windowed_events(spark, sf_dir):
     """An extension: event-time windows, here over the table as a batch."""
     e = t(spark, sf_dir, "events")
     return e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("window_start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+from siltstone.plans import queries_kb  # noqa: E402, F401  registers its queries

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siltstone.config import DEFAULTS as D
 from siltstone.functions import text as T
+from siltstone.plans.lineage import cut
 
 BLOCKS = "path string, seq int, text string, section string, modality string, error string"
 
@@ -238,9 +239,16 @@ def store_by_content(files: DataFrame, path: str) -> DataFrame:
     return hashed.select("path", "sha256")
 
 
-def write_index(vectors: DataFrame, path: str, key: str, tenant: str, dim: int, vector: str = "embedding") -> None:
-    """Vector sink: rows of another dimension stop the write; of a key's rows the last stays."""
-    bad = vectors.where(F.size(vector) != dim).limit(1).count()
-    if bad:
+def write_index(vectors: DataFrame, path: str, key: str, tenant: str, dim: int, vector: str = "embedding", at: str = "seq") -> None:
+    """Vector sink, a keyed merge: a key's row of the greatest ``at`` replaces what the tenant's partition holds for it, other
+    rows and other tenants stay. Rows of another dimension stop the write."""
+    if vectors.where(F.size(vector) != dim).limit(1).count():
         raise ValueError(f"vectors of another dimension than {dim}")
-    vectors.dropDuplicates([key]).write.mode("overwrite").partitionBy(tenant).parquet(path)
+    spark = vectors.sparkSession
+    rest = [c for c in vectors.columns if c not in (key, tenant)]
+    new = cut(vectors.groupBy(tenant, key).agg(F.max_by(F.struct(*rest), at).alias("row")).select(tenant, key, "row.*"))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        kept = spark.read.schema(new.schema).parquet(path).join(new.select(tenant).distinct(), tenant, "left_semi").join(new.select(tenant, key), [tenant, key], "left_anti")
+        new = cut(new.unionByName(kept.select(*new.columns)))  # read whole before its partitions are replaced
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tenant).parquet(path)
