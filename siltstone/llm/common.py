@@ -70,11 +70,13 @@ def few(df: DataFrame, rows: int = 1 << 19) -> DataFrame:
 class Bits:
     """A bit for each remainder of a column of longs, shared with the tasks: ``there`` is false only where no row has the value.
 
-    Eight to sixteen bits a row, up to ``most``. Beyond that more values pass: it spares a shuffle, what is exact follows it.
+    Eight to sixteen bits a row, up to ``most``. Beyond that (``full``) more values pass: it spares a shuffle, what is exact
+    follows it.
     """
 
     def __init__(self, nodes: DataFrame, column: str, most: int = 1 << 27):
-        self.bits = min(most, max(1 << 16, 1 << (8 * nodes.count()).bit_length()))
+        n = nodes.count()
+        self.bits, self.full = min(most, max(1 << 16, 1 << (8 * n).bit_length())), 8 * n > most
         at = nodes.select(F.pmod(F.col(column), F.lit(self.bits)).alias("at"))
         words = at.select(F.floor(F.col("at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
         got = words.groupBy("w").agg(F.expr("bit_or(bit)").alias("b")).toArrow()
@@ -144,10 +146,10 @@ _KEPT: dict = {}
 
 
 def kept(key: tuple, make: Callable):
-    """What a Python worker keeps between its tasks; one object for each kind."""
+    """What a Python worker keeps between its tasks: one object, the last one asked for, so that the memos of earlier stages
+    don't add up."""
     if key not in _KEPT:
-        for old in [k for k in _KEPT if k[0] == key[0]]:
-            del _KEPT[old]
+        _KEPT.clear()
         _KEPT[key] = make()
     return _KEPT[key]
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import WORD_BYTES, bounded_batches, drop_written, map_rows, written
-from siltstone.llm.suffix import PIECE, copies, owned, owner_rows, packed, repeated_owners, sources, span_hashes, texts_with
+from siltstone.llm.suffix import PIECE, copies, owned, packed, repeated_owners, sources, span_hashes, texts_with
 
 
 @dataclass(frozen=True)
@@ -89,7 +89,7 @@ def shared_spans(docs: DataFrame, p: Params = Params(), text: str = "text") -> D
     """(sig, firsts, lasts): for each text with shared passages their windows as arrays, as ``suffix.repeated_spans`` has them."""
     spark = bounded_batches(docs.sparkSession, 500)
     src = sources(docs, text)
-    places = written(repeated_owners(owner_rows(src, p, word_owners)), "word-owners")
+    places = repeated_owners(src, p, word_owners)
     windows = written(window_rows(texts_with(src, places, p.length), p), "word-windows")
     bounded_batches(spark)
     in_text = F.xxhash64("sig")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded_batches, drop_written, few, map_rows, maybe, written
+from siltstone.llm.common import Bits, bounded_batches, drop_written, few, map_rows, maybe, written
 
 
 @dataclass(frozen=True)
@@ -230,8 +230,9 @@ def sig_of(data):
     return F.unhex(F.md5(data))
 
 
-def owner_rows(src: DataFrame, p: Params, find=owners) -> DataFrame:
-    """(owner, h, place) of each distinct text of a batch; place is the owner's first window as ``find`` counts them."""
+def owner_rows(src: DataFrame, p: Params, find=owners, known: Bits | None = None) -> DataFrame:
+    """(owner, h, place) of each distinct text of a batch; place is the owner's first window as ``find`` counts them. With
+    ``known``, only owners that may be among those."""
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -241,6 +242,9 @@ def owner_rows(src: DataFrame, p: Params, find=owners) -> DataFrame:
                     continue
                 seen.add(text)
                 for h, first, _ in find(np.frombuffer(raw.as_buffer(), np.uint8), p):
+                    if known is not None:
+                        some = known.there(h)
+                        h, first = h[some], first[some]
                     yield pa.record_batch([pa.array(h), pa.array(np.full(len(h), text, np.int64)), pa.array(first.astype(np.int64))], ["owner", "h", "place"])
 
         return work
@@ -271,12 +275,16 @@ def packed(make, rows: int = 20_000):
     return joined
 
 
-def repeated_owners(rows: DataFrame) -> DataFrame:
-    """(h, place) of owners whose hash occurs at two distinct (h, place). Counted before the shuffle; the join back splits
-    owners of many places."""
+def repeated_owners(src: DataFrame, p: Params, find=owners) -> DataFrame:
+    """(h, place) of owners whose hash occurs at two distinct (h, place). Counted before the shuffle; the places are found again
+    by a filter of the repeated owners' bits, which may let others through. Where they are too many for the filter, a join
+    leaves the others out; it splits owners of many places."""
     at = F.xxhash64("h", "place")
-    twice = rows.groupBy("owner").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a < b").select("owner")
-    return rows.join(twice, "owner").select("h", "place").distinct()
+    counted = owner_rows(src, p, find).groupBy("owner").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a < b").select("owner")
+    twice = written(counted, "repeated-owners")
+    known = Bits(twice, "owner")
+    rows = owner_rows(src, p, find, known)
+    return written((rows.join(twice, "owner") if known.full else rows).select("h", "place"), "owners")
 
 
 CONTEXTS = "owner long, name binary, item binary, start long, times long, context binary"
@@ -389,7 +397,7 @@ def packed_stream(run, rows: int = 20_000):
 
 def texts_with(src: DataFrame, places: DataFrame, least: int) -> DataFrame:
     """(item, times, data, places) of the distinct texts that have places; the filter leaves most texts out before the join."""
-    listed = places.groupBy("h").agg(F.collect_list("place").alias("places"))  # at most as many as the text has words
+    listed = places.groupBy("h").agg(F.collect_set("place").alias("places"))  # at most as many as the text has words
     some = src.where(F.length("data") >= least).where(maybe(places, "h")(F.col("h")))
     distinct = some.groupBy("sig").agg(F.first("h").alias("h"), F.first("data").alias("data"))
     return distinct.join(listed, "h").select(F.col("sig").alias("item"), F.lit(1).cast("long").alias("times"), "data", "places")
@@ -399,7 +407,7 @@ def repeated_spans(docs: DataFrame, p: Params = Params(), text: str = "text") ->
     """(sig, firsts, lasts): for each text with repeats its spans as arrays, unmerged."""
     spark = bounded_batches(docs.sparkSession, 500)
     src = sources(docs, text)
-    places = written(repeated_owners(owner_rows(src, p)), "owners")
+    places = repeated_owners(src, p)
     contexts = written(context_rows(texts_with(src, places, p.length), p), "contexts")
     spans = spans_by_context(contexts, p, p.more_grams).withColumnRenamed("item", "sig")
     bounded_batches(spark)
