@@ -4,15 +4,17 @@ The test items are indexed: postings by term in item order, cut into blocks of `
 impact in it. Impacts are BM25 weights divided by the item's score for its own text, so 1 means that all of an item's
 weight is met. Every text is a row of overlapping passages (windows of twice the longest item, a stride of once), and each
 passage is a query. Terms that are common to many items and together stay below half the threshold are non-essential: a
-passage whose other terms can't reach the rest is skipped; the sums of block maxima choose the blocks to open; postings in
-open blocks give the scores. All items at or above the threshold are retrieved.
+passage whose other terms can't reach the rest is skipped. The sums of block maxima leave out all blocks that can't reach the
+threshold; in what is left the terms' cursors go by item: the pivot is the first item at which the maxima of the terms up to
+there reach the threshold, terms before it seek to it, and only items that all of them have reached are scored. All items at
+or above the threshold are retrieved.
 
 Retrieved items are verified by word shingles of ``shingle`` words: at least ``overlap`` of the item's must stand in the
 passage, and at least half of its question's and half of its answer's. An item's answer is what follows its last question
 mark, or else its last sentence, or else its second half.
 
 The items are indexed in shards of at most about ``shard_items``, which bounds what is broadcast; every text meets every
-shard.
+shard. Document frequencies, mean length and the windows' size are those of all items, so shards change no score.
 
 Defined cases: null or empty texts and items match nothing; items of fewer words than a shingle are one shingle of their own length; repeated rows
 and items are reported each; ties don't matter, since all above the threshold are kept; an empty benchmark finds no leaks;
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded_batches, map_column, words_of
+from siltstone.llm.common import bounded_batches, map_column, map_rows, words_of, written
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,7 @@ class Params:
     shingle: int = 5
     k1: float = 1.2
     b: float = 0.75
-    block_items: int = 16
+    block_items: int = 4
     shard_items: int = 20_000
 
 
@@ -78,33 +81,47 @@ def item_parts(text: str, size: int) -> tuple[int, set[bytes], set[bytes], set[b
     return size, set(every), set(every[: max(1, head - size + 1)]), set(every[max(0, min(len(every) - 1, head - size + 1)) :])
 
 
+@dataclass(frozen=True)
+class Stats:
+    """Of all items that have words: how many, their mean and largest length, and of each term the items that have it."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[bytes, int]
+
+    @staticmethod
+    def of(lists: list[list[bytes]]) -> Stats:
+        lens = [len(w) for w in lists]
+        return Stats(len(lens), sum(lens) / max(1, len(lens)), max(lens, default=1), Counter(t for w in lists for t in set(w)))
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]], params: Params):
+    def __init__(self, items: list[tuple[int, str]], params: Params, stats: Stats | None = None):
         self.p = params
         kept_items = [(i, t, w) for i, t in items if (w := words_of(t))]
+        stats = stats or Stats.of([w for _, _, w in kept_items])
         self.ids = [i for i, _, _ in kept_items]
         self.parts = [item_parts(t, params.shingle) for _, t, _ in kept_items]
-        lens = [len(w) for _, _, w in kept_items]
-        self.stride, n = max(lens, default=1), len(lens)
-        mean = sum(lens) / max(1, n)
-        df = Counter(t for _, _, w in kept_items for t in set(w))
-        self.vocab = {t: k for k, t in enumerate(sorted(df, key=lambda t: (-df[t], t)))}  # most common first
-        weight = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+        self.stride, df = stats.longest, stats.df
+        own_terms = {t for _, _, w in kept_items for t in w}
+        self.vocab = {t: k for k, t in enumerate(sorted(own_terms, key=lambda t: (-df[t], t)))}  # most common first
+        weight = {t: math.log(1 + (stats.n - df[t] + 0.5) / (df[t] + 0.5)) for t in own_terms}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
         for item, (_, _, w) in enumerate(kept_items):
-            own = {t: weight[t] * c * (params.k1 + 1) / (c + params.k1 * (1 - params.b + params.b * len(w) / mean)) for t, c in Counter(w).items()}
+            own = {t: weight[t] * c * (params.k1 + 1) / (c + params.k1 * (1 - params.b + params.b * len(w) / stats.mean)) for t, c in Counter(w).items()}
             total = sum(own.values())
             for t, s in own.items():
                 postings[self.vocab[t]].append((item, s / total))
-        self.items = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.impacts = [np.array([s for _, s in p]) for p in postings]
+        self.items = [[i for i, _ in p] for p in postings]
+        self.impacts = [[s for _, s in p] for p in postings]
         self.blocks, self.maxima = [], []
         for i, s in zip(self.items, self.impacts, strict=True):
-            b, first = np.unique(i // params.block_items, return_index=True)
+            b, first = np.unique(np.array(i) // params.block_items, return_index=True)
             self.blocks.append(b)
-            self.maxima.append(np.maximum.reduceat(s, first))
-        self.n_blocks = -(-n // params.block_items)
-        upper = np.array([s.max() for s in self.impacts] + [0.0])  # the last is for words of no item
+            self.maxima.append(np.maximum.reduceat(np.array(s), first))
+        self.n_blocks = -(-len(self.ids) // params.block_items)
+        upper = np.array([max(s) for s in self.impacts] + [0.0])  # the last is for words of no item
         common = np.cumsum(upper[:-1]) <= params.threshold / 2
         self.rest = float(upper[:-1][common].sum())
         upper[:-1][common] = 0.0
@@ -112,13 +129,45 @@ class Index:
 
     def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """All (item, score) at or above the threshold for a passage's distinct terms."""
+        least = self.p.threshold - 1e-9
         bound = np.bincount(np.concatenate([self.blocks[t] for t in terms]), np.concatenate([self.maxima[t] for t in terms]), self.n_blocks)
-        if not (open_ := bound >= self.p.threshold - 1e-9).any():
-            return []
-        items, impacts = np.concatenate([self.items[t] for t in terms]), np.concatenate([self.impacts[t] for t in terms])
-        there = open_[items // self.p.block_items]
-        score = np.bincount(items[there], impacts[there], len(self.ids))
-        return [(int(i), float(score[i])) for i in np.flatnonzero(score >= self.p.threshold - 1e-9)]
+        out = []
+        for block in np.flatnonzero(bound >= least).tolist():
+            out += self.within(block, terms.tolist(), least)
+        return out
+
+    def within(self, block: int, terms: list[int], least: float) -> list[tuple[int, float]]:
+        """All (item, score) at or above ``least`` in a block, by cursors and pivots."""
+        end = (block + 1) * self.p.block_items
+        cursors = []  # [item, term, place, the term's largest impact in the block]
+        for t in terms:
+            at = bisect_left(self.items[t], block * self.p.block_items)
+            if at < len(self.items[t]) and self.items[t][at] < end:
+                cursors.append([self.items[t][at], t, at, float(self.maxima[t][np.searchsorted(self.blocks[t], block)])])
+        out = []
+        while cursors:
+            cursors.sort()
+            reach, pivot = 0.0, None
+            for c in cursors:
+                reach += c[3]
+                if reach >= least:
+                    pivot = c[0]
+                    break
+            if pivot is None:
+                break
+            if cursors[0][0] == pivot:
+                here = [c for c in cursors if c[0] == pivot]
+                score = sum(self.impacts[c[1]][c[2]] for c in here)
+                if score >= least:
+                    out.append((pivot, score))
+            else:
+                here = [c for c in cursors if c[0] < pivot]
+            for c in here:
+                items = self.items[c[1]]
+                c[2] = bisect_left(items, pivot if c[0] < pivot else pivot + 1, c[2])
+                c[0] = items[c[2]] if c[2] < len(items) else end
+            cursors = [c for c in cursors if c[0] < end]
+        return out
 
     def leaks(self, text: str | None) -> list[dict]:
         words = words_of(text)
@@ -161,7 +210,30 @@ def indexes(benchmark: DataFrame, params: Params = Params(), item_id: str = "ite
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("t is not null")
     shards = max(1, -(-items.count() // params.shard_items))
     shard = F.pmod(F.xxhash64("t"), F.lit(shards))
-    return [Index([(r.id, r.t) for r in items.where(shard == s).orderBy("id", "t").collect()], params) for s in range(shards)]
+    if shards == 1:
+        return [Index([(r.id, r.t) for r in items.orderBy("id", "t").collect()], params)]
+    words = map_rows(items.select("t", shard.alias("shard")), word_rows, "shard long, n long, term binary")
+    n, mean, longest = words.where("n > 0").agg(F.count("n"), F.avg("n"), F.max("n")).first()
+    df = written(words.where("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.collect_set("shard").alias("shards")), "term-counts")
+    out = []
+    for s in range(shards):
+        counts = dict((bytes(r.term), r.df) for r in df.where(F.array_contains("shards", s)).select("term", "df").collect())  # terms of one shard's items
+        out.append(Index([(r.id, r.t) for r in items.where(shard == s).orderBy("id", "t").collect()], params, Stats(n, float(mean or 0), longest or 1, counts)))
+    return out
+
+
+def word_rows():
+    """Of each item a row with its number of words and a row for each distinct one."""
+
+    def work(batch: pa.RecordBatch):
+        rows = []
+        for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = words_of(t)
+            rows += [(s, len(words), None), *((s, None, w) for w in set(words))]
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "n", "term"])
+
+    return work
 
 
 def leak_column(text: Column, index: Index, spark) -> Column:
