@@ -6,10 +6,12 @@ sum(max(q * low, q * high)). Queries come in blocks of ``block_rows``; a search
 stops at the k-th score known so far. That k-th score is propagated: the first round searches one shard for each block and
 its k-th scores are the starting bounds of all other shards in the second round.
 
-All arithmetic is on integers (components are quantized before), so scores are exact; ties go to the smaller id.
+Components are integers (quantized before) and so are the scores: products are made in doubles where every partial sum is
+below 2**53, else in 64-bit integers, and bounds are widened by what doubles may lose. Ties go to the smaller id.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, neither as query nor as
-candidate; fewer candidates than k give fewer ranks; identical vectors are separate candidates; rows that repeat a vec_id
+candidate; a vector with fewer components than another counts as filled up with zeros; scores beyond 64 bits are not defined;
+fewer candidates than k give fewer ranks; identical vectors are separate candidates; rows that repeat a vec_id
 are separate candidates, and a query never meets rows of its own id; an empty table gives no rows.
 """
 
@@ -51,18 +53,36 @@ class Tree:
             mid = (b - a) // 2
             order[a:b] = order[a:b][np.argpartition(part[:, dim], mid)]
             stack += [(a + mid, b), (a, a + mid)]  # the left half is taken first, so cuts ascend
-        self.ids, self.rows = ids[order], rows[order].astype(np.float64)
+        self.ids, self.whole = ids[order], rows[order]
+        self.rows = self.whole.astype(np.float64)
+        self.most = float(np.abs(self.rows).max()) if self.rows.size else 0.0
         firsts = np.array(self.cuts[:-1], dtype=np.int64)
         self.low = np.minimum.reduceat(self.rows, firsts) if len(ids) else self.rows
         self.high = np.maximum.reduceat(self.rows, firsts) if len(ids) else self.rows
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Upper bounds of the scores: one row a query, one column a leaf. max(q*l, q*h) = q+ * h - q- * l."""
-        return np.maximum(queries, 0) @ self.high.T - np.maximum(-queries, 0) @ self.low.T
+        q = queries.astype(np.float64)
+        return np.maximum(q, 0) @ self.high.T - np.maximum(-q, 0) @ self.low.T + self.lost(q)
+
+    def reach(self, queries: np.ndarray) -> float:
+        """The largest sum of a score's parts in absolute value."""
+        return self.most * float(np.abs(queries.astype(np.float64)).max(initial=0)) * self.rows.shape[1]
+
+    def lost(self, queries: np.ndarray) -> float:
+        """What rounding may take from a bound."""
+        reach = self.reach(queries)
+        return 0.0 if reach < 2**53 else reach * (self.rows.shape[1] + 4) * 2.0**-52
+
+    def scores(self, queries: np.ndarray, a: int, b: int, exact: bool) -> np.ndarray:
+        """Integer scores of queries and rows a to b."""
+        if exact:
+            return (queries.astype(np.float64) @ self.rows[a:b].T).astype(np.int64)
+        return queries @ self.whole[a:b].T
 
 
 def search(tree: Tree, q_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, id, score) of each query's k best in the tree that reach ``kth``; doubles hold the integers exactly.
+    """(query position, id, score) of each query's k best in the tree that reach ``kth``.
 
     Each query takes its leaves by descending bound; each round the queries that still have a leaf that may reach their k-th
     score look at their next ``step`` leaves, and leaves shared by several queries are scored by one product.
@@ -70,19 +90,20 @@ def search(tree: Tree, q_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray,
     n = len(q_ids)
     bound = tree.bounds(queries)
     turn = np.argsort(-bound, axis=1, kind="stable")
-    best = [(np.zeros(0), np.zeros(0, np.int64))] * n
-    limit = kth.astype(np.float64).copy()
+    exact = tree.reach(queries) < 2**53
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
+    limit = kth.astype(np.int64).copy()
     live, at = np.arange(n), 0
     while len(live) and at < turn.shape[1]:
         todo: dict[int, list[int]] = {}
         for col in range(at, min(at + step, turn.shape[1])):
             leaf = turn[live, col]
-            for i in np.flatnonzero(bound[live, leaf] >= limit[live]).tolist():
+            for i in np.flatnonzero(bound[live, leaf] >= limit[live].astype(np.float64)).tolist():
                 todo.setdefault(int(leaf[i]), []).append(int(live[i]))
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for leaf, asked in todo.items():
             a, b = tree.cuts[leaf], tree.cuts[leaf + 1]
-            scores, ids = queries[asked] @ tree.rows[a:b].T, tree.ids[a:b]
+            scores, ids = tree.scores(queries[asked], a, b, exact), tree.ids[a:b]
             for i, s in zip(asked, scores, strict=True):
                 keep = (s >= limit[i]) & (ids != q_ids[i])
                 if keep.any():
@@ -97,12 +118,12 @@ def search(tree: Tree, q_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray,
                 limit[i] = max(limit[i], s.min())
         at += step
         if at < turn.shape[1]:
-            live = live[bound[live, turn[live, at]] >= limit[live]]
+            live = live[bound[live, turn[live, at]] >= limit[live].astype(np.float64)]
     sizes = [len(s) for s, _ in best]
     return (
         np.repeat(np.arange(n), sizes),
         np.concatenate([v for _, v in best]) if n else np.zeros(0, np.int64),
-        np.concatenate([s for s, _ in best]) if n else np.zeros(0),
+        np.concatenate([s for s, _ in best]) if n else np.zeros(0, np.int64),
     )
 
 
@@ -119,7 +140,9 @@ def top_k(vectors: DataFrame, is_query, params: Params = Params()) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``vectors`` (vec_id long, v array<long>); ``is_query`` is a condition on them."""
     spark = bounded_batches(vectors.sparkSession)
     base = written(vectors.withColumn("q", is_query), "vectors")
-    n, n_q = base.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("int")), F.lit(0))).first()
+    n, n_q, dims, least = base.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("int")), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.min(F.size("v"))).first()
+    if least is not None and least < dims:
+        base = base.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dims) - F.size("v"))))
     shards, blocks = max(1, -(-n // params.shard_rows)), max(1, -(-n_q // params.block_rows))
     k, leaf_rows, step = params.k, params.leaf_rows, params.group_leaves
     salt = F.xxhash64("vec_id", "v")  # equal ids or equal vectors alone don't meet in one shard
@@ -129,7 +152,7 @@ def top_k(vectors: DataFrame, is_query, params: Params = Params()) -> DataFrame:
     def arrays(batch: pa.Table, at: int) -> tuple[np.ndarray, np.ndarray]:
         flat = batch.column(at + 1).combine_chunks()
         ids = batch.column(at).to_numpy().astype(np.int64)
-        return ids, flat.flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
+        return ids, flat.flatten().to_numpy().astype(np.int64).reshape(len(ids), dims)
 
     def run(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
@@ -143,7 +166,7 @@ def top_k(vectors: DataFrame, is_query, params: Params = Params()) -> DataFrame:
             q_ids, q = arrays(part, 0)
             kth = part.column("kth").fill_null(-(1 << 62)).to_numpy()
             who, v, s = search(tree, q_ids, q, kth, k, step)
-            out.append(pa.table({"query_id": q_ids[who], "vec_id": v, "score": s.astype(np.int64), "block": np.full(len(who), block, np.int32)}))
+            out.append(pa.table({"query_id": q_ids[who], "vec_id": v, "score": s, "block": np.full(len(who), block, np.int32)}))
         return pa.concat_tables(out)
 
     kind = "query_id long, vec_id long, score long, block int"

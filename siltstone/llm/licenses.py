@@ -167,7 +167,7 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, doc_id: str = "
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """The scan's rows as counts, first and last places of base notices, label lists and the best score."""
+    """The scan's rows as counts, first and last places of base notices, label lists, the best score, and all finds."""
     base = F.filter("finds", lambda f: f.base)
     joined = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.transform(xs, lambda f: f.label))), ",")
     places = F.transform(base, lambda f: f.word)
@@ -180,4 +180,5 @@ def digest(scanned: DataFrame) -> DataFrame:
         joined(base).alias("base_labels"),
         joined(F.col("finds")).alias("labels"),
         F.coalesce(F.array_max(F.transform("finds", lambda f: f.score)), F.lit(0.0)).alias("score"),
+        "finds",
     )
