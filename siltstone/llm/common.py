@@ -46,10 +46,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cuts the lineage: writes the rows to the shared folder and returns them as read from there."""
+    """Cuts the lineage: writes the rows to the shared folder and returns them as read from there. Row groups are small, as a
+    writing task holds one in memory."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Bits, Cache, bounded_batches, drop_written, few, kept, map_column, map_rows, written
+from siltstone.llm.common import Bits, bounded_batches, drop_written, few, map_column, map_rows, written
 from siltstone.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -70,15 +70,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_memo() -> Cache:
-    return kept(("jaccard",), lambda: Cache(xxhash.xxh64_intdigest))
-
-
-def shingle_sets(texts: list[str | None], size: int, memo: Cache) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its word shingles; words are parted by ASCII white space, A-Z lower-cased."""
     words = [t.encode().translate(LOWER).split() if t else [] for t in texts]
     ends = np.cumsum([len(w) for w in words]).tolist()
-    h = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.uint64, ends[-1] if ends else 0)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, ends[-1] if ends else 0)
     out = np.zeros(max(0, len(h) - size + 1), np.uint64)
     for i in range(size):
         out = mix(out * ODD[0] + h[i : i + len(out)] + ODD[1])
@@ -112,10 +108,8 @@ def signatures(p: Params):
     """A column function: the sig of each text as ``set_rows`` has it."""
 
     def make():
-        memo = word_memo()
-
         def work(texts: list) -> pa.Array:
-            return pa.array([signature(s) if len(s) else None for s in shingle_sets(texts, p.size, memo)], pa.binary())
+            return pa.array([signature(s) if len(s) else None for s in shingle_sets(texts, p.size)], pa.binary())
 
         return work
 
@@ -138,12 +132,12 @@ def set_rows(src: DataFrame, p: Params) -> DataFrame:
         return pa.record_batch([pa.array([x], k) for x, k in zip((None, None, None, None, blob), kinds, strict=True)], names)
 
     def run(batches):
-        memo, seen, window, held = word_memo(), set(), [], 0
+        seen, window, held = set(), [], 0
         for batch in batches:
             for part in range(0, batch.num_rows, 128):
                 some = batch.slice(part, 128)
                 rows = []
-                for s in shingle_sets(some.column(1).to_pylist(), p.size, memo):
+                for s in shingle_sets(some.column(1).to_pylist(), p.size):
                     sig = tokens = None
                     if len(s):
                         sig = signature(s)
