@@ -31,10 +31,10 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Cache, bounded_batches, drop_written, kept, written
+from siltstone.llm.common import Cache, bounded_batches, drop_written, few, kept, written
 
 #: Fixed values of the format.
 MAGIC, VERSION, LANES, BLOCK, SCALE = b"SRAN", 1, 2048, 1 << 19, 20
@@ -42,8 +42,9 @@ HEAD = struct.Struct("<4sHHQIQI")
 LOW = 1 << 31
 INDEX = np.dtype([("doc", "<i8"), ("n", "<u4")])
 NO_ID = -(1 << 63)
-#: Rows of a range of doc_ids, about, and ids after which a range begins a further file. Parts that need only lower case.
-FILE_ROWS, FILE_IDS = 4000, 1 << 22
+#: Rows and ids after which a range of doc_ids begins a further file, and how many ranges there are at most.
+FILE_ROWS, FILE_IDS, RANGES = 4000, 1 << 22, 1 << 14
+#: Parts that need only lower case.
 PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]*)([-.,;:!?#$%&*+/=@^_~`(){}\[\]\"\\]*)")
 
 
@@ -135,23 +136,42 @@ def read_head(data: bytes) -> dict:
     return {"table": table, "docs": n_docs, "tokens": n_tokens, "blocks": n_blocks}
 
 
-def read_file(data: bytes, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, tokens of each, all ids); checks the table and each block's crc."""
+def checkpoints(data: bytes, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """(rows (first token, tokens, first byte, bytes, crc) of a file's blocks, its documents); checks the table."""
     head = read_head(data)
     if head["table"] != t.crc:
         raise ValueError("the file was written with another frequency table")
-    at = HEAD.size
-    points = np.frombuffer(data, "<u4", 3 * head["blocks"], at).reshape(-1, 3)
-    at += points.nbytes
+    points = np.frombuffer(data, "<u4", 3 * head["blocks"], HEAD.size).reshape(-1, 3).astype(np.int64)
+    at = HEAD.size + 12 * head["blocks"]
     index = np.frombuffer(data, INDEX, head["docs"], at)
-    at += index.nbytes
-    parts = []
-    for n, size, crc in points.tolist():
-        payload = data[at : at + size]
-        at += size
-        if zlib.crc32(payload) != crc:
-            raise ValueError("a block's checksum differs")
-        parts.append(decode_block(payload, n, t))
+    n, size = points[:, 0], points[:, 1]
+    return np.stack([np.cumsum(n) - n, n, at + index.nbytes + np.cumsum(size) - size, size, points[:, 2]], axis=1), index
+
+
+def read_block(data: bytes, point: np.ndarray, t: Tables) -> np.ndarray:
+    """The ids of one block, from its checkpoint alone."""
+    _, n, at, size, crc = point.tolist()
+    payload = data[at : at + size]
+    if zlib.crc32(payload) != crc:
+        raise ValueError("a block's checksum differs")
+    return decode_block(payload, n, t)
+
+
+def read_range(data: bytes, first: int, n: int, t: Tables) -> np.ndarray:
+    """The file's ids from ``first`` on; only blocks that hold some are decoded."""
+    points, _ = checkpoints(data, t)
+    some = [p for p in points if p[0] < first + n and p[0] + p[1] > first]
+    if not some:
+        return np.zeros(0, np.uint32)
+    ids = np.concatenate([read_block(data, p, t) for p in some])
+    at = first - int(some[0][0])
+    return ids[max(0, at) : at + n]
+
+
+def read_file(data: bytes, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, tokens of each, all ids); checks the table and each block's crc."""
+    points, index = checkpoints(data, t)
+    parts = [read_block(data, p, t) for p in points]
     return index["doc"].astype(np.int64), index["n"].astype(np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
@@ -210,11 +230,12 @@ def tokenizer(path: str, end_id: int) -> Tokenizer:
 def token_files(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str) -> DataFrame:
     """Tokenizes once and deals documents to files: rows (file_no, docs, lens, ids), arrays as bytes, doc_id ascending.
 
-    The file borders are quantiles of doc_id, one for each FILE_ROWS rows; a border is a long.
+    Documents are dealt to ranges between quantiles of doc_id, one for each FILE_ROWS rows but RANGES at most, so that neither
+    the borders nor the sketch they come from grow without bound; a range is cut into files as its sorted rows go by.
     """
     spark = docs.sparkSession
     src = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = max(1, -(-src.count() // FILE_ROWS))
+    parts = max(1, min(RANGES, -(-src.count() // FILE_ROWS)))
     # quantiles come back as doubles; wherever they fall, a doc_id has one side of each border
     cuts = src.where(F.col("doc_id") > NO_ID).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
     shared = spark.sparkContext.broadcast(sorted({int(c) for c in cuts}))
@@ -237,7 +258,7 @@ def token_files(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str)
 
         for batch in batches:
             for d, p, r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if docs_ and (p != part or size >= FILE_IDS):
+                if docs_ and (p != part or size >= FILE_IDS or len(docs_) >= 2 * FILE_ROWS):
                     yield done()
                     docs_, raw, size, made = [], [], 0, made + 1 if p == part else 0
                 part = p
@@ -270,7 +291,7 @@ def count_ids(files: DataFrame, size: int, kind: np.dtype) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Tables]:
-    """Writes the files: rows (file_no long, data binary) in the shared folder, and the shared table."""
+    """Writes the files: rows (file_no long, tokens long, data binary) in the shared folder, and the shared table."""
     spark = bounded_batches(docs.sparkSession)
     files = token_files(docs, path, end_id, doc_id, text)
     code = tokenizer(path, end_id)
@@ -284,27 +305,32 @@ def encode(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_id",
         for batch in batches:
             for number, d, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data = write_file(np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4"), np.frombuffer(raw, kind), t)
-                yield pa.record_batch([pa.array([number], pa.int64()), pa.array([data], pa.binary())], ["file_no", "data"])
+                yield pa.record_batch([pa.array([number], pa.int64()), pa.array([read_head(data)["tokens"]], pa.int64()), pa.array([data], pa.binary())], ["file_no", "tokens", "data"])
 
-    out = written(files.mapInArrow(run, "file_no long, data binary"), "rans", "none")
+    out = written(files.mapInArrow(run, "file_no long, tokens long, data binary"), "rans", "none")
     bounded_batches(spark)
     drop_written(spark, files)
     return out, tables
 
 
+def file_starts(files: DataFrame) -> DataFrame:
+    """(file_no, before): the ids of all files before each. Sums run within a range of doc_ids, and over the ranges' totals,
+    of which there are RANGES at most."""
+    sizes = files.select("file_no", "tokens", F.shiftright("file_no", 24).alias("part"))
+    to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = F.sum("tokens").over(to_here(Window.partitionBy("part").orderBy("file_no"))) - F.col("tokens")
+    totals = sizes.groupBy("part").agg(F.sum("tokens").alias("total"))
+    ranges = totals.select("part", (F.sum("total").over(to_here(Window.orderBy("part"))) - F.col("total")).alias("ranges_before"))
+    return sizes.withColumn("within", within).join(F.broadcast(ranges), "part").select("file_no", (F.col("within") + F.col("ranges_before")).alias("before"))
+
+
 def decode(files: DataFrame, tables: Tables) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens, ids_crc32. Starts come from the files' heads."""
+    """Per document of the files: doc_id, start, n_tokens, ids_crc32."""
     spark: SparkSession = files.sparkSession
-    heads = files.select("file_no", F.substring("data", 1, HEAD.size).alias("head")).collect()  # a few bytes for each file
-    starts, total = {}, 0
-    for number, head in sorted((r.file_no, bytes(r.head)) for r in heads):
-        starts[number] = total
-        total += read_head(head)["tokens"]
-    shared = spark.sparkContext.broadcast((tables.freq, starts))
+    shared = spark.sparkContext.broadcast(tables.freq)
 
     def run(batches):
-        freq, offsets = shared.value
-        t = Tables.of(freq)
+        t = Tables.of(shared.value)
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 docs, n, ids = read_file(data, t)
@@ -312,11 +338,11 @@ def decode(files: DataFrame, tables: Tables) -> DataFrame:
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.record_batch(
-                    [pa.array(docs, mask=docs == NO_ID), pa.array(ends - n + offsets[number]), pa.array(n), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    [pa.array(np.full(len(n), number)), pa.array(docs, mask=docs == NO_ID), pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())],
+                    ["file_no", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
     bounded_batches(spark, 1)  # a row is a whole file
-    out = written(files.select("file_no", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"), "rans-read")
+    out = written(files.select("file_no", "data").mapInArrow(run, "file_no long, doc_id long, at long, n_tokens long, ids_crc32 long"), "rans-read")
     bounded_batches(spark)
-    return out
+    return out.join(few(file_starts(files)), "file_no").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

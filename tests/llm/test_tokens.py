@@ -74,13 +74,28 @@ def test_token_files_round_trip(spark, edge_docs, edge_rows, no_docs):
     assert rans.decode(empty, tables).count() == 0
 
 
+def test_files_follow_each_other_in_many_ranges(spark, monkeypatch):
+    """Ranges that hold several files, and starts summed over files and ranges."""
+    monkeypatch.setattr(rans, "FILE_ROWS", 7)
+    monkeypatch.setattr(rans, "RANGES", 5)
+    docs = spark.createDataFrame([(i * 3 % 400, "word " * (i % 11)) for i in range(300)], "doc_id long, text string").repartition(3)
+    files, tables = rans.encode(docs, P.path("word_bpe_49k.json"))
+    rows = sorted(rans.decode(files, tables).collect(), key=lambda r: r.start)
+    assert files.count() > 15 and [r.doc_id for r in rows] == sorted(i * 3 % 400 for i in range(300))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False)) and rows[0].start == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 600_000])
 def test_blocks_of_any_length(n):
     ids = (np.random.default_rng(n).zipf(1.4, n) % 500).astype(np.uint16)
     tables = rans.Tables(np.bincount(ids, minlength=500))
     data = rans.write_file(np.array([7]), np.array([n]), ids, tables)
     assert (rans.read_file(data, tables)[2] == ids).all()
+    for first, many in ((0, n), (n // 2, 10), (n - 5, 50), (n // 3, n // 3), (n + 7, 3)):
+        assert (rans.read_range(data, max(0, first), many, tables) == ids[max(0, first) : max(0, first) + many]).all()
     if n:
+        points, index = rans.checkpoints(data, tables)
+        assert (rans.read_block(data, points[-1], tables) == ids[points[-1][0] :]).all() and index["n"].sum() == n
         broken = bytearray(data)
         broken[-1] ^= 1
         with pytest.raises(ValueError):
