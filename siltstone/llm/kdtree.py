@@ -1,9 +1,10 @@
 """Exact top-k inner-product search by KD-trees (operator 7).
 
 The vectors are dealt to shards of at most about ``shard_rows`` rows by a hash. Each shard is a KD-tree: median splits of
-the dimension with the widest spread, tight bounding boxes, leaves of ``leaf_rows``. A box bounds a query's inner product by
-sum(max(q * low, q * high)). Queries come in blocks of ``block_rows``; a search goes through leaves best bound first and
-stops at the k-th score known so far. That k-th score is propagated: the first round searches one shard for each block and
+the dimension with the widest spread, tight bounding boxes, leaves of ``leaf_rows``, boxes of boxes up to the root. A box
+bounds a query's inner product by sum(max(q * low, q * high)). Queries come in blocks of ``block_rows``; a search descends from
+the root past boxes that no query of the block needs, goes through the leaves best bound first, and stops at the k-th score
+known so far. That k-th score is propagated: the first round searches one shard for each block and
 its k-th scores are the starting bounds of all other shards in the second round.
 
 Components are integers (quantized before) and so are the scores: products are made in doubles where every partial sum is
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import bounded_batches, written
 
 
+#: Boxes that have one parent box.
+FAN = 8
+
+
 @dataclass(frozen=True)
 class Params:
     k: int = 20
@@ -59,11 +64,30 @@ class Tree:
         firsts = np.array(self.cuts[:-1], dtype=np.int64)
         self.low = np.minimum.reduceat(self.rows, firsts) if len(ids) else self.rows
         self.high = np.maximum.reduceat(self.rows, firsts) if len(ids) else self.rows
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds of the scores: one row a query, one column a leaf. max(q*l, q*h) = q+ * h - q- * l."""
+        # boxes of boxes, up to the root: neighbouring leaves have one parent split in common
+        self.inner, low, high = [], self.low, self.high
+        while len(low) > 1:
+            ends = np.arange(0, len(low), FAN)
+            low, high = np.minimum.reduceat(low, ends), np.maximum.reduceat(high, ends)
+            self.inner.append((low, high))
+
+    def bounds(self, queries: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Upper bounds of the scores: one row a query, one column a leaf. max(q*l, q*h) = q+ * h - q- * l.
+
+        From the root down: below a box that no query's k-th score lets in, leaves are left out (bound -inf).
+        """
         q = queries.astype(np.float64)
-        return np.maximum(q, 0) @ self.high.T - np.maximum(-q, 0) @ self.low.T + self.lost(q)
+        plus, minus, lost, floor = np.maximum(q, 0), np.maximum(-q, 0), self.lost(q), limit.astype(np.float64)[:, None]
+        alive = np.zeros(1, np.int64)
+        for level in range(len(self.inner) - 1, -1, -1):
+            low, high = self.inner[level]
+            bound = plus @ high[alive].T - minus @ low[alive].T + lost
+            below = len(self.inner[level - 1][0] if level else self.low)
+            alive = (alive[(bound >= floor).any(0)][:, None] * FAN + np.arange(FAN)).ravel()
+            alive = alive[alive < below]
+        out = np.full((len(q), len(self.low)), -np.inf)
+        out[:, alive] = plus @ self.high[alive].T - minus @ self.low[alive].T + lost
+        return out
 
     def reach(self, queries: np.ndarray) -> float:
         """The largest sum of a score's parts in absolute value."""
@@ -88,7 +112,7 @@ def search(tree: Tree, q_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray,
     score look at their next ``step`` leaves, and leaves shared by several queries are scored by one product.
     """
     n = len(q_ids)
-    bound = tree.bounds(queries)
+    bound = tree.bounds(queries, kth)
     turn = np.argsort(-bound, axis=1, kind="stable")
     exact = tree.reach(queries) < 2**53
     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
