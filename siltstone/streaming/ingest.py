@@ -47,14 +47,23 @@ def bucket_steps(tokens: float, at: float | None, times: list[float], rate: floa
 
 
 def limited(events: DataFrame, key: str, at: str, event: str, rate: float = 10.0, burst: float = 10.0) -> DataFrame:
-    """(key, event, allowed): a token bucket for each key over a table, in order of time and event."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event"])
-        return pd.DataFrame({"key": pdf["key"], "event": pdf["event"], "allowed": bucket_steps(0.0, None, pdf["t"].tolist(), rate, burst)[2]})
+    """(key, event, allowed): a token bucket for each key over a table, in order of time and event. Keys go by as sorted runs,
+    so that a task holds a batch of rows and one bucket, whatever a key's number of events."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, tokens, last = None, 0.0, None
+        for pdf in batches:
+            allowed: list[bool] = []
+            for k, part in pdf.groupby("key", sort=False, dropna=False):
+                k = None if pd.isna(k) else k
+                if now is None or k != now[0]:
+                    now, tokens, last = (k,), 0.0, None
+                tokens, last, ok = bucket_steps(tokens, last, part["t"].tolist(), rate, burst)
+                allowed += ok
+            yield pd.DataFrame({"key": pdf["key"], "event": pdf["event"], "allowed": allowed})
 
     rows = events.select(F.col(key).cast("long").alias("key"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"), F.col(event).cast("long").alias("event"))
-    return rows.groupBy("key").applyInPandas(run, "key long, event long, allowed boolean")
+    return rows.repartition("key").sortWithinPartitions("key", "t", "event").mapInPandas(run, "key long, event long, allowed boolean")
 
 
 def limited_stream(events: DataFrame, key: str, at: str, event: str, rate: float = 10.0, burst: float = 10.0) -> DataFrame:
