@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written and read again as the next one's input.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept. All but the last return the columns
-of ``documents``, extra ones included.
+of ``documents``, extra ones included, whatever their names. Null and empty texts pass all stages; a null id is a document
+like any other; an empty table gives no rows; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ NEAR = jaccard.Params(size=5, num=80, den=100)
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of any toxic grade reaches the decision threshold go; null texts stay."""
+    """Documents whose probability of any toxic grade reaches the decision threshold go; null and empty texts stay, repeated
+    rows share one fate. Without labels of both kinds nothing is toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_severity(docs, model, "__severity").where("not __severity.toxic").drop("__severity")
 
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates the one of smallest id stays, once if rows repeat it; unlike texts under one id are documents of
-    their own; rows without an id stay."""
+    their own; rows without an id stay, and so do null, empty and wordless texts, once for each id. Of rows that are alike in id
+    and set one stays."""
     rows = written(jaccard.placed(docs, NEAR).where("doc_id is not null"), "components")
     again = written(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated-ids")
     first = rows.where("component_id = doc_id").select(F.col("doc_id").alias("__id"), "sig", "root")
@@ -42,17 +45,18 @@ def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def repeated_strings_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that also start elsewhere and passages of over 50 words that stand in other texts too are cut out
-    of the texts; n_chars follows."""
+    of the texts; n_chars follows. No row goes; a text that stands in several rows goes whole, from each of them; what is cut
+    in the middle of a character takes the character along."""
     return suffix.without_repeats(docs, more=passages.shared_spans(docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def leaking_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, repeated ones each. Items without words match nothing."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the text as decoded from them."""
+    """doc_id, n_tokens, ids, and the text as decoded from them; a null text counts as empty; every row is encoded."""
     rows = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return rows.select("doc_id", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
 
