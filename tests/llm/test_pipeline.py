@@ -79,6 +79,35 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_odd_rows_go_through_all_stages(spark, edge_rows, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and ids, columns with the names that the stages use themselves."""
+    own = ("sig", "h", "data", "hit", "root", "component_id", "n_shingles", "item", "severity", "leak", "name", "times")
+    long = [(900, "one long word after another " * 20_000), (901, "x" * 300_000)]
+    rows = [(i, t, None, "s", None if t is None else len(t), *own) for i, t in [r[:2] for r in edge_rows] + long]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in own))
+    spark.createDataFrame([(1, 1, None), (None, 0, 1), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (None, "alpha beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame, seen = docs.repartition(3), []
+    for name, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, str(tmp_path))
+        frame.write.parquet(f"{tmp_path}/{name}")
+        frame = spark.read.parquet(f"{tmp_path}/{name}")
+        seen.append(frame.collect())
+    assert docs.count() == len(seen[0])  # one kind of label alone: nothing is toxic
+    ids = [{r.doc_id for r in f} for f in seen]
+    assert all(r.asDict()[c] == c for f in seen[:-1] for r in f for c in own)
+    # every text without words stays, texts that stand in several rows stay once
+    wordless = {i for i, t in (r[:2] for r in edge_rows) if not (t or "").split()}
+    assert wordless <= ids[1] and None in ids[1] and {900, 901} <= ids[1]
+    texts = [r.text for r in seen[1] if r.text and r.text.split()]
+    assert len(texts) == len(set(texts))
+    # what repeats within a text goes too
+    kept = {r.doc_id: r for r in seen[2]}
+    assert kept[900].text == "" and kept[901].text == "" and ids[2] == ids[1]
+    assert all(r.text is None or r.n_chars == len(r.text) for r in seen[2])
+    assert {r.doc_id for r in seen[4]} == ids[3] and all(r.n_tokens == len(r.ids) for r in seen[4])
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(1000 + i, 1001 + i) for i in range(30)]
