@@ -71,13 +71,13 @@ def few(df: DataFrame, rows: int = 1 << 19) -> DataFrame:
 class Bits:
     """A bit for each remainder of a column of longs, shared with the tasks: ``there`` is false only where no row has the value.
 
-    Eight to sixteen bits a row, up to ``most``. Beyond that (``full``) more values pass: it spares a shuffle, what is exact
+    ``a_row`` bits a row or up to twice as many, ``most`` in all. Beyond that (``full``) more values pass: it spares a shuffle, what is exact
     follows it.
     """
 
-    def __init__(self, nodes: DataFrame, column: str, most: int = 1 << 27):
+    def __init__(self, nodes: DataFrame, column: str, most: int = 1 << 27, a_row: int = 8):
         n = nodes.count()
-        self.bits, self.full = min(most, max(1 << 16, 1 << (8 * n).bit_length())), 8 * n > most
+        self.bits, self.full = min(most, max(1 << 16, 1 << (a_row * n).bit_length())), 8 * n > most
         at = nodes.select(F.pmod(F.col(column), F.lit(self.bits)).alias("at"))
         words = at.select(F.floor(F.col("at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
         got = words.groupBy("w").agg(F.expr("bit_or(bit)").alias("b")).toArrow()

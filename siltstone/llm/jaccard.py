@@ -11,10 +11,10 @@ the texts writes the sets; everything after it works on that table.
 3. Sketches. Instead of its tokens a set sends a parity sketch to its shared keys: bits that each of its tokens flips, so that
    two sets differ in at least as many tokens as their sketches in bits. Only sets that sizes and sketches leave a partner go
    on; nearly all sets that share no more than common lines end here.
-4. Groups. Sets near to one another get one label. Labels of more sets than a group holds are salted; sorted by label and salt,
+4. Groups. Sets near to one another, directly or by others, get one label. Labels of more sets than a group holds are salted; sorted by label and salt,
    sets are cut into groups of bounded size. A group is stored as its token union and, for each set, the columns it has there.
 5. Each group is opened on itself: the matrix times its transpose has all intersections. Links go to a spanning forest.
-   Heads of the components that arise are grouped and opened once more, which merges families larger than a group.
+   Families larger than a group are dealt to groups once more in another way, which merges most of what is left of them.
 6. Keys that still hold several components name queries for other groups, again by sizes and sketches. In the group, the
    overlap of the query with the token union bounds every intersection; only groups whose bound reaches the threshold are
    opened.
@@ -203,13 +203,12 @@ def prefixes(sets: list[np.ndarray], order: tuple[np.ndarray, np.ndarray], p: Pa
 
 
 def key_rows(sets: DataFrame, order, p: Params) -> DataFrame:
-    """(key, node) for each set and each of its keys; node is the first half of sig."""
+    """(key, node) for each set and each of its keys."""
 
     def make():
         def work(batch: pa.RecordBatch):
-            for sigs, keys, _ in keyed(batch, order.value, p):
-                node = np.array([int.from_bytes(s[:8], "big", signed=True) for s in sigs], np.int64)
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node, [len(k) for k in keys]))], ["key", "node"])
+            for nodes, keys, _ in keyed(batch, order.value, p):
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(nodes, [len(k) for k in keys]))], ["key", "node"])
 
         return work
 
@@ -217,11 +216,12 @@ def key_rows(sets: DataFrame, order, p: Params) -> DataFrame:
 
 
 def keyed(batch: pa.RecordBatch, order, p: Params):
-    """Parts of a batch as (sigs, keys, sets)."""
+    """Parts of a batch as (nodes, keys, sets); a node is the first half of sig."""
     for part in range(0, batch.num_rows, 64):
         some = batch.slice(part, 64)
         sets = [np.frombuffer(b, np.uint64) for b in some.column(1).to_pylist()]
-        yield some.column(0).to_pylist(), prefixes(sets, order, p), sets
+        nodes = np.array([int.from_bytes(x[:8], "big", signed=True) for x in some.column(0).to_pylist()], np.int64)
+        yield nodes, prefixes(sets, order, p), sets
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -235,27 +235,30 @@ def sketch(s: np.ndarray, bits: int) -> bytes:
 
 
 def sketch_rows(sets: DataFrame, shared: DataFrame, order, p: Params) -> DataFrame:
-    """(key, sig, n, sketch) of the sets at their shared keys; a filter may let through keys of a single set."""
-    bits = Bits(shared, "key")
+    """(key, node, n, sketch) of the sets at their shared keys; a filter may let through keys of a single set.
+
+    Partners are sought by node, so that rows are short. Sets of one node would have to meet at one key to be taken for one
+    another here; beyond this step sets are told apart by sig.
+    """
+    bits = Bits(shared, "key", a_row=32)
 
     def make():
         may = bits.there
 
         def work(batch: pa.RecordBatch):
-            for sigs, keys, sets_ in keyed(batch, order.value, p):
+            for nodes, keys, sets_ in keyed(batch, order.value, p):
                 lens = [len(k) for k in keys]
                 every = np.concatenate(keys)
                 hit = np.flatnonzero(may(every))
-                row = np.repeat(np.arange(len(sigs)), lens)[hit]
+                row = np.repeat(np.arange(len(nodes)), lens)[hit]
                 some = set(row.tolist())
                 sketches = [sketch(s, p.sketch_bits(len(s))) if i in some else b"" for i, s in enumerate(sets_)]
-                at = pa.array(row)
-                cols = [pa.array(every[hit].view(np.int64)), pa.array(sigs, pa.binary()).take(at), pa.array([len(s) for s in sets_], pa.int64()).take(at), pa.array(sketches, pa.binary()).take(at)]
-                yield pa.record_batch(cols, ["key", "sig", "n", "sketch"])
+                cols = [pa.array(every[hit].view(np.int64)), pa.array(nodes[row]), pa.array(np.array([len(s) for s in sets_], np.int64)[row]), pa.array(sketches, pa.binary()).take(pa.array(row))]
+                yield pa.record_batch(cols, ["key", "node", "n", "sketch"])
 
         return work
 
-    return map_rows(sets.where("tokens is not null").select("sig", "tokens"), make, "key long, sig binary, n long, sketch binary")
+    return map_rows(sets.where("tokens is not null").select("sig", "tokens"), make, "key long, node long, n long, sketch binary")
 
 
 class Sketch:
@@ -282,7 +285,7 @@ def by_block(rows: DataFrame, large: DataFrame, p: Params) -> DataFrame:
     """The rows with x and y: a key of many sets is dealt by pairs of blocks of its sets, so that no task holds more than two
     blocks of it and any two sets of it meet."""
     blocks = large.select("key", F.ceil(F.col("times") / p.block_rows).alias("blocks")).where("blocks > 1")
-    own = F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))
     dealt = rows.join(few(blocks), "key", "left").withColumn("own", own).withColumn("other", other)
     dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("own", "other", "blocks")
@@ -313,23 +316,22 @@ def by_key(look, names: list[str], kinds: tuple):
 
 
 def near_rows(keys: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
-    """(sig, label) of each set that has a partner at one of its keys; label is one of the sets it is near to."""
+    """(a, b): each set that has a partner at one of its keys, with one it is near to."""
 
     def look(held: list[list]):
-        return partners({sig: Sketch(n, blob) for sig, n, blob in held}, p)
+        return partners({node: Sketch(n, blob) for node, n, blob in held}, p)
 
-    rows = by_block(keys, shared, p).select("key", "x", "y", "sig", "n", "sketch")
-    return rows.mapInArrow(by_key(look, ["sig", "label"], (pa.binary(), pa.binary())), "sig binary, label binary").groupBy("sig").agg(F.min("label").alias("label"))
+    rows = by_block(keys, shared, p).select("key", "x", "y", "node", "n", "sketch")
+    return rows.mapInArrow(by_key(look, ["a", "b"], (pa.int64(), pa.int64())), "a long, b long").distinct()
 
 
-def partners(sets: dict[bytes, Sketch], p: Params):
-    """(sig, label) for every set that is near to another; families cost their size: their sets are compared with the leaders,
+def partners(sets: dict, p: Params):
+    """(set, other) for every set that is near to another; families cost their size: their sets are compared with the leaders,
     and with all others only if no leader is near."""
     leaders, others, alone = [], [], []
     for sig, s in sorted(sets.items()):
         met = next((x for x in leaders if s.near(sets[x], p)), None)
         for x in [x for x in alone if s.near(sets[x], p)]:
-            yield x, x
             yield sig, x
             alone.remove(x)
             leaders.append(x)
@@ -340,13 +342,13 @@ def partners(sets: dict[bytes, Sketch], p: Params):
                 alone.append(sig)
                 continue
             leaders.append(sig)
-            yield sig, sig
+            yield sig, met
         else:
             others.append(sig)
-        yield sig, met
+            yield sig, met
 
 
-def grouped(sets: DataFrame, p: Params) -> DataFrame:
+def grouped(sets: DataFrame, p: Params, seed: int = 0) -> DataFrame:
     """Rows (grp, sigs, lens, columns, tokens): sets sorted by label, cut into groups of bounded rows and tokens; tokens is the
     group's union, columns the places of each set's tokens there."""
     from pyspark import TaskContext
@@ -375,15 +377,15 @@ def grouped(sets: DataFrame, p: Params) -> DataFrame:
         if sigs:
             yield done()
 
-    dealt = salted(sets, p).repartition("label", "salt").sortWithinPartitions("label", "salt", "sig").select("sig", "tokens")
+    dealt = salted(sets, p, seed).repartition("label", "salt").sortWithinPartitions("label", "salt", "sig").select("sig", "tokens")
     return written(dealt.mapInArrow(run, "grp long, sigs array<binary>, lens binary, columns binary, tokens binary"), "groups")
 
 
-def salted(sets: DataFrame, p: Params) -> DataFrame:
+def salted(sets: DataFrame, p: Params, seed: int) -> DataFrame:
     """(sig, tokens, label, salt): a label with more sets than a group's rows is dealt over as many salts as groups."""
     large = sets.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > p.group_rows)
     salts = F.ceil(F.coalesce("n", F.lit(1)) / p.group_rows)
-    return sets.join(few(large), "label", "left").select("sig", "tokens", "label", F.pmod(F.xxhash64("sig"), salts).alias("salt"))
+    return sets.join(few(large), "label", "left").select("sig", "tokens", "label", F.pmod(F.xxhash64("sig", F.lit(seed)), salts).alias("salt"))
 
 
 def open_group(sigs: list[bytes], sizes: np.ndarray, columns: np.ndarray, p: Params) -> list[tuple[bytes, bytes]]:
@@ -436,6 +438,10 @@ def members(groups: DataFrame) -> DataFrame:
     return groups.select(F.explode("sigs").alias("sig"), "grp")
 
 
+def node_of(sig):
+    return F.conv(F.hex(F.substring(sig, 1, 8)), 16, -10).cast("long")
+
+
 def candidates(placed: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
     """(sig, comp, grp): queries and the groups they are sent to, from keys that hold several components."""
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
@@ -454,8 +460,9 @@ def candidates(placed: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
 
 def links_between(groups: DataFrame, sets: DataFrame, keys: DataFrame, shared: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
     """Links between different components: queries meet the groups they are sent to."""
-    member = written(members(groups).join(roots, F.col("sig") == F.col("node"), "left").select("sig", "grp", F.coalesce("root", "sig").alias("comp")), "members")
-    wanted = written(candidates(keys.join(few(member), "sig"), shared, p), "candidates")
+    member = written(members(groups).join(roots, F.col("sig") == F.col("node"), "left").select("sig", "grp", F.coalesce("root", "sig").alias("comp")).withColumn("own", node_of("sig")), "members")
+    placed = keys.join(few(member), F.col("node") == F.col("own")).select("key", "node", "sig", "grp", "comp", "n", "sketch")
+    wanted = written(candidates(placed, shared, p), "candidates")
     # large groups of queries are dealt over salts, the group goes to each of them
     salts = wanted.groupBy("grp").agg(F.ceil(F.count("*") / p.group_queries).alias("salts"))
     queries = wanted.join(salts, "grp").withColumn("salt", F.pmod(F.xxhash64("sig"), "salts")).select("grp", "salt", "sig", "comp")
@@ -478,7 +485,7 @@ def links_between(groups: DataFrame, sets: DataFrame, keys: DataFrame, shared: D
 def open_for(queries, sigs: list[bytes], comps: list[bytes], sizes: np.ndarray, columns: np.ndarray, union: np.ndarray, p: Params) -> list[tuple[bytes, bytes]]:
     """Links of queries (sig, comp, tokens) with a group's sets of other components; the bound by the union chooses the queries
     that open the group."""
-    matrix, out, comp_ = None, [], np.array(comps, object)
+    matrix, out, met, comp_ = None, [], set(), np.array(comps, object)
     for sig, comp, blob in queries:
         s = np.frombuffer(blob, np.uint64)
         at = np.minimum(np.searchsorted(union, s), len(union) - 1)
@@ -490,7 +497,9 @@ def open_for(queries, sigs: list[bytes], comps: list[bytes], sizes: np.ndarray,
             matrix[np.repeat(np.arange(len(sigs)), sizes), columns] = 1
         common = matrix[:, at].sum(1, dtype=np.int64)
         for k in np.flatnonzero((p.den * common >= p.num * (len(s) + sizes - common)) & (comp_ != comp)).tolist():
-            out.append((sig, sigs[k]))
+            if (comp, comps[k]) not in met:  # one link joins two components
+                met.add((comp, comps[k]))
+                out.append((sig, sigs[k]))
     return out
 
 
@@ -508,15 +517,18 @@ def placed(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", t
     order = spark.sparkContext.broadcast(token_order(every, p))
     shared = written(shared_keys(key_rows(every, order, p)), "shared-keys")
     keys = written(sketch_rows(every, shared, order, p), "keys")
-    wanted = written(near_rows(keys, shared, p), "wanted")
-    sets = written(every.where("tokens is not null").select("sig", "tokens").join(few(wanted), "sig").dropDuplicates(["sig"]), "wanted-sets")
+    wanted = components(near_rows(keys, shared, p)).select("node", F.col("root").alias("label"))
+    whole = every.where("tokens is not null").select("sig", "tokens", node_of("sig").alias("node"))
+    sets = written(whole.join(few(wanted), "node").drop("node").dropDuplicates(["sig"]), "wanted-sets")
     drop_written(spark, every)
     groups = grouped(sets, p)
     bounded_batches(spark, 64)  # a row is a group
     first = written(links_within(groups, p), "within")
     roots = components(first)
-    heads = sets.join(roots, F.col("sig") == F.col("node"), "left").where("root is null or root = sig").select("sig", "tokens", "label")
-    second = written(links_within(grouped(heads, p), p), "heads")
+    # labels of more sets than a group holds are dealt once more in another way, unless they are one component by now
+    placed_ = sets.join(roots, F.col("sig") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sig"))
+    mixed = placed_.groupBy("label").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("n") > p.group_rows) & (F.col("lo") != F.col("hi"))).select("label")
+    second = written(links_within(grouped(sets.join(few(written(mixed, "mixed")), "label", "left_semi"), p, 1), p), "again")
     roots = components(first.unionByName(second))
     third = written(links_between(groups, sets, keys, shared, roots, p), "between")
     roots = components(first.unionByName(second).unionByName(third))
