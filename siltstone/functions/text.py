@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from siltstone import config as C
 
+#: Patterns that results depend on.
 SENTENCE = r"""(?<=[.!?])\s+(?=[A-Z0-9"'(\[])"""
 CAPITALISED = r"\b[A-Z][A-Za-z0-9_-]{2,}\b"
 ACRONYM = r"\b[A-Z]{2,6}\b"
 MARKER = r"\[(\d{1,2})\]"
+LIST_ITEM = r"^\s*(?:[-*•–]|\d+[.)])\s+"
+LEAVES_FOLDER = r"(^|/)\.\.(/|$)|^/|^[A-Za-z]:"
+JUNK_ENTRY = r"(^|/)(__MACOSX|\.DS_Store|Thumbs\.db|\.git)(/|$)|(^|/)\._"
+STANDALONE_CAPTION = r"(?i)^\s*(?:figure|fig\.?|table|chart|diagram|plate|exhibit)\s*[0-9]+"
 
 
 def chain(text: Column, *steps: tuple[str, str]) -> Column:
@@ -120,11 +125,11 @@ def signature_fits(filename: Column, head: Column) -> Column:
 
 def escapes(name: Column) -> Column:
     """A path that would leave its folder."""
-    return F.regexp_replace(name, r"\\", "/").rlike(r"(^|/)\.\.(/|$)|^/|^[A-Za-z]:")
+    return F.regexp_replace(name, r"\\", "/").rlike(LEAVES_FOLDER)
 
 
 def junk_entry(name: Column) -> Column:
-    return name.rlike(r"(^|/)(__MACOSX|\.DS_Store|Thumbs\.db|\.git)(/|$)") | name.rlike(r"(^|/)\._") | name.endswith("/")
+    return name.rlike(JUNK_ENTRY) | name.endswith("/")
 
 
 def lucene_escaped(term: Column) -> Column:
@@ -259,9 +264,6 @@ def hashed_vector(dim: int = 64):
     return encode
 
 
-STANDALONE_CAPTION = r"(?i)^\s*(?:figure|fig\.?|table|chart|diagram|plate|exhibit)\s*[0-9]+"
-
-
 def standalone_caption(text: Column) -> Column:
     """A caption that can stand as a block of its own: it names its figure or table and has six words or more."""
     return F.coalesce(text.rlike(STANDALONE_CAPTION) & (word_count(text) >= 6), F.lit(False))
@@ -294,3 +296,16 @@ def split_header(rows: Column) -> Column:
     """struct(header, body) of a table's rows."""
     n = header_rows(rows)
     return F.struct(merged_rows(F.slice(rows, F.lit(1), n)).alias("header"), F.slice(rows, n + 1, F.greatest(F.size(rows) - n, F.lit(0))).alias("body"))
+
+
+def image_size(content: Column) -> Column:
+    """struct(format, width, height) from the first bytes of PNG, GIF and BMP files; null for others."""
+    shown = F.hex(F.substring(content, 1, 30))
+    number = lambda at, n: F.conv(F.substring(shown, 2 * at + 1, 2 * n), 16, 10).cast("long")
+    little = lambda at, n: F.conv(F.concat(*[F.substring(shown, 2 * (at + i) + 1, 2) for i in reversed(range(n))]), 16, 10).cast("long")
+    of = lambda name, w, h: F.struct(F.lit(name).alias("format"), w.alias("width"), h.alias("height"))
+    return (
+        F.when(shown.startswith("89504E470D0A1A0A") & (F.length(shown) >= 48), of("png", number(16, 4), number(20, 4)))
+        .when(shown.startswith("47494638") & (F.length(shown) >= 20), of("gif", little(6, 2), little(8, 2)))
+        .when(shown.startswith("424D") & (F.length(shown) >= 52), of("bmp", little(18, 4), little(22, 4)))
+    )

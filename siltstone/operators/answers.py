@@ -127,7 +127,7 @@ def claim_units(answer: Column) -> Column:
 
     def step(acc: Column, line: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
-        is_item = line.rlike(r"^\s*(?:[-*•–]|\d+[.)])\s+")
+        is_item = line.rlike(T.LIST_ITEM)
         grows = is_item & F.coalesce(last["open"], F.lit(False))
         closed = F.when(F.size(acc) == 0, acc).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["list"].alias("list"), F.lit(False).alias("open"), last["text"].alias("text")))))
         grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.lit(True).alias("list"), F.lit(True).alias("open"), F.concat(last["text"], F.lit(" "), line).alias("text"))))

@@ -16,6 +16,17 @@ def tenant(rows: DataFrame, **equal) -> DataFrame:
     return rows
 
 
+def owned(rows: DataFrame, user_id: str, owner: str = "user_id") -> DataFrame:
+    """Only a user's own rows; others are as if they weren't there, and rows without an owner belong to nobody."""
+    return rows.where(F.col(owner) == F.lit(user_id))
+
+
+def with_name(rows: DataFrame, named: DataFrame, on: str, key: str, name: str, default: str | None = None) -> DataFrame:
+    """The rows with the name that ``named`` (key, name) has for them, else the default."""
+    out = rows.join(named.select(F.col(key).alias("__key"), F.col(name).alias("__name")), F.col(on) == F.col("__key"), "left")
+    return out.withColumn(name, F.coalesce("__name", F.lit(default))).drop("__key", "__name")
+
+
 def page(rows: DataFrame, order: list, limit: int = 50, offset: int = 0) -> DataFrame:
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(1, min(100, limit)))
 
@@ -119,6 +130,16 @@ def repeated_lines(pages: DataFrame, doc: str, page_no: str, text: str, share: f
     return counted.join(total, doc).where(F.col("pages") >= F.greatest(F.lit(2), F.floor(F.col("total") * share))).select(doc, "line", "pages")
 
 
+def without_furniture(lines: DataFrame, repeated: DataFrame, doc: str, margin: float = 0.07) -> DataFrame:
+    """Lines (doc, text, y0, y1, height) but those in the top or bottom margin that are running heads of the document (as
+    ``repeated_lines`` has them) or bare page numbers of up to four digits."""
+    inside = (F.col("y1") > margin * F.col("height")) & (F.col("y0") < (1 - margin) * F.col("height"))
+    shown = F.regexp_replace(T.squeezed(F.col("text")), "[0-9]", "#")
+    marked = lines.withColumn("__line", shown).join(repeated.select(F.col(doc).alias("__doc"), F.col("line").alias("__head")).distinct(), (F.col(doc) == F.col("__doc")) & (F.col("__line") == F.col("__head")), "left")
+    bare = F.trim("text").rlike("^[0-9]{1,4}$")
+    return marked.where(inside | (F.col("__head").isNull() & ~bare)).select(*lines.columns)
+
+
 def profile_line(documents: DataFrame, key: str, name: str, at: str, show: int = 6) -> DataFrame:
     """(key, profile): the first names and how many more there are. Only each partition's first ones are shuffled."""
     order = Window.partitionBy(key).orderBy(at, name)

@@ -565,9 +565,9 @@ def orphan_documents(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderstatus, coalesce(c_name, 'unknown') AS owner FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
 def owner_names(spark, sf_dir):
-    owners = t(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
-    orders = t(spark, sf_dir, "orders")
-    return orders.join(owners, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_orderstatus", F.coalesce("c_name", F.lit("unknown")).alias("owner"))
+    owners = t(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", F.col("c_name").alias("owner"))
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    return explore.with_name(orders, owners, "o_custkey", "c_custkey", "owner", "unknown").drop("o_custkey")
 
 
 @query(

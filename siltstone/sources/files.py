@@ -182,7 +182,7 @@ def zip_entries(files: DataFrame) -> DataFrame:
                 reason = None
                 if re.search(r"(^|/)(__MACOSX|\.DS_Store|Thumbs\.db|\.git)(/|$)|(^|/)\._|/$", name):
                     reason = "junk"
-                elif re.search(r"(^|/)\.\.(/|$)|^/|^[A-Za-z]:", info.filename.replace("\\", "/")):
+                elif re.search(T.LEAVES_FOLDER, info.filename.replace("\\", "/")):
                     reason = "path"
                 elif info.external_attr >> 28 == 0o12:
                     reason = "symlink"
@@ -220,13 +220,29 @@ def zip_entries(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ENTRIES)
 
 
+IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".gif")
+
+
+def image_blocks(files: DataFrame, caption: Column | None = None, ocr: Column | None = None) -> DataFrame:
+    """A block for each image: its name, title, caption, text and size. ``caption`` and ``ocr`` are what models give for
+    ``content``; without them an image has no more than its name and size."""
+    words = F.lower(T.squeezed(F.regexp_replace(stem(F.col("path")), "[_-]+", " ")))
+    size = T.image_size(F.col("content"))
+    none = F.lit(None).cast("string")
+    read_, told = (F.coalesce(F.when(F.trim(c) != "", F.trim(c)), none) if c is not None else none for c in (ocr, caption))
+    shape = F.concat(F.lit("Size: "), size["width"].cast("string"), F.lit(" x "), size["height"].cast("string"))
+    text = F.concat_ws("\n", F.concat(F.lit("Image: "), F.regexp_extract("path", "[^/]+$", 0)), F.concat(F.lit("Title: "), words), told, read_, shape)
+    modality = F.when(read_.isNotNull(), "ocr").otherwise("caption")
+    return files.select("path", F.lit(1).alias("seq"), text.alias("text"), none.alias("section"), modality.alias("modality"), none.alias("error"))
+
+
 def blocks(files: DataFrame) -> DataFrame:
     """All formats by ending; what has no parser here gives a row with its error."""
     end = T.ending(F.col("path"))
-    known = (".txt", ".md", ".markdown", ".json", ".docx")
+    known = (".txt", ".md", ".markdown", ".json", ".docx", *IMAGES)
     other = files.where(~end.isin(*known)).select("path", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("modality"), F.lit("no parser").alias("error"))
     out = plain_blocks(files.where(end == ".txt"))
-    for part in (markdown_blocks(files.where(end.isin(".md", ".markdown"))), json_blocks(files.where(end == ".json")), docx_blocks(files.where(end == ".docx")), other):
+    for part in (markdown_blocks(files.where(end.isin(".md", ".markdown"))), json_blocks(files.where(end == ".json")), docx_blocks(files.where(end == ".docx")), image_blocks(files.where(end.isin(*IMAGES))), other):
         out = out.unionByName(part)
     return out
 

@@ -201,3 +201,22 @@ def test_layout(spark):
         spark.createDataFrame([(1, 205.0, 210.0, "plain text"), (1, 300.0, 310.0, "Figure 1 shows it"), (1, 325.0, 330.0, "Figure 2"), (2, 140.0, 150.0, "far")], "page int, y0 double, y1 double, text string"),
     )
     assert rows(near) == [(1, "Figure 1 shows it")]
+
+
+def test_images_and_furniture(spark):
+    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"x" * 9
+    gif, bmp = b"GIF89a" + (30).to_bytes(2, "little") + (20).to_bytes(2, "little") + b"x" * 20, b"BM" + b"\0" * 16 + (7).to_bytes(4, "little") + (9).to_bytes(4, "little") + b"x" * 9
+    made = spark.createDataFrame([("/a/My_red-boat.png", png), ("/a/b.gif", gif), ("/a/c.bmp", bmp), ("/a/d.jpg", b"\xff\xd8\xff"), ("/a/e.png", b"\x89PNG")], "path string, content binary")
+    got = {r.path: (r.text, r.modality, r.error) for r in files.blocks(made).collect()}
+    assert got["/a/My_red-boat.png"] == ("Image: My_red-boat.png\nTitle: my red boat\nSize: 640 x 480", "caption", None)
+    assert got["/a/b.gif"][0].endswith("Size: 30 x 20") and got["/a/c.bmp"][0].endswith("Size: 7 x 9")
+    assert got["/a/d.jpg"][0] == "Image: d.jpg\nTitle: d" and "Size" not in got["/a/e.png"][0]
+    read = files.image_blocks(made.where("path like '%gif'"), ocr=F.lit(" three real words ")).first()
+    assert read.modality == "ocr" and "three real words" in read.text
+    lines = spark.createDataFrame([(1, "Report 7", 10.0, 20.0), (1, "12", 980.0, 990.0), (1, "Report 7", 500.0, 510.0), (1, "Other", 10.0, 20.0), (2, "Report 7", 10.0, 20.0)], "doc int, text string, y0 double, y1 double").withColumn("height", F.lit(1000.0))
+    heads = spark.createDataFrame([(1, "Report #", 3)], "doc int, line string, pages int")
+    assert rows(explore.without_furniture(lines, heads, "doc").select("doc", "text", "y0")) == [(1, "Other", 10.0), (1, "Report 7", 500.0), (2, "Report 7", 10.0)]
+    mine = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, user_id string")
+    assert rows(explore.owned(mine, "a")) == [(1, "a")]
+    named = explore.with_name(spark.createDataFrame([(1, 5), (2, 6)], "id int, doc_id int"), spark.createDataFrame([(5, "x.pdf")], "doc_id int, filename string"), "doc_id", "doc_id", "filename", "unknown")
+    assert rows(named) == [(1, 5, "x.pdf"), (2, 6, "unknown")]
