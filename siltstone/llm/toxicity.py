@@ -66,8 +66,8 @@ def hasher(bits: int) -> Cache:
     return Cache(lambda w: word_features(w, bits))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, params: Params, doc_id: str, text: str, label: str) -> list[tuple[int, list[int]]]:
-    """(label, features) of the sample; bounded by ``sample_rows``."""
+def training_rows(docs: DataFrame, labels: DataFrame, params: Params, doc_id: str, text: str, label: str) -> list[tuple[int, np.ndarray]]:
+    """(label, features) of the sample; bounded by ``sample_rows``. The features come as one array, not as objects."""
     spark = docs.sparkSession
     chosen = (
         labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1))
@@ -88,21 +88,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, params: Params, doc_id: st
 
     # the sample is bounded by sample_rows, so it is broadcast
     found = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("id")).groupBy("id").agg(F.first("y").alias("y"), F.max(text).alias("t"))
-    return [(r.y, r.f) for r in found.select("id", "y", map_column(make, "array<int>")(F.col("t")).alias("f")).orderBy("id").collect()]
+    got = found.select("id", "y", map_column(make, "array<int>")(F.col("t")).alias("f")).orderBy("id").toArrow().combine_chunks()
+    if not got.num_rows:
+        return []
+    lists = got.column("f").combine_chunks()
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return list(zip(got.column("y").to_pylist(), np.split(lists.flatten().to_numpy(), ends[:-1]), strict=True))
 
 
-def fit(rows: list[tuple[int, list[int]]], params: Params) -> Model:
+def fit(rows: list[tuple[int, list[int] | np.ndarray]], params: Params) -> Model:
     y = np.array([r[0] for r in rows], dtype=np.int64)
     if len(y) == 0 or y.min() == y.max():
         return Model({}, (50.0,) * (params.grades - 1), params.bits)
     lens = np.array([len(r[1]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), lens)
-    col = np.concatenate([np.asarray(r[1], dtype=np.int64) for r in rows]) if lens.sum() else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
+    col = np.concatenate([np.asarray(r[1], dtype=np.int32) for r in rows]) if lens.sum() else np.zeros(0, np.int32)
     names, col, seen = np.unique(col, return_inverse=True, return_counts=True)
     keep = seen >= params.least_docs
     renumber = np.cumsum(keep) - 1
     sel = keep[col]
-    row, col, names = row[sel], renumber[col[sel]], names[keep]
+    row, col, names = row[sel], renumber[col[sel]].astype(np.int32), names[keep]
     d, n = len(names), len(rows)
     pos = np.bincount(col, weights=(y == 1)[row], minlength=d)
     neg = np.bincount(col, weights=(y == 0)[row], minlength=d)
