@@ -69,25 +69,31 @@ def few(df: DataFrame, rows: int = 1 << 19) -> DataFrame:
 
 
 class Bits:
-    """A bit for each remainder of a column of longs, shared with the tasks: ``there`` is false only where no row has the value.
+    """A Bloom filter of a column of 64-bit hashes, shared with the tasks: ``there`` is false only where no row has the value.
 
-    ``a_row`` bits a row or up to twice as many, ``most`` in all. Beyond that (``full``) more values pass: it spares a shuffle, what is exact
-    follows it.
+    Three bits for each row among 32 to 64 times as many, ``most`` in all. Up to that one other value in a thousand passes;
+    beyond it (``full``) more do: it spares a shuffle, what is exact follows it.
     """
 
-    def __init__(self, nodes: DataFrame, column: str, most: int = 1 << 27, a_row: int = 8):
+    SHIFTS = (0, 19, 37)
+
+    def __init__(self, nodes: DataFrame, column: str, most: int = 1 << 28):
         n = nodes.count()
-        self.bits, self.full = min(most, max(1 << 16, 1 << (a_row * n).bit_length())), 8 * n > most
-        at = nodes.select(F.pmod(F.col(column), F.lit(self.bits)).alias("at"))
-        words = at.select(F.floor(F.col("at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+        self.bits, self.full = min(most, max(1 << 16, 1 << (32 * n).bit_length())), 12 * n > most
+        mask = F.lit(self.bits - 1)
+        spots = F.explode(F.array(*[F.shiftrightunsigned(F.col(column), s).bitwiseAND(mask) for s in self.SHIFTS]))
+        words = nodes.select(spots.alias("at")).select(F.shiftright("at", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
         got = words.groupBy("w").agg(F.expr("bit_or(bit)").alias("b")).toArrow()
         table_ = np.zeros(self.bits // 64, np.uint64)
         table_[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
         self.shared = nodes.sparkSession.sparkContext.broadcast(table_)
 
     def there(self, values: np.ndarray) -> np.ndarray:
-        at = values.view(np.uint64) & np.uint64(self.bits - 1)
-        return (self.shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        table_, values, out = self.shared.value, values.view(np.uint64), np.ones(len(values), bool)
+        for s in self.SHIFTS:
+            at = (values >> np.uint64(s)) & np.uint64(self.bits - 1)
+            out &= (table_[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
 
 
 def maybe(nodes: DataFrame, column: str):
@@ -155,6 +161,11 @@ def kept(key: tuple, make: Callable):
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drops what the worker keeps; for stages that keep nothing and need the room."""
+    _KEPT.clear()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words: runs of 0-9, a-z and everything beyond ASCII, as UTF-8."""
     return text.encode().translate(WORD_BYTES).split() if text else []

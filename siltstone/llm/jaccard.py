@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Bits, bounded_batches, drop_written, few, map_column, map_rows, written
+from siltstone.llm.common import Bits, bounded_batches, drop_written, few, forget, map_column, map_rows, written
 from siltstone.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -132,6 +132,7 @@ def set_rows(src: DataFrame, p: Params) -> DataFrame:
         return pa.record_batch([pa.array([x], k) for x, k in zip((None, None, None, None, blob), kinds, strict=True)], names)
 
     def run(batches):
+        forget()
         seen, window, held = set(), [], 0
         for batch in batches:
             for part in range(0, batch.num_rows, 128):
@@ -240,7 +241,7 @@ def sketch_rows(sets: DataFrame, shared: DataFrame, order, p: Params) -> DataFra
     Partners are sought by node, so that rows are short. Sets of one node would have to meet at one key to be taken for one
     another here; beyond this step sets are told apart by sig.
     """
-    bits = Bits(shared, "key", a_row=32)
+    bits = Bits(shared, "key")
 
     def make():
         may = bits.there

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Bits, bounded_batches, drop_written, few, map_rows, maybe, written
+from siltstone.llm.common import Bits, bounded_batches, drop_written, few, forget, map_rows, maybe, written
 
 
 @dataclass(frozen=True)
@@ -235,6 +235,8 @@ def owner_rows(src: DataFrame, p: Params, find=owners, known: Bits | None = None
     ``known``, only owners that may be among those."""
 
     def make():
+        forget()
+
         def work(batch: pa.RecordBatch):
             seen: set[int] = set()
             for text, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -152,7 +152,7 @@ def severity(text: Column, model: Model, params: Params = Params()) -> Column:
     weights, bits, decision = model.weights, model.bits, params.decision
 
     def make():
-        memo = kept(("toxicity", hash(model.cuts), len(weights)), lambda: Cache(lambda w: tuple(h for h in word_features(w, bits) if h in weights)))
+        memo = kept(("toxicity", hash(model.cuts), len(weights)), lambda: Cache(lambda w: tuple(h for h in word_features(w, bits) if h in weights), 100_000))
 
         def work(texts: list) -> pa.Array:
             out = []
