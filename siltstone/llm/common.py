@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: whole texts travel, so a batch of long documents must stay in tens of megabytes.
@@ -45,6 +45,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def boxed(docs: DataFrame, **needed: Column) -> DataFrame:
+    """(row, needed...): all columns in one struct, so that no name of theirs meets a name of an operator's own."""
+    names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    return docs.select(F.struct(*names).alias("row"), *[c.alias(name) for name, c in needed.items()])
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from rows of ``boxed``, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and returns them as read from there. Row groups are small, as a
     writing task holds one in memory."""

@@ -4,8 +4,9 @@ The test items are indexed: postings by term in item order, cut into blocks of `
 impact in it. Impacts are BM25 weights divided by the item's score for its own text, so 1 means that all of an item's
 weight is met. Every text is a row of overlapping passages (windows of twice the longest item, a stride of once), and each
 passage is a query. Terms that are common to many items and together stay below half the threshold are non-essential: a
-passage whose other terms can't reach the rest is skipped. The sums of block maxima leave out all blocks that can't reach the
-threshold; in what is left the terms' cursors go by item: the pivot is the first item at which the maxima of the terms up to
+passage whose other terms can't reach the rest is skipped. Only blocks that essential terms stand in are looked at: their
+maxima, with the most that the passage's common terms can add, leave out all blocks that can't reach the threshold, so the long
+posting lists are never gone through. In what is left the terms' cursors go by item: the pivot is the first item at which the maxima of the terms up to
 there reach the threshold, terms before it seek to it, and only items that all of them have reached are scored. All items at
 or above the threshold are retrieved.
 
@@ -27,6 +28,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded_batches, map_column, map_rows, words_of, written
+from siltstone.llm.common import bounded_batches, boxed, map_column, map_rows, unboxed, words_of, written
 
 
 @dataclass(frozen=True)
@@ -120,19 +122,23 @@ class Index:
             b, first = np.unique(np.array(i) // params.block_items, return_index=True)
             self.blocks.append(b)
             self.maxima.append(np.maximum.reduceat(np.array(s), first))
-        self.n_blocks = -(-len(self.ids) // params.block_items)
         upper = np.array([max(s) for s in self.impacts] + [0.0])  # the last is for words of no item
         common = np.cumsum(upper[:-1]) <= params.threshold / 2
         self.rest = float(upper[:-1][common].sum())
+        self.common = np.append(np.where(common, upper[:-1], 0.0), 0.0)
         upper[:-1][common] = 0.0
         self.essential = upper
 
     def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """All (item, score) at or above the threshold for a passage's distinct terms."""
         least = self.p.threshold - 1e-9
-        bound = np.bincount(np.concatenate([self.blocks[t] for t in terms]), np.concatenate([self.maxima[t] for t in terms]), self.n_blocks)
+        essential = terms[self.essential[terms] > 0]
+        if not len(essential):
+            return []
+        touched, at = np.unique(np.concatenate([self.blocks[t] for t in essential]), return_inverse=True)
+        bound = np.bincount(at, np.concatenate([self.maxima[t] for t in essential]))
         out = []
-        for block in np.flatnonzero(bound >= least).tolist():
+        for block in touched[bound >= least - self.common[terms].sum()].tolist():
             out += self.within(block, terms.tolist(), least)
         return out
 
@@ -205,21 +211,20 @@ class Index:
         return [found[i] for i in sorted(found)]
 
 
-def indexes(benchmark: DataFrame, params: Params = Params(), item_id: str = "item_id", text: str = "text") -> list[Index]:
-    """One index for each shard of the benchmark."""
+def indexes(benchmark: DataFrame, params: Params = Params(), item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
+    """One index for each shard of the benchmark, one at a time."""
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("t is not null")
     shards = max(1, -(-items.count() // params.shard_items))
     shard = F.pmod(F.xxhash64("t"), F.lit(shards))
     if shards == 1:
-        return [Index([(r.id, r.t) for r in items.orderBy("id", "t").collect()], params)]
+        yield Index([(r.id, r.t) for r in items.orderBy("id", "t").collect()], params)
+        return
     words = map_rows(items.select("t", shard.alias("shard")), word_rows, "shard long, n long, term binary")
     n, mean, longest = words.where("n > 0").agg(F.count("n"), F.avg("n"), F.max("n")).first()
     df = written(words.where("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.collect_set("shard").alias("shards")), "term-counts")
-    out = []
     for s in range(shards):
         counts = dict((bytes(r.term), r.df) for r in df.where(F.array_contains("shards", s)).select("term", "df").collect())  # terms of one shard's items
-        out.append(Index([(r.id, r.t) for r in items.where(shard == s).orderBy("id", "t").collect()], params, Stats(n, float(mean or 0), longest or 1, counts)))
-    return out
+        yield Index([(r.id, r.t) for r in items.where(shard == s).orderBy("id", "t").collect()], params, Stats(n, float(mean or 0), longest or 1, counts))
 
 
 def word_rows():
@@ -262,8 +267,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), doc_
 def clean(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), text: str = "text") -> DataFrame:
     """The documents, all columns kept, that leak no item."""
     spark = bounded_batches(docs.sparkSession)
-    columns = docs.columns
-    for k, index in enumerate(indexes(benchmark, params)):
-        name = f"__leaks_{k}"
-        docs = docs.withColumn(name, leak_column(F.col(text), index, spark)).where(F.size(name) == 0).select(*columns)
-    return docs
+    rows = boxed(docs, text=F.col(text).cast("string"))
+    for index in indexes(benchmark, params):
+        rows = rows.where(F.size(leak_column(F.col("text"), index, spark)) == 0)
+    return unboxed(rows, docs)

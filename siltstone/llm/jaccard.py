@@ -3,21 +3,24 @@
 A document's set holds 64-bit hashes of its distinct word shingles; equal sets (by a 128-bit hash) are one node. One pass over
 the texts writes the sets; everything after it works on that table.
 
-1. Token order. All sets are counted in windows of ``window_tokens`` tokens; what stands in several sets of a window is
-   frequent. Tokens are ordered by that count, then by hash: any order that all sets share serves, a rare-first one names the
-   fewest candidates. The table of frequent tokens has at most ``order_tokens`` rows, the most frequent ones.
-2. Prefixes. Linked sets have at least ``ceil(n * num / den)`` tokens in common, so they share one of the first
-   ``n - ceil(n * num / den) + 1`` tokens of each in that order. Tokens that are such keys of two or more sets are shared keys.
-3. Sketches. Instead of its tokens a set sends a parity sketch to its shared keys: bits that each of its tokens flips, so that
-   two sets differ in at least as many tokens as their sketches in bits. Only sets that sizes and sketches leave a partner go
-   on; nearly all sets that share no more than common lines end here.
-4. Groups. Sets near to one another, directly or by others, get one label. Labels of more sets than a group holds are salted; sorted by label and salt,
-   sets are cut into groups of bounded size. A group is stored as its token union and, for each set, the columns it has there.
-5. Each group is opened on itself: the matrix times its transpose has all intersections. Links go to a spanning forest.
+1. Loners. A linked set has ``ceil(n * num / den)`` tokens in common with its partner, so all of these stand in two sets at
+   least. Tokens are dealt by range, as 32 sorted bits each with the number of the set in its window, and come back as the
+   numbers of sets whose tokens stand elsewhere; sets with too few of them link with nothing and go no further. (Tokens that
+   are taken for one another by chance let a set through, they leave none out.)
+2. Prefixes. The tokens of what is left are counted over all of it and ordered by that count, then by hash: any order that all
+   sets share serves, a rare-first one names the fewest candidates. Linked sets share one of the first
+   ``n - ceil(n * num / den) + 1`` tokens of each. Only (token, set) travels. Sets that share such keys, directly or by
+   others, get one label.
+3. Groups. Labels of more sets than a group holds are salted; sorted by label and salt, sets are cut into groups of bounded size.
+   A group is stored as its token union and, for each set, the columns it has there.
+4. Each group is opened on itself: the matrix times its transpose has all intersections. Links go to a spanning forest.
    Families larger than a group are dealt to groups once more in another way, which merges most of what is left of them.
-6. Keys that still hold several components name queries for other groups, again by sizes and sketches. In the group, the
-   overlap of the query with the token union bounds every intersection; only groups whose bound reaches the threshold are
-   opened.
+5. Labels that stand in several groups and components name queries for other groups. There, and only there, sets are compared
+   by parity sketches: bits that each of a set's tokens flips, so that two sets differ in at least as many tokens as their
+   sketches in bits. A set is sent once for its label (a label of very many sets is gone through key by key), to sets of sizes
+   that allow a link; sketches have a largest size, so that long texts cost no more than others.
+6. In the group, the overlap of the query with the token union bounds every intersection; only groups whose bound reaches the
+   threshold are opened.
 
 The result needs components, not all links, so pairs within a component are not looked at again: no link between different
 components is lost, and large families of copies cost their size, not its square.
@@ -35,10 +38,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Bits, bounded_batches, drop_written, few, forget, map_column, map_rows, written
+from siltstone.llm.common import bounded_batches, drop_written, few, forget, map_column, map_rows, maybe, written
 from siltstone.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -52,8 +56,11 @@ class Params:
     den: int = 100
     group_rows: int = 256
     group_tokens: int = 65_536
-    window_tokens: int = 1 << 20
+    window_tokens: int = 1 << 20  # tokens of a window; it has no more sets than 16 bits can tell apart
+    part_tokens: int = 1 << 20  # tokens of a range that one task counts
     order_tokens: int = 1 << 20
+    sketch_most: int = 8192
+    label_sets: int = 1 << 16  # sets of a label that are compared as one
     block_rows: int = 2048  # sets of one key that are compared by sketches at once
     group_queries: int = 1024  # queries that one opening of a group serves
 
@@ -61,7 +68,11 @@ class Params:
         return n + 1 - -(-n * self.num // self.den)
 
     def sketch_bits(self, n: int) -> int:
-        return max(256, 1 << (8 * n * (self.den - self.num) // (self.den + self.num)).bit_length())
+        return min(self.sketch_most, max(256, 1 << (32 * n * (self.den - self.num) // (self.den + self.num)).bit_length()))
+
+    def least(self, n):
+        """Tokens that a set of n has in common with any set it links with."""
+        return -(-n * self.num // self.den)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -116,62 +127,124 @@ def signatures(p: Params):
     return map_column(make, "binary")
 
 
-SETS = "doc_id long, n long, sig binary, tokens binary, heavy binary"
+SETS = "doc_id long, n long, sig binary, tokens binary, win long, at int"
 
 
 def set_rows(src: DataFrame, p: Params) -> DataFrame:
-    """A row (doc_id, n, sig, tokens) for each text, tokens null where the task has given that set before; and rows without n,
-    whose ``heavy`` has the tokens and counts of those that stand in three or more sets of a window."""
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    names = ["doc_id", "n", "sig", "tokens", "heavy"]
+    """A row (doc_id, n, sig, tokens, win, at) for each text; tokens, and the set's window and number there, are null where the task
+    has given that set before."""
+    from pyspark import TaskContext
 
-    def heavy(window: list[np.ndarray]) -> pa.RecordBatch:
-        token, count = np.unique(np.concatenate(window), return_counts=True)
-        often = count >= 3
-        blob = token[often].tobytes() + count[often].astype("<u8").tobytes()
-        return pa.record_batch([pa.array([x], k) for x, k in zip((None, None, None, None, blob), kinds, strict=True)], names)
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32())
+    names = ["doc_id", "n", "sig", "tokens", "win", "at"]
 
     def run(batches):
         forget()
-        seen, window, held = set(), [], 0
+        win, sets, held, seen = TaskContext.get().partitionId() << 32, 0, 0, set()
         for batch in batches:
             for part in range(0, batch.num_rows, 128):
                 some = batch.slice(part, 128)
                 rows = []
                 for s in shingle_sets(some.column(1).to_pylist(), p.size):
-                    sig = tokens = None
-                    if len(s):
-                        sig = signature(s)
-                        if sig not in seen:
-                            if len(seen) >= 100_000:
-                                seen.clear()
-                            seen.add(sig)
-                            tokens = s.tobytes()
-                            window.append(s)
-                            held += len(s)
-                    rows.append((len(s), sig, tokens, None))
-                    if held >= p.window_tokens:
-                        yield heavy(window)
-                        window, held = [], 0
+                    row = (len(s), signature(s) if len(s) else None, None, None, None)
+                    if len(s) and row[1] not in seen:
+                        if len(seen) >= 100_000:
+                            seen.clear()
+                        seen.add(row[1])
+                        if held >= p.window_tokens or sets == 1 << 16:
+                            win, sets, held = win + 1, 0, 0
+                        row = (*row[:2], s.tobytes(), win, sets)
+                        sets, held = sets + 1, held + len(s)
+                    rows.append(row)
                 cols = zip(*rows, strict=True)
-                yield pa.record_batch([some.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], names)
-        if window:
-            yield heavy(window)
+                yield pa.record_batch([some.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
     return src.mapInArrow(run, SETS)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers by planes of equal bytes, compressed."""
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def unpacked(blob: bytes, kind) -> np.ndarray:
+    planes, wide = np.frombuffer(zstandard.decompress(blob), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(wide, len(planes) // wide).T).view(kind).ravel()
+
+
+def not_alone(every: DataFrame, p: Params) -> DataFrame:
+    """(node) of the sets that have enough tokens which stand in other sets too."""
+    sets = every.where("tokens is not null")
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(0, (total // p.part_tokens).bit_length())
+
+    def dealt(batches):
+        now, held, size = None, [], 0
+
+        def sent():
+            token = np.concatenate([s for _, s in held])
+            owner = np.repeat(np.array([at for at, _ in held], np.uint16), [len(s) for _, s in held])
+            order = np.argsort(token)
+            token, owner = token[order], owner[order]
+            ends = [0, *np.searchsorted(token, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits if bits else 0)).tolist(), len(token)]
+            short = ((token << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+            for part in range(1 << bits):
+                a, b = ends[part], ends[part + 1]
+                if a < b:
+                    cols = ([part], [now], [packed(np.diff(short[a:b], prepend=np.uint32(0)))], [packed(owner[a:b])])
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "win", "gaps", "owners"])
+
+        for batch in batches:
+            for win, at, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (win != now or size >= p.window_tokens):
+                    yield from sent()
+                    held, size = [], 0
+                s = np.frombuffer(blob, np.uint64)
+                now, size = win, size + len(s)
+                held.append((at, s))
+        if held:
+            yield from sent()
+
+    def elsewhere(rows: pa.Table) -> pa.Table:
+        wins, short, owners = rows.column("win"), [], []
+        for gaps, own in zip(rows.column("gaps").to_pylist(), rows.column("owners").to_pylist(), strict=True):
+            short.append(np.cumsum(unpacked(gaps, np.uint32), dtype=np.uint32))
+            owners.append(unpacked(own, np.uint16))
+        every_ = np.concatenate(short)
+        order = np.argsort(every_, kind="stable")
+        same = np.diff(every_[order]) == 0
+        shared = np.zeros(len(every_), bool)
+        shared[order] = np.r_[same, False] | np.r_[False, same]
+        out, at = [], 0
+        for own in owners:
+            out.append(packed(own[shared[at : at + len(own)]]))
+            at += len(own)
+        return pa.table({"win": wins, "owners": pa.array(out, pa.binary())})
+
+    def left(sets_: pa.Table, found: pa.Table) -> pa.Table:
+        at, n = sets_.column("at").to_numpy(), sets_.column("n").to_numpy()
+        times = np.zeros(1 << 16, np.int64)
+        for blob in found.column("owners").to_pylist():
+            times += np.bincount(unpacked(blob, np.uint16), minlength=1 << 16)
+        return pa.table({"node": sets_.column("node").filter(pa.array(times[at] >= p.least(n)))})
+
+    rows = sets.select("win", "at", "tokens").mapInArrow(dealt, "part long, win long, gaps binary, owners binary")
+    found = rows.groupBy("part").applyInArrow(elsewhere, "win long, owners binary")
+    named = sets.select("win", "at", "n", node_of("sig").alias("node"))
+    return named.groupBy("win").cogroup(found.groupBy("win")).applyInArrow(left, "node long").distinct()
+
+
 def token_order(sets: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted frequent tokens, their counts): at most ``order_tokens``, the most frequent."""
+    """(sorted frequent tokens, their counts over all sets): at most ``order_tokens``, the most frequent."""
 
-    def unpack_(batches):
+    def run(batches):
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                both = np.frombuffer(blob, np.int64).reshape(2, -1)
-                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["token", "times"])
+            if batch.num_rows:
+                token, times = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
+                yield pa.record_batch([pa.array(token), pa.array(times)], ["token", "times"])
 
-    rows = sets.where("heavy is not null").select("heavy").mapInArrow(unpack_, "token long, times long")
-    counted = written(rows.groupBy("token").agg(F.sum("times").alias("times")), "frequent")
+    counted = sets.select("tokens").mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    counted = written(counted.where("times > 1"), "frequent")
     by_size = counted.groupBy(F.floor(F.log2("times") * 4).cast("int").alias("size")).count().collect()  # a few hundred rows
     least, total = 0, 0
     for size, n in sorted(map(tuple, by_size), reverse=True):
@@ -204,30 +277,22 @@ def prefixes(sets: list[np.ndarray], order: tuple[np.ndarray, np.ndarray], p: Pa
 
 
 def key_rows(sets: DataFrame, order, p: Params) -> DataFrame:
-    """(key, node) for each set and each of its keys."""
+    """(key, node, low) for each set (node, tokens) and each of its keys that another set has too; low is the key's least node."""
 
     def make():
         def work(batch: pa.RecordBatch):
-            for nodes, keys, _ in keyed(batch, order.value, p):
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(nodes, [len(k) for k in keys]))], ["key", "node"])
+            for part in range(0, batch.num_rows, 64):
+                some = batch.slice(part, 64)
+                keys = prefixes([np.frombuffer(b, np.uint64) for b in some.column(1).to_pylist()], order.value, p)
+                nodes = np.repeat(some.column(0).to_numpy(), [len(k) for k in keys])
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes)], ["key", "node"])
 
         return work
 
-    return map_rows(sets.where("tokens is not null").select("sig", "tokens"), make, "key long, node long")
-
-
-def keyed(batch: pa.RecordBatch, order, p: Params):
-    """Parts of a batch as (nodes, keys, sets); a node is the first half of sig."""
-    for part in range(0, batch.num_rows, 64):
-        some = batch.slice(part, 64)
-        sets = [np.frombuffer(b, np.uint64) for b in some.column(1).to_pylist()]
-        nodes = np.array([int.from_bytes(x[:8], "big", signed=True) for x in some.column(0).to_pylist()], np.int64)
-        yield nodes, prefixes(sets, order, p), sets
-
-
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """(key, times) of keys of two or more sets; counted before the shuffle, so that a key of many sets is as cheap as others."""
-    return rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("times")).where("a < b").select("key", "times")
+    rows = map_rows(sets.select("node", "tokens"), make, "key long, node long")
+    by_key = Window.partitionBy("key")
+    placed_ = rows.withColumn("low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key))
+    return placed_.where("low < high").drop("high")
 
 
 def sketch(s: np.ndarray, bits: int) -> bytes:
@@ -262,52 +327,72 @@ def sketch_rows(sets: DataFrame, shared: DataFrame, order, p: Params) -> DataFra
     return map_rows(sets.where("tokens is not null").select("sig", "tokens"), make, "key long, node long, n long, sketch binary")
 
 
-class Sketch:
-    """A set's size and sketch as a number."""
-
-    __slots__ = ("bits", "n", "value")
+def sketches(sets: DataFrame, p: Params) -> DataFrame:
+    """(sig, n, sketch) from (sig, tokens)."""
 
-    def __init__(self, n: int, blob: bytes):
-        self.n, self.bits, self.value = n, 8 * len(blob), int.from_bytes(blob, "little")
-
-    def near(self, other: Sketch, p: Params) -> bool:
-        """Whether sizes and sketches allow a link. Linked sets differ in at most (n + m)(den - num) / (den + num) tokens."""
-        if p.den * min(self.n, other.n) < p.num * max(self.n, other.n):
-            return False
-        a, b = (self, other) if self.bits <= other.bits else (other, self)
-        value, bits = b.value, b.bits
-        while bits > a.bits:
-            bits //= 2
-            value = (value >> bits) ^ (value & ((1 << bits) - 1))
-        return (a.value ^ value).bit_count() * (p.den + p.num) <= (self.n + other.n) * (p.den - p.num)
+    def make():
+        def work(batch: pa.RecordBatch):
+            every = [np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist()]
+            cols = [pa.array([len(s) for s in every], pa.int64()), pa.array([sketch(s, p.sketch_bits(len(s))) for s in every], pa.binary())]
+            yield pa.record_batch([batch.column(0), *cols], ["sig", "n", "sketch"])
 
+        return work
 
-def by_block(rows: DataFrame, large: DataFrame, p: Params) -> DataFrame:
-    """The rows with x and y: a key of many sets is dealt by pairs of blocks of its sets, so that no task holds more than two
-    blocks of it and any two sets of it meet."""
-    blocks = large.select("key", F.ceil(F.col("times") / p.block_rows).alias("blocks")).where("blocks > 1")
-    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))
+    return map_rows(sets.select("sig", "tokens"), make, "sig binary, n long, sketch binary")
+
+
+def near_pairs(n: np.ndarray, blobs: list[bytes], p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the pairs whose sizes and sketches allow a link. Linked sets differ in at most (n + m)(den - num) / (den + num)
+    tokens; a sketch is folded to the size of a smaller one."""
+    words = np.array([len(b) // 8 for b in blobs])
+    left, right = [], []
+    for small in np.unique(words).tolist():
+        for large in (x for x in np.unique(words).tolist() if x >= small):
+            a, b = np.flatnonzero(words == small), np.flatnonzero(words == large)
+            one, two = (np.frombuffer(b"".join([blobs[i] for i in at]), np.uint64).reshape(len(at), -1) for at in (a, b))
+            two = np.bitwise_xor.reduce(two.reshape(len(b), large // small, small), 1)
+            for k in range(len(a)):
+                rest = np.flatnonzero(b > a[k]) if small == large else np.arange(len(b))
+                m, size = n[b[rest]], n[a[k]]
+                rest = rest[p.den * np.minimum(m, size) >= p.num * np.maximum(m, size)]
+                apart = np.bitwise_count(two[rest] ^ one[k]).sum(1, dtype=np.int64)
+                near = b[rest[apart * (p.den + p.num) <= (n[b[rest]] + size) * (p.den - p.num)]]
+                left.append(np.full(len(near), a[k]))
+                right.append(near)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def by_block(rows: DataFrame, p: Params) -> DataFrame:
+    """The rows (key, n, ...) with their size's class, x and y, such that any two sets of a key whose sizes allow a link meet. A
+    class spans the ratio of linked sizes; a set is dealt to its own and the one below. A key with many sets of a class is dealt
+    by pairs of blocks, so that no task holds more than two blocks of it."""
+    own = F.floor(F.log("n") / F.lit(float(np.log(p.den / p.num) * (1 + 1e-9)))).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("class", F.explode(F.array(own, own - 1)))
+    large = dealt.groupBy("key", "class").agg(F.ceil(F.count("*") / p.block_rows).alias("blocks")).where("blocks > 1")
+    block = F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1)))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))
-    dealt = rows.join(few(blocks), "key", "left").withColumn("own", own).withColumn("other", other)
-    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("own", "other", "blocks")
-    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    dealt = dealt.join(few(large), ["key", "class"], "left").withColumn("block", block).withColumn("other", other)
+    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("block", "other", "blocks")
+    return dealt.repartition("key", "class", "x", "y").sortWithinPartitions("key", "class", "x", "y")
 
 
 def by_key(look, names: list[str], kinds: tuple):
-    """A function over sorted batches (key, x, y, ...): ``look`` turns the rows of a key into tuples of the named columns."""
+    """A function over sorted batches (key, class, x, y, ...): ``look`` turns the rows of a key into tuples of the named columns."""
 
     def run(batches):
-        now, held = None, []
+        now, held, out = None, [], set()
         for batch in batches:
-            out: set[tuple] = set()
-            for k, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (k, x, y) != now:
+            for *place, own, row in zip(*(c.to_pylist() for c in batch.columns[:5]), zip(*(c.to_pylist() for c in batch.columns[5:]), strict=True), strict=True):
+                if place != now:
                     if len(held) > 1:
                         out.update(look(held))
-                    now, held = (k, x, y), []
-                held.append(row)
-            yield made(out)
-        yield made(look(held) if len(held) > 1 else ())
+                    now, held = place, []
+                held.append((own, *row))
+            if len(out) > 100_000:
+                yield made(out)
+                out = set()
+        out.update(look(held) if len(held) > 1 else ())
+        yield made(out)
 
     def made(found) -> pa.RecordBatch:
         cols = list(zip(*found, strict=True)) or [()] * len(names)
@@ -316,39 +401,6 @@ def by_key(look, names: list[str], kinds: tuple):
     return run
 
 
-def near_rows(keys: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
-    """(a, b): each set that has a partner at one of its keys, with one it is near to."""
-
-    def look(held: list[list]):
-        return partners({node: Sketch(n, blob) for node, n, blob in held}, p)
-
-    rows = by_block(keys, shared, p).select("key", "x", "y", "node", "n", "sketch")
-    return rows.mapInArrow(by_key(look, ["a", "b"], (pa.int64(), pa.int64())), "a long, b long").distinct()
-
-
-def partners(sets: dict, p: Params):
-    """(set, other) for every set that is near to another; families cost their size: their sets are compared with the leaders,
-    and with all others only if no leader is near."""
-    leaders, others, alone = [], [], []
-    for sig, s in sorted(sets.items()):
-        met = next((x for x in leaders if s.near(sets[x], p)), None)
-        for x in [x for x in alone if s.near(sets[x], p)]:
-            yield sig, x
-            alone.remove(x)
-            leaders.append(x)
-            met = x
-        if met is None:
-            met = next((x for x in others if s.near(sets[x], p)), None)
-            if met is None:
-                alone.append(sig)
-                continue
-            leaders.append(sig)
-            yield sig, met
-        else:
-            others.append(sig)
-            yield sig, met
-
-
 def grouped(sets: DataFrame, p: Params, seed: int = 0) -> DataFrame:
     """Rows (grp, sigs, lens, columns, tokens): sets sorted by label, cut into groups of bounded rows and tokens; tokens is the
     group's union, columns the places of each set's tokens there."""
@@ -443,33 +495,40 @@ def node_of(sig):
     return F.conv(F.hex(F.substring(sig, 1, 8)), 16, -10).cast("long")
 
 
-def candidates(placed: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
-    """(sig, comp, grp): queries and the groups they are sent to, from keys that hold several components."""
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-
-    def look(held: list[list]):
-        rows = [(sig, grp, comp, Sketch(n, blob)) for sig, grp, comp, n, blob in held]
-        for i, a in enumerate(rows):
-            for b in rows[:i]:
-                if a[1] != b[1] and a[2] != b[2] and a[3].near(b[3], p):
-                    one, two = (a, b) if a[1] < b[1] else (b, a)
-                    yield one[0], one[2], two[1]
-
-    rows = by_block(placed.join(mixed, "key"), shared, p).select("key", "x", "y", "sig", "grp", "comp", "n", "sketch")
+def candidates(member: DataFrame, keys: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """(sig, comp, grp): queries and the groups they are sent to, from labels that hold several groups and components."""
+    several = [F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.min("comp").alias("c0"), F.max("comp").alias("c1")]
+    named = member.join(sets.select("sig", "label"), "sig")
+    mixed = named.groupBy("label").agg(F.count("*").alias("sets"), *several).where("g0 <> g1 and c0 <> c1").select("label", "sets")
+    open_ = written(named.join(few(mixed), "label"), "mixed-labels")
+    small = open_.where(F.col("sets") <= p.label_sets).select(F.xxhash64("label").alias("key"), "sig", "grp", "comp")
+    large = keys.join(few(open_.where(F.col("sets") > p.label_sets)), F.col("node") == F.col("own")).select("key", "sig", "grp", "comp")
+    mixed = large.groupBy("key").agg(*several).where("g0 <> g1 and c0 <> c1").select("key")
+    met = small.unionByName(large.join(mixed, "key"))
+    sent = sketches(sets.join(few(open_.select("sig").distinct()), "sig", "left_semi"), p)
+
+    def look(held: list[tuple]):
+        own, sigs, grps, comps, n, blobs = zip(*held, strict=True)
+        bucket = min(own)  # a set stands in its own class or in the one below
+        for i, j in zip(*(x.tolist() for x in near_pairs(np.array(n), list(blobs), p)), strict=True):
+            if grps[i] != grps[j] and comps[i] != comps[j] and (own[i] == bucket or own[j] == bucket):
+                one, two = (i, j) if grps[i] < grps[j] else (j, i)
+                yield sigs[one], comps[one], grps[two]
+
+    rows = by_block(met.join(sent, "sig"), p).select("key", "class", "x", "y", "own", "sig", "grp", "comp", "n", "sketch")
     return rows.mapInArrow(by_key(look, ["sig", "comp", "grp"], (pa.binary(), pa.binary(), pa.int64())), "sig binary, comp binary, grp long").distinct()
 
 
-def links_between(groups: DataFrame, sets: DataFrame, keys: DataFrame, shared: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
+def links_between(groups: DataFrame, sets: DataFrame, keys: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
     """Links between different components: queries meet the groups they are sent to."""
     member = written(members(groups).join(roots, F.col("sig") == F.col("node"), "left").select("sig", "grp", F.coalesce("root", "sig").alias("comp")).withColumn("own", node_of("sig")), "members")
-    placed = keys.join(few(member), F.col("node") == F.col("own")).select("key", "node", "sig", "grp", "comp", "n", "sketch")
-    wanted = written(candidates(placed, shared, p), "candidates")
+    wanted = written(candidates(member, keys, sets, p), "candidates")
     # large groups of queries are dealt over salts, the group goes to each of them
     salts = wanted.groupBy("grp").agg(F.ceil(F.count("*") / p.group_queries).alias("salts"))
     queries = wanted.join(salts, "grp").withColumn("salt", F.pmod(F.xxhash64("sig"), "salts")).select("grp", "salt", "sig", "comp")
     queries = queries.join(sets.select("sig", "tokens"), "sig").groupBy("grp", "salt")
     comps = member.groupBy("grp").agg(F.collect_list(F.struct("sig", "comp")).alias("comps"))  # as many as a group has rows
-    opened = groups.join(salts, "grp").join(comps, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    opened = groups.join(few(salts), "grp").join(comps, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
 
     def run(asked: pa.Table, group: pa.Table) -> pa.Table:
         links: list[tuple[bytes, bytes]] = []
@@ -514,14 +573,16 @@ def placed(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", t
     components have the same ids)."""
     p, spark = params, bounded_batches(docs.sparkSession)
     every = written(set_rows(texts(docs, doc_id, text), p), "sets")
-    nodes = written(every.where("n is not null").select("doc_id", "n", "sig"), "nodes")
-    order = spark.sparkContext.broadcast(token_order(every, p))
-    shared = written(shared_keys(key_rows(every, order, p)), "shared-keys")
-    keys = written(sketch_rows(every, shared, order, p), "keys")
-    wanted = components(near_rows(keys, shared, p)).select("node", F.col("root").alias("label"))
-    whole = every.where("tokens is not null").select("sig", "tokens", node_of("sig").alias("node"))
-    sets = written(whole.join(few(wanted), "node").drop("node").dropDuplicates(["sig"]), "wanted-sets")
+    nodes = written(every.select("doc_id", "n", "sig"), "nodes")
+    left = written(not_alone(every, p), "not-alone")
+    whole = every.where("tokens is not null").select(node_of("sig").alias("node"), "sig", "tokens")
+    rest = written(whole.where(maybe(left, "node")("node")).join(few(left), "node", "left_semi").dropDuplicates(["sig"]), "rest")
     drop_written(spark, every)
+    order = spark.sparkContext.broadcast(token_order(rest, p))
+    keys = written(key_rows(rest, order, p), "keys")
+    labels = components(keys.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
+    sets = written(rest.join(few(labels.withColumnRenamed("root", "label")), "node").select("sig", "tokens", "label"), "labelled")
+    drop_written(spark, rest, left)
     groups = grouped(sets, p)
     bounded_batches(spark, 64)  # a row is a group
     first = written(links_within(groups, p), "within")
@@ -531,10 +592,10 @@ def placed(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", t
     mixed = placed_.groupBy("label").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("n") > p.group_rows) & (F.col("lo") != F.col("hi"))).select("label")
     second = written(links_within(grouped(sets.join(few(written(mixed, "mixed")), "label", "left_semi"), p, 1), p), "again")
     roots = components(first.unionByName(second))
-    third = written(links_between(groups, sets, keys, shared, roots, p), "between")
+    third = written(links_between(groups, sets, keys, roots, p), "between")
     roots = components(first.unionByName(second).unionByName(third))
     bounded_batches(spark)
-    drop_written(spark, shared, keys, wanted, sets, groups, first, second, third)
+    drop_written(spark, keys, labels, sets, groups, first, second, third)
     least = nodes.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "root", "component_id")

@@ -188,7 +188,7 @@ def top_k(vectors: DataFrame, is_query, params: Params = Params()) -> DataFrame:
         for block in np.unique(every):
             part = queries.filter(pa.array(every == block))
             q_ids, q = arrays(part, 0)
-            kth = part.column("kth").fill_null(-(1 << 62)).to_numpy()
+            kth = part.column("kth").fill_null(-(1 << 63)).to_numpy()
             who, v, s = search(tree, q_ids, q, kth, k, step)
             out.append(pa.table({"query_id": q_ids[who], "vec_id": v, "score": s, "block": np.full(len(who), block, np.int32)}))
         return pa.concat_tables(out)

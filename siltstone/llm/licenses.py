@@ -17,6 +17,7 @@ notice with edits overlap neither each other nor its exact places; repeated rows
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -151,10 +152,11 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, doc_id: str = "
                 words, flat = scanner.flatten(t)
                 counts.append(len(words))
                 finds = sorted(scanner.scan(flat), key=lambda f: (f.start, f.label, f.end))
+                at = [flat.count(b" ", a, b) for a, b in pairwise([0, *(f.start for f in finds)])]  # words from one find to the next
                 rows.append(
                     [
-                        {"label": f.label, "base": f.exact and f.label in base, "word": flat.count(b" ", 0, f.start), "words": flat.count(b" ", f.start, f.end) + 1, "edits": f.edits, "score": f.score}
-                        for f in finds
+                        {"label": f.label, "base": f.exact and f.label in base, "word": word, "words": flat.count(b" ", f.start, f.end) + 1, "edits": f.edits, "score": f.score}
+                        for f, word in zip(finds, accumulate(at), strict=True)
                     ]
                 )
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(rows, kind)], ["doc_id", "n_words", "finds"])

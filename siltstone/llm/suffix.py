@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Bits, bounded_batches, drop_written, few, forget, map_rows, maybe, written
+from siltstone.llm.common import Bits, bounded_batches, boxed, drop_written, few, forget, map_rows, maybe, unboxed, written
 
 
 @dataclass(frozen=True)
@@ -473,16 +473,14 @@ def without_repeats(docs: DataFrame, p: Params = Params(), text: str = "text", m
     if more is not None:
         lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("firsts", "lasts")]
         spans = written(spans.unionByName(more).groupBy("sig").agg(*lists), "spans-to-cut")
-    spans = spans.select(F.col("sig").alias("__sig"), F.col("firsts").alias("__firsts"), F.col("lasts").alias("__lasts"))
     data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
 
     @F.arrow_udf("string")
     def rest(raw: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
         return pa.array([cut(d.as_py(), a.values.to_numpy(), b.values.to_numpy())[0].decode("utf-8", "ignore") for d, a, b in zip(raw, firsts, lasts, strict=True)], pa.string())
 
-    named = docs.withColumn("__own", sig_of(data))
-    marked = named.withColumn("__hit", maybe(spans.select(F.xxhash64("__sig").alias("h")), "h")(F.xxhash64("__own")))
-    tidy = lambda df: df.select(*docs.columns)
-    joined = marked.where("__hit").join(spans, F.col("__own") == F.col("__sig"), "left")
-    cut_ = joined.where("__sig is not null").withColumn(text, rest(data, F.col("__firsts"), F.col("__lasts")))
-    return tidy(marked.where("not __hit")).unionByName(tidy(joined.where("__sig is null"))).unionByName(tidy(cut_))
+    rows = boxed(docs, data=data, sig=sig_of(data))
+    marked = rows.withColumn("hit", maybe(spans.select(F.xxhash64("sig").alias("h")), "h")(F.xxhash64("sig")))
+    joined = marked.where("hit").join(spans.select("sig", "firsts", "lasts"), "sig", "left")
+    as_is = marked.where("not hit").select("row").unionByName(joined.where("firsts is null").select("row"))
+    return unboxed(as_is, docs).unionByName(unboxed(joined.where("firsts is not null"), docs, **{text: rest(F.col("data"), F.col("firsts"), F.col("lasts"))}))

@@ -87,7 +87,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, params: Params, doc_id: st
         return lambda texts: pa.array([features(t, memo) for t in texts], pa.list_(pa.int32()))
 
     # the sample is bounded by sample_rows, so it is broadcast
-    found = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("id")).groupBy("id").agg(F.first("y").alias("y"), F.max(text).alias("t"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
+    found = texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.first("y").alias("y"), F.max("t").alias("t"))
     got = found.select("id", "y", map_column(make, "array<int>")(F.col("t")).alias("f")).orderBy("id").toArrow().combine_chunks()
     if not got.num_rows:
         return []

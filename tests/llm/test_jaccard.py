@@ -73,22 +73,61 @@ def test_linked_sets_share_a_key_and_pass_the_sketches(p):
             linked += 1
             x, y = jaccard.prefixes([a, b], order, p)
             assert set(x.tolist()) & set(y.tolist()), (len(a), len(b), both)
-            one, two = (jaccard.Sketch(len(s), jaccard.sketch(s, p.sketch_bits(len(s)))) for s in (a, b))
-            assert one.near(two, p) and two.near(one, p)
+            i, j = jaccard.near_pairs(np.array([len(a), len(b)]), [jaccard.sketch(s, p.sketch_bits(len(s))) for s in (a, b)], p)
+            assert {(i[0], j[0])} <= {(0, 1), (1, 0)}
     assert linked > 300
 
 
-def test_every_set_with_a_partner_is_found():
+def test_near_pairs_of_unlike_sizes():
+    import numpy as np
+
     rng, p = random.Random(6), jaccard.Params(num=80)
-    for _ in range(300):
-        sets, base = {}, [rng.getrandbits(256) for _ in range(3)]
-        for i in range(rng.randint(2, 14)):
-            value = rng.choice(base)
-            for _ in range(rng.randint(0, 9)):
-                value ^= 1 << rng.randrange(256)
-            sets[bytes([i])] = jaccard.Sketch(rng.randint(40, 60), value.to_bytes(32, "little"))
-        want = {a for a in sets for b in sets if a != b and sets[a].near(sets[b], p)}
-        assert {x for pair in jaccard.partners(sets, p) for x in pair} == want
+    n = np.array([rng.randint(20, 400) for _ in range(60)])
+    base = [rng.getrandbits(200) for _ in range(3)]
+    near = [rng.choice(base) ^ sum({1 << rng.randrange(200) for _ in range(rng.randint(0, 40))}) for _ in range(60)]
+    blobs = [v.to_bytes(b, "little") for v, b in zip(near, [b for b in (32, 32, 64, 128) for _ in range(15)], strict=True)]
+
+    def fold(v, bits, to):
+        while bits > to:
+            bits //= 2
+            v = (v >> bits) ^ (v & ((1 << bits) - 1))
+        return v
+
+    want = set()
+    for i in range(60):
+        for j in range(i):
+            to = 8 * min(len(blobs[i]), len(blobs[j]))
+            apart = (fold(near[i], 8 * len(blobs[i]), to) ^ fold(near[j], 8 * len(blobs[j]), to)).bit_count()
+            if p.den * min(n[i], n[j]) >= p.num * max(n[i], n[j]) and apart * (p.den + p.num) <= (n[i] + n[j]) * (p.den - p.num):
+                want.add((j, i))
+    got = [tuple(sorted(x)) for x in zip(*(x.tolist() for x in jaccard.near_pairs(n, blobs, p)), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_loners_go_and_linked_sets_stay(spark):
+    p = jaccard.Params(window_tokens=500, part_tokens=300)
+    rows = made(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    every = jaccard.written(jaccard.set_rows(jaccard.texts(docs, "doc_id", "text"), p), "sets")
+    left = {r.node for r in jaccard.not_alone(every, p).collect()}
+    given = every.where("sig is not null").select("doc_id", jaccard.node_of("sig").alias("node"), "sig").collect()
+    comp = {d: c for d, _, c in brute(rows, p)}
+    sigs = {}
+    for r in given:
+        sigs.setdefault(comp[r.doc_id], set()).add(r.sig)
+    assert all(r.node in left for r in given if len(sigs[comp[r.doc_id]]) > 1)
+    assert len(left) < len({r.sig for r in given})
+
+
+def test_long_near_copies_link(spark):
+    """A million words that differ in one place; each key carries no more than any other."""
+    rng = random.Random(8)
+    words = [f"{rng.getrandbits(40):x}" for _ in range(1_000_000)]
+    other = [*words]
+    other[500_000] = "different"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "something else entirely")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard.join(docs).collect())) == [(1, 999_998, 1), (2, 999_998, 1), (3, 1, 3)]
 
 
 def test_blocks_of_a_common_line(spark):
@@ -98,8 +137,10 @@ def test_blocks_of_a_common_line(spark):
     for i in range(150):
         own = [f"x{i % 60}y{k}" for k in range(rng.choice([4, 6, 8]))]
         rows.append((i, " ".join(line + own if i % 2 else own + line)))
-    p = jaccard.Params(size=2, num=80, group_rows=8, block_rows=16, group_queries=4, order_tokens=20)
-    assert sorted(map(tuple, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), p).collect())) == sorted(brute(rows, p))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for label_sets in (20, 1 << 16):
+        p = jaccard.Params(size=2, num=80, group_rows=8, block_rows=16, group_queries=4, order_tokens=20, label_sets=label_sets)
+        assert sorted(map(tuple, jaccard.join(docs, p).collect())) == sorted(brute(rows, p))
 
 
 def test_edge_cases(spark, edge_docs, edge_rows, no_docs):

@@ -81,10 +81,10 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
 def test_odd_rows_go_through_all_stages(spark, edge_rows, tmp_path):
     """Nulls, empty and very long texts, ties, repeated rows and ids, columns with the names that the stages use themselves."""
-    own = ("sig", "h", "data", "hit", "root", "component_id", "n_shingles", "item", "severity", "leak", "name", "times")
+    own = ("sig", "h", "data", "hit", "root", "component_id", "n_shingles", "item", "severity", "leak", "name", "times", "__id", "__sig", "__kept", "__own", "__hit", "__text", "__leaks_0", "__severity", "a.b", "c`d", "row", "id", "y", "t", "label", "firsts")
     long = [(900, "one long word after another " * 20_000), (901, "x" * 300_000)]
     rows = [(i, t, None, "s", None if t is None else len(t), *own) for i, t in [r[:2] for r in edge_rows] + long]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in own))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in own))
     spark.createDataFrame([(1, 1, None), (None, 0, 1), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, None), (2, ""), (None, "alpha beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     frame, seen = docs.repartition(3), []
