@@ -7,12 +7,14 @@ like any other; an empty table gives no rows; texts of any length are taken whol
 
 from __future__ import annotations
 
+from functools import reduce
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, decontaminate, jaccard, passages, suffix, toxicity
-from siltstone.llm.common import bounded_batches, table, written
+from siltstone.llm.common import bounded_batches, boxed, table, unboxed, written
 
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 NEAR = jaccard.Params(size=5, num=80, den=100)
@@ -22,25 +24,26 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents whose probability of any toxic grade reaches the decision threshold go; null and empty texts stay, repeated
     rows share one fate. Without labels of both kinds nothing is toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_severity(docs, model, "__severity").where("not __severity.toxic").drop("__severity")
+    rows = boxed(docs, severity=toxicity.severity(F.col("text").cast("string"), model))
+    return unboxed(rows.where("not severity.toxic"), docs)
 
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates the one of smallest id stays, once if rows repeat it; unlike texts under one id are documents of
     their own; rows without an id stay, and so do null, empty and wordless texts, once for each id. Of rows that are alike in id
     and set one stays."""
-    rows = written(jaccard.placed(docs, NEAR).where("doc_id is not null"), "components")
-    again = written(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated-ids")
-    first = rows.where("component_id = doc_id").select(F.col("doc_id").alias("__id"), "sig", "root")
-    same = F.col("doc_id") == F.col("__id")
-    once = docs.join(first.select("__id").join(again, "__id", "left_anti"), same, "left_semi")
+    places = written(jaccard.placed(docs, NEAR).where("doc_id is not null"), "components")
+    again = written(places.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id")), "repeated-ids")
+    first = places.where("component_id = doc_id").select(F.col("doc_id").alias("id"), "sig", "root")
+    rows = boxed(docs, id=F.col("doc_id").cast("long"), text=F.coalesce(F.col("text").cast("string"), F.lit("")))
+    once = rows.join(first.select("id").join(again, "id", "left_anti"), "id", "left_semi")
     # an id of several rows tells neither its texts nor their components apart, their sets do
-    kept = first.where("sig is not null").groupBy("__id", "root").agg(F.min("sig").alias("__kept")).join(again, "__id", "left_semi")
-    text = F.col("text").cast("string")
-    several = docs.join(again, same, "left_semi").withColumn("__sig", jaccard.signatures(NEAR)(text))
-    alike = several.join(kept, same & (F.col("__sig") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__sig"])
-    wordless = several.where("__sig is null").withColumn("__text", F.coalesce(text, F.lit(""))).dropDuplicates(["doc_id", "__text"])
-    return once.unionByName(alike.drop("__sig")).unionByName(wordless.drop("__sig", "__text")).unionByName(docs.where("doc_id is null"))
+    kept = first.where("sig is not null").groupBy("id", "root").agg(F.min("sig").alias("sig")).join(again, "id", "left_semi")
+    several = rows.join(again, "id", "left_semi").withColumn("sig", jaccard.signatures(NEAR)("text"))
+    alike = several.join(kept, ["id", "sig"], "left_semi").dropDuplicates(["id", "sig"])
+    wordless = several.where("sig is null").dropDuplicates(["id", "text"])
+    every = [x.select("row") for x in (once, alike, wordless, rows.where("id is null"))]
+    return unboxed(reduce(DataFrame.unionByName, every), docs)
 
 
 def repeated_strings_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
