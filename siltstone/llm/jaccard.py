@@ -4,13 +4,12 @@ A document's set holds 64-bit hashes of its distinct word shingles; equal sets (
 the texts writes the sets; everything after it works on that table.
 
 1. Loners. A linked set has ``ceil(n * num / den)`` tokens in common with its partner, so all of these stand in two sets at
-   least. Tokens are dealt by range, as 32 sorted bits each with the number of the set in its window, and come back as the
-   numbers of sets whose tokens stand elsewhere; sets with too few of them link with nothing and go no further. (Tokens that
+   least. Tokens are dealt by range, as ``short_bits`` sorted bits each with the number of the set in its window, and come back as
+   the numbers of sets whose tokens stand elsewhere; sets with too few of them link with nothing and go no further. (Tokens that
    are taken for one another by chance let a set through, they leave none out.)
-2. Prefixes. The tokens of what is left are counted over all of it and ordered by that count, then by hash: any order that all
-   sets share serves, a rare-first one names the fewest candidates. Linked sets share one of the first
-   ``n - ceil(n * num / den) + 1`` tokens of each. Only (token, set) travels. Sets that share such keys, directly or by
-   others, get one label.
+2. Prefixes. The tokens of what is left are counted over all of it and ordered by that count, then by hash: any order that all sets share serves, a rare-first one names the fewest candidates. Linked sets share one of the first
+   ``n - ceil(n * num / den) + 1`` tokens of each. Only (token, size class, set) travels. Sets of sizes that allow a link which
+   share such keys, directly or by others, get one label.
 3. Groups. Labels of more sets than a group holds are salted; sorted by label and salt, sets are cut into groups of bounded size.
    A group is stored as its token union and, for each set, the columns it has there.
 4. Each group is opened on itself: the matrix times its transpose has all intersections. Links go to a spanning forest.
@@ -58,6 +57,7 @@ class Params:
     group_tokens: int = 65_536
     window_tokens: int = 1 << 20  # tokens of a window; it has no more sets than 16 bits can tell apart
     part_tokens: int = 1 << 20  # tokens of a range that one task counts
+    short_bits: int = 27  # of a token in its range: at part_tokens one in a hundred is taken for another
     order_tokens: int = 1 << 20
     sketch_most: int = 8192
     label_sets: int = 1 << 16  # sets of a label that are compared as one
@@ -173,7 +173,7 @@ def unpacked(blob: bytes, kind) -> np.ndarray:
 
 
 def not_alone(every: DataFrame, p: Params) -> DataFrame:
-    """(node) of the sets that have enough tokens which stand in other sets too."""
+    """(node, win, at) of the sets that have enough tokens which stand in other sets too, each set once."""
     sets = every.where("tokens is not null")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(0, (total // p.part_tokens).bit_length())
@@ -187,7 +187,7 @@ def not_alone(every: DataFrame, p: Params) -> DataFrame:
             order = np.argsort(token)
             token, owner = token[order], owner[order]
             ends = [0, *np.searchsorted(token, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits if bits else 0)).tolist(), len(token)]
-            short = ((token << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+            short = ((token << np.uint64(bits)) >> np.uint64(64 - p.short_bits)).astype(np.uint32)
             for part in range(1 << bits):
                 a, b = ends[part], ends[part + 1]
                 if a < b:
@@ -226,16 +226,17 @@ def not_alone(every: DataFrame, p: Params) -> DataFrame:
         times = np.zeros(1 << 16, np.int64)
         for blob in found.column("owners").to_pylist():
             times += np.bincount(unpacked(blob, np.uint16), minlength=1 << 16)
-        return pa.table({"node": sets_.column("node").filter(pa.array(times[at] >= p.least(n)))})
+        return sets_.select(["sig", "win", "at"]).filter(pa.array(times[at] >= p.least(n)))
 
     rows = sets.select("win", "at", "tokens").mapInArrow(dealt, "part long, win long, gaps binary, owners binary")
     found = rows.groupBy("part").applyInArrow(elsewhere, "win long, owners binary")
-    named = sets.select("win", "at", "n", node_of("sig").alias("node"))
-    return named.groupBy("win").cogroup(found.groupBy("win")).applyInArrow(left, "node long").distinct()
+    named = sets.select("win", "at", "n", "sig")
+    left_ = named.groupBy("win").cogroup(found.groupBy("win")).applyInArrow(left, "sig binary, win long, at int")
+    return left_.groupBy("sig").agg(F.min(F.struct("win", "at")).alias("x")).select(node_of("sig").alias("node"), "x.win", "x.at")
 
 
 def token_order(sets: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted frequent tokens, their counts over all sets): at most ``order_tokens``, the most frequent."""
+    """(sorted frequent tokens, their counts): at most ``order_tokens``, the most frequent."""
 
     def run(batches):
         for batch in batches:
@@ -276,21 +277,30 @@ def prefixes(sets: list[np.ndarray], order: tuple[np.ndarray, np.ndarray], p: Pa
     return out
 
 
+def size_class(n, p: Params):
+    """A class spans the ratio of linked sizes, so sets that link are of one class or of two neighbouring ones."""
+    return F.floor(F.log(n) / F.lit(float(np.log(p.den / p.num) * (1 + 1e-9)))).cast("int")
+
+
 def key_rows(sets: DataFrame, order, p: Params) -> DataFrame:
-    """(key, node, low) for each set (node, tokens) and each of its keys that another set has too; low is the key's least node."""
+    """(key, class, node, low) for each set (node, tokens), its class and the one below, and each of its keys that another set has
+    there; low is the least node there. Sets of sizes that allow a link meet in a class."""
 
     def make():
         def work(batch: pa.RecordBatch):
             for part in range(0, batch.num_rows, 64):
                 some = batch.slice(part, 64)
-                keys = prefixes([np.frombuffer(b, np.uint64) for b in some.column(1).to_pylist()], order.value, p)
-                nodes = np.repeat(some.column(0).to_numpy(), [len(k) for k in keys])
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes)], ["key", "node"])
+                every = [np.frombuffer(b, np.uint64) for b in some.column(1).to_pylist()]
+                keys = prefixes(every, order.value, p)
+                lens = [len(k) for k in keys]
+                cols = [np.concatenate(keys).view(np.int64), np.repeat(some.column(0).to_numpy(), lens), np.repeat([len(s) for s in every], lens)]
+                yield pa.record_batch([pa.array(c) for c in cols], ["key", "node", "n"])
 
         return work
 
-    rows = map_rows(sets.select("node", "tokens"), make, "key long, node long")
-    by_key = Window.partitionBy("key")
+    rows = map_rows(sets.select("node", "tokens"), make, "key long, node long, n long").withColumn("own", size_class(F.col("n"), p))
+    rows = rows.select("key", "node", F.explode(F.array("own", F.col("own") - 1)).alias("class"))
+    by_key = Window.partitionBy("key", "class")
     placed_ = rows.withColumn("low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key))
     return placed_.where("low < high").drop("high")
 
@@ -363,11 +373,10 @@ def near_pairs(n: np.ndarray, blobs: list[bytes], p: Params) -> tuple[np.ndarray
 
 
 def by_block(rows: DataFrame, p: Params) -> DataFrame:
-    """The rows (key, n, ...) with their size's class, x and y, such that any two sets of a key whose sizes allow a link meet. A
-    class spans the ratio of linked sizes; a set is dealt to its own and the one below. A key with many sets of a class is dealt
+    """The rows (key, n, ...) with their size's class, x and y, such that any two sets of a key whose sizes allow a link meet. A set
+    is dealt to its own class and the one below. A key with many sets of a class is dealt
     by pairs of blocks, so that no task holds more than two blocks of it."""
-    own = F.floor(F.log("n") / F.lit(float(np.log(p.den / p.num) * (1 + 1e-9)))).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("class", F.explode(F.array(own, own - 1)))
+    dealt = rows.withColumn("own", size_class(F.col("n"), p)).withColumn("class", F.explode(F.array("own", F.col("own") - 1)))
     large = dealt.groupBy("key", "class").agg(F.ceil(F.count("*") / p.block_rows).alias("blocks")).where("blocks > 1")
     block = F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1)))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))
@@ -502,7 +511,7 @@ def candidates(member: DataFrame, keys: DataFrame, sets: DataFrame, p: Params) -
     mixed = named.groupBy("label").agg(F.count("*").alias("sets"), *several).where("g0 <> g1 and c0 <> c1").select("label", "sets")
     open_ = written(named.join(few(mixed), "label"), "mixed-labels")
     small = open_.where(F.col("sets") <= p.label_sets).select(F.xxhash64("label").alias("key"), "sig", "grp", "comp")
-    large = keys.join(few(open_.where(F.col("sets") > p.label_sets)), F.col("node") == F.col("own")).select("key", "sig", "grp", "comp")
+    large = keys.select("key", "node").distinct().join(few(open_.where(F.col("sets") > p.label_sets)), F.col("node") == F.col("own")).select("key", "sig", "grp", "comp")
     mixed = large.groupBy("key").agg(*several).where("g0 <> g1 and c0 <> c1").select("key")
     met = small.unionByName(large.join(mixed, "key"))
     sent = sketches(sets.join(few(open_.select("sig").distinct()), "sig", "left_semi"), p)
@@ -526,16 +535,19 @@ def links_between(groups: DataFrame, sets: DataFrame, keys: DataFrame, roots: Da
     # large groups of queries are dealt over salts, the group goes to each of them
     salts = wanted.groupBy("grp").agg(F.ceil(F.count("*") / p.group_queries).alias("salts"))
     queries = wanted.join(salts, "grp").withColumn("salt", F.pmod(F.xxhash64("sig"), "salts")).select("grp", "salt", "sig", "comp")
-    queries = queries.join(sets.select("sig", "tokens"), "sig").groupBy("grp", "salt")
-    comps = member.groupBy("grp").agg(F.collect_list(F.struct("sig", "comp")).alias("comps"))  # as many as a group has rows
-    opened = groups.join(few(salts), "grp").join(comps, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    asked_sets = sets.join(few(wanted.select("sig").distinct()), "sig", "left_semi").select("sig", "tokens")
+    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+    own = member.join(few(salts), "grp").select("grp", every_salt, "sig", "comp", F.lit(None).cast("binary").alias("tokens"))  # the group's sets
+    queries = queries.join(asked_sets, "sig").select("grp", "salt", "sig", "comp", "tokens").unionByName(own).groupBy("grp", "salt")
+    opened = groups.join(few(salts), "grp").select("grp", every_salt, "sigs", "lens", "columns", "tokens")
 
     def run(asked: pa.Table, group: pa.Table) -> pa.Table:
         links: list[tuple[bytes, bytes]] = []
         if asked.num_rows and group.num_rows:
             row = group.slice(0, 1).to_pylist()[0]
-            comp = {x["sig"]: x["comp"] for x in row["comps"]}
-            query = zip(*(asked.column(c).to_pylist() for c in ("sig", "comp", "tokens")), strict=True)
+            query = list(zip(*(asked.column(c).to_pylist() for c in ("sig", "comp", "tokens")), strict=True))
+            comp = {sig: c for sig, c, tokens in query if tokens is None}
+            query = [x for x in query if x[2] is not None]
             links = open_for(query, row["sigs"], [comp[s] for s in row["sigs"]], np.frombuffer(row["lens"], "<i8"), np.frombuffer(row["columns"], "<i4"), np.frombuffer(row["tokens"], np.uint64), p)
         return pa.Table.from_batches([link_batch(links)])
 
@@ -575,8 +587,8 @@ def placed(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", t
     every = written(set_rows(texts(docs, doc_id, text), p), "sets")
     nodes = written(every.select("doc_id", "n", "sig"), "nodes")
     left = written(not_alone(every, p), "not-alone")
-    whole = every.where("tokens is not null").select(node_of("sig").alias("node"), "sig", "tokens")
-    rest = written(whole.where(maybe(left, "node")("node")).join(few(left), "node", "left_semi").dropDuplicates(["sig"]), "rest")
+    whole = every.where("tokens is not null").withColumn("node", node_of("sig"))
+    rest = written(whole.where(maybe(left, "node")("node")).join(few(left.select("win", "at")), ["win", "at"], "left_semi").select("node", "sig", "tokens"), "rest")
     drop_written(spark, every)
     order = spark.sparkContext.broadcast(token_order(rest, p))
     keys = written(key_rows(rest, order, p), "keys")
