@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,73 @@ def dense_all(vectors: DataFrame, queries: DataFrame, item: str = "chunk_id", ve
     return in_blocks(rows, queries.select("query_id", "query_vector")).select("query_id", item, F.round(T.dot(F.col("v"), F.col("query_vector")), 6).alias("score"))
 
 
+def dense_top(rows: DataFrame, queries: DataFrame, k: int = DEFAULTS.top_k, but_self: bool = False, most: int = 4_000) -> DataFrame:
+    """(query_id, item, score, rank) of rows (item, embedding) and stated queries (query_id, query_vector): the k largest inner
+    products, to six places, ties to the smaller item.
+
+    Queries go to all tasks in blocks of ``most``. A task multiplies its rows with a block in batches and keeps a bounded list for
+    each query, so that only the best of a task leave it; ranks are made once, over tasks x k rows a query.
+    """
+    spark, n = rows.sparkSession, queries.count()
+    kind = queries.select("query_id").schema[0].dataType
+    given = rows.select("item", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+    found = []
+    for block in range(max(1, -(-n // most))):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // most)))) == block) if n > most else queries
+        asked = own.select("query_id", F.col("query_vector").cast("array<double>").alias("v")).where("v is not null").orderBy("query_id").toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast((asked.column(0), vectors_of(asked.column(1))))  # a block's vectors
+        found.append(given.mapInArrow(best_of_task(shared, k, but_self), f"query_id {kind.simpleString()}, item {dict(given.dtypes)['item']}, score double"))
+    every = reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 6))
+    return top_k(every, "item", k)
+
+
+def vectors_of(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def smallest_of_equals(s: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest items of each score."""
+    order = np.argsort(v, kind="stable")
+    order = order[np.argsort(-s[order], kind="stable")]
+    first = np.flatnonzero(np.r_[True, np.diff(s[order]) != 0])
+    order = order[np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)])) < k]
+    return s[order], v[order]
+
+
+def best_of_task(shared, k: int, but_self: bool):
+    def run(batches):
+        ids, q = shared.value
+        own = ids.to_numpy(zero_copy_only=False)
+        best: list = [None] * len(own)
+        least = np.full(len(own), -np.inf)
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            if not batch.num_rows or not len(own):
+                continue
+            items, rows = batch.column(0).to_numpy(zero_copy_only=False), vectors_of(batch.column(1))
+            for a in range(0, len(own), 256):
+                scores = q[a : a + 256] @ rows.T
+                for i in np.flatnonzero(scores.max(1) >= least[a : a + 256]).tolist():
+                    keep = scores[i] >= least[a + i]
+                    if but_self:
+                        keep &= items != own[a + i]
+                    s, v = scores[i][keep], items[keep]
+                    if best[a + i] is not None:
+                        s, v = np.concatenate([best[a + i][0], s]), np.concatenate([best[a + i][1], v])
+                    if len(s) > k:  # what ties with the k-th to six places stays for the ranks; of equal scores the smaller items
+                        least[a + i] = np.partition(s, -k)[-k] - 1.1e-6
+                        s, v = smallest_of_equals(s[s >= least[a + i]], v[s >= least[a + i]], k)
+                    best[a + i] = (s, v)
+        out = [(ids[i].as_py(), v, s) for i, x in enumerate(best) if x is not None for s, v in zip(*(c.tolist() for c in x), strict=True)]
+        if out:
+            cols = zip(*out, strict=True)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (ids.type, kind, pa.float64()), strict=True)], ["query_id", "item", "score"])
+
+    return run
+
+
 def in_blocks(rows: DataFrame, queries: DataFrame, most: int = 2_000) -> DataFrame:
     """Every row with every stated query. Queries go to all tasks in blocks of about ``most``, so that no task holds more than
     one block; each block is a join of its own over the rows."""
@@ -87,14 +156,22 @@ def rrf(lists: list[DataFrame], item: str, k: int = DEFAULTS.rrf_k) -> DataFrame
     return every.groupBy("query_id", item).agg(F.round(F.sum("part"), 9).alias("score"))
 
 
+def over_fetch(k: int) -> int:
+    return max(2 * k, 20)
+
+
 def hybrid(dense_hits: DataFrame, lexical_hits: DataFrame, item: str, k: int = DEFAULTS.top_k, rrf_k: int = DEFAULTS.rrf_k) -> DataFrame:
     """Both branches over-fetch, then their ranks are fused; a query without lexical hits keeps its dense scores."""
-    branch = max(2 * k, 20)
-    a, b = top_k(dense_hits, item, branch), top_k(lexical_hits, item, branch)
+    branch = over_fetch(k)
+    return fused(top_k(dense_hits, item, branch), top_k(lexical_hits, item, branch), item, k, rrf_k)
+
+
+def fused(a: DataFrame, b: DataFrame, item: str, k: int = DEFAULTS.top_k, rrf_k: int = DEFAULTS.rrf_k) -> DataFrame:
+    """``hybrid`` from ranked lists, dense and lexical."""
     both = b.select("query_id").distinct()
-    fused = top_k(rrf([a.join(both, "query_id", "left_semi"), b], item, rrf_k), item, k)
+    mixed = top_k(rrf([a.join(both, "query_id", "left_semi"), b], item, rrf_k), item, k)
     alone = top_k(a.join(both, "query_id", "left_anti").select("query_id", item, "score"), item, k)
-    return fused.select("query_id", item, "score", "rank").unionByName(alone.select("query_id", item, "score", "rank"))
+    return mixed.select("query_id", item, "score", "rank").unionByName(alone.select("query_id", item, "score", "rank"))
 
 
 def merged(hits: DataFrame, item: str, score: str = "score", seq: str = "seq", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -205,7 +205,9 @@ def dense_hits(spark, sf_dir) -> DataFrame:
 @query(f"WITH {DENSE_SQL} SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 12")
 def dense_batch_topk(spark, sf_dir):
     """The stated queries, ids divisible by 50, against all rows."""
-    return R.top_k(dense_hits(spark, sf_dir), "vec_id").select("query_id", "vec_id", "score", "rank")
+    v = t(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return R.dense_top(v.select(F.col("vec_id").alias("item"), "embedding"), asked, but_self=True).withColumnRenamed("item", "vec_id")
 
 
 SECOND_SQL = "other AS (SELECT query_id, vec_id, score2, row_number() OVER (PARTITION BY query_id ORDER BY score2 DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, round(score * (1 + vec_id % 7), 6) AS score2 FROM sim))"
@@ -353,10 +355,12 @@ front AS (SELECT node FROM s0 UNION SELECT b FROM ways JOIN s0 ON a = s0.node WH
 hop AS (SELECT source, target, weight FROM edges WHERE (source IN (SELECT node FROM front) OR target IN (SELECT node FROM front)) AND NOT (source IN (SELECT node FROM hub) AND target IN (SELECT node FROM hub)))"""
 
 
-@query(f"{KHOP_SQL} SELECT * FROM hop")
+@query(f"{KHOP_SQL} SELECT source, count(*) AS n, sum(weight)::BIGINT AS weight, sum(target)::BIGINT AS targets FROM hop GROUP BY 1")
 def khop_edges(spark, sf_dir):
+    """All edges within two hops, counted by their source."""
     start = parts(spark, sf_dir).where("node <= 5").select("node")
-    return graph.khop_edges(cut(edges(spark, sf_dir)), cut(parts(spark, sf_dir)), start, 2, None).select("source", "target", "weight")
+    found = graph.khop_edges(cut(edges(spark, sf_dir)), cut(parts(spark, sf_dir)), start, 2, None)
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.sum("target").alias("targets"))
 
 
 @query(f"{KHOP_SQL} SELECT source, target, weight FROM hop ORDER BY weight DESC, source, target LIMIT 80")

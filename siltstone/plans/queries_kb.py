@@ -3,6 +3,7 @@ has one. Parts stand in as entities, parts bought together as relations, orders
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +15,12 @@ from siltstone.operators import evidence, explore, explorer, graph
 from siltstone.operators import retrieval as R
 from siltstone.plans import ingesting
 from siltstone.plans.lineage import cut, folder
-from siltstone.plans.queries import BM25_SQL, EDGES_SQL, edges, parts, query, questions, t
+from siltstone.plans.queries import BM25_SQL, EDGES_SQL, KHOP_SQL, edges, parts, query, questions, t
+from siltstone.sources.graph_store import GraphStore
 from siltstone.sources.index import Index
 
 # ---- the stored index -----------------------------------------------------------------------------------------------
 
-_OPEN: dict[tuple, Index] = {}
-
-
 def fingerprint(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and times of a table's files: an index of other files is not used again."""
     jvm = spark.sparkContext._jvm
@@ -31,24 +30,29 @@ def fingerprint(spark: SparkSession, path: str) -> tuple:
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of documents with their vectors (by equal number), built once in a session for the same files."""
+    """The index of documents with their vectors (by equal number), stored under the fingerprint of the tables' files: whatever
+    session comes next opens it again."""
     names = [f"{sf_dir}/{x}.parquet" for x in ("documents", "embeddings")]
-    key = (spark.sparkContext.applicationId, *(fingerprint(spark, n) for n in names))
-    if key not in _OPEN:
+    key = hashlib.sha256(repr([fingerprint(spark, n) for n in names]).encode()).hexdigest()[:24]
+    index = Index(spark, f"{folder(spark)}/index-{key}")
+    now = index.commits.manifest()
+    if not now["info"].get("complete"):
         docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
         vectors = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-        index = Index.create(spark, f"{folder(spark)}/index-{uuid.uuid4().hex}", vectors.select(F.max(F.size("embedding"))).first()[0] or 0)
+        if not now["version"]:
+            Index.create(spark, index.path, vectors.select(F.max(F.size("embedding"))).first()[0] or 0)
         chunks = docs.join(vectors, "chunk_id", "left")
-        index.upsert(chunks.where("embedding is not null"), vector="embedding").upsert(chunks.where("embedding is null"))
-        _OPEN[key] = index.compact(f"{index.path}-compact")
-    return _OPEN[key]
+        # each write has a token: what a killed session has done isn't done again
+        index.upsert(chunks.where("embedding is not null"), vector="embedding", token="with vectors").upsert(chunks.where("embedding is null"), token="without").compact()
+        done = index.commits.manifest()
+        index.commits.publish(done, {}, done["info"] | {"complete": True})
+    return index
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM lex WHERE rank <= 12")
 def bm25_batch(spark, sf_dir):
     """The batch of questions by stored postings."""
-    found = corpus_index(spark, sf_dir).bm25(questions(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    return R.top_k(found, "chunk_id").select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
+    return corpus_index(spark, sf_dir).top(questions(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
 
 
 @query(
@@ -57,8 +61,7 @@ FROM lex l JOIN (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS
 )
 def bm25_topk(spark, sf_dir):
     """One question by stored postings: its twelve best documents with snippets."""
-    found = corpus_index(spark, sf_dir).bm25(questions(spark, sf_dir).where("query_id = 0")).withColumn("score", F.round("score", 6))
-    best = R.top_k(found, "chunk_id").select(F.col("chunk_id").alias("doc_id"), "rank")
+    best = corpus_index(spark, sf_dir).top(questions(spark, sf_dir).where("query_id = 0")).select(F.col("chunk_id").alias("doc_id"), "rank")
     return t(spark, sf_dir, "documents").join(F.broadcast(best), "doc_id").select("doc_id", "rank", T.snippet(F.col("text")).alias("snippet"))  # twelve rows
 
 
@@ -72,7 +75,7 @@ def index_writes(spark, sf_dir):
     index = Index.create(spark, f"{folder(spark)}/index-{uuid.uuid4().hex}", 0)
     index.upsert(docs).upsert(docs.where("chunk_id % 3 = 0").withColumn("text", F.lit("new text"))).delete(docs.where("chunk_id % 5 = 0"))
     live = index.lengths()
-    return live.agg(F.count(F.lit(1)).alias("chunks"), F.count(F.when(F.col("gen") == 1, 1)).alias("old"), F.count(F.when(F.col("gen") == 2, 1)).alias("renewed"), F.sum("dl").cast("long").alias("words"))
+    return live.agg(F.count(F.lit(1)).alias("chunks"), F.count(F.when(F.col("gen") == 2, 1)).alias("old"), F.count(F.when(F.col("gen") == 3, 1)).alias("renewed"), F.sum("dl").cast("long").alias("words"))
 
 
 HYBRID_SQL = f"""{BM25_SQL},
@@ -95,6 +98,46 @@ def rrf_hybrid(spark, sf_dir):
     return found.select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
 
 
+# ---- the stored graph -----------------------------------------------------------------------------------------------
+
+
+def parts_store(spark, sf_dir) -> GraphStore:
+    """Orders as documents that mention parts: written in two commits, the second one again in place of itself, then every fifth
+    order deleted. Stored under the fingerprint of the table; each commit has a token."""
+    key = hashlib.sha256(repr(fingerprint(spark, f"{sf_dir}/lineitem.parquet")).encode()).hexdigest()[:24]
+    store = GraphStore(spark, f"{folder(spark)}/graph-{key}", "long")
+    if not store.commits.versions():
+        GraphStore.create(spark, store.path, "long", buckets=32)
+    if "deleted" not in store.commits.manifest()["tokens"]:
+        lines = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+        said = lines.select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("doc_id"), F.lit(1).cast("long").alias("seq"), F.col("l_partkey").cast("string").alias("name"), F.lit("PART").alias("kind"), F.lit("").alias("description"), "n")
+        left, right = lines.select("l_orderkey", F.col("l_partkey").alias("source")), lines.select("l_orderkey", F.col("l_partkey").alias("target"))
+        pairs = left.join(right, "l_orderkey").where("source < target").select("source", F.lit("BOUGHT_WITH").alias("predicate"), "target", F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("n"))
+        first, second = F.col("doc_id") % 4 != 0, F.col("doc_id") % 4 == 0
+        store.upsert(said.where(first), pairs.where(first), "first").upsert(said.where(second), pairs.where(second), "second")
+        store.upsert(said.where(second), pairs.where(second), "second again", replace=True)
+        store.delete(said.where("doc_id % 5 = 0").select("doc_id"), "deleted")
+    return store
+
+
+STORE_SQL = KHOP_SQL.replace("FROM lineitem", "FROM left_lines").replace("WITH ", "WITH left_lines AS (SELECT * FROM lineitem WHERE l_orderkey % 5 <> 0), ", 1)
+
+
+@query(f"{STORE_SQL} SELECT source, count(*) AS n, sum(weight)::BIGINT AS weight, sum(target)::BIGINT AS targets FROM hop GROUP BY 1")
+def stored_khop(spark, sf_dir):
+    """Two hops in the stored graph after upserts, a replacement and a deletion; each hop reads its frontier's buckets."""
+    found = parts_store(spark, sf_dir).khop(spark.range(0, 6).select(F.col("id").alias("node")), 2, None)
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.sum("target").alias("targets"))
+
+
+@query(f"WITH {EDGES_SQL.replace('FROM lineitem', 'FROM left_lines')} SELECT node, mentions, coalesce(d, 0)::BIGINT AS degree FROM parts LEFT JOIN (SELECT node, count(*) AS d FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1) USING (node)".replace("WITH ", "WITH left_lines AS (SELECT * FROM lineitem WHERE l_orderkey % 5 <> 0), ", 1))
+def stored_entities(spark, sf_dir):
+    """Mentions and degree of every entity that is left in the stored graph."""
+    store = parts_store(spark, sf_dir)
+    degree = store.adjacent().groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return store.entities().join(degree, "node", "left").select("node", "mentions", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+
+
 # ---- routed retrieval -----------------------------------------------------------------------------------------------
 
 
@@ -127,7 +170,7 @@ def routed_retrieval(spark, sf_dir):
     index = corpus_index(spark, sf_dir)
 
     def search(asked: DataFrame, k: int) -> DataFrame:
-        return R.top_k(index.bm25(asked).withColumn("score", F.round("score", 6)), "chunk_id", k)
+        return index.top(asked, k)
 
     corpus = evidence.Corpus(search, docs, cut(known), rel, cut(mentions))
     asked = questions(spark, sf_dir).withColumn("route", A.route(F.col("question")))

@@ -1,26 +1,43 @@
-"""A persisted index of chunks: BM25 postings in buckets of terms, and vectors; with upserts, deletions, counts and a guard.
+"""A persisted index of chunks: BM25 postings in blocks with their largest impact, and vectors; with upserts, deletions, counts and
+a guard.
 
-Writes append a generation and never change a file. Of a chunk the newest generation counts; a deletion is a generation in
-which the chunk has no length. ``compact`` writes the living rows as one generation, after which searches need no join.
-A lexical search reads the buckets of its terms only.
+Writes append a generation by ``Commits``, so that each is visible as a whole or not at all and can be repeated. Of a chunk the
+newest generation counts; a deletion is a generation in which the chunk has no length. ``compact`` writes the living rows as one
+generation. The manifest carries the number of chunks and words, so that no search counts them.
 
-    path/meta        one row: dim, buckets, analyzer
-    path/postings    (term, chunk_id, gen, tf, dl), partitioned by bucket
-    path/lengths     (chunk_id, gen, dl, tenant...), dl null where the generation deletes the chunk
-    path/vectors     (chunk_id, gen, embedding), partitioned by gen
+    postings    (term, block, ids, tfs, dls, impact), partitioned by bucket; a block has the postings of next lower impact
+    terms       (term, df, tops), partitioned by bucket; tops are the largest impacts of the term, the first bounds them all
+    lengths     (chunk_id, gen, dl), dl null where the generation deletes the chunk
+    vectors     (chunk_id, gen, embedding)
+
+``top`` searches by MaxScore: the k-th largest impact of one of a question's terms is a score that k chunks reach, so blocks whose
+impact with the most that the other terms can give stays below it aren't read, and chunks that only have terms which together
+stay below it aren't scored. It goes by one generation's exact statistics; an index of several is searched whole.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.config import DEFAULTS
 from siltstone.operators import retrieval as R
+from siltstone.sources.commits import Commits
 
 ANALYZER = "lower [a-z0-9]+"
+BLOCK = 128  # postings of a block
+SLICE = 65_536  # chunks among which a term's postings are ordered by one task
+TOPS = 64  # impacts kept of a term; searches for more than that aren't pruned
+DRIVER_TERMS = 20_000  # terms of a batch of questions that are looked up by value
+
+POSTINGS = "term string, block int, ids array<long>, tfs array<int>, dls array<int>, impact double, gen int, bucket int"
+
+
+def saturation(tf, dl, mean: float, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b):
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(mean)))
 
 
 @dataclass(frozen=True)
@@ -28,106 +45,227 @@ class Index:
     spark: SparkSession
     path: str
 
+    @property
+    def commits(self) -> Commits:
+        return Commits(self.spark, self.path)
+
     @staticmethod
     def create(spark: SparkSession, path: str, dim: int, buckets: int = 32) -> Index:
-        spark.createDataFrame([(dim, buckets, ANALYZER)], "dim int, buckets int, analyzer string").coalesce(1).write.parquet(f"{path}/meta")
-        return Index(spark, path)
+        index = Index(spark, path)
+        info = {"dim": dim, "buckets": buckets, "analyzer": ANALYZER, "chunks": 0, "words": 0, "gens": 0}
+        index.commits.publish(index.commits.manifest(0), {}, info)
+        return index
 
-    def meta(self):
+    def manifest(self) -> dict:
         """The guard: an index of another analyzer isn't opened."""
-        row = self.spark.read.schema("dim int, buckets int, analyzer string").parquet(f"{self.path}/meta").first()
-        if row is None or row.analyzer != ANALYZER:
+        now = self.commits.manifest()
+        if now["info"].get("analyzer") != ANALYZER:
             raise ValueError(f"no compatible index at {self.path}; build it anew")
-        return row
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        """A part of the index; empty before the first write."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        there = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+        return now
 
-    def generations(self) -> int:
-        return self._read("lengths", "gen int").agg(F.max("gen")).first()[0] or 0
+    def meta(self) -> dict:
+        return self.manifest()["info"]
 
-    def lengths(self) -> DataFrame:
+    def lengths(self, manifest: dict | None = None) -> DataFrame:
         """(chunk_id, gen, dl) of the living chunks."""
-        rows = self._read("lengths", "chunk_id long, gen int, dl int")
+        manifest = manifest or self.manifest()
+        rows = self.commits.read("lengths", "chunk_id long, dl int, gen int", manifest=manifest)
+        if manifest["info"]["gens"] <= 1:
+            return rows.select("chunk_id", "gen", "dl").where("dl is not null")
         newest = rows.groupBy("chunk_id").agg(F.max_by(F.struct("gen", "dl"), "gen").alias("x"))
         return newest.select("chunk_id", "x.gen", "x.dl").where("dl is not null")
 
-    def upsert(self, chunks: DataFrame, text: str = "text", vector: str | None = None) -> Index:
+    def _publish(self, base: dict, added: dict[str, list[str]], token: str | None, replace: bool = False) -> None:
+        """Counts what lives after the write and makes it visible."""
+        folders = {} if replace else dict(base["folders"])
+        next_ = {"version": base["version"] + 1, "info": base["info"] | {"gens": 1 if replace else base["info"]["gens"] + 1}}
+        next_["folders"] = folders | {"lengths": [*folders.get("lengths", []), *(p.removeprefix(f"{self.path}/") for p in added.get("lengths", []))]}
+        n, words = self.lengths(next_).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        self.commits.publish(base, added, next_["info"] | {"chunks": n, "words": words}, token, replace)
+
+    def upsert(self, chunks: DataFrame, text: str = "text", vector: str | None = None, token: str | None = None) -> Index:
         """Chunks (chunk_id, text[, vector]) replace those of their ids; of rows that repeat an id the greatest text counts.
-        Vectors of another dimension stop the write before anything is written."""
-        meta, gen = self.meta(), self.generations() + 1
-        if vector is not None and chunks.where(F.size(vector) != meta.dim).limit(1).count():
-            raise ValueError(f"vectors of another dimension than {meta.dim}")
+        Vectors of another dimension stop the write before anything is written; a write of a known token has been done."""
+        base = self.manifest()
+        if token and token in base["tokens"]:
+            return self
+        if vector is not None and chunks.where(F.size(vector) != base["info"]["dim"]).limit(1).count():
+            raise ValueError(f"vectors of another dimension than {base['info']['dim']}")
         rest = [F.col(vector).cast("array<float>").alias("embedding")] if vector is not None else []
         rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *rest)
         one = rows.groupBy("chunk_id").agg(F.max(F.struct("text", *(["embedding"] if rest else []))).alias("x")).select("chunk_id", "x.*")
         words = one.select("chunk_id", R.terms(F.col("text")).alias("t"))
-        tf = words.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        placed = tf.withColumn("bucket", self.bucket(meta.buckets)).withColumn("gen", F.lit(gen))
-        placed.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        words.select("chunk_id", F.lit(gen).alias("gen"), F.size("t").alias("dl")).write.mode("append").parquet(f"{self.path}/lengths")
+        added = {"lengths": [self._write(words.select("chunk_id", F.size("t").alias("dl")), "lengths", base)]}
+        written = self.spark.read.schema("chunk_id long, dl int").parquet(added["lengths"][0])
+        n, mean = written.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(1.0))).first()
+        tf = words.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        added |= self._postings(tf, n, mean, base)
         if rest:
-            one.select("chunk_id", "embedding", F.lit(gen).alias("gen")).write.mode("append").parquet(f"{self.path}/vectors")
+            added["vectors"] = [self._write(one.select("chunk_id", "embedding"), "vectors", base)]
+        self._publish(base, added, token)
         return self
 
-    def delete(self, ids: DataFrame) -> Index:
+    def _write(self, rows: DataFrame, table: str, base: dict, *by: str) -> str:
+        path = self.commits.folder(table, base["version"] + 1)
+        (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
+        return path
+
+    def _postings(self, tf: DataFrame, chunks: int, mean: float, base: dict) -> dict[str, list[str]]:
+        """Blocks by falling impact, and the terms' largest impacts, from (chunk_id, dl, term, tf)."""
+        slices = max(1, -(-chunks // SLICE))
+        rows = tf.withColumn("impact", saturation(F.col("tf"), F.col("dl"), max(mean, 1e-9))).withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices)))
+        placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("term", "slice").orderBy(F.desc("impact"), "chunk_id")) - 1)
+        listed = placed.groupBy("term", "slice", F.floor(F.col("at") / BLOCK).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("at", "chunk_id", "tf", "dl"))).alias("x"), F.max("impact").alias("impact"))
+        field = lambda c: F.transform("x", lambda r: r[c]).alias(c + "s")
+        blocks = listed.select("term", "block", field("chunk_id").alias("ids"), field("tf"), field("dl"), "impact", self.bucket(base["info"]["buckets"]).alias("bucket"))
+        post = self._write(blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "block"), "postings", base, "bucket")
+        # no more than TOPS impacts of each slice, so a frequent term is no larger than others
+        tops = placed.groupBy("term", "slice").agg(F.count(F.lit(1)).alias("df"), F.collect_list(F.when(F.col("at") < TOPS, F.col("impact"))).alias("i"))
+        terms = tops.groupBy("term").agg(F.sum("df").alias("df"), F.slice(F.sort_array(F.flatten(F.collect_list("i")), False), 1, TOPS).alias("tops"))
+        terms = terms.withColumn("bucket", self.bucket(base["info"]["buckets"]))
+        return {"postings": [post], "terms": [self._write(terms.repartition("bucket").sortWithinPartitions("bucket", "term"), "terms", base, "bucket")]}
+
+    def delete(self, ids: DataFrame, token: str | None = None) -> Index:
         """The chunks with the given chunk_ids go."""
-        gone = ids.select(F.col("chunk_id").cast("long").alias("chunk_id")).distinct()
-        gone.select("chunk_id", F.lit(self.generations() + 1).alias("gen"), F.lit(None).cast("int").alias("dl")).write.mode("append").parquet(f"{self.path}/lengths")
+        base = self.manifest()
+        if token and token in base["tokens"]:
+            return self
+        gone = ids.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lit(None).cast("int").alias("dl")).distinct()
+        self._publish(base, {"lengths": [self._write(gone, "lengths", base)]}, token)
         return self
 
     def count(self) -> int:
-        return self.lengths().count()
-
-    def compact(self, path: str) -> Index:
-        """The living rows as an index of one generation in another folder."""
-        meta, live = self.meta(), self.lengths()
-        new = Index.create(self.spark, path, meta.dim, meta.buckets)
-        post = self.postings().join(live.select("chunk_id", "gen"), ["chunk_id", "gen"], "left_semi").withColumn("gen", F.lit(1))
-        post.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-        live.withColumn("gen", F.lit(1)).write.parquet(f"{path}/lengths")
-        self.vectors().withColumn("gen", F.lit(1)).write.parquet(f"{path}/vectors")
-        return new
-
-    def postings(self) -> DataFrame:
-        return self._read("postings", "chunk_id long, dl int, term string, tf long, gen int, bucket int")
-
-    def vectors(self) -> DataFrame:
+        return self.meta()["chunks"]
+
+    def compact(self) -> Index:
+        """The living rows as one generation; older versions stay readable until ``Commits.vacuum``."""
+        base = self.manifest()
+        live = self.lengths(base)
+        added = {"lengths": [self._write(live.select("chunk_id", "dl"), "lengths", base)]}
+        rows = self.postings(base).join(live.select("chunk_id", "gen"), ["chunk_id", "gen"], "left_semi") if base["info"]["gens"] > 1 else self.postings(base)
+        mean = base["info"]["words"] / max(1, base["info"]["chunks"])
+        added |= self._postings(rows.select("chunk_id", "dl", "term", "tf"), base["info"]["chunks"], mean, base)
+        added["vectors"] = [self._write(self.vectors(base), "vectors", base)]
+        self._publish(base, added, None, replace=True)
+        return self
+
+    def blocks(self, manifest: dict | None = None) -> DataFrame:
+        return self.commits.read("postings", POSTINGS, manifest=manifest or self.manifest())
+
+    def postings(self, manifest: dict | None = None) -> DataFrame:
+        """(term, chunk_id, tf, dl, gen, bucket), of replaced and deleted chunks too."""
+        return each(self.blocks(manifest), "gen", "bucket")
+
+    def vectors(self, manifest: dict | None = None) -> DataFrame:
         """(chunk_id, embedding) of the living chunks."""
-        rows = self._read("vectors", "chunk_id long, embedding array<float>, gen int")
-        return rows.join(self.lengths().select("chunk_id", "gen"), ["chunk_id", "gen"], "left_semi").select("chunk_id", "embedding")
+        manifest = manifest or self.manifest()
+        rows = self.commits.read("vectors", "chunk_id long, embedding array<float>, gen int", manifest=manifest)
+        if manifest["info"]["gens"] <= 1:
+            return rows.select("chunk_id", "embedding")
+        return rows.join(self.lengths(manifest).select("chunk_id", "gen"), ["chunk_id", "gen"], "left_semi").select("chunk_id", "embedding")
 
     @staticmethod
-    def bucket(buckets: int):
+    def bucket(buckets: int) -> Column:
         return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
     def bm25(self, queries: DataFrame, query_id: str = "query_id", query: str = "question", k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
-        """(query_id, chunk_id, score), as ``retrieval.bm25`` has them, from the stored postings."""
-        buckets, gens = self.meta().buckets, self.generations()
+        """(query_id, chunk_id, score), as ``retrieval.bm25`` has them, of every chunk that has a term of the question."""
+        now = self.manifest()
+        info = now["info"]
         asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(R.terms(F.col(query)))).alias("term"))
-        n, which = asked.agg(F.count(F.lit(1)), F.collect_set(self.bucket(buckets))).first()  # as many numbers as there are buckets
+        n, which = asked.agg(F.count(F.lit(1)), F.collect_set(self.bucket(info["buckets"]))).first()  # as many numbers as there are buckets
         asked = F.broadcast(asked) if n <= R.BROADCAST_QUERIES * 20 else asked
-        lengths = self._read("lengths", "chunk_id long, gen int, dl int") if gens <= 1 else self.lengths()
-        found = self.postings().where(F.col("bucket").isin(which)).join(asked.select("term").distinct(), "term", "left_semi")
-        if gens > 1:
-            found = found.join(lengths.select("chunk_id", "gen"), ["chunk_id", "gen"], "left_semi")
-        stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
+        found = self.blocks(now).where(F.col("bucket").isin(which)).join(asked.select("term").distinct(), "term", "left_semi")
+        found = each(found, "gen")
+        if info["gens"] > 1:
+            found = found.join(self.lengths(now).select("chunk_id", "gen"), ["chunk_id", "gen"], "left_semi")
         df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # no more rows than the queries have terms
         df = F.broadcast(df) if n <= R.BROADCAST_QUERIES * 20 else df
-        weighed = found.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-        return weighed.select("chunk_id", "term", part.alias("part")).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+        idf = F.log(1 + (F.lit(info["chunks"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = idf * saturation(F.col("tf"), F.col("dl"), self.mean(info), k1, b)
+        return found.join(df, "term").select("chunk_id", "term", part.alias("part")).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+
+    @staticmethod
+    def mean(info: dict) -> float:
+        return max(info["words"], 1e-9) / max(1, info["chunks"])
+
+    def plan(self, queries: DataFrame, k: int, query_id: str = "query_id", query: str = "question"):
+        """(rows (query_id, term, idf, least, essential), of each term the buckets and least impact it has to be read to, the
+        manifest) of a search for k chunks; None where it has to go through all postings."""
+        now = self.manifest()
+        info = now["info"]
+        if info["gens"] != 1 or k > TOPS:
+            return None
+        asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(R.terms(F.col(query)))).alias("term")).withColumn("bucket", self.bucket(info["buckets"])).limit(DRIVER_TERMS + 1).collect()
+        if len(asked) > DRIVER_TERMS:
+            return None
+        terms = sorted({r.term for r in asked})
+        heads = self.commits.read("terms", "term string, df long, tops array<double>, bucket int", manifest=now)
+        heads = {r.term: r for r in heads.where(F.col("bucket").isin(sorted({r.bucket for r in asked})) & F.col("term").isin(terms)).collect()} if terms else {}
+        idf = {t: log(1 + (info["chunks"] - h.df + 0.5) / (h.df + 0.5)) for t, h in heads.items()}
+        most = {t: idf[t] * h.tops[0] for t, h in heads.items()}
+        of: dict = {}
+        for r in asked:
+            if r.term in heads:
+                of.setdefault(r.query_id, []).append(r.term)
+        rows, reads = [], {}
+        for q, own in of.items():
+            reached = max((idf[t] * heads[t].tops[k - 1] for t in own if len(heads[t].tops) >= k), default=0.0) - 1e-6
+            every, below = sum(most[t] for t in own), 0.0
+            for t in sorted(own, key=most.__getitem__):
+                below += most[t]
+                least = (reached - (every - most[t])) / idf[t]
+                rows.append((q, t, idf[t], least, below >= reached))
+                reads[t] = min(reads.get(t, least), least)
+        return rows, {t: (heads[t].bucket, least) for t, least in reads.items()}, now
 
-    def dense(self, queries: DataFrame) -> DataFrame:
-        """(query_id, chunk_id, score) of queries (query_id, query_vector) with all living vectors; a chunk meets itself too."""
-        return R.dense_all(self.vectors(), queries)
+    def top(self, queries: DataFrame, k: int = DEFAULTS.top_k) -> DataFrame:
+        """(query_id, chunk_id, score, rank): the k best chunks of each question, by score to six places, then chunk."""
+        planned = self.plan(queries, k)
+        if planned is None:
+            return R.top_k(self.bm25(queries).withColumn("score", F.round("score", 6)), "chunk_id", k)
+        rows, reads, now = planned
+        kind = queries.select("query_id").schema[0].dataType
+        schema = f"query_id {kind.simpleString()}, term string, idf double, least double, essential boolean"
+        asked = F.broadcast(self.spark.createDataFrame(rows, schema))  # DRIVER_TERMS at most
+        found = self.read_blocks(reads, now).join(asked, "term").where(F.col("impact") >= F.col("least"))
+        part = F.col("idf") * saturation(F.col("tf"), F.col("dl"), self.mean(now["info"]))
+        scored = each(found, "query_id", "idf", "essential").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"), F.max("essential").alias("any"))
+        return R.top_k(scored.where("any").select("query_id", "chunk_id", F.round("score", 6).alias("score")), "chunk_id", k)
+
+    def read_blocks(self, reads: dict, now: dict) -> DataFrame:
+        """The blocks of the terms, down to each term's least impact."""
+        rows = self.blocks(now)
+        buckets = sorted({b for b, _ in reads.values()})
+        if len(reads) <= 500:  # written as conditions, they reach the files' row groups
+            hit = F.lit(False)
+            for t, (_, least) in reads.items():
+                hit = hit | ((F.col("term") == t) & (F.col("impact") >= least))
+            return rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(reads)) & hit)
+        wanted = self.spark.createDataFrame([(t, least) for t, (_, least) in reads.items()], "term string, down double")
+        return rows.where(F.col("bucket").isin(buckets)).join(F.broadcast(wanted), "term").where("impact >= down").drop("down")
+
+    def share_read(self, queries: DataFrame, k: int = DEFAULTS.top_k) -> tuple[int, int]:
+        """(blocks that ``top`` reads, blocks of the questions' terms)."""
+        planned = self.plan(queries, k)
+        if planned is None:
+            return (0, 0)
+        _, reads, now = planned
+        every = {t: (b, float("-inf")) for t, (b, _) in reads.items()}
+        return self.read_blocks(reads, now).count(), self.read_blocks(every, now).count()
+
+    def dense(self, queries: DataFrame, k: int = DEFAULTS.top_k) -> DataFrame:
+        """(query_id, chunk_id, score, rank) of queries (query_id, query_vector): the k nearest living vectors; a chunk meets itself
+        too."""
+        return R.dense_top(self.vectors().withColumnRenamed("chunk_id", "item"), queries, k).withColumnRenamed("item", "chunk_id")
 
     def hybrid(self, queries: DataFrame, k: int = DEFAULTS.top_k) -> DataFrame:
         """(query_id, chunk_id, score, rank) of queries (query_id, question, query_vector): both branches over the same chunks."""
-        lexical = self.bm25(queries).withColumn("score", F.round("score", 6))
-        return R.hybrid(self.dense(queries), lexical, "chunk_id", k)
+        branch = R.over_fetch(k)
+        return R.fused(self.dense(queries, branch), self.top(queries, branch), "chunk_id", k)
+
+
+def each(blocks: DataFrame, *keep: str) -> DataFrame:
+    """(term, chunk_id, tf, dl, ...) from blocks of postings."""
+    rows = blocks.select("term", *keep, F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("x"))
+    return rows.select("term", F.col("x.ids").alias("chunk_id"), F.col("x.tfs").alias("tf"), F.col("x.dls").alias("dl"), *keep)

@@ -94,12 +94,16 @@ def test_index_guard_writes_and_search(spark, tmp_path):
     asked = spark.createDataFrame([(1, "apple pie", [1.0, 0.5])], "query_id long, question string, query_vector array<double>")
     assert index.count() == 3 and {r.chunk_id for r in index.bm25(asked).collect()} == {1, 2}
     index.upsert(spark.createDataFrame([(1, "pie", [0.0, 0.0])], "chunk_id long, text string, v array<double>"), vector="v").delete(docs.where("chunk_id = 2"))
-    for now in (index, index.compact(f"file://{tmp_path}/j")):
+    for compact in (False, True):
+        now = index.compact() if compact else index
         assert now.count() == 2 and {r.chunk_id for r in now.bm25(asked).collect()} == {1}
-        assert rows(now.dense(asked)) == [(1, 1, 0.0), (1, 3, 1.5)]
+        assert rows(now.dense(asked)) == [(1, 1, 0.0, 2), (1, 3, 1.5, 1)]
         want = R.bm25(spark.createDataFrame([(1, "pie"), (3, "")], "chunk_id long, text string"), asked, "chunk_id", "text", "query_id", "question")
-        assert rows(now.bm25(asked)) == rows(want)
-    spark.createDataFrame([(2, 4, "other")], "dim int, buckets int, analyzer string").write.parquet(f"file://{tmp_path}/k/meta")
+        six = ["query_id", "chunk_id", "round(score, 6)"]
+        assert rows(now.bm25(asked).selectExpr(*six)) == rows(want.withColumnRenamed("doc_id", "chunk_id").selectExpr(*six))
+    other = Index.create(spark, f"file://{tmp_path}/k", 2)
+    base = other.manifest()
+    other.commits.publish(base, {}, base["info"] | {"analyzer": "other"})
     with pytest.raises(ValueError, match="compatible"):
         Index(spark, f"file://{tmp_path}/k").bm25(asked)
 
