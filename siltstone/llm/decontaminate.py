@@ -135,10 +135,10 @@ class Index:
         essential = terms[self.essential[terms] > 0]
         if not len(essential):
             return []
-        touched, at = np.unique(np.concatenate([self.blocks[t] for t in essential]), return_inverse=True)
-        bound = np.bincount(at, np.concatenate([self.maxima[t] for t in essential]))
+        essential = essential.tolist()
+        bound = np.bincount(np.concatenate([self.blocks[t] for t in essential]), np.concatenate([self.maxima[t] for t in essential]))
         out = []
-        for block in touched[bound >= least - self.common[terms].sum()].tolist():
+        for block in np.flatnonzero(bound >= least - self.common[terms].sum()).tolist():  # common terms alone reach no item
             out += self.within(block, terms.tolist(), least)
         return out
 
