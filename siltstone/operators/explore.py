@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators import ranges
 
 
 def tenant(rows: DataFrame, **equal) -> DataFrame:
@@ -40,10 +41,11 @@ def facet_counts(rows: DataFrame, *columns: str) -> DataFrame:
     return grouped.select(name.alias("facet"), value.alias("value"), "n")
 
 
-def context(chunks: DataFrame, doc: str, ordinal: str, text: str) -> DataFrame:
-    """Each chunk with its predecessor's and successor's text; ordinals are dense, so a lag is the range join."""
-    order = Window.partitionBy(doc).orderBy(ordinal)
-    return chunks.withColumn("context_before", F.lag(text).over(order)).withColumn("context_after", F.lead(text).over(order))
+def context(chunks: DataFrame, doc: str, ordinal: str, text: str, width: int = 4096) -> DataFrame:
+    """Each chunk with its predecessor's and successor's text, by blocks of ``width`` ordinals, so that no task holds a whole
+    document; ordinals are unique in their document."""
+    rows = ranges.neighbours(chunks, [doc], ordinal, F.col(text), width)
+    return rows.withColumnsRenamed({"before": "context_before", "after": "context_after"})
 
 
 def counters(documents: DataFrame, keys: list[str], status: Column, bytes_: Column, chunks: Column) -> DataFrame:
@@ -165,17 +167,18 @@ def recovered(rows: DataFrame, status: str, running: tuple[str, ...], to: str =
 
 def nearest_above(items: DataFrame, titles: DataFrame, reach: float = 90.0, align: float = 40.0) -> DataFrame:
     """Each item's nearest aligned title above it on its page; items (item, page, x0, y0), titles (page, x0, y1, title)."""
-    t = titles.select(F.col("page").alias("tp"), F.col("x0").alias("tx"), F.col("y1").alias("ty"), "title")
-    gap = F.col("y0") - F.col("ty")
-    near = items.join(t, (F.col("page") == F.col("tp")) & (gap > 0) & (gap <= reach) & (F.abs(F.col("x0") - F.col("tx")) <= align))
+    t = titles.select("page", F.col("y1").alias("lo"), F.col("y1").alias("hi"), F.col("x0").alias("tx"), "title")
+    near = ranges.overlapping(items.withColumn("lo", F.col("y0") - reach).withColumn("hi", F.col("y0")), t, ["page"], reach)
+    gap = F.col("y0") - F.col("r_hi")
+    near = near.where((gap > 0) & (gap <= reach) & (F.abs(F.col("x0") - F.col("tx")) <= align))
     return near.groupBy("item").agg(F.min_by("title", F.struct(gap, F.col("title"))).alias("title"))
 
 
 def nearest_caption(images: DataFrame, texts: DataFrame, reach: float = 120.0) -> DataFrame:
     """(image, caption): text by each image on its page; one that names its figure beats others, then the nearest counts.
     Images (image, page, y0, y1), texts (page, y0, y1, text)."""
-    t = texts.select(F.col("page").alias("tp"), F.col("y0").alias("ty0"), F.col("y1").alias("ty1"), "text")
-    gap = F.greatest(F.col("ty0") - F.col("y1"), F.col("y0") - F.col("ty1"), F.lit(0.0))
-    near = images.join(t, (F.col("page") == F.col("tp")) & (gap <= reach))
+    t = texts.select("page", F.col("y0").alias("lo"), F.col("y1").alias("hi"), "text")
+    near = ranges.overlapping(images.withColumn("lo", F.col("y0") - reach).withColumn("hi", F.col("y1") + reach), t, ["page"], 2 * reach)
+    gap = F.greatest(F.col("r_lo") - F.col("y1"), F.col("y0") - F.col("r_hi"), F.lit(0.0))
     plain = F.when(F.col("text").rlike(T.STANDALONE_CAPTION), 0).otherwise(1)
     return near.groupBy("image").agg(F.min_by("text", F.struct(plain, gap, F.col("text"))).alias("caption"))

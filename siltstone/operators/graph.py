@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone import config as C
 from siltstone.functions import text as T
+from siltstone.operators import ranges
 from siltstone.plans.lineage import cut
 
 D = C.DEFAULTS
@@ -84,6 +85,12 @@ def hub_threshold(counts: Column) -> Column:
     return F.when(F.size(counts) == 0, F.lit(float("inf"))).otherwise(F.greatest(F.lit(float(D.hub_floor)), (D.hub_multiple * median).cast("double")))
 
 
+def hub_thresholds(counts: DataFrame, keys: list[str], mentions: str = "mentions") -> DataFrame:
+    """(keys, hub_at): ``hub_threshold`` of each key's rows, without a list of them."""
+    median = ranges.ranked(counts, keys, mentions, F.floor(F.col("n") / 2) + 1)
+    return median.select(*keys, F.greatest(F.lit(float(D.hub_floor)), (D.hub_multiple * F.col(mentions)).cast("double")).alias("hub_at"))
+
+
 def seeds(candidates: DataFrame, question: str) -> DataFrame:
     """(question, seq, norm_name, mentions) candidates -> those that tell the question from others.
 

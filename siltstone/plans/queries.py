@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone import config as C
 from siltstone.functions import text as T
 from siltstone.operators import answers as A
-from siltstone.operators import chat, chunking, explore, graph
+from siltstone.operators import chat, chunking, explore, graph, ranges
 from siltstone.operators import retrieval as R
 from siltstone.plans import answering
 from siltstone.plans.lineage import cut
@@ -118,10 +118,9 @@ def doc_browse_page(spark, sf_dir):
   sha256(coalesce(lag(text) OVER w, '')) AS before_sha FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)"""
 )
 def context_neighbours(spark, sf_dir):
-    rows = t(spark, sf_dir, "documents")
-    order = Window.partitionBy("source").orderBy("doc_id")
-    out = explore.context(rows, "source", "doc_id", "text")
-    return out.select("doc_id", "source", F.lag("n_chars").over(order).alias("before"), F.lead("n_chars").over(order).alias("after"), F.sha2(F.coalesce("context_before", F.lit("")), 256).alias("before_sha"))
+    near = ranges.neighbours(t(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"), ["source"], "doc_id", F.struct("text", "n_chars"), 4096)
+    text = F.coalesce("before.text", F.lit(""))
+    return near.select("doc_id", "source", F.col("before.n_chars").alias("before"), F.col("after.n_chars").alias("after"), F.sha2(text, 256).alias("before_sha"))
 
 
 @query("SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -326,7 +325,34 @@ def hub_cutoff(spark, sf_dir):
 @query("SELECT l_suppkey, greatest(10.0, 8.0 * list_sort(list(n))[count(*) // 2 + 1])::DOUBLE AS hub_at FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def hub_median(spark, sf_dir):
     rows = t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    return rows.groupBy("l_suppkey").agg(F.collect_list("n").alias("c")).select("l_suppkey", graph.hub_threshold(F.col("c")).alias("hub_at"))
+    return graph.hub_thresholds(rows, ["l_suppkey"], "n")
+
+
+@query(
+    """WITH l AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS line, epoch(l_shipdate::TIMESTAMP)::BIGINT // 86400 AS lo, epoch(l_shipdate::TIMESTAMP)::BIGINT // 86400 + l_quantity::BIGINT AS hi FROM lineitem)
+SELECT a.l_suppkey, count(*) AS pairs, sum(least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1)::BIGINT AS days FROM l a JOIN l b ON a.l_suppkey = b.l_suppkey AND a.line < b.line AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY 1"""
+)
+def interval_overlaps(spark, sf_dir):
+    """Lines of a supplier that are under way at one time, a day for each piece from shipping on; intervals met in bands."""
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    rows = t(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), day("l_shipdate").alias("lo"), (day("l_shipdate") + F.col("l_quantity").cast("long")).alias("hi"))
+    met = ranges.overlapping(rows, rows.withColumnRenamed("line", "other"), ["l_suppkey"], 30).where("line < other")
+    days = F.least("hi", "r_hi") - F.greatest("lo", "r_lo") + 1
+    return met.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("pairs"), F.sum(days).alias("days"))
+
+
+@query(
+    """WITH l AS (SELECT l_suppkey, l_orderkey, epoch(l_shipdate::TIMESTAMP)::BIGINT // 86400 AS d FROM lineitem), r AS (SELECT l_suppkey, epoch(l_shipdate::TIMESTAMP)::BIGINT // 86400 + l_quantity::BIGINT AS d, max(l_orderkey) AS m FROM lineitem GROUP BY 1, 2)
+SELECT l.l_suppkey, count(*) AS lines, count(r.d) AS after_one, sum(l.d - r.d)::BIGINT AS days, sum(r.m)::BIGINT AS marks FROM l ASOF LEFT JOIN r ON l.l_suppkey = r.l_suppkey AND l.d >= r.d GROUP BY 1"""
+)
+def arrivals_before(spark, sf_dir):
+    """For each line the supplier's newest arrival at or before its shipping, as-of by sorted blocks."""
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    lines = t(spark, sf_dir, "lineitem")
+    rows = lines.select("l_suppkey", day("l_shipdate").alias("d"), "l_orderkey")
+    marks = lines.select("l_suppkey", (day("l_shipdate") + F.col("l_quantity").cast("long")).alias("d"), F.col("l_orderkey").alias("mark"))
+    found = ranges.as_of(rows, marks, ["l_suppkey"], "d", 365)
+    return found.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("lines"), F.count("mark_at").alias("after_one"), F.sum(F.col("d") - F.col("mark_at")).alias("days"), F.sum("mark").alias("marks"))
 
 
 @query(f"WITH {EDGES_SQL} SELECT node, count(*) AS degree FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1")

@@ -248,13 +248,24 @@ def blocks(files: DataFrame) -> DataFrame:
 
 
 def store_by_content(files: DataFrame, path: str) -> DataFrame:
-    """Content-addressed sink: one row a digest, partitioned by its first two digits; returns (path, sha256)."""
+    """Content-addressed sink: a row a digest, partitioned by its first two digits; returns (path, sha256). What is stored stays,
+    and a digest that is stored isn't written again."""
     hashed = files.select("path", F.sha2("content", 256).alias("sha256"), "content")
     first = hashed.withColumn("n", F.row_number().over(Window.partitionBy("sha256").orderBy("path"))).where("n = 1")
-    first.select("sha256", F.substring("sha256", 1, 2).alias("prefix"), "content").write.mode("overwrite").partitionBy("prefix").parquet(path)
+    new = first.select("sha256", F.substring("sha256", 1, 2).alias("prefix"), "content")
+    spark = files.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        new = new.join(spark.read.schema("sha256 string, prefix string").parquet(path), ["prefix", "sha256"], "left_anti")
+    new.select("sha256", "prefix", "content").write.mode("append").partitionBy("prefix").parquet(path)
     return hashed.select("path", "sha256")
 
 
+def stored_content(spark: SparkSession, path: str) -> DataFrame:
+    """(sha256, content) of ``store_by_content``, each digest once, also where two writers stored it at one time."""
+    return spark.read.schema("sha256 string, content binary, prefix string").parquet(path).groupBy("sha256").agg(F.first("content").alias("content"))
+
+
 def write_index(vectors: DataFrame, path: str, key: str, tenant: str, dim: int, vector: str = "embedding", at: str = "seq") -> None:
     """Vector sink, a keyed merge: a key's row of the greatest ``at`` replaces what the tenant's partition holds for it, other
     rows and other tenants stay. Rows of another dimension stop the write."""
