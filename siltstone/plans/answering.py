@@ -6,6 +6,7 @@ deterministic defaults: lexical logits, term coverage, and an extractive answer
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,10 +16,16 @@ from siltstone.config import DEFAULTS as D
 from siltstone.functions import text as T
 from siltstone.operators import answers as A
 from siltstone.operators import evidence as E
+from siltstone.operators import explore
 from siltstone.operators import retrieval as R
+from siltstone.plans import ingesting
 from siltstone.plans.lineage import cut
 
 
+#: Main calls and fast calls of a question, seconds of a table of questions.
+BUDGET = (6, 12, float("inf"))
+
+
 class Models:
     """What a deployment replaces: all take and return Columns, so an Arrow function fits as well as an expression."""
 
@@ -44,8 +51,12 @@ class Models:
         return E.split_question(question)
 
     def rewritten(self, question: Column, history: Column) -> Column:
-        """The question as it stands without its history; null where the model fails."""
-        return F.lit(None).cast("string")
+        """The question as it stands without its history; null where the model fails. The default adds the terms of the user's last
+        line that the question doesn't have."""
+        last = F.regexp_extract(history, r"(?s).*(?:^|\n)User: ([^\n]*)", 1)
+        own = F.transform(T.question_terms(question), F.lower)
+        more = F.filter(T.question_terms(last), lambda t: ~F.array_contains(own, F.lower(t)))
+        return F.when(F.size(more) > 0, F.concat(F.trim(question), F.lit(" ("), F.array_join(F.slice(more, 1, 8), " "), F.lit(")")))
 
 
 def condensed(questions: DataFrame, history: DataFrame | None, models: Models) -> DataFrame:
@@ -60,6 +71,29 @@ def condensed(questions: DataFrame, history: DataFrame | None, models: Models) -
     return rows.withColumn("question", F.when(leans & fits, new).otherwise(F.col("question"))).drop("history")
 
 
+def prompts(passages: DataFrame, settled: DataFrame) -> DataFrame:
+    """(query_id, prompt): what a model is asked for the answer. Passages (query_id, rank, text, and filename, page_no, section where
+    known) stand numbered under the question; thin evidence and questions beside the corpus are named first; a question
+    without passages says so. ``settled`` has query_id, question, sufficient, out_of_scope."""
+    known = {"filename": F.lit("passage"), "page_no": F.lit(None).cast("int"), "section": F.lit(None).cast("string")}
+    rows = passages.select("query_id", "rank", "text", *[(F.col(c) if c in passages.columns else v).alias(c) for c, v in known.items()])
+    block = A.context_block(rows)
+    scope, thin = "The corpus does not seem to hold what this question needs: say so, and use only what bears on it.\n\n", "The evidence is thin: say what is missing, and do not pad.\n\n"
+    head = F.when(F.col("out_of_scope"), scope).when(~F.col("sufficient"), thin).otherwise("")
+    asked = F.concat(F.lit("Question: "), F.col("question"))
+    full = F.concat(head, asked, F.lit("\n\nPassages:\n\n"), F.col("context"), F.lit("\n\nAnswer from the passages and cite their numbers in brackets."))
+    none = F.concat(asked, F.lit("\n\nNo passage was found for it."))
+    return settled.join(block, "query_id", "left").select("query_id", F.when(F.col("context").isNull(), none).otherwise(full).alias("prompt"))
+
+
+def described(profile: str | DataFrame) -> str:
+    """A corpus in a line: as given, or the first names of documents (filename, seq) and how many more there are."""
+    if isinstance(profile, str):
+        return profile
+    row = explore.profile_line(profile.withColumn("corpus", F.lit(1)), "corpus", "filename", "seq").first()
+    return row.profile if row else ""
+
+
 def scanned(chunks: DataFrame) -> E.Corpus:
     """A corpus without a stored index and graph: searches go over the texts."""
 
@@ -85,23 +119,36 @@ def judge(pool: DataFrame, questions: DataFrame, chunks: DataFrame, models: Mode
     return ranked, v.select("query_id", "question", "v.score", "v.sufficient", "v.out_of_scope", "scope", "window", missing.alias("missing"))
 
 
-def answer(chunks: DataFrame, questions: DataFrame, models: Models | None = None, passes: int = D.max_passes, corpus: E.Corpus | None = None, history: DataFrame | None = None, profile: str = "") -> DataFrame:
-    """(query_id, route, score, sufficient, passes, note, answer): chunks (chunk_id, text), questions (query_id, question).
+def answer(chunks: DataFrame, questions: DataFrame, models: Models | None = None, passes: int = D.max_passes, corpus: E.Corpus | None = None, history: DataFrame | None = None, profile: str | DataFrame = "", budget: tuple[int, int, float] = BUDGET) -> DataFrame:
+    """(query_id, route, score, sufficient, passes, note, answer, calls, prompt): chunks (chunk_id, text), questions (query_id, question).
 
     Retrieves by route, reranks, judges; questions without enough evidence go on while each pass gains enough, at most
     ``passes`` times. What a further pass doesn't find ends with a note; where the last verdict is worse than an earlier one,
-    that one's window comes back in front. ``profile`` describes the corpus; without it nothing counts as out of scope.
+    that one's window comes back in front. ``profile`` describes the corpus (a line, or its documents); without it nothing counts as
+    out of scope. ``budget`` bounds the main and the fast calls of a question and the seconds of the whole table: a rewrite, a
+    verdict and a made-up answer are fast calls, the answer is a main one; a question whose budget is spent answers with what it
+    has. ``prompt`` is what a model would be asked for the answer.
     """
-    models, corpus = models or Models(), corpus or scanned(chunks)
-    routed = condensed(questions, history, models).withColumn("route", A.route(F.col("question"), graph_on=corpus.entities is not None))
-    routed = cut(routed.select("query_id", "question", "route"))
+    began = time.monotonic()
+    models, corpus, profile = models or Models(), corpus or scanned(chunks), described(profile)
+    spent = lambda fast: ingesting.budget_note(F.lit(0), fast, F.lit(time.monotonic() - began), *budget)  # the answer is the one main call
+    standing = condensed(questions, history, models)
+    routed = standing.withColumn("route", A.route(F.col("question"), graph_on=corpus.entities is not None))
+    if history is None:
+        routed = routed.withColumn("rewrites", F.lit(0))
+    else:
+        before = questions.select("query_id", F.col("question").alias("given"))
+        routed = routed.join(before, "query_id").withColumn("rewrites", (F.col("given") != F.col("question")).cast("int"))
+    routed = cut(routed.select("query_id", "question", "route", "rewrites"))
     asking = routed.where("route <> 'DIRECT'")
     pool = cut(E.retrieved(corpus, asking, parts=models.parts(F.col("question"))))
     ranked, verdicts = judge(pool, asking, chunks, models)
     rankings, judged = [cut(ranked.select("query_id", "chunk_id", "rank", "text", F.lit(1).alias("pass")))], cut(verdicts.withColumn("pass", F.lit(1)).withColumn("previous", F.lit(None).cast("double")).withColumn("dry", F.lit(False)))
     for n in range(2, passes + 1):
         stop = A.stop_reason(F.col("score"), F.col("previous"), F.col("scope"), F.lit(profile), F.col("out_of_scope"))
-        open_ = cut(judged.where((F.col("pass") == n - 1) & ~F.col("sufficient") & ~F.col("dry") & stop.isNull() & (F.size("missing") > 0)))
+        going = judged.where((F.col("pass") == n - 1) & ~F.col("sufficient") & ~F.col("dry") & stop.isNull() & (F.size("missing") > 0))
+        fast = going.join(routed.select("query_id", "rewrites"), "query_id").withColumn("fast", F.col("rewrites") + (n - 1))
+        open_ = cut(fast.where(spent(F.col("fast")).isNull()).select(*judged.columns))
         if not open_.head(1):
             break
         made = models.hypothesis(F.col("question"))
@@ -125,13 +172,17 @@ def answer(chunks: DataFrame, questions: DataFrame, models: Models | None = None
     settled = judged.groupBy("query_id").agg(last.alias("last"), best.alias("best"), F.max(F.when(~F.col("dry"), F.col("pass"))).alias("shown"))
     worse = F.col("last.score") < F.col("best.score")
     note = F.when(F.col("last.dry"), "nothing further was found").when(F.col("last.out_of_scope"), "outside the corpus").when(~F.col("last.sufficient"), "thin evidence").otherwise("")
-    settled = cut(settled.select("query_id", F.greatest("last.score", "best.score").alias("score"), "last.sufficient", F.col("last.pass").alias("passes"), note.alias("note"), "shown", F.when(worse, F.col("best.window")).otherwise(F.array().cast("array<long>")).alias("front")))
+    settled = cut(settled.select("query_id", F.greatest("last.score", "best.score").alias("score"), "last.sufficient", "last.out_of_scope", F.col("last.pass").alias("passes"), note.alias("note"), "shown", F.when(worse, F.col("best.window")).otherwise(F.array().cast("array<long>")).alias("front")))
     every = reduce(DataFrame.unionByName, rankings).join(settled.select("query_id", F.col("shown").alias("pass"), "front"), ["query_id", "pass"])
     final = A.restored(every.withColumnRenamed("rank", "seq"), "chunk_id", "seq", F.col("front"))
     cited = final.where(F.col("rank") <= 3).withColumn("piece", F.concat(T.snippet(F.col("text")), F.lit(" ["), F.col("rank").cast("string"), F.lit("]")))
     text = cited.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda r: r["piece"]), "\n").alias("answer"))
-    out = routed.join(settled, "query_id", "left").join(text, "query_id", "left")
-    return out.select("query_id", "route", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("sufficient", F.lit(False)).alias("sufficient"), F.coalesce("passes", F.lit(0)).alias("passes"), F.coalesce("note", F.lit("")).alias("note"), F.coalesce("answer", F.lit("")).alias("answer"))
+    shown = final.where(F.col("rank") <= D.answer_window).join(chunks.drop("text"), "chunk_id") if len(chunks.columns) > 2 else final
+    asked = prompts(shown, routed.where("route <> 'DIRECT'").join(settled, "query_id"))
+    out = routed.join(settled, "query_id", "left").join(text, "query_id", "left").join(asked, "query_id", "left")
+    calls = F.when(F.col("passes") > 0, F.col("rewrites") + F.col("passes")).otherwise(F.col("rewrites"))
+    out = out.withColumn("calls", calls).withColumn("note", F.coalesce(F.when((F.col("note") == "thin evidence"), spent(F.col("calls"))), F.col("note")))
+    return out.select("query_id", "route", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("sufficient", F.lit(False)).alias("sufficient"), F.coalesce("passes", F.lit(0)).alias("passes"), F.coalesce("note", F.lit("")).alias("note"), F.coalesce("answer", F.lit("")).alias("answer"), "calls", F.coalesce("prompt", F.lit("")).alias("prompt"))
 
 
 def trace(steps: DataFrame) -> DataFrame:

@@ -85,6 +85,21 @@ def test_answers_stop_and_come_back_to_the_better_window(spark):
     assert rows(answering.condensed(ask, past, Rewrites()).select("query_id", "question")) == [(1, "alpha how many blades has it"), (2, "how many blades has it")]
 
 
+def test_loop_budget_prompt_profile_and_condense(spark):
+    chunks = spark.createDataFrame([(1, "the alpha turbine has nine blades", "a.md", 3), (2, "the beta pump is blue", "b.md", None)], "chunk_id long, text string, filename string, page_no int")
+    asked = spark.createDataFrame([(1, "how many blades has the alpha turbine"), (2, "which colour has the gamma engine of the alpha works")], "query_id long, question string")
+    past = spark.createDataFrame([(3, "User: tell me about the alpha turbine\nAssistant: it turns")], "query_id long, history string")
+    lean = spark.createDataFrame([(3, "how many blades has it")], "query_id long, question string")
+    out = {r.query_id: r for r in answering.answer(chunks, asked.unionByName(lean), history=past, profile=spark.createDataFrame([("a.md", 1), ("b.md", 2)], "filename string, seq int")).collect()}
+    assert out[1].calls == 1 and "[1] a.md, page 3\nthe alpha turbine has nine blades" in out[1].prompt and out[1].prompt.startswith("Question: how many")
+    assert out[3].calls >= 2 and "(" in out[3].prompt.split("\n")[0] and "turbine" in out[3].prompt.split("\n")[0] and "nine blades" in out[3].answer
+    one = {r.query_id: r for r in answering.answer(chunks, asked, budget=(6, 1, 1e9)).collect()}
+    assert one[2].passes == 1 and one[2].note == "fast calls spent" and one[2].prompt.startswith("The evidence is thin")
+    late = {r.query_id: r for r in answering.answer(chunks, asked, budget=(6, 12, 0.0)).collect()}
+    assert late[2].passes == 1 and late[2].note == "time spent"
+    assert answering.described(spark.createDataFrame([(f"f{i}", i) for i in range(9)], "filename string, seq int")) == "f0, f1, f2, f3, f4, f5 and 3 more"
+
+
 def test_index_guard_writes_and_search(spark, tmp_path):
     index = Index.create(spark, f"file://{tmp_path}/i", 2)
     docs = spark.createDataFrame([(1, "red apple", [1.0, 0.0]), (2, "green apple", [0.0, 1.0]), (2, "a", [0.5, 0.5]), (3, None, [1.0, 1.0])], "chunk_id long, text string, v array<double>")
