@@ -18,6 +18,7 @@ from siltstone.plans.lineage import cut, folder
 from siltstone.plans.queries import BM25_SQL, EDGES_SQL, KHOP_SQL, edges, parts, query, questions, t
 from siltstone.sources.graph_store import GraphStore
 from siltstone.sources.index import Index
+from siltstone.streaming import jobs
 
 # ---- the stored index -----------------------------------------------------------------------------------------------
 
@@ -138,6 +139,28 @@ def stored_entities(spark, sf_dir):
     return store.entities().join(degree, "node", "left").select("node", "mentions", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
+# ---- the job stream -------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH j AS (SELECT user_id, sum((event_type <> 'error' AND value >= 20)::INTEGER)::BIGINT AS done, sum((value < 20)::INTEGER)::BIGINT AS failed FROM events GROUP BY 1)
+SELECT user_id::VARCHAR AS job, done + failed AS processed, failed, 60::BIGINT AS total,
+  CASE WHEN done + failed = 0 THEN 'queued' WHEN done + failed < 60 THEN 'running' WHEN failed = 0 THEN 'completed' WHEN done = 0 THEN 'failed' ELSE 'completed_with_errors' END AS state FROM j"""
+)
+def job_stream(spark, sf_dir):
+    """The events replayed as a stream of jobs' file outcomes; the newest change of each job."""
+    out, where = f"{folder(spark)}/jobs-{uuid.uuid4().hex}", spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    reader = spark.readStream.schema(t(spark, sf_dir, "events").schema)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        events = reader.parquet(f"{sf_dir}/events.parquet")
+    else:  # a stream reads folders; the table is one file of its folder
+        events = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    outcome = F.when(F.col("value") < 20, "failed").when((F.col("event_type") != "error") & (F.col("value") >= 20), "done").otherwise("beat")
+    rows = events.select(F.col("user_id").cast("string").alias("job"), F.col("ts").cast("timestamp").alias("at"), outcome.alias("outcome"), F.lit(60).alias("total"))
+    jobs.run(rows, f"{out}/changes", f"{out}/checkpoint")
+    return jobs.states(spark, f"{out}/changes").select("job", "processed", "failed", "total", "state")
+
+
 # ---- routed retrieval -----------------------------------------------------------------------------------------------
 
 
