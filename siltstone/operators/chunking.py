@@ -1,6 +1,7 @@
 """Chunking: greedy packing on the largest boundary that fits, overlaps, table windows and merged blocks.
 
-Packing is a fold over an array of parts inside one Catalyst expression, so a document needs no shuffle and no Python.
+Packing is a fold over an array of parts inside one Catalyst expression, so a document needs no shuffle and no Python. What a
+fold puts out grows in blocks (``functions/folds.py``), so its time grows with the text, not with its square.
 """
 
 from __future__ import annotations
@@ -9,53 +10,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.config import DEFAULTS
+from siltstone.functions import folds
 from siltstone.functions import text as T
 
-STATE = "struct<done:array<string>,held:string>"
-
 
 def _flush(s: Column) -> Column:
-    return F.when(s["held"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["held"])))
-
-
-def _state(done: Column, held: Column) -> Column:
-    return F.struct(done.alias("done"), held.alias("held")).cast(STATE)
+    return F.when(s["held"] == "", s["out"]).otherwise(folds.put(s["out"], s["held"]))
 
 
 def _take(s: Column, part: Column, limit: int) -> Column:
     """Appends a part that fits the window, or begins a new piece with it."""
     fits = F.length(s["held"]) + F.length(part) + 1 <= limit
     joined = F.when(s["held"] == "", part).otherwise(F.concat(s["held"], F.lit(" "), part))
-    return F.when(fits, _state(s["done"], joined)).otherwise(_state(_flush(s), part))
-
-
-def _hard(word: Column, limit: int) -> Column:
-    """A word cut to windows."""
-    n = F.ceil(F.length(word) / limit).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(word, (i * limit + 1).cast("int"), F.lit(limit)))
+    return F.when(fits, folds.state(joined, s["out"])).otherwise(folds.state(part, _flush(s)))
 
 
 def _take_long(s: Column, sentence: Column, limit: int) -> Column:
-    """A sentence beyond the window goes word by word; what is left over begins the next piece."""
+    """A sentence beyond the window goes word by word, a word beyond it in cuts; what is left over begins the next piece."""
 
     def word(t: Column, w: Column) -> Column:
-        cut = _hard(w, limit)
-        whole = _state(F.concat(_flush(t), F.slice(cut, F.lit(1), F.size(cut) - 1)), F.element_at(cut, -1))
+        cut = F.regexp_extract_all(w, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0))
+        whole = folds.state(F.element_at(cut, -1), F.concat(_flush(t), F.slice(cut, F.lit(1), F.size(cut) - 1)))
         return F.when(F.length(w) > limit, whole).otherwise(_take(t, w, limit))
 
-    return F.aggregate(F.split(sentence, " "), _state(_flush(s), F.lit("")), word)
+    return folds.fold(F.split(sentence, " "), F.lit(""), "string", word, lambda t: folds.state(t["held"], F.concat(_flush(s), t["out"])))
 
 
 def split_long(text: Column, limit: int = DEFAULTS.chunk_chars) -> Column:
     """Pieces of at most ``limit`` characters: paragraphs, else sentences packed greedily, else words, else hard cuts."""
 
     def paragraph(p: Column) -> Column:
-        end = F.aggregate(
-            T.sentences(p),
-            _state(F.array().cast("array<string>"), F.lit("")),
-            lambda s, x: F.when(F.length(x) > limit, _take_long(s, x, limit)).otherwise(_take(s, x, limit)),
-            _flush,
-        )
+        def sentence(s: Column, x: Column) -> Column:
+            return F.when(F.length(x) > limit, _take_long(s, x, limit)).otherwise(_take(s, x, limit))
+
+        end = folds.fold(T.sentences(p), F.lit(""), "string", sentence, _flush)
         return F.when(F.length(p) <= limit, F.array(p)).otherwise(end)
 
     parts = F.flatten(F.transform(F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != ""), paragraph))
@@ -100,9 +88,10 @@ def table_windows(text: Column, heading: Column, limit: int = DEFAULTS.chunk_cha
 
     def row(s: Column, r: Column) -> Column:
         over = (s["held"] != "") & (F.length(head) + F.length(s["held"]) + 1 + F.length(r) > room)
-        return F.when(over, _state(_flush(s), r)).otherwise(_state(s["done"], F.when(s["held"] == "", r).otherwise(F.concat(s["held"], F.lit("\n"), r))))
+        grown = F.when(s["held"] == "", r).otherwise(F.concat(s["held"], F.lit("\n"), r))
+        return F.when(over, folds.state(r, _flush(s))).otherwise(folds.state(grown, s["out"]))
 
-    windows = F.aggregate(body, _state(F.array().cast("array<string>"), F.lit("")), row, _flush)
+    windows = folds.fold(body, F.lit(""), "string", row, _flush)
     return F.when(F.size(lines) < 2, F.array(F.concat(prefix, text))).otherwise(F.transform(windows, lambda w: F.concat(prefix, head, F.lit("\n"), w)))
 
 
@@ -125,19 +114,21 @@ def merged_blocks(blocks: DataFrame, limit: int = DEFAULTS.chunk_chars, least: i
     """
     order = F.array_sort(F.collect_list(F.struct("seq", "text", "page_no", "section", F.coalesce("modality", F.lit("text")).alias("modality"))))
     docs = blocks.where(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("doc_id").agg(order.alias("blocks"))
-    kind = "array<struct<text:string,page_no:int,section:string,modality:string,size:int>>"
+    kind = "struct<text:string,page_no:int,section:string,modality:string,size:int>"
 
-    def step(acc: Column, b: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
+    def step(s: Column, b: Column) -> Column:
+        last = s["held"]
         plain = ~b["modality"].isin("table", "caption", "json", "ocr")
-        joins = (
-            plain & (F.size(acc) > 0) & (last["modality"] == "text") & last["page_no"].eqNullSafe(b["page_no"]) & last["section"].eqNullSafe(b["section"]) & (last["size"] < least)
-        )
+        joins = plain & (last["modality"] == "text") & last["page_no"].eqNullSafe(b["page_no"]) & last["section"].eqNullSafe(b["section"]) & (last["size"] < least)
         grown = F.struct(F.concat(last["text"], F.lit("\n\n"), b["text"]).alias("text"), last["page_no"].alias("page_no"), last["section"].alias("section"), F.lit("text").alias("modality"), (last["size"] + F.length(b["text"])).alias("size"))
         new = F.struct(b["text"].alias("text"), b["page_no"].alias("page_no"), b["section"].alias("section"), F.when(plain, "text").otherwise(b["modality"]).alias("modality"), F.length(b["text"]).alias("size"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(new))).cast(kind)
+        return F.when(joins, folds.state(grown, s["out"])).otherwise(folds.state(new, ended(s)))
+
+    def ended(s: Column) -> Column:
+        return F.when(s["held"].isNull(), s["out"]).otherwise(folds.put(s["out"], s["held"]))
 
-    runs = docs.select("doc_id", F.posexplode(F.aggregate("blocks", F.array().cast(kind), step)).alias("run", "b")).select("doc_id", "run", "b.*")
+    merged = folds.fold(F.col("blocks"), F.lit(None).cast(kind), kind, step, ended)
+    runs = docs.select("doc_id", F.posexplode(merged).alias("run", "b")).select("doc_id", "run", "b.*")
     text = F.col("text")
     pieces = (
         F.when(F.col("modality") == "text", with_overlap(split_long(text, limit)))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.config import DEFAULTS as D
+from siltstone.functions import folds
 from siltstone.functions import text as T
 from siltstone.plans.lineage import cut
 
@@ -48,29 +49,35 @@ def plain_blocks(files: DataFrame) -> DataFrame:
     return files.select("path", F.lit(1).alias("seq"), text.alias("text"), F.lit(None).cast("string").alias("section"), F.lit("text").alias("modality"), F.lit(None).cast("string").alias("error")).where("text <> ''")
 
 
+HEADING_NEXT = r"\n(?= *#{1,6}(?:[\t\x0B\f\r]| +[^ \n]))"
+
+
 def markdown_blocks(files: DataFrame) -> DataFrame:
-    """A block for each heading and each body; sections are the stack of headings above, joined by ' > '."""
-    lines = F.split(F.regexp_replace(decoded(F.col("content")), r"\r\n?", "\n"), "\n")
-    kind = "struct<stack:array<string>,out:array<struct<section:string,text:string>>,body:array<string>>"
-
-    def section(stack: Column) -> Column:
-        return F.when(F.size(stack) > 0, F.array_join(stack, " > "))
-
-    def flush(s: Column) -> Column:
-        text = T.clean(F.array_join(s["body"], "\n"))
-        return F.when(text == "", s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(section(s["stack"]).alias("section"), text.alias("text")))))
-
-    def step(s: Column, line: Column) -> Column:
-        level = F.length(F.regexp_extract(F.trim(line), r"^(#{1,6})\s", 1))
-        title = F.trim(F.regexp_extract(F.trim(line), r"^#{1,6}\s+(.*)$", 1))
-        above = F.slice(s["stack"], F.lit(1), F.least(F.greatest(level - 1, F.lit(0)), F.size(s["stack"])))
-        stack = F.when(title == "", above).otherwise(F.concat(above, F.array(title)))
-        head = F.when(title == "", flush(s)).otherwise(F.concat(flush(s), F.array(F.struct(section(stack).alias("section"), title.alias("text")))))
-        none = F.array().cast("array<string>")
-        return F.when(level > 0, F.struct(stack.alias("stack"), head.alias("out"), none.alias("body"))).otherwise(F.struct(s["stack"].alias("stack"), s["out"].alias("out"), F.concat(s["body"], F.array(line)).alias("body"))).cast(kind)
-
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<section:string,text:string>>").alias("out"), F.array().cast("array<string>").alias("body")).cast(kind)
-    out = files.select("path", F.posexplode(F.aggregate(lines, start, step, flush)).alias("at", "b"))
+    """A block for each heading and each body; sections are the stack of headings above, joined by ' > '.
+
+    A file is cut before each heading line; the fold over the cuts holds no more than the stack of headings.
+    """
+    cuts = F.split(F.regexp_replace(decoded(F.col("content")), r"\r\n?", "\n"), HEADING_NEXT)
+
+    def part(cut_: Column) -> Column:
+        line = F.trim(F.substring_index(cut_, "\n", 1))
+        level = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))
+        rest = F.when(F.instr(cut_, "\n") > 0, F.substr(cut_, F.instr(cut_, "\n") + 1)).otherwise("")
+        return F.struct(level.alias("level"), F.regexp_extract(line, r"^#{1,6}\s+(.*)$", 1).alias("title"), T.clean(F.when(level > 0, rest).otherwise(cut_)).alias("body"))
+
+    def step(s: Column, p: Column) -> Column:
+        above = F.slice(s["held"], F.lit(1), F.least(F.greatest(p["level"] - 1, F.lit(0)), F.size(s["held"])))
+        title = F.trim(p["title"])
+        stack = F.when(p["level"] == 0, s["held"]).when(title == "", above).otherwise(F.concat(above, F.array(title)))
+        return folds.state(stack, folds.put(s["out"], F.when(F.size(stack) > 0, F.array_join(stack, " > "))))
+
+    def told(p: Column, section: Column) -> Column:
+        rows = F.array(F.struct(section.alias("section"), F.trim(p["title"]).alias("text")), F.struct(section.alias("section"), p["body"].alias("text")))
+        return F.filter(rows, lambda r: r["text"] != "")
+
+    held = files.select("path", F.transform(cuts, part).alias("parts"))
+    held = held.withColumn("sections", folds.fold(F.col("parts"), F.array().cast("array<string>"), "string", step, lambda s: s["out"]))
+    out = held.select("path", F.posexplode(F.flatten(F.zip_with("parts", "sections", told))).alias("at", "b"))
     return out.select("path", (F.col("at") + 1).alias("seq"), "b.text", "b.section", F.lit("text").alias("modality"), F.lit(None).cast("string").alias("error"))
 
 
