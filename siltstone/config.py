@@ -44,6 +44,7 @@ class Defaults:
     zip_depth: int = 3
     zip_entries: int = 500
     zip_bytes: int = 500 * 1024 * 1024
+    zip_range: int = 32 << 20
     zip_ratio: int = 120
     zip_ratio_from: int = 256 * 1024
 

@@ -10,14 +10,18 @@ import io
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.config import DEFAULTS as D
+from siltstone.config import EXTENSIONS
 from siltstone.functions import folds
 from siltstone.functions import text as T
 from siltstone.plans.lineage import cut
@@ -177,54 +181,108 @@ def docx_blocks(files: DataFrame) -> DataFrame:
 
 
 ENTRIES = "path string, name string, depth int, content binary, reason string"
+LISTED = "path string, name string, depth int, chain array<int>, at long, reason string"
+BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, pa.ArrowInvalid, NotImplementedError, RuntimeError)  # Arrow's: files shorter than a directory's end; the last two: unknown methods, passwords
+JUNK = r"(^|/)(__MACOSX|\.DS_Store|Thumbs\.db|\.git)(/|$)|(^|/)\._|/$"
 
 
-def zip_entries(files: DataFrame) -> DataFrame:
-    """(path, name, depth, content, reason): entries of archives, nested ones too; skipped entries carry the reason."""
-
-    def walk(data: bytes, prefix: str, depth: int, left: dict):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for info in z.infolist():
-                name = prefix + info.filename.replace("\\", "/")
-                reason = None
-                if re.search(r"(^|/)(__MACOSX|\.DS_Store|Thumbs\.db|\.git)(/|$)|(^|/)\._|/$", name):
-                    reason = "junk"
-                elif re.search(T.LEAVES_FOLDER, info.filename.replace("\\", "/")):
-                    reason = "path"
-                elif info.external_attr >> 28 == 0o12:
-                    reason = "symlink"
-                elif "." + name.rsplit(".", 1)[-1].lower() not in EXTENSIONS:
-                    reason = "extension"
-                elif info.file_size > D.zip_ratio_from and info.file_size > D.zip_ratio * max(1, info.compress_size):
-                    reason = "ratio"
-                elif left["entries"] < 1 or left["bytes"] < info.file_size:
-                    reason = "budget"
-                elif name.lower().endswith(".zip") and depth >= D.zip_depth:
-                    reason = "depth"
-                if reason:
-                    yield name, depth, None, reason
-                    continue
-                left["entries"] -= 1
-                left["bytes"] -= info.file_size
-                content = z.read(info)
-                if name.lower().endswith(".zip"):
-                    yield from walk(content, name + "/", depth + 1, left)
-                else:
-                    yield name, depth, content, None
-
-    from siltstone.config import EXTENSIONS
+def opened(path: str):
+    """A seekable file by the path Spark gives it."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path) or path.startswith("file:"):
+        return open(re.sub("^file:/*", "/", path), "rb")
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    rows += [(path, *e) for e in walk(bytes(content), "", 1, {"entries": D.zip_entries, "bytes": D.zip_bytes})]
-                except zipfile.BadZipFile:
-                    rows.append((path, None, None, None, "broken"))
-            yield pd.DataFrame(rows, columns=["path", "name", "depth", "content", "reason"]).astype({"depth": "Int32"})
 
-    return files.select("path", "content").mapInPandas(run, ENTRIES)
+def zip_entries(files: DataFrame, entries: int = D.zip_entries, most: int = D.zip_bytes, deepest: int = D.zip_depth, range_bytes: int = D.zip_range, opener=opened) -> DataFrame:
+    """(path, name, depth, content, reason): entries of archives, nested ones too; skipped entries carry the reason.
+
+    Only ``path`` of ``files`` is used. One task goes through an archive's directory and deals its entries by ranges of
+    ``range_bytes`` unpacked bytes; other tasks seek to their ranges, so an archive is unpacked by as many tasks as it has ranges.
+    A nested archive belongs to one range. ``entries``, ``most`` bytes and ``deepest`` bound what an archive may unpack to. An
+    archive, nested archive or entry that can't be read is one row with the reason ``broken``, what stands beside it stays; an
+    empty archive gives no row. ``opener`` gives a seekable file for a path, for storage that Arrow's file systems don't know.
+    """
+
+    def refused(info: zipfile.ZipInfo, name: str, depth: int, left: dict) -> str | None:
+        if re.search(JUNK, name):
+            return "junk"
+        if re.search(T.LEAVES_FOLDER, info.filename.replace("\\", "/")):
+            return "path"
+        if info.external_attr >> 28 == 0o12:
+            return "symlink"
+        if "." + name.rsplit(".", 1)[-1].lower() not in EXTENSIONS:
+            return "extension"
+        if info.file_size > D.zip_ratio_from and info.file_size > D.zip_ratio * max(1, info.compress_size):
+            return "ratio"
+        if left["entries"] < 1 or left["bytes"] < info.file_size:
+            return "budget"
+        return "depth" if name.lower().endswith(".zip") and depth >= deepest else None
+
+    def directory(file, prefix: str, chain: list[int], left: dict):
+        with zipfile.ZipFile(file) as z:
+            for i, info in enumerate(z.infolist()):
+                name, depth, here = prefix + info.filename.replace("\\", "/"), len(chain) + 1, [*chain, i]
+                at = left["at"] if chain else most - left["bytes"]
+                left["at"] = at
+                reason = refused(info, name, depth, left)
+                if reason is None:
+                    left["entries"] -= 1
+                    left["bytes"] -= info.file_size
+                    if name.lower().endswith(".zip"):
+                        try:
+                            yield from directory(io.BytesIO(z.read(info)), name + "/", here, left)
+                        except BROKEN:
+                            yield name, depth, here, at, "broken"
+                        left["at"] = at
+                        continue
+                yield name, depth, here, at, reason
+
+    def listed(batches):
+        for batch in batches:
+            for path in batch["path"]:
+                rows = []
+                with opener(path) as file:
+                    try:
+                        for name, depth, chain, at, reason in directory(file, "", [], {"entries": entries, "bytes": most, "at": 0}):
+                            rows.append((path, name, depth, chain, at // range_bytes, reason))
+                    except BROKEN:
+                        rows = [(path, None, None, [], 0, "broken")]
+                yield pd.DataFrame(rows, columns=["path", "name", "depth", "chain", "at", "reason"]).astype({"depth": "Int32", "at": "int64"})
+
+    def unpacked(batches):
+        now, stack = None, []  # the archive at hand, and the nested ones on the way to its last entry: (index, archive)
+        rows, held = [], 0
+        for batch in batches:
+            for path, name, depth, chain, reason in zip(batch["path"], batch["name"], batch["depth"], batch["chain"], batch["reason"], strict=True):
+                content = None
+                if reason is None:
+                    if path != now:
+                        now, stack = path, [(None, zipfile.ZipFile(opener(path)))]
+                    way = [None, *map(int, chain[:-1])]
+                    while [i for i, _ in stack] != way[: len(stack)]:
+                        stack.pop()
+                    try:
+                        for i in way[len(stack) :]:
+                            above = stack[-1][1]
+                            stack.append((i, zipfile.ZipFile(io.BytesIO(above.read(above.infolist()[i])))))
+                        z = stack[-1][1]
+                        content = z.read(z.infolist()[int(chain[-1])])
+                        held += len(content)
+                    except BROKEN:
+                        reason = "broken"
+                rows.append((path, name, depth, content, reason))
+                if held >= range_bytes or len(rows) >= 1000:
+                    yield framed(rows)
+                    rows, held = [], 0
+        yield framed(rows)
+
+    def framed(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["path", "name", "depth", "content", "reason"]).astype({"depth": "Int32"})
+
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as the rows say nothing of the bytes behind them
+    dealt = files.select("path").mapInPandas(listed, LISTED).repartition(parts, "path", "at").sortWithinPartitions("path", "at", "chain")
+    return dealt.mapInPandas(unpacked, ENTRIES)
 
 
 IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".gif")

@@ -134,6 +134,36 @@ def test_zip_guards(spark, tmp_path):
     assert got == {("a.zip", "ok.txt"): None, ("a.zip", "../out.txt"): "path", ("a.zip", "run.exe"): "extension", ("a.zip", "bomb.txt"): "ratio", ("a.zip", "in.zip/deep.txt"): None, ("b.zip", None): "broken"}
 
 
+def test_one_archive_is_unpacked_by_several_tasks(spark, tmp_path):
+    inner, link = io.BytesIO(), zipfile.ZipInfo("link.txt")
+    link.external_attr = 0o120777 << 16
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("in1.txt", "1" * 900)
+        z.writestr("in2.txt", "2" * 900)
+        z.writestr("deepest.zip", b"PK")
+    (tmp_path / "new folder").mkdir()
+    with zipfile.ZipFile(tmp_path / "new folder" / "a #1.zip", "w") as z:
+        for i in range(30):
+            z.writestr(f"f{i}.txt", f"{i} " * 300)
+        z.writestr("in.zip", inner.getvalue())
+        z.writestr("bad.zip", b"no archive")
+        z.writestr(link, "f0.txt")
+        z.writestr("last.txt", "end")
+    with zipfile.ZipFile(tmp_path / "new folder" / "empty.zip", "w"):
+        pass
+    files = S.read(spark, str(tmp_path / "new folder"))
+    got = S.zip_entries(files, deepest=2, range_bytes=1000).withColumn("task", F.spark_partition_id()).collect()
+    by = {r.name: r for r in got}
+    assert len(by) == len(got) == 30 + 3 + 3 and len({r.task for r in got}) > 1
+    assert all(bytes(by[f"f{i}.txt"].content) == (f"{i} " * 300).encode() for i in range(30))
+    assert [(by[f"in.zip/in{i}.txt"].depth, bytes(by[f"in.zip/in{i}.txt"].content)) for i in (1, 2)] == [(2, b"1" * 900), (2, b"2" * 900)]
+    assert {n: r.reason for n, r in by.items() if r.reason} == {"in.zip/deepest.zip": "depth", "bad.zip": "broken", "link.txt": "symlink"}
+    few = S.zip_entries(files, entries=5, range_bytes=1000).collect()
+    assert sum(r.reason is None for r in few) == 5 and {r.reason for r in few} == {None, "budget", "symlink"}
+    small = S.zip_entries(files, most=1500, range_bytes=1000).collect()
+    assert {r.name for r in small if r.reason is None} == {"f0.txt", "f1.txt", "last.txt"}
+
+
 def test_streams(spark, tmp_path):
     rows = [(u, f"2024-01-01 00:00:{s:02d}", u * 100 + s) for u in (1, 2) for s in range(0, 30, 5)]
     events = spark.createDataFrame(rows, "user_id long, ts string, event_id long").withColumn("ts", F.col("ts").cast("timestamp"))
