@@ -381,12 +381,11 @@ front AS (SELECT node FROM s0 UNION SELECT b FROM ways JOIN s0 ON a = s0.node WH
 hop AS (SELECT source, target, weight FROM edges WHERE (source IN (SELECT node FROM front) OR target IN (SELECT node FROM front)) AND NOT (source IN (SELECT node FROM hub) AND target IN (SELECT node FROM hub)))"""
 
 
-@query(f"{KHOP_SQL} SELECT source, count(*) AS n, sum(weight)::BIGINT AS weight, sum(target)::BIGINT AS targets FROM hop GROUP BY 1")
+@query(f"{KHOP_SQL} SELECT * FROM hop")
 def khop_edges(spark, sf_dir):
-    """All edges within two hops, counted by their source."""
+    """All edges within two hops, a row each."""
     start = parts(spark, sf_dir).where("node <= 5").select("node")
-    found = graph.khop_edges(cut(edges(spark, sf_dir)), cut(parts(spark, sf_dir)), start, 2, None)
-    return found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.sum("target").alias("targets"))
+    return graph.khop_edges(cut(edges(spark, sf_dir)), cut(parts(spark, sf_dir)), start, 2, None).select("source", "target", "weight")
 
 
 @query(f"{KHOP_SQL} SELECT source, target, weight FROM hop ORDER BY weight DESC, source, target LIMIT 80")

@@ -46,3 +46,10 @@ def test_entry_imports_without_the_training_data_part():
     import __spark_entry__
 
     assert set(Q.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_khop_edges_gives_every_edge(spark, duck):
+    got = Q.QUERIES["khop_edges"](spark, SF).select("source", "target", "weight")
+    want = duck.execute(f"{Q.KHOP_SQL} SELECT source, target, weight FROM hop").fetchall()
+    assert len({r[:2] for r in want}) == len(want) > len({r[0] for r in want})
+    assert ordered(map(tuple, got.collect())) == ordered(want)
