@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, decontaminate, jaccard, passages, suffix, toxicity
-from siltstone.llm.common import bounded_batches, boxed, table, unboxed, written
+from siltstone.llm.common import bounded_batches, boxed, maybe, table, unboxed, written
 
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 NEAR = jaccard.Params(size=5, num=80, den=100)
@@ -35,14 +35,19 @@ def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     places = written(jaccard.placed(docs, NEAR).where("doc_id is not null"), "components")
     again = written(places.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id")), "repeated-ids")
     first = places.where("component_id = doc_id").select(F.col("doc_id").alias("id"), "sig", "root")
+    # most documents stay: only those whose id may be one that goes or is repeated are dealt by id, texts and all
+    going = places.where("component_id <> doc_id").select(F.col("doc_id").alias("id"))
+    asked = written(going.unionByName(again).select("id", F.xxhash64("id").alias("key")).distinct(), "asked-ids")
     rows = boxed(docs, id=F.col("doc_id").cast("long"), text=F.coalesce(F.col("text").cast("string"), F.lit("")))
-    once = rows.join(first.select("id").join(again, "id", "left_anti"), "id", "left_semi")
+    rows = rows.withColumn("open", F.col("id").isNotNull() & maybe(asked, "key")(F.xxhash64("id")))
+    sure, open_ = rows.where("not open"), rows.where("open")
+    once = open_.join(asked.select("id"), "id", "left_anti")
     # an id of several rows tells neither its texts nor their components apart, their sets do
     kept = first.where("sig is not null").groupBy("id", "root").agg(F.min("sig").alias("sig")).join(again, "id", "left_semi")
-    several = rows.join(again, "id", "left_semi").withColumn("sig", jaccard.signatures(NEAR)("text"))
+    several = open_.join(again, "id", "left_semi").withColumn("sig", jaccard.signatures(NEAR)("text"))
     alike = several.join(kept, ["id", "sig"], "left_semi").dropDuplicates(["id", "sig"])
     wordless = several.where("sig is null").dropDuplicates(["id", "text"])
-    every = [x.select("row") for x in (once, alike, wordless, rows.where("id is null"))]
+    every = [x.select("row") for x in (sure, once, alike, wordless)]
     return unboxed(reduce(DataFrame.unionByName, every), docs)
 
 

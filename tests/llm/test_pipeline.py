@@ -176,3 +176,27 @@ def test_unlike_texts_under_one_id_stay(spark):
         assert one([(3, d), (3, near(d, 20))]) == 1 and one([(11, None)]) + one([(11, "")]) == 1
         rest = [x for x in stay if x not in [(3, d), (11, None)]]
         assert all(x in got for x in rest) and len(got) == len(rest) + 5
+
+
+def test_texts_that_stay_are_not_dealt_by_id(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"{rng.getrandbits(60):x}" for _ in range(1000))
+    rows = [(i, text()) for i in range(100)]
+    rows += [(200 + i, rows[i][1]) for i in range(3)] + [(50, text()), (None, text())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where ids are too many
+    try:
+        out = corpus_pipeline.one_of_each_group_stays(spark, docs, "")
+        began = shuffled()
+        out.write.parquet(f"{tmp_path}/out")
+        assert shuffled() - began < sum(len(t) for _, t in rows) / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in docs.where("doc_id is null or doc_id < 200").collect())
