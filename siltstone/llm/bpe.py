@@ -14,6 +14,7 @@ import base64
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,10 @@ from siltstone.llm.common import Cache, bounded_batches, kept, map_rows
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 #: A run of blanks with what follows it. No piece of the pattern spans the border between two such parts.
 PART = re.compile("[ \n]*[^ \n]+|[ \n]+")
+#: Ids in one batch of results; a text of more makes a batch of its own.
+BATCH_IDS = 1 << 17
+#: Parts and pieces in a generation of the memos of ``encode``, whose rows carry texts and ids beside them.
+MEMO = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -88,13 +93,13 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Texts to ids as decimal words joined by blanks, with memos for parts of texts."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, most: int = 250_000):
         import regex
 
         self.ranks = load_ranks(path)
         self.pieces = {str(v): k for k, v in self.ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.cache, self.small = Cache(self.part), Cache(self.piece)
+        self.cache, self.small = Cache(self.part, most), Cache(self.piece, most)
 
     def piece(self, text: str) -> str:
         raw = text.encode()
@@ -116,15 +121,27 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     """Per row: doc_id, n_tokens, ids (array of int), decoded (binary)."""
 
     def make():
-        code = kept(("bpe", path, pattern), lambda: Encoder(path, pattern))
+        code = kept(("bpe", path, pattern, MEMO), lambda: Encoder(path, pattern, MEMO))
 
         def work(batch: pa.RecordBatch):
-            ids = [code.encode(t or "") for t in batch.column(1).to_pylist()]
-            lists = [list(map(int, x.split(" "))) if x else [] for x in ids]
-            yield pa.record_batch(
-                [batch.column(0), pa.array(map(len, lists), pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array(map(code.decode, ids), pa.binary())],
-                ["doc_id", "n_tokens", "ids", "decoded"],
-            )
+            docs_, lists, raw, size = [], [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                starts = np.cumsum([0, *map(len, lists)])
+                ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
+                return pa.record_batch([pa.array(docs_, pa.int64()), pa.array(np.diff(starts), pa.int64()), ids, pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+            for i, t in zip(*batch.columns, strict=True):
+                ids = code.encode(t.as_py() or "")
+                docs_.append(i.as_py())
+                lists.append(np.fromstring(ids, np.int32, sep=" "))
+                raw.append(code.decode(ids))
+                size += len(lists[-1])
+                if size >= BATCH_IDS:
+                    yield rows()
+                    docs_, lists, raw, size = [], [], [], 0
+            if docs_:
+                yield rows()
 
         return work
 

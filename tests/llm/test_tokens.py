@@ -1,7 +1,9 @@
 """Token counts, byte-level BPE and token files against the libraries."""
 
 import hashlib
+import random
 import zlib
+from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
@@ -48,6 +50,31 @@ def test_byte_bpe_is_the_librarys(spark, edge_docs, edge_rows, no_docs):
     assert bpe.digest(no_docs, path, P.PATTERN).count() == 0
 
 
+def test_encoded_rows_leave_a_worker_in_bounded_batches(monkeypatch):
+    """However many rows and ids come in at once, and whatever the memos have dropped."""
+    import pyarrow as pa
+    import tiktoken
+
+    path, works = P.path("byte_bpe_50k.tiktoken"), []
+    monkeypatch.setattr(bpe, "map_rows", lambda src, make, schema: works.append(make))
+    monkeypatch.setattr(bpe, "bounded_batches", lambda spark: None)
+    monkeypatch.setattr(bpe, "F", MagicMock())
+    monkeypatch.setattr(bpe, "MEMO", 50, raising=False)
+    bpe.encode(MagicMock(), path, P.PATTERN)
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(rng.randint(1, 200))) for _ in range(2000)]
+    texts[:4] = [None, "", "one", "a long text " * 100_000]
+    batch = pa.record_batch([pa.array([None, *range(1, 2000)], pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    got = list(works[0]()(batch))
+    assert all(b.schema.names == ["doc_id", "n_tokens", "ids", "decoded"] for b in got)
+    assert all(len(b.column(2).flatten()) - b.column(1)[b.num_rows - 1].as_py() < 1 << 17 for b in got)
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [None, *range(1, 2000)]
+    for r, t in zip(rows, texts, strict=True):
+        assert r["ids"] == library.encode_ordinary(t or "") and r["n_tokens"] == len(r["ids"]) and r["decoded"] == (t or "").encode()
+
+
 def test_native_fold_equals_the_worker_fold(spark):
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     words = [b" the", b"token", b"antidis", "général".encode(), b"zzzzz", b"\n\n", b"x"]
