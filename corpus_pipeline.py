@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, decontaminate, jaccard, passages, suffix, toxicity
-from siltstone.llm.common import bounded_batches, boxed, maybe, table, unboxed, written
+from siltstone.llm.common import bounded_batches, bounded_bytes, boxed, maybe, table, unboxed, written
 
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 NEAR = jaccard.Params(size=5, num=80, den=100)
@@ -23,6 +23,7 @@ NEAR = jaccard.Params(size=5, num=80, den=100)
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of any toxic grade reaches the decision threshold go; null and empty texts stay, repeated
     rows share one fate. Without labels of both kinds nothing is toxic."""
+    bounded_bytes(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     rows = boxed(docs, severity=toxicity.severity(F.col("text").cast("string"), model))
     return unboxed(rows.where("not severity.toxic"), docs)
@@ -32,6 +33,7 @@ def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Of near duplicates the one of smallest id stays, once if rows repeat it; unlike texts under one id are documents of
     their own; rows without an id stay, and so do null, empty and wordless texts, once for each id. Of rows that are alike in id
     and set one stays."""
+    bounded_bytes(spark)
     places = written(jaccard.placed(docs, NEAR).where("doc_id is not null"), "components")
     again = written(places.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id")), "repeated-ids")
     first = places.where("component_id = doc_id").select(F.col("doc_id").alias("id"), "sig", "root")
@@ -55,16 +57,19 @@ def repeated_strings_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Strings of 400 bytes that also start elsewhere and passages of over 50 words that stand in other texts too are cut out
     of the texts; n_chars follows. No row goes; a text that stands in several rows goes whole, from each of them; what is cut
     in the middle of a character takes the character along."""
+    bounded_bytes(spark)
     return suffix.without_repeats(docs, more=passages.shared_spans(docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def leaking_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go, repeated ones each. Items without words match nothing."""
+    bounded_bytes(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the text as decoded from them; a null text counts as empty; every row is encoded."""
+    bounded_bytes(spark)
     rows = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return rows.select("doc_id", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
 

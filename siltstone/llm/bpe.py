@@ -27,8 +27,8 @@ OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     
 PART = re.compile("[ \n]*[^ \n]+|[ \n]+")
 #: Ids in one batch of results; a text of more makes a batch of its own.
 BATCH_IDS = 1 << 17
-#: Parts and pieces in a generation of the memos of ``encode``, whose rows carry texts and ids beside them.
-MEMO = 100_000
+#: Parts and pieces in a generation of the memos of ``encode``, whose rows carry texts and ids beside them. They go with the task.
+MEMO = 50_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -91,22 +91,26 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Texts to ids as decimal words joined by blanks, with memos for parts of texts."""
+    """Texts to ids as decimal words joined by blanks, with memos for parts of texts. Nothing in it refers to itself, so that the
+    memos are free as soon as nobody has it."""
 
-    def __init__(self, path: str, pattern: str, most: int = 250_000):
+    def __init__(self, path: str, pattern: str, most: int = 250_000, ranks: dict[bytes, int] | None = None):
         import regex
 
-        self.ranks = load_ranks(path)
-        self.pieces = {str(v): k for k, v in self.ranks.items()}
-        self.find = regex.compile(pattern).findall
-        self.cache, self.small = Cache(self.part, most), Cache(self.piece, most)
+        ranks = load_ranks(path) if ranks is None else ranks
+        find = regex.compile(pattern).findall
 
-    def piece(self, text: str) -> str:
-        raw = text.encode()
-        return " ".join(map(str, merge(raw, self.ranks) if len(raw) < 64 else merge_long(raw, self.ranks)))
+        def piece(text: str) -> str:
+            raw = text.encode()
+            return " ".join(map(str, merge(raw, ranks) if len(raw) < 64 else merge_long(raw, ranks)))
 
-    def part(self, text: str) -> str:
-        return " ".join(map(self.small.__getitem__, self.find(text)))
+        small = Cache(piece, most)
+
+        def part(text: str) -> str:
+            return " ".join(map(small.__getitem__, find(text)))
+
+        self.pieces = {str(v): k for k, v in ranks.items()}
+        self.part, self.cache = part, Cache(part, most)
 
     def encode(self, text: str) -> str:
         if OTHER_SPACE.search(text):
@@ -121,7 +125,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     """Per row: doc_id, n_tokens, ids (array of int), decoded (binary)."""
 
     def make():
-        code = kept(("bpe", path, pattern, MEMO), lambda: Encoder(path, pattern, MEMO))
+        code = Encoder(path, pattern, MEMO, kept(("ranks", path), lambda: load_ranks(path)))
 
         def work(batch: pa.RecordBatch):
             docs_, lists, raw, size = [], [], [], 0

@@ -21,10 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Cache, bounded_batches, kept, map_column, words_of
+from siltstone.llm.common import Cache, bounded_batches, forget, kept, map_column, words_of
 
 #: Lengths in bytes of the word beginnings that are features too.
 BEGINNINGS = (4, 5)
+#: Words in a generation of the memo of the sample's features; a word takes about 700 bytes.
+MEMO = 50_000
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,7 @@ def features(text: str | None, memo: dict) -> list[int]:
 
 
 def hasher(bits: int) -> Cache:
-    return Cache(lambda w: word_features(w, bits))
+    return Cache(lambda w: word_features(w, bits), MEMO)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, params: Params, doc_id: str, text: str, label: str) -> list[tuple[int, np.ndarray]]:
@@ -83,6 +85,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, params: Params, doc_id: st
     bits = params.bits
 
     def make():
+        forget()  # the memos of stages before
         memo = hasher(bits)
         return lambda texts: pa.array([features(t, memo) for t in texts], pa.list_(pa.int32()))
 

@@ -200,3 +200,28 @@ def test_texts_that_stay_are_not_dealt_by_id(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted(map(str, got)) == sorted(str(r) for r in docs.where("doc_id is null or doc_id < 200").collect())
+
+
+def test_workers_get_bounded_bytes_and_give_memory_back(spark, tmp_path):
+    """Long texts come in batches of bounded bytes, the sample's features begin without the memos of earlier stages."""
+    import pyarrow as pa
+
+    from siltstone.llm import common, toxicity
+
+    def sizes_of(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(i, f"{i} word " * 20_000) for i in range(60)], "doc_id long, text string").coalesce(1)
+    spark.createDataFrame([(i, 0) for i in range(60)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.toxic_documents_go(spark, docs, str(tmp_path))
+    sizes = [r.n for r in out.select("text").mapInArrow(sizes_of, "n long").collect()]
+    assert len(sizes) > 1 and max(sizes) < 6 << 20
+    made = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "map_column", lambda make, kind: made.append(make) or common.map_column(make, kind))
+        toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    common.kept(("memos of another stage",), dict)
+    work = made[0]()
+    assert not common._KEPT and len(work(["one two", None, ""]).to_pylist()[0]) == 2

@@ -75,6 +75,29 @@ def test_encoded_rows_leave_a_worker_in_bounded_batches(monkeypatch):
         assert r["ids"] == library.encode_ordinary(t or "") and r["n_tokens"] == len(r["ids"]) and r["decoded"] == (t or "").encode()
 
 
+def test_memos_go_with_the_task(monkeypatch):
+    """Of a task's encoder nothing stays in the worker, which the next stage uses again."""
+    import gc
+
+    import pyarrow as pa
+
+    path, works = P.path("byte_bpe_50k.tiktoken"), []
+    monkeypatch.setattr(bpe, "map_rows", lambda src, make, schema: works.append(make))
+    monkeypatch.setattr(bpe, "bounded_batches", lambda spark: None)
+    monkeypatch.setattr(bpe, "F", MagicMock())
+    bpe.encode(MagicMock(), path, P.PATTERN)
+    gc.collect()
+    before = {id(o) for o in gc.get_objects() if isinstance(o, bpe.Encoder)}
+    gc.disable()
+    try:
+        work = works[0]()
+        assert [b.num_rows for b in work(pa.record_batch([pa.array([1]), pa.array(["some words"])], ["doc_id", "text"]))] == [1]
+        del work
+        assert not [o for o in gc.get_objects() if isinstance(o, bpe.Encoder) and id(o) not in before]
+    finally:
+        gc.enable()
+
+
 def test_native_fold_equals_the_worker_fold(spark):
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     words = [b" the", b"token", b"antidis", "général".encode(), b"zzzzz", b"\n\n", b"x"]
