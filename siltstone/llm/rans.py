@@ -28,6 +28,7 @@ import struct
 import zlib
 from array import array
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,11 @@ INDEX = np.dtype([("doc", "<i8"), ("n", "<u4")])
 NO_ID = -(1 << 63)
 #: Rows and ids after which a range of doc_ids begins a further file, and how many ranges there are at most.
 FILE_ROWS, FILE_IDS, RANGES = 4000, 1 << 22, 1 << 14
-#: Parts that need only lower case.
-PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]*)([-.,;:!?#$%&*+/=@^_~`(){}\[\]\"\\]*)")
+#: The pre-tokenizer whose rules ``Pieces`` knows: its words hold letters alone, a digit alone, or what is neither nor blank.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Bytes of texts that are split at once, and words that a generation of the memo holds.
+SLICE, MEMO = 8 << 20, 400_000
 
 
 class Tables:
@@ -175,12 +179,63 @@ def read_file(data: bytes, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return index["doc"].astype(np.int64), index["n"].astype(np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
+class Pieces:
+    """Texts as UTF-8 cut into pieces that are coded alone, by array operations over the bytes of many texts.
+
+    No piece holds a blank. With ``known`` rules, runs of Latin letters, single digits and runs of marks are pieces, lower-cased
+    as all the normalization they need. A part between blanks that holds any other character (apostrophes, "<", which
+    special tokens begin with, letters beyond U+00FF, combining marks) stays whole and as it is.
+    """
+
+    BLANK, LETTER, MARK, DIGIT, OTHER = range(5)
+
+    def __init__(self, known: bool):
+        self.known, self.kinds = known, np.full(256, self.OTHER, np.uint8)
+        self.kinds[list(b" \n")] = self.BLANK
+        if known:
+            self.kinds[list(b" \t\n\v\f\r")] = self.BLANK
+            self.kinds[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = self.LETTER
+            self.kinds[list(b"-.,;:!?#$%&*+/=@^_~`|>(){}[]\"\\")] = self.MARK
+            self.kinds[list(b"0123456789")] = self.DIGIT
+
+    def cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """(pieces in order, how many of them end with each text or before) of texts that end at ``ends`` in the bytes."""
+        kind, low = self.kinds[data], np.frombuffer(bytearray(data), np.uint8)
+        if self.known:
+            low = np.frombuffer(bytearray(data).lower(), np.uint8)
+            lead = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF, of which two are no letters
+            lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+            kind[lead] = kind[lead + 1] = self.LETTER
+            low[lead[data[lead + 1] < 0x9F] + 1] += 0x20
+        there = kind != self.BLANK
+        first = there.copy()  # where a part begins
+        first[1:] &= ~there[:-1]
+        new = kind == self.DIGIT
+        new[1:] |= kind[1:] != kind[:-1]
+        borders = np.append(0, ends[:-1])
+        borders = borders[borders < len(data)]
+        first[borders] = new[borders] = there[borders]
+        new &= there
+        if len(other := np.flatnonzero(kind == self.OTHER)):
+            parts = np.flatnonzero(first)
+            which = np.unique(np.searchsorted(parts, other, "right")) - 1
+            turns = np.zeros(len(data), np.int8)
+            turns[parts[which]] = 1
+            turns[parts[which[which + 1 < len(parts)] + 1]] -= 1
+            whole = np.cumsum(turns, dtype=np.int8).view(bool)
+            new = new & ~whole | first
+            np.copyto(low, data, where=whole)
+        starts = np.append(np.flatnonzero(new[there]), np.count_nonzero(there))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(low[there])])
+        return pieces, np.searchsorted(np.flatnonzero(new), ends)
+
+
 class Tokenizer:
-    """Texts to ids as little-endian 16-bit bytes by the tokenizers library, with memos of parts between blanks.
+    """Texts to ids as little-endian 16-bit bytes by the tokenizers library, which gets each distinct piece of some texts once.
 
     The vocabulary's normalizer and pre-tokenizer never join what a blank or line feed parts, so parts can be encoded alone.
-    Parts of Latin letters and then punctuation need no more normalization than lower case and no more
-    pre-tokenization than the byte alphabet, so the library's merge model gets their words directly.
+    Words of Latin letters need no more normalization than lower case and no more pre-tokenization than the byte
+    alphabet, so the library's merge model gets them directly. What is coded stays in a bounded memo.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -194,25 +249,54 @@ class Tokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.model = None
-        if [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and spec["model"]["type"] == "BPE":
+        if known(spec):
             own = spec["model"]
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in own["merges"]]
             self.model = models.BPE(own["vocab"], merges, end_of_word_suffix=own["end_of_word_suffix"], cache_capacity=0)
         self.alphabet = byte_alphabet()
-        self.cache, self.words = Cache(self.part, 200_000), Cache(self.word, 200_000)
-
-    def word(self, word: str) -> bytes:
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-        return array(self.kind.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        self.pieces, self.cache = Pieces(self.model is not None), Cache(self.piece, MEMO)
 
-    def part(self, text: str) -> bytes:
-        if self.model is not None and (plain := PLAIN.fullmatch(text.lower())):
-            word, marks = plain.groups()
-            return (self.words[word] if word else b"") + (self.words[marks] if marks else b"")
+    def piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if self.model is not None and LETTERS.fullmatch(text):
+            shown = text if text.isascii() else piece.decode("latin-1").translate(self.alphabet)
+            return array(self.kind.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def text(self, text: str | None) -> bytes:
-        return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" "))) + self.end if text else self.end
+    def texts(self, column: pa.Array) -> Iterator[pa.Array]:
+        """The ids of each text and the end id, as arrays that follow each other; each comes of ``SLICE`` bytes or one text."""
+        column = column.cast(pa.large_binary()).fill_null(b"")
+        if not len(column):
+            return
+        places = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(places, places[at] + SLICE, "right")) - 1)
+            yield self.coded(data[places[at] : places[to]], places[at + 1 : to + 1] - places[at])
+            at = to
+
+    def coded(self, data: np.ndarray, ends: np.ndarray) -> pa.Array:
+        pieces, before = self.pieces.cut(data, ends)
+        found = pieces.dictionary_encode()
+        ids = list(map(self.cache.__getitem__, found.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        order = np.insert(found.indices.to_numpy(), before, len(ids))
+        joined = pa.array([*ids, self.end], pa.large_binary()).take(pa.array(order))
+        places = np.frombuffer(joined.buffers()[1], np.int64)[np.append(0, before + np.arange(1, len(ends) + 1))]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(places), joined.buffers()[2]]).cast(pa.binary())
+
+
+def known(spec: dict) -> bool:
+    """Whether ``Pieces`` knows a vocabulary's rules."""
+    normalizers = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        normalizers == ["NFC", "Replace", "Lowercase"]
+        and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+        and steps[0]["pattern"] == {"Regex": WORDS}
+        and spec["model"]["type"] == "BPE"
+        and all(t["content"].startswith("<") for t in spec["added_tokens"])
+    )
 
 
 def byte_alphabet() -> dict[int, int]:
@@ -244,8 +328,10 @@ def token_files(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str)
         code, borders = tokenizer(path, end_id), shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            part = [bisect_right(borders, d) for d in ids]
-            yield pa.record_batch([batch.column(0), pa.array(part, pa.int32()), pa.array(list(map(code.text, batch.column(1).to_pylist())), pa.binary())], ["doc_id", "part", "ids"])
+            part, at = pa.array([bisect_right(borders, d) for d in ids], pa.int32()), 0
+            for coded in code.texts(batch.column(1)):
+                yield pa.record_batch([batch.column(0).slice(at, len(coded)), part.slice(at, len(coded)), coded], ["doc_id", "part", "ids"])
+                at += len(coded)
 
     def files(batches):
         width = tokenizer(path, end_id).kind.itemsize

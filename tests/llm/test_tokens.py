@@ -135,6 +135,42 @@ def test_files_follow_each_other_in_many_ranges(spark, monkeypatch):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False)) and rows[0].start == 0
 
 
+@pytest.mark.parametrize("known", [True, False])
+def test_texts_cut_by_bytes_have_the_librarys_ids(monkeypatch, known):
+    """Any characters side by side, texts in slices of the bytes, slices of a column, rules that ``Pieces`` knows or not."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(6)
+    library = Tokenizer.from_file(path)
+    if not known:
+        monkeypatch.setattr(rans, "known", lambda spec: False)
+    code = rans.Tokenizer(path, 1)
+    assert (code.model is not None) == known
+    marks = [*map(chr, range(128)), *map(chr, range(0xA0, 0x180)), *" \n'<|>J\u030c\u0301\u0307\u00a0\u2003\u0085\u212a\u212bпривет中가\U0001f600ßŸ×÷σς١²"]
+    marks += ["<|endoftext|>", "'re", "'LL", "don't", "aé", "\r\n", "E\u0301"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    texts += ["".join(rng.choice("abAB12.,! \n") for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    texts[10:13], texts[-2:] = ["", None, " "], [None, "\n"]
+    want = [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    for size in (1, 300, 8 << 20):
+        monkeypatch.setattr(rans, "SLICE", size)
+        got = [np.frombuffer(x.as_py(), code.kind).tolist() for part in code.texts(pa.array(texts, pa.string())[5:]) for x in part]
+        assert got == want[5:]
+    assert list(code.texts(pa.array([], pa.string()))) == []
+
+
+def test_words_are_coded_once_whatever_stands_at_them():
+    import pyarrow as pa
+
+    code, asked = rans.Tokenizer(P.path("word_bpe_49k.json"), 1), []
+    code.cache.compute = lambda piece: asked.append(piece) or code.piece(piece)
+    words = ["thonering", "Thonering", "THONERING", "général", "GÉNÉRAL"]
+    texts = [f"{a}{w}{b} {w}{a}7{w}" for w in words for a in ("", "(", "--", "!?") for b in (".", ",", "!!", ")")]
+    assert sum(len(part) for part in code.texts(pa.array(texts * 3))) == 3 * len(texts)
+    assert len(asked) == len(set(asked)) and set(asked) == {b"thonering", "général".encode(), b"7", b"(", b"--", b"!?", b".", b",", b"!!", b")"}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 600_000])
 def test_blocks_of_any_length(n):
     ids = (np.random.default_rng(n).zipf(1.4, n) % 500).astype(np.uint16)
