@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded_batches, drop_written, forget, written
+from siltstone.llm.common import bounded_batches, drop_written, forget, sorted_side, written
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -106,7 +106,7 @@ def near(counted: DataFrame) -> DataFrame:
     asked = counted.select(F.explode(probes).alias("key"), "word", "n")
     # of words of equal length one direction is enough; a longer word probes the shorter one
     ahead = (F.length("word") > F.length("other")) | ((F.length("word") == F.length("other")) & (word < F.col("other")))
-    met = asked.join(index, "key").where(ahead & (F.levenshtein("word", "other", 1) == 1))
+    met = asked.join(sorted_side(index), "key").where(ahead & (F.levenshtein("word", "other", 1) == 1))
     once = met.select("word", "n", "other", "other_n").distinct()
     back = F.array(F.struct("word", "n", "other", "other_n"), F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     return once.select(F.explode(back).alias("x")).select("x.*")
@@ -115,7 +115,7 @@ def near(counted: DataFrame) -> DataFrame:
 def forms(counted: DataFrame, p: Params) -> DataFrame:
     """(word, n, n_near, form, form_n) from (word, n)."""
     best = near(counted).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    rows = counted.join(best, "word", "left").withColumn("form_n", -F.col("best.less"))
+    rows = counted.join(sorted_side(best), "word", "left").withColumn("form_n", -F.col("best.less"))
     chosen = F.col("form_n") >= p.ratio * F.col("n")
     return rows.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(chosen, F.col("best.other")).alias("form"), F.when(chosen, F.col("form_n")).alias("form_n"))
 
@@ -125,7 +125,7 @@ def roots(formed: DataFrame) -> DataFrame:
     now = written(formed.where("form is not null").select("word", F.col("form").alias("root")), "forms")
     while True:
         then = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = written(now.join(then, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        moved = written(now.join(sorted_side(then), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         drop_written(now.sparkSession, now)
         now = moved.drop("moved")
         if not moved.where("moved").head(1):
@@ -138,5 +138,5 @@ def variants(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id",
     counted = written(words(docs, params, doc_id, text), "words")
     formed = written(forms(counted, params), "formed")
     drop_written(spark, counted)
-    rows = formed.join(roots(formed), "word", "left")
+    rows = formed.join(sorted_side(roots(formed)), "word", "left")
     return rows.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -160,6 +160,20 @@ def test_near_words_share_a_key_at_every_place(spark):
     assert sum(r[4] for r in rows) == len(got) and all((b, a) in got for a, b in got)
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Small tables as well as large ones whose size Spark takes for small, as after an explode, are joined by sorting."""
+    plans, write = [], spelling.written
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(spelling, "written", watched)
+    docs = spark.createDataFrame(spelling_rows(), "doc_id long, text string")
+    plans.append(spelling.variants(docs)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
 def brute_divergence(rows, p):
     rows = [tuple(x or "" for x in r) for r in rows]
     in_docs, counts, total = Counter(), defaultdict(Counter), defaultdict(Counter)
