@@ -1,5 +1,6 @@
 """The stored index: commits that are killed and repeated, snapshots, conflicts; pruned searches against whole ones."""
 
+import os
 import random
 
 import numpy as np
@@ -103,3 +104,31 @@ def test_dense_top_is_brute_force(spark, but_self):
 def test_tasks_send_bounded_lists():
     s, v = R.smallest_of_equals(np.array([1.0, 2.0, 1.0, 1.0, 2.0]), np.array([5, 9, 1, 3, 2]), 2)
     assert s.tolist() == [2.0, 2.0, 1.0, 1.0] and v.tolist() == [2, 9, 1, 3]
+
+
+def test_odd_letters_nulls_and_repeated_ids(spark, tmp_path):
+    made = [(1, "K2 İx Ab-c ÉÀ a K9K"), (None, "a b"), (2, "a a"), (2, "z a"), (3, None), (None, "a c c"), (4, "--"), (-5, "i x k2 c")]
+    docs = spark.createDataFrame(made, "chunk_id long, text string").repartition(3)
+    one = spark.createDataFrame([(i, t or "") for i, t in made if t not in ("a b", "a a")], "chunk_id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (77, [1.0, 1.0])], "chunk_id long, embedding array<float>")
+    index = Index.create(spark, f"file://{tmp_path}/i", 2, 4).upsert(docs, vectors=vectors)
+    assert rows(index.lengths().select("chunk_id", "dl")) == rows(one.select("chunk_id", R.F.size(R.terms(R.F.col("text"))).alias("dl")))
+    assert rows(index.vectors()) == [(1, [2.0, 0.0])]
+    asked = spark.createDataFrame([((7, 1), "k2 a I"), ((7, 2), "c İ nowhere"), ((7, 3), "")], "query_id struct<a: int, b: int>, question string")
+    full = R.bm25(one, asked, "chunk_id", "text", "query_id", "question").withColumnRenamed("doc_id", "chunk_id")
+    for k in (1, 9):
+        assert rows(index.top(asked, k).select("query_id", "chunk_id", "score", "rank")) == rows(R.top_k(full.selectExpr("query_id", "chunk_id", "round(score, 6) AS score"), "chunk_id", k))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not there")
+def test_the_corpus_is_written_once_and_searches_send_no_row_for_a_posting(spark, tmp_path, monkeypatch):
+    from siltstone.plans import queries_kb
+
+    wrote, write = [], Index._write
+    monkeypatch.setattr(Index, "_write", lambda self, rows, table, *a: wrote.append(table) or write(self, rows, table, *a))
+    monkeypatch.setattr(queries_kb, "folder", lambda spark: f"file://{tmp_path}")
+    index = queries_kb.corpus_index(spark, "/root/testdata/sf0.001")
+    assert sorted(wrote) == ["lengths", "postings", "terms", "vectors"] and index.meta()["gens"] == 1
+    found = index.top(queries_kb.questions(spark, "/root/testdata/sf0.001"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and found.count() > 0
