@@ -196,9 +196,11 @@ sim AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sim)"""
 
 
-def dense_hits(spark, sf_dir) -> DataFrame:
+def dense_hits(spark, sf_dir, k: int, scale=None) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best rows of the stated queries, ids divisible by 50."""
     v = t(spark, sf_dir, "embeddings")
-    return R.dense(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")))
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return R.dense_ranked(v.select(F.col("vec_id").alias("item"), "embedding"), asked, k, scale).withColumnRenamed("item", "vec_id")
 
 
 @query(f"WITH {DENSE_SQL} SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 12")
@@ -212,9 +214,9 @@ def dense_batch_topk(spark, sf_dir):
 SECOND_SQL = "other AS (SELECT query_id, vec_id, score2, row_number() OVER (PARTITION BY query_id ORDER BY score2 DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, round(score * (1 + vec_id % 7), 6) AS score2 FROM sim))"
 
 
-def second_hits(spark, sf_dir) -> DataFrame:
+def second_hits(spark, sf_dir, k: int) -> DataFrame:
     """A second ranking of the same pairs, as the lexical branch stands in."""
-    return dense_hits(spark, sf_dir).withColumn("score", F.round(F.col("score") * (1 + F.col("vec_id") % 7), 6))
+    return dense_hits(spark, sf_dir, k, 1 + F.col("item") % 7)
 
 
 @query(
@@ -223,12 +225,13 @@ f AS (SELECT query_id, vec_id, round(sum(p), 9) AS score FROM u GROUP BY 1, 2)
 SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM f) WHERE rank <= 12"""
 )
 def rrf_two_rankings(spark, sf_dir):
-    return R.hybrid(dense_hits(spark, sf_dir), second_hits(spark, sf_dir), "vec_id")
+    branch = R.over_fetch(C.DEFAULTS.top_k)
+    return R.fused(cut(dense_hits(spark, sf_dir, branch)), cut(second_hits(spark, sf_dir, branch)), "vec_id")
 
 
 @query(f"WITH {DENSE_SQL} SELECT vec_id, max(score) AS score, arg_max(query_id, score * 1000000000 - query_id / 1000000.0) AS query_id FROM ranked WHERE rank <= 6 GROUP BY vec_id")
 def multi_query_merge(spark, sf_dir):
-    hits = R.top_k(dense_hits(spark, sf_dir), "vec_id", 6).withColumn("seq", F.col("query_id"))
+    hits = dense_hits(spark, sf_dir, 6).withColumn("seq", F.col("query_id"))
     return R.merged(hits, "vec_id").select("vec_id", "score", "query_id")
 
 
@@ -240,14 +243,14 @@ s AS (SELECT query_id, vec_id, tail, seq, CASE WHEN tail THEN score ELSE round(0
 SELECT query_id, vec_id, blend FROM s"""
 )
 def rescale_blend_rerank(spark, sf_dir):
-    pool = R.top_k(dense_hits(spark, sf_dir), "vec_id", 60).withColumnRenamed("rank", "seq").withColumn("logit", (F.col("vec_id") % 11 - 5).cast("double"))
+    pool = dense_hits(spark, sf_dir, 60).withColumnRenamed("rank", "seq").withColumn("logit", (F.col("vec_id") % 11 - 5).cast("double"))
     return R.blended(pool).select("query_id", "vec_id", "blend")
 
 
 @query(f"WITH {DENSE_SQL} SELECT query_id, vec_id, score FROM ranked r WHERE rank <= 12 AND vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 3)")
 def exclude_seen(spark, sf_dir):
     seen = t(spark, sf_dir, "embeddings").where("label = 3")
-    return R.excluding(R.top_k(dense_hits(spark, sf_dir), "vec_id"), seen, "vec_id").select("query_id", "vec_id", "score")
+    return R.excluding(dense_hits(spark, sf_dir, C.DEFAULTS.top_k), seen, "vec_id").select("query_id", "vec_id", "score")
 
 
 @query()

@@ -101,6 +101,33 @@ def test_dense_top_is_brute_force(spark, but_self):
     assert R.dense_top(made, queries.limit(0)).count() == 0 and R.dense_top(made.limit(0), queries).count() == 0
 
 
+@pytest.mark.parametrize("scaled", [True, False])
+def test_dense_ranked_is_all_pairs_by_rank(spark, scaled):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-40, 41, (200, 4)) / 256  # scores that lie between two of six places
+    x[60:140] = x[60]
+    plain = [(i - 20, v.tolist()) for i, v in enumerate(x)]
+    odd = [(300, None), (301, [float("nan"), 0.0, 1.0, 1.0]), (310, [None, 1.0, 1.0, 1.0]), (311, [float("inf"), 1.0, 0.0, 0.0]), (-30, None)]
+    scale = 1 + R.F.col("item") % 7 if scaled else None
+    for rows_ in (plain, plain + odd, plain[:3] + odd, odd[:1]):
+        made = spark.createDataFrame(rows_, "item long, embedding array<double>").repartition(5)
+        queries = made.where("item % 10 = 0").selectExpr("item AS query_id", "embedding AS query_vector")
+        every = R.dense(made, queries, "item", "embedding").withColumnRenamed("vec_id", "item")
+        every = every.withColumn("score", R.F.round(R.F.col("score") * scale, 6)) if scaled else every
+        for k in (1, 9):
+            got = R.dense_ranked(made, queries, k, scale).select("query_id", "item", "score", "rank")
+            assert str(rows(got)) == str(rows(R.top_k(every, "item", k).select("query_id", "item", "score", "rank")))  # NaN is not itself
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not there")
+@pytest.mark.parametrize("name", ["exclude_seen", "multi_query_merge", "rescale_blend_rerank"])
+def test_rankings_make_no_row_for_each_pair(spark, name):
+    from siltstone.plans import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "MapInArrow" in plan
+
+
 def test_tasks_send_bounded_lists():
     s, v = R.smallest_of_equals(np.array([1.0, 2.0, 1.0, 1.0, 2.0]), np.array([5, 9, 1, 3, 2]), 2)
     assert s.tolist() == [2.0, 2.0, 1.0, 1.0] and v.tolist() == [2, 9, 1, 3]
