@@ -239,3 +239,14 @@ def test_images_and_furniture(spark):
     assert rows(explore.owned(mine, "a")) == [(1, "a")]
     named = explore.with_name(spark.createDataFrame([(1, 5), (2, 6)], "id int, doc_id int"), spark.createDataFrame([(5, "x.pdf")], "doc_id int, filename string"), "doc_id", "doc_id", "filename", "unknown")
     assert rows(named) == [(1, 5, "x.pdf"), (2, 6, "unknown")]
+
+
+def test_hits_of_seeds_and_hubs_are_computed_once(spark):
+    entities = spark.createDataFrame([(1, "copper ring", "Copper ring", "", 3), (2, "iron ring", "Iron ring", "", 40)], "id long, norm_name string, name string, description string, mentions long")
+    questions = spark.createDataFrame([(1, "which cooper made it"), (2, "no such thing")], "query_id long, question string")
+    edges = spark.createDataFrame([(1, "P", 2, 5, [7])], "source long, predicate string, target long, weight long, chunks array<long>")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    seeds = evidence.found_seeds(questions, entities)
+    assert "levenshtein" not in plan(seeds) and [(r.question_id, r.id) for r in seeds.collect()] == [(1, 1)]
+    found = evidence.hops(edges, entities, spark.sql("select 1L as query_id, 1L as node"))
+    assert "percentile" not in plan(found) and found.count() == 1
