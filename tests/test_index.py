@@ -159,3 +159,11 @@ def test_the_corpus_is_written_once_and_searches_send_no_row_for_a_posting(spark
     found = index.top(queries_kb.questions(spark, "/root/testdata/sf0.001"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and found.count() > 0
+
+
+def test_hybrid_searches_once(spark, tmp_path):
+    docs = texts(spark, n=40).fillna("")
+    vectors = docs.select("chunk_id", R.F.array(R.F.col("chunk_id").cast("float"), R.F.lit(1.0).cast("float")).alias("embedding"))
+    index = Index.create(spark, f"file://{tmp_path}/i", 2, 4).upsert(docs, vectors=vectors)
+    found = index.hybrid(asked(spark).withColumn("query_vector", R.F.array(R.F.lit(1.0), R.F.lit(0.0))), 3)
+    assert "InArrow" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 18
